@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import ann, exact_dedup, html_text, langid, mixing, packing, quality, simhash
 from .common import WORD_PATTERN, id_crc
 
 
@@ -18,11 +18,28 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_main_text(_read(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_to_weights(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.where(id_crc("doc_id") % 5 != 0))
+    held_out = (id_crc("doc_id") % 5 == 0).alias("held_out")
+    return langid.identify_languages(docs, model, "text", F.col("doc_id"), held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +64,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_source_mixing, op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op5_source_mixing, op7_language_id,
+        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier,
+    )
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
