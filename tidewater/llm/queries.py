@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, langid, mixing, packing, quality, simhash
+from . import ann, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash
 from .common import WORD_PATTERN, id_crc
 
 
@@ -33,6 +33,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc("doc_id") % 10 == 0
+    scores = lm.interpolated_scores(_read(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit_languages(docs.where(id_crc("doc_id") % 5 != 0))
@@ -67,7 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op5_source_mixing, op7_language_id,
+        op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op5_source_mixing, op6_lm_scoring, op7_language_id,
         op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier,
     )
 }
