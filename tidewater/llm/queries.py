@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash
+from . import ann, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup
 from .common import WORD_PATTERN, id_crc
 
 
@@ -28,6 +28,13 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=200)
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_to_weights(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -73,7 +80,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op5_source_mixing, op6_lm_scoring, op7_language_id,
+        op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op4_suffix_dedup, op5_source_mixing, op6_lm_scoring, op7_language_id,
         op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier,
     )
 }
