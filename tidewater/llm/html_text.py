@@ -1,7 +1,7 @@
 """Main text of web pages by removing the template that a site's pages share.
 
 Spark parses every page into its element tree, hashes each subtree, and counts in how many pages of a
-host it occurs. Subtrees that recur across many pages of the host are its template and are deleted,
+host it occurs. Block-level subtrees that recur across many pages of the host are its template and are deleted,
 together with elements that are no article by their tag, class or role. What is left of the article
 (or of the body, without one) is the text.
 """
@@ -49,7 +49,8 @@ NOT_ARTICLE = frozenset(
     "commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets skip search complementary contentinfo".split()
 )
 #: Text blocks inside an article, which stay even if other pages of the host hold the same words.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table thead tbody tfoot tr td th figure figcaption b i em strong a span code q cite sub sup small u s mark abbr time".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table caption thead tbody tfoot tr td th figure figcaption br hr".split())
+UNCOUNTED = frozenset("html head body title br hr".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -156,7 +157,7 @@ def main_text(page: str | None, template: set[int]) -> str:
             if isinstance(node, str):
                 parts.append(node)
                 continue
-            if node is not top and (is_template_element(node, inside) or node.hash in template and not (inside and node.tag in PROSE)):
+            if node is not top and (is_template_element(node, inside) or node.tag in BLOCK and node.hash in template and not (inside and node.tag in PROSE)):
                 parts.append(" ")
                 continue
             block = node.tag in BLOCK
