@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import ingest, market
 
-_MODULES = (market,)
+_MODULES = (market, ingest)
 
 
 def queries() -> dict:
