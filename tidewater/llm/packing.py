@@ -8,7 +8,7 @@ sequence, so many groups in parallel come within a fraction of a percent of pack
 
 from __future__ import annotations
 
-import itertools
+import json
 import math
 import re
 import zlib
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches
 
-#: Full sequences that one packing group holds on average, and most words that a task's cache holds.
-GROUP_BINS, CACHE_WORDS = 1024, 400_000
+#: Full sequences that one packing group holds on average; entries of a task's caches, by generation.
+GROUP_BINS, CACHE_RUNS, CACHE_PARTS = 1024, 200_000, 400_000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -78,32 +78,78 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-_words: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict = {}
+class Cache(dict):
+    """What a function gives for a key, kept for about the last ``most`` to twice as many distinct keys."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+_encoders: dict[str, Cache] = {}
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Controls that str.split takes for white space and the tokenizer does not.
+_ODD = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile(r"[!-;=?-~\xa1-\xff]*\Z")
 
 
-def _ids(texts: list[str], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: itself if it is printable, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
 
-    The tokenizer drops white space and never joins across it, so each distinct run of other
-    characters is encoded once for a task and looked up afterwards.
+def _encoder(path: str) -> Cache:
+    """Token ids, as little-endian unsigned 32-bit numbers, of a run of characters without white space.
+
+    The tokenizer drops white space and splits the rest by its own pattern before it looks for tokens,
+    so plain runs are split likewise and every distinct part goes to its model once; other runs (those
+    that normalisation may change, or that may hold special tokens) are encoded whole.
     """
-    if path not in _tokenizers:
+    if path not in _encoders:
+        import regex
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    known = _words.setdefault(path, {})
-    split = [_CHUNK.findall(t) for t in texts]
-    new = [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in known]
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list(dict.fromkeys(itertools.chain.from_iterable(split)))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, _tokenizers[path].encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(tokenizer.to_str())
+        pack = lambda ids: np.array(ids, "<u4").tobytes()
+        encode = lambda x: pack(tokenizer.encode(x, add_special_tokens=False).ids)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        lower = any(n.get("type") == "Lowercase" for n in (rules.get("normalizer") or {}).get("normalizers", []))
+        if lower and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]:
+            letters, tokenize = _byte_letters(), tokenizer.model.tokenize
+            model = lambda x: pack([t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))])
+            parts, find = Cache(model, CACHE_PARTS), regex.compile(steps[0]["pattern"]["Regex"]).findall
+
+            def run(x: str) -> bytes:
+                if not _PLAIN.match(x):
+                    return encode(x)
+                x = x.lower()
+                if x.isalpha():
+                    return parts[x]
+                if x[-1] in ".,;:!?" and x[:-1].isalpha():
+                    return parts[x[:-1]] + parts[x[-1]]
+                return b"".join(map(parts.__getitem__, find(x)))
+
+            _encoders[path] = Cache(run, CACHE_RUNS)
+        else:
+            _encoders[path] = Cache(encode, CACHE_RUNS)
+    return _encoders[path]
+
+
+def _ids(texts: list[str], path: str) -> list[bytes]:
+    known = _encoder(path).__getitem__
+    return [b"".join(map(known, _CHUNK.findall(t) if _ODD.search(t) else t.split())) for t in texts]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
