@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: Edges that one task contracts.
+TASK_EDGES = 200_000
+
+
 class Forest:
     """Union-find over integers; the root of a set is its smallest member."""
 
@@ -50,24 +55,32 @@ def _drain(forest: Forest) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["src", "dst"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(src, dst) long edges -> (node, component), component being the smallest node of each set.
 
-    Nodes without an edge don't occur. Each round contracts what a task holds to stars, then points
-    every node at the smallest neighbour of its neighbours' (large star, small star). Rounds are tables
-    in the shared folder; rows never outnumber the first round's edges and nothing is collected.
+    Nodes without an edge don't occur. Tasks contract the edges that they hold to stars around their
+    smallest nodes, about ``task_edges`` in a task; if one task holds all, that is the result. Otherwise
+    every node is pointed at the smallest neighbour of its neighbours and tasks contract again, until
+    nothing changes. Rounds are tables in the shared folder; nothing is collected.
     """
     pairs = edges.where("src <> dst").select(F.col("src").cast("long"), F.col("dst").cast("long"))
-    stars = table(pairs.mapInArrow(_stars, "src long, dst long").where("src <> dst").distinct())
+    stars = table(_contract(pairs))
     while True:
-        # large star: each node's strictly larger neighbours point at the smallest node next to it
-        both = stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = table(both.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")).select("src", F.least("src", "m").alias("m"), "n"))
-        if least.where("m < src and n > 1").isEmpty() and stars.join(least.where("m < src"), stars["dst"] == least["src"], "left_semi").isEmpty():
+        tasks = math.ceil(stars.count() / task_edges)
+        stars = table(_contract(stars.coalesce(max(1, tasks))).distinct() if tasks > 1 else _contract(stars.coalesce(1)))
+        if tasks <= 1:
             break
+        both = stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = table(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")))
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = large.unionByName(least.where("m < src").select("src", F.col("m").alias("dst")))
-        stars = table(large.where("src <> dst").mapInArrow(_stars, "src long, dst long").where("src <> dst").distinct())
+        moved = table(large.unionByName(least.where("m < src").select("src", F.col("m").alias("dst"))).where("src <> dst").distinct())
+        if moved.count() == stars.count() and moved.exceptAll(stars).isEmpty():
+            break
+        stars = moved
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(
         stars.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     )
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_stars, "src long, dst long").where("src <> dst")
