@@ -105,9 +105,10 @@ def test_links_connect_all_near_fingerprints(spark, block):
     assert {i: found.get(i, i) for i, _ in rows} == want
 
 
-def test_connected_components_of_a_long_path(spark):
+@pytest.mark.parametrize("task_edges", [40, 200_000])
+def test_connected_components_of_a_long_path(spark, task_edges):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "src long, dst long").repartition(7)
-    found = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    found = {r["node"]: r["component"] for r in components.connected_components(edges, task_edges).collect()}
     assert found == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
