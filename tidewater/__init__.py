@@ -1,0 +1,10 @@
+"""Market analytics on Spark.
+
+Functions that run inside tasks are pickled by value, so executors need no installed copy.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

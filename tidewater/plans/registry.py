@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest, market
+from . import catalogue, desk, ingest, market, streaming
 
-_MODULES = (market, ingest)
+_MODULES = (market, ingest, desk, catalogue, streaming)
 
 
 def queries() -> dict:
