@@ -6,6 +6,8 @@ many of the newest bars are loaded; path-dependent indicators start at the first
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,46 +77,61 @@ def _drawdown(p: int) -> Column:
     return F.when(F.max("n") >= 2, F.max(last(p, F.when(peak > 0, (peak - c) / peak).otherwise(0.0))))
 
 
-def expressions() -> dict[str, Column]:
-    """Every indicator as an aggregate over the loaded bars of an instrument."""
-    c, r, v = F.col("close"), F.col("ret"), F.col("volume")
-    high, low, now = F.max(last(252, c)), F.min(last(252, c)), F.max(last(1, c))
-    mean20, sd20 = _enough(20, F.avg(last(20, c))), _enough(20, F.stddev_pop(last(20, c)))
-    some = F.max("n") >= 2
-    return {
-        "n_bars": F.max("n"),
-        "last_ts": F.max("ts"),
-        "last_close": now,
-        "sma20": mean20,
-        "sma50": F.max(last(1, F.col("sma50"))),
-        "sma200": F.max(last(1, F.col("sma200"))),
-        "ret21": _return(21), "ret63": _return(63), "ret126": _return(126), "ret252": _return(252),
-        "vol20": _enough(21, F.stddev_samp(last(20, r)) * F.sqrt(F.lit(float(YEAR)))),
-        "vol60": _enough(61, F.stddev_samp(last(60, r)) * F.sqrt(F.lit(float(YEAR)))),
-        "downside60": _enough(61, F.sqrt(F.avg(last(60, F.pow(F.least(r, F.lit(0.0)), 2)))) * F.sqrt(F.lit(float(YEAR)))),
-        "drawdown20": _drawdown(20), "drawdown60": _drawdown(60), "drawdown252": _drawdown(252),
-        "worst_day60": F.when(some, F.greatest(-F.min(last(60, r)), F.lit(0.0))),
-        "avg_volume20": _enough(20, F.avg(last(20, v))),
-        "avg_traded20": _enough(20, F.avg(last(20, c * v))),
-        "zero_volume20": F.count_if(last(20, v) == 0),
-        "stale_price20": F.count_if(last(20, c) == F.col("prev")),
-        "slope50": _slope("sma50"), "slope200": _slope("sma200"),
-        "rsi14": rsi(14), "rsi14_10_ago": rsi(14, 10),
-        "from_high": F.when(high > 0, (high - now) / high),
-        "from_low": F.when(low > 0, (now - low) / low),
-        "range_position": F.when(some & (high > low), (now - low) / (high - low)),
-        "atr14": _enough(15, F.avg(last(14, F.col("tr")))),
-        "boll_mid": F.when(sd20 > 0, mean20), "boll_low": F.when(sd20 > 0, mean20 - 2 * sd20), "boll_high": F.when(sd20 > 0, mean20 + 2 * sd20),
-        "boll_position": F.when(sd20 > 0, (now - (mean20 - 2 * sd20)) / (4 * sd20)),
-        "low20": F.min(last(20, c)),
-    }
+def _high() -> Column:
+    return F.max(last(252, F.col("close")))
+
+
+def _low() -> Column:
+    return F.min(last(252, F.col("close")))
+
+
+def _now() -> Column:
+    return F.max(last(1, F.col("close")))
+
+
+def _mean20() -> Column:
+    return _enough(20, F.avg(last(20, F.col("close"))))
+
+
+def _sd20() -> Column:
+    return _enough(20, F.stddev_pop(last(20, F.col("close"))))
+
+
+def _volatility(p: int) -> Column:
+    return _enough(p + 1, F.stddev_samp(last(p, F.col("ret"))) * F.sqrt(F.lit(float(YEAR))))
+
+
+def _ratio(top: Column, bottom: Column) -> Column:
+    return F.when(bottom > 0, top / bottom)
+
+
+#: Every indicator, as what makes its aggregate over the loaded bars of an instrument.
+INDICATORS: dict[str, Callable[[], Column]] = {
+    "n_bars": lambda: F.max("n"), "last_ts": lambda: F.max("ts"), "last_close": _now, "sma20": _mean20,
+    "sma50": lambda: F.max(last(1, F.col("sma50"))), "sma200": lambda: F.max(last(1, F.col("sma200"))),
+    "ret21": lambda: _return(21), "ret63": lambda: _return(63), "ret126": lambda: _return(126), "ret252": lambda: _return(252),
+    "vol20": lambda: _volatility(20), "vol60": lambda: _volatility(60),
+    "downside60": lambda: _enough(61, F.sqrt(F.avg(last(60, F.pow(F.least("ret", F.lit(0.0)), 2)))) * F.sqrt(F.lit(float(YEAR)))),
+    "drawdown20": lambda: _drawdown(20), "drawdown60": lambda: _drawdown(60), "drawdown252": lambda: _drawdown(252),
+    "worst_day60": lambda: _enough(2, F.greatest(-F.min(last(60, F.col("ret"))), F.lit(0.0))),
+    "avg_volume20": lambda: _enough(20, F.avg(last(20, F.col("volume")))),
+    "avg_traded20": lambda: _enough(20, F.avg(last(20, F.col("close") * F.col("volume")))),
+    "zero_volume20": lambda: F.count_if(last(20, F.col("volume")) == 0),
+    "stale_price20": lambda: F.count_if(last(20, F.col("close")) == F.col("prev")),
+    "slope50": lambda: _slope("sma50"), "slope200": lambda: _slope("sma200"), "rsi14": rsi, "rsi14_10_ago": lambda: rsi(14, 10),
+    "from_high": lambda: _ratio(_high() - _now(), _high()), "from_low": lambda: _ratio(_now() - _low(), _low()),
+    "range_position": lambda: F.when((F.max("n") >= 2) & (_high() > _low()), (_now() - _low()) / (_high() - _low())),
+    "atr14": lambda: _enough(15, F.avg(last(14, F.col("tr")))),
+    "boll_mid": lambda: F.when(_sd20() > 0, _mean20()), "boll_low": lambda: F.when(_sd20() > 0, _mean20() - 2 * _sd20()), "boll_high": lambda: F.when(_sd20() > 0, _mean20() + 2 * _sd20()),
+    "boll_position": lambda: F.when(_sd20() > 0, (_now() - (_mean20() - 2 * _sd20())) / (4 * _sd20())),
+    "low20": lambda: F.min(last(20, F.col("close"))),
+}
 
 
 def indicators(candles: DataFrame, bars: int = 300, names: list[str] | None = None) -> DataFrame:
     """One row an instrument; ``names`` picks indicators, all without it."""
-    made = expressions()
     rows = loaded(candles, bars).groupBy("instrument_id")
-    return rows.agg(*[made[k].alias(k) for k in (names or made)])
+    return rows.agg(*[INDICATORS[k]().alias(k) for k in (names or INDICATORS)])
 
 
 def moving_averages(candles: DataFrame, p: int, bars: int = 300) -> DataFrame:

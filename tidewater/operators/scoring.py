@@ -6,6 +6,7 @@ Every signal is a strength in 0..1 or NULL; a missing signal leaves both numerat
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,42 +46,66 @@ def classify(score: Column, strong: float = STRONG, watch: float = WATCH) -> Col
 
 def trend_signals() -> dict[str, Column]:
     c, s50, s200 = F.col("last_close"), F.col("sma50"), F.col("sma200")
-    return {"price_over_sma50": flag(c > s50), "price_over_sma200": flag(c > s200), "sma50_over_sma200": flag(s50 > s200), "sma200_slope": clamp01(0.5 + F.col("slope200") / 0.002)}
+    return {"price_over_sma50": flag(c > s50), "price_over_sma200": flag(c > s200), "sma50_over_sma200": flag(s50 > s200), "sma200_slope": (0.5 + F.col("slope200") / 0.002)}
 
 
 def momentum_signals() -> dict[str, Column]:
-    out = {f"ret{k}": clamp01(0.5 + F.col(f"ret{k}") / 0.4) for k in (21, 63, 126, 252)}
-    return out | {"vs_benchmark": clamp01(0.5 + (F.col("ret252") - F.col("bench_ret252")) / 0.4), "vs_sector": clamp01(0.5 + (F.col("ret252") - F.col("sector_ret252")) / 0.4)}
+    out = {f"ret{k}": (0.5 + F.col(f"ret{k}") / 0.4) for k in (21, 63, 126, 252)}
+    return out | {"vs_benchmark": (0.5 + (F.col("ret252") - F.col("bench_ret252")) / 0.4), "vs_sector": (0.5 + (F.col("ret252") - F.col("sector_ret252")) / 0.4)}
 
 
 def risk_signals() -> dict[str, Column]:
     bad = {"vol20": 0.60, "vol60": 0.60, "drawdown252": 0.50, "downside60": 0.40, "worst_day60": 0.20}
-    return {f"low_{k}": clamp01(1 - F.col(k) / v) for k, v in bad.items()}
+    return {f"low_{k}": (1 - F.col(k) / v) for k, v in bad.items()}
 
 
 def liquidity_signals() -> dict[str, Column]:
     return {
-        "volume_depth": clamp01(F.log10(F.greatest(F.col("avg_volume20"), F.lit(1.0))) / 6), "traded_value": clamp01(F.col("avg_traded20") / 1e6),
-        "no_zero_volume": clamp01(1 - F.col("zero_volume20") / 5.0), "no_stale_price": clamp01(1 - F.col("stale_price20") / 5.0),
+        "volume_depth": (F.log10(F.greatest(F.col("avg_volume20"), F.lit(1.0))) / 6), "traded_value": (F.col("avg_traded20") / 1e6),
+        "no_zero_volume": (1 - F.col("zero_volume20") / 5.0), "no_stale_price": (1 - F.col("stale_price20") / 5.0),
     }
 
 
 def positioning_signals() -> dict[str, Column]:
-    return {"near_high": clamp01(1 - F.col("from_high") / 0.5), "high_in_range": clamp01(F.col("range_position")), "off_low": clamp01(F.col("from_low") / 1.0)}
+    return {"near_high": (1 - F.col("from_high") / 0.5), "high_in_range": (F.col("range_position")), "off_low": (F.col("from_low") / 1.0)}
 
 
 def sector_signals() -> dict[str, Column]:
     return {
-        "sector_over_sma200": flag(F.col("sector_close") > F.col("sector_sma200")), "sector_slope": clamp01(0.5 + F.col("sector_slope200") / 0.002),
-        "sector_ret63": clamp01(0.5 + F.col("sector_ret63") / 0.4), "sector_ret126": clamp01(0.5 + F.col("sector_ret126") / 0.4),
+        "sector_over_sma200": flag(F.col("sector_close") > F.col("sector_sma200")), "sector_slope": (0.5 + F.col("sector_slope200") / 0.002),
+        "sector_ret63": (0.5 + F.col("sector_ret63") / 0.4), "sector_ret126": (0.5 + F.col("sector_ret126") / 0.4),
     }
 
 
 CATEGORIES = {"trend": trend_signals, "momentum": momentum_signals, "risk": risk_signals, "liquidity": liquidity_signals, "positioning": positioning_signals, "sector": sector_signals}
 
 
-def signals() -> dict[str, Column]:
-    return {k: v for make in CATEGORIES.values() for k, v in make().items()}
+def _clamped(rows: DataFrame, raw: dict[str, Column]) -> DataFrame:
+    """Add columns held to 0..1; two projections, so that each raw expression is evaluated once."""
+    out = rows.withColumns({f"_{k}": v for k, v in raw.items()}).withColumns({k: clamp01(F.col(f"_{k}")) for k in raw})
+    return out.drop(*[f"_{k}" for k in raw])
+
+
+def with_signals(rows: DataFrame, *categories: str) -> DataFrame:
+    """Add the strength of every signal of the categories (all without any) as a column ``x_<name>``."""
+    raw = {f"x_{k}": v for name, make in CATEGORIES.items() if not categories or name in categories for k, v in make().items()}
+    return _clamped(rows, raw)
+
+
+@cache
+def signal_names() -> dict[str, tuple[str, ...]]:
+    return {name: tuple(make()) for name, make in CATEGORIES.items()}
+
+
+def _x(category: str) -> list[Column]:
+    return [F.col(f"x_{k}") for k in signal_names()[category]]
+
+
+def mean_score(rows: DataFrame, name: str, *parts: Column) -> DataFrame:
+    """Add ``name``: 100 x the mean of the known parts, each held to 0..1."""
+    cols = [f"{name}_{i}" for i in range(len(parts))]
+    out = _clamped(rows, dict(zip(cols, parts, strict=True)))
+    return out.withColumn(name, 100 * mean_known(*map(F.col, cols))).drop(*cols)
 
 
 def with_context(ind: DataFrame, instruments: DataFrame, benchmark: int = 0) -> DataFrame:
@@ -100,59 +125,57 @@ def with_context(ind: DataFrame, instruments: DataFrame, benchmark: int = 0) ->
 
 
 def core_scores(rows: DataFrame) -> DataFrame:
-    """Category points, core score, completeness and confidence of rows with indicators and context."""
-    made = {name: make() for name, make in CATEGORIES.items()}
-    known = sum((x.isNotNull().cast("int") for s in made.values() for x in s.values()), F.lit(0))
-    out = rows.select("*", *[category_points(CATEGORY_MAX[name], *s.values()).alias(f"{name}_points") for name, s in made.items()], (known / ALL_SIGNALS).alias("completeness"))
-    core = sum((F.col(f"{name}_points") for name in made), F.lit(0.0))
+    """Category points, core score, completeness and confidence of rows with signals."""
+    names = signal_names()
+    known = sum((x.isNotNull().cast("int") for name in names for x in _x(name)), F.lit(0))
+    out = rows.withColumns({**{f"{name}_points": category_points(CATEGORY_MAX[name], *_x(name)) for name in names}, "completeness": known / ALL_SIGNALS})
+    core = sum((F.col(f"{name}_points") for name in names), F.lit(0.0))
     confidence = clamp01(0.5 * F.col("completeness") + 0.5 * clamp01(F.col("n_bars") / float(FULL_HISTORY)))
-    return out.withColumn("core_score", core).withColumn("confidence", confidence)
+    return out.withColumns({"core_score": core, "confidence": confidence})
 
 
 def signal_lists(rows: DataFrame) -> DataFrame:
     """Names of the signals at 0.5 or more, below it, and missing, in the order of the signals."""
-    all_ = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("x")) for k, v in signals().items()])
+    all_ = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"x_{k}").alias("x")) for keys in signal_names().values() for k in keys])
     names = lambda test: F.transform(F.filter("_signals", test), lambda s: s["name"])
     return rows.withColumn("_signals", all_).select(
         "instrument_id", names(lambda s: s["x"] >= 0.5).alias("positive"), names(lambda s: s["x"] < 0.5).alias("negative"), names(lambda s: s["x"].isNull()).alias("missing")
     )
 
 
-def reversal_score() -> Column:
-    """Needs 30 bars: RSI turn, reclaim of the 20-day mean, weak half-year turning, off the low, calmer fall."""
+def with_reversal(rows: DataFrame) -> DataFrame:
+    """reversal_score, from 30 bars on: RSI turn, reclaim of the 20-day mean, weak half-year turning, off the low, calmer fall."""
     turn = clamp01(0.5 + (F.col("rsi14") - F.col("rsi14_10_ago")) / 20)
     bounce = F.when((F.col("rsi14_10_ago") < 40) & (F.col("rsi14") < 60), 0.2).otherwise(0.0)
     off = F.col("from_low")
-    parts = [
-        clamp01(turn + bounce), clamp01(0.5 + (F.col("last_close") / F.col("sma20") - 1) / 0.10), F.when(F.col("ret126") < 0, clamp01(F.col("ret21") / 0.10)),
-        F.when(off <= 0.15, clamp01(off / 0.15)).otherwise(clamp01(1 - (off - 0.15) / 0.35)), F.when(F.col("drawdown60") > 0, clamp01(1 - F.col("drawdown20") / F.col("drawdown60"))),
-    ]
-    return F.when(F.col("n_bars") >= LEAST_BARS, 100 * mean_known(*parts))
+    out = mean_score(
+        rows, "reversal_score", turn + bounce, 0.5 + (F.col("last_close") / F.col("sma20") - 1) / 0.10, F.when(F.col("ret126") < 0, F.col("ret21") / 0.10),
+        F.when(off <= 0.15, off / 0.15).otherwise(1 - (off - 0.15) / 0.35), F.when(F.col("drawdown60") > 0, 1 - F.col("drawdown20") / F.col("drawdown60")),
+    )
+    return out.withColumn("reversal_score", F.when(F.col("n_bars") >= LEAST_BARS, F.col("reversal_score")))
 
 
-def price_value_score() -> Column:
+def with_price_value(rows: DataFrame) -> DataFrame:
+    """price_value: far from the high, low in the range, below the long mean, oversold; 50 without any."""
     discount = F.when(F.col("sma200") > 0, 1 - F.col("last_close") / F.col("sma200"))
-    parts = [clamp01(F.col("from_high") / 0.4), clamp01(1 - F.col("range_position")), clamp01(0.5 + discount / 0.4), clamp01((70 - F.col("rsi14")) / 40)]
-    return F.coalesce(100 * mean_known(*parts), F.lit(50.0))
-
-
-def fundamental_value_score() -> Column:
-    pe, pb, g, dy = (F.col(c) for c in ("trailing_pe", "price_to_book", "earnings_growth", "dividend_yield"))
-    parts = [
-        F.when(pe > 0, clamp01(1 / pe / 0.10)), F.when(pb > 0, clamp01(1 - (pb - 1) / 4)), F.when((pe > 0) & (pb > 0), clamp01((1 - F.sqrt(pe * pb / 22.5)) / 0.5)),
-        F.when((pe > 0) & (g > 0), clamp01((2 - pe / (100 * g)) / 1.5)), F.when(dy >= 0, clamp01(dy / 0.04)),
-    ]
-    return 100 * mean_known(*parts)
+    out = mean_score(rows, "price_value", F.col("from_high") / 0.4, 1 - F.col("range_position"), 0.5 + discount / 0.4, (70 - F.col("rsi14")) / 40)
+    return out.withColumn("price_value", F.coalesce("price_value", F.lit(50.0)))
 
 
-def fundamental_quality_score() -> Column:
-    pe, m, g, d = (F.col(c) for c in ("trailing_pe", "profit_margin", "revenue_growth", "debt_to_equity"))
-    return 100 * mean_known(F.when(pe > 0, clamp01(1 - (pe - 10) / 30)), clamp01(m / 0.30), clamp01(0.5 + g / 0.4), clamp01(1 - d / 200))
+def with_fundamental_scores(rows: DataFrame) -> DataFrame:
+    """fundamental_value and fundamental_quality, NULL without a known part."""
+    pe, pb, g, dy, m, rg, debt = (F.col(c) for c in ("trailing_pe", "price_to_book", "earnings_growth", "dividend_yield", "profit_margin", "revenue_growth", "debt_to_equity"))
+    out = mean_score(
+        rows, "fundamental_value", F.when(pe > 0, 1 / pe / 0.10), F.when(pb > 0, 1 - (pb - 1) / 4), F.when((pe > 0) & (pb > 0), (1 - F.sqrt(pe * pb / 22.5)) / 0.5),
+        F.when((pe > 0) & (g > 0), (2 - pe / (100 * g)) / 1.5), F.when(dy >= 0, dy / 0.04),
+    )
+    return mean_score(out, "fundamental_quality", F.when(pe > 0, 1 - (pe - 10) / 30), m / 0.30, 0.5 + rg / 0.4, 1 - debt / 200)
 
 
-def quality_score(fundamental: Column) -> Column:
-    """Mean of the fundamental quality, the risk and the liquidity signals; 50 without any."""
-    return 100 * F.coalesce(mean_known(fundamental / 100, mean_known(*risk_signals().values()), mean_known(*liquidity_signals().values())), F.lit(0.5))
+def with_quality(rows: DataFrame) -> DataFrame:
+    """quality_score: mean of the fundamental quality, the risk and the liquidity signals; 50 without any."""
+    parts = rows.withColumns({"_risk": mean_known(*_x("risk")), "_liquidity": mean_known(*_x("liquidity"))})
+    return parts.withColumn("quality_score", 100 * F.coalesce(mean_known(F.col("fundamental_quality") / 100, F.col("_risk"), F.col("_liquidity")), F.lit(0.5))).drop("_risk", "_liquidity")
 
 
 def blended_value(price: Column, fundamental: Column) -> Column:
@@ -181,13 +204,11 @@ def latest_fundamentals(snapshots: DataFrame, as_of: str) -> DataFrame:
 
 def score_all(ind: DataFrame, instruments: DataFrame, snapshots: DataFrame, as_of: str, insider: DataFrame | None = None) -> DataFrame:
     """The scan: every instrument with enough bars, its factors, final score and class."""
-    rows = core_scores(with_context(ind.where(F.col("n_bars") >= LEAST_BARS), instruments)).join(latest_fundamentals(snapshots, as_of), "instrument_id", "left")
+    rows = with_signals(with_context(ind.where(F.col("n_bars") >= LEAST_BARS), instruments))
+    rows = core_scores(rows).join(latest_fundamentals(snapshots, as_of), "instrument_id", "left")
     rows = rows.join(insider, "instrument_id", "left") if insider is not None else rows.withColumns({"insider_score": F.lit(None).cast("double"), "insider_penalty": F.lit(None).cast("double")})
-    rows = rows.withColumns({
-        "reversal_score": reversal_score(), "price_value": price_value_score(), "fundamental_value": fundamental_value_score(), "fundamental_quality": fundamental_quality_score(),
-        "sector_score": 100 * mean_known(*sector_signals().values()),
-    })
-    rows = rows.withColumns({"quality_score": quality_score(F.col("fundamental_quality")), "value_score": blended_value(F.col("price_value"), F.col("fundamental_value"))})
+    rows = with_quality(with_fundamental_scores(with_price_value(with_reversal(rows))))
+    rows = rows.withColumns({"sector_score": 100 * mean_known(*_x("sector")), "value_score": blended_value(F.col("price_value"), F.col("fundamental_value"))})
     factors = {"core": F.col("core_score"), "value": F.col("value_score"), "reversal": F.col("reversal_score"), "quality": F.col("quality_score"), "sector": F.col("sector_score"), "insider": F.col("insider_score")}
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_ts")) / 86400
     rows = rows.withColumn("final_score", final_score(factors, F.col("fundamental_value"), F.col("insider_penalty")))

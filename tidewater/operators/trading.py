@@ -188,29 +188,36 @@ def time_stops(intents: DataFrame, as_of: str, most_days: int) -> DataFrame:
 def fold_positions(fills: DataFrame, start_cash: float) -> DataFrame:
     """Positions and cash of each account after its fills in order: average cost, no short, no debt.
 
-    The running cash ties an account's instruments together, so the group is the account; an account's
-    fills are a ledger that one person or robot makes and fit a task.
+    The running cash ties an account's instruments together, so accounts are dealt to tasks, sorted, and
+    folded row by row; a task holds one account's positions at a time, not its fills.
     """
     import pandas as pd
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "fill_id"], kind="stable")
-        cash, held, cost, rejected = start_cash, {}, {}, 0
-        for i, side, n, p in zip(frame["instrument_id"], frame["side"], frame["quantity"], frame["price"], strict=True):
-            have = held.get(i, 0.0)
-            if side == "BUY" and n * p <= cash:
-                cash -= n * p
-                cost[i] = (have * cost.get(i, 0.0) + n * p) / (have + n)
-                held[i] = have + n
-            elif side == "SELL" and n <= have:
-                cash += n * p
-                held[i] = have - n
-            else:
-                rejected += 1
-        account = frame["account"].iloc[0]
-        return pd.DataFrame([(account, i, held[i], cost[i], cash, rejected) for i in sorted(held)], columns=["account", "instrument_id", "quantity", "average_price", "cash", "rejected"])
-
-    return fills.groupBy("account").applyInPandas(fold, "account long, instrument_id long, quantity double, average_price double, cash double, rejected long")
+    names = ["account", "instrument_id", "quantity", "average_price", "cash", "rejected"]
+
+    def fold(frames):
+        account, cash, held, cost, rejected = None, start_cash, {}, {}, 0
+        for frame in frames:
+            done = []
+            for who, i, side, n, p in frame[["account", "instrument_id", "side", "quantity", "price"]].itertuples(index=False):
+                if who != account:
+                    done += [(account, k, held[k], cost[k], cash, rejected) for k in sorted(held)]
+                    account, cash, held, cost, rejected = who, start_cash, {}, {}, 0
+                have = held.get(i, 0.0)
+                if side == "BUY" and n * p <= cash:
+                    cash -= n * p
+                    cost[i] = (have * cost.get(i, 0.0) + n * p) / (have + n)
+                    held[i] = have + n
+                elif side == "SELL" and 0 < n <= have:
+                    cash += n * p
+                    held[i] = have - n
+                else:
+                    rejected += 1
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame([(account, k, held[k], cost[k], cash, rejected) for k in sorted(held)], columns=names)
+
+    ordered = fills.repartition("account").sortWithinPartitions("account", "ts", "fill_id")
+    return ordered.mapInPandas(fold, "account long, instrument_id long, quantity double, average_price double, cash double, rejected long")
 
 
 def newest_result(results: DataFrame, order: str = "created_at") -> DataFrame:

@@ -367,8 +367,8 @@ for _name, _cat in {"c2_trend_signals": "trend", "c3_momentum_signals": "momentu
     @query(_name, _SCORES_CTE + " SELECT instrument_id, " + ", ".join(f"round({v}, 6) AS x_{k}" for k, v in SIGNAL_SQL[_cat].items()) + " FROM ctx")
     def _(spark, d, cat=_cat):
         ind = indicators.indicators(fx.candles(spark, d), 300)
-        rows = scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d))
-        return rounded(rows.select("instrument_id", *[v.alias(f"x_{k}") for k, v in scoring.CATEGORIES[cat]().items()]))
+        rows = scoring.with_signals(scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d)), cat)
+        return rounded(rows.select("instrument_id", *[f"x_{k}" for k in scoring.signal_names()[cat]]))
 
 
 _ALL = [(k, v) for s in SIGNAL_SQL.values() for k, v in s.items()]
@@ -378,7 +378,7 @@ _LIST = lambda test: "array_to_string([p.name FOR p IN [" + ", ".join(f"{{'name'
 @query("c9_signal_lists", _SCORES_CTE + f" SELECT instrument_id, {_LIST('p.x >= 0.5')} AS positive, {_LIST('p.x < 0.5')} AS negative, {_LIST('p.x IS NULL')} AS missing FROM ctx")
 def _(spark, d):
     ind = indicators.indicators(fx.candles(spark, d), 300)
-    lists = scoring.signal_lists(scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d)))
+    lists = scoring.signal_lists(scoring.with_signals(scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d))))
     return lists.select("instrument_id", *[F.concat_ws(",", c).alias(c) for c in ("positive", "negative", "missing")])
 
 
