@@ -13,10 +13,13 @@ from ..sources.fixtures import AS_OF, with_tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-QUALITY = F.when(F.col("volume") < 10, "SUSPECT").otherwise("OK")
 QUALITY_SQL = "CASE WHEN volume < 10 THEN 'SUSPECT' ELSE 'OK' END"
 
 
+def quality():
+    return F.when(F.col("volume") < 10, "SUSPECT").otherwise("OK")
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -81,7 +84,7 @@ def _(spark, d):
 
 @query("s7_mark_stale", with_tables("candles") + f"SELECT instrument_id, ts, CASE WHEN ts < TIMESTAMP '1997-01-01' AND {QUALITY_SQL} = 'OK' THEN 'STALE' ELSE {QUALITY_SQL} END AS quality FROM candles")
 def _(spark, d):
-    return bars.mark_stale(fx.candles(spark, d).select("instrument_id", "ts", QUALITY.alias("quality")), "1997-01-01")
+    return bars.mark_stale(fx.candles(spark, d).select("instrument_id", "ts", quality().alias("quality")), "1997-01-01")
 
 
 @query("s21_chart_export", with_tables("candles") + "SELECT instrument_id, ts, open, high, low, close, volume FROM candles QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) <= 20")
@@ -115,7 +118,7 @@ def _(spark, d):
     SELECT instrument_id, count(*) AS n_bars, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE {QUALITY_SQL} <> 'OK') AS not_ok,
            CAST(epoch(TIMESTAMP '2001-11-05') - epoch(max(ts)) AS BIGINT) AS age_seconds FROM candles GROUP BY instrument_id""")
 def _(spark, d):
-    return bars.coverage(fx.candles(spark, d).withColumn("quality", QUALITY), AS_OF)
+    return bars.coverage(fx.candles(spark, d).withColumn("quality", quality()), AS_OF)
 
 
 _FRESH = with_tables("candles") + f""", q AS (SELECT instrument_id, max(ts) AS last_ts, arg_max({QUALITY_SQL}, ts) AS quality FROM candles WHERE instrument_id % 10 <> 3 GROUP BY instrument_id),
@@ -124,7 +127,7 @@ _FRESH = with_tables("candles") + f""", q AS (SELECT instrument_id, max(ts) AS l
 
 
 def _freshness(spark, d):
-    own = fx.candles(spark, d).where("instrument_id % 10 <> 3").withColumn("quality", QUALITY)
+    own = fx.candles(spark, d).where("instrument_id % 10 <> 3").withColumn("quality", quality())
     return bars.freshness(fx.instruments(spark, d), own, AS_OF, 5)
 
 
