@@ -280,6 +280,13 @@ for _name, _align, _on in (("i22_rolling_correlation", "position", "a.rn = b.rn"
         return rounded(indicators.correlation(c, c.where("instrument_id = 0"), 120, align))
 
 
+@query("w8_positional_tail", with_tables("candles") + """, t AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) AS rn FROM candles QUALIFY rn <= 21),
+    q AS (SELECT instrument_id, ts, rn, close / lag(close) OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS ret FROM t) SELECT instrument_id, ts, rn::INTEGER AS nth, round(ret, 6) AS ret FROM q WHERE rn <= 20""")
+def _(spark, d):
+    rows = bars.newest_first(indicators.daily_returns(fx.candles(spark, d), 21))
+    return rounded(rows.where("rn <= 20").select("instrument_id", "ts", F.col("rn").alias("nth"), "ret"))
+
+
 @query("i23_preferred_close", with_tables("candles") + """, t AS (SELECT *, CASE WHEN instrument_id % 2 = 0 OR volume >= 10 THEN close * 0.5 END AS adj, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) AS rn FROM candles QUALIFY rn <= 300)
     SELECT instrument_id, ts, CASE WHEN count(adj) OVER (PARTITION BY instrument_id) = count(*) OVER (PARTITION BY instrument_id) THEN adj ELSE close END AS preferred FROM t""")
 def _(spark, d):
