@@ -210,9 +210,9 @@ def _(spark, d):
     return lifecycle.blocking_halts(state, fx.instruments(spark, d).select("instrument_id"))
 
 
-@query("p9_audit_listing", "SELECT event_id, ts FROM events WHERE event_type = 'error' AND user_id < 500 ORDER BY ts DESC, event_id DESC LIMIT 30")
+@query("p9_audit_listing", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 30")
 def _(spark, d):
-    e = fx.read(spark, d, "events").where("event_type = 'error' AND user_id < 500").select("event_id", "ts")
+    e = fx.read(spark, d, "events").where("event_type = 'error'").select("event_id", "ts")
     return selection.page(e, [F.col("ts").desc(), F.col("event_id").desc()], 30)
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as nm
 from ..sources import fixtures as fx
 from ..sources import readers
 from ..sources.fixtures import with_tables
-from .market import rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -125,10 +123,10 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.accession(url).alias("accession"))
 
 
-@query("f16_value_usd", "SELECT l_orderkey, l_linenumber, round_even(CAST(l_quantity AS DECIMAL(20,4)) * CAST(l_discount AS DECIMAL(18,6)) / 1, 2)::DOUBLE AS value_usd FROM lineitem WHERE l_orderkey < 500")
+@query("f16_value_usd", "SELECT l_orderkey, l_linenumber, round_even(CAST(l_quantity AS DECIMAL(20,4)) * CAST(l_discount AS DECIMAL(18,6)) / 1, 2)::DOUBLE AS value_usd FROM lineitem")
 def _(spark, d):
     v = F.bround(F.col("l_quantity").cast("decimal(20,4)") * F.col("l_discount").cast("decimal(18,6)"), 2)
-    return fx.read(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", v.cast("double").alias("value_usd"))
+    return fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.cast("double").alias("value_usd"))
 
 
 @query("f18_spread_and_fields", with_tables("fundamentals") + """ SELECT instrument_id, as_of, (trailing_pe IS NOT NULL)::INTEGER + (price_to_book IS NOT NULL)::INTEGER + (profit_margin IS NOT NULL)::INTEGER + (revenue_growth IS NOT NULL)::INTEGER
@@ -176,9 +174,9 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.order_problem(_pick("o_orderkey", "market", "market", "limit", "stop"), q, none, none).alias("problem"))
 
 
-@query("f28_explanations", "SELECT l_orderkey, l_linenumber, printf('%+.1f%%', (l_discount - 0.05) * 100) AS text FROM lineitem WHERE l_orderkey < 500")
+@query("f28_explanations", "SELECT l_orderkey, l_linenumber, printf('%+.1f%%', (l_discount - 0.05) * 100) AS text FROM lineitem")
 def _(spark, d):
-    return fx.read(spark, d, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", nm.signed_percent(F.col("l_discount") - 0.05).alias("text"))
+    return fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", nm.signed_percent(F.col("l_discount") - 0.05).alias("text"))
 
 
 @query("f30_broker_vocabularies", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'filled', 'pending', 'unknown', 'cancelled', 'rejected')} AS status FROM orders")
@@ -207,12 +205,13 @@ def _(spark, d):
     return readers.wide_frame(wide(spark, d), unit="GBX")
 
 
-@query("s9_multi_symbol_split", with_tables("candles") + " SELECT 'S' || instrument_id AS symbol, ts, open, close FROM candles WHERE instrument_id < 5 AND ts >= TIMESTAMP '2001-01-01'")
+@query("s9_multi_symbol_split", with_tables("candles") + " SELECT CAST(floor(instrument_id / 50) AS BIGINT) AS chunk, 'S' || instrument_id % 50 AS symbol, ts, open, close FROM candles")
 def _(spark, d):
-    long = fx.candles(spark, d).where("instrument_id < 5 AND ts >= TIMESTAMP '2001-01-01'")
-    cells = long.select("ts", F.explode(F.array(*[F.struct(F.concat(F.lit("S"), F.col("instrument_id").cast("string"), F.lit(f"|{f}")).alias("k"), F.col(f.lower()).alias("v")) for f in ("Open", "Close")])).alias("c"))
-    names = [f"S{i}|{f}" for i in range(5) for f in ("Open", "Close")]
-    return readers.split_symbols(cells.groupBy("ts").pivot("c.k", names).agg(F.first("c.v")), ["Open", "Close"])
+    # a vendor's frame holds fifty symbols as columns; each chunk of fifty instruments is one such frame
+    long = fx.candles(spark, d).select(F.floor(F.col("instrument_id") / 50).alias("chunk"), "ts", (F.col("instrument_id") % 50).alias("slot"), "open", "close")
+    names = [f"S{i}|{f}" for i in range(50) for f in ("Open", "Close")]
+    cells = [F.max(F.when(F.col("slot") == i, F.col(f.lower()))).alias(f"S{i}|{f}") for i in range(50) for f in ("Open", "Close")]
+    return readers.split_symbols(long.groupBy("chunk", "ts").agg(*cells).select("chunk", "ts", *[F.col(f"`{n}`") for n in names]), ["Open", "Close"], ["chunk", "ts"])
 
 
 @query("s10_json_series", "SELECT event_type AS symbol, ts, value AS close FROM events WHERE event_id % 10 <> 3 AND event_type <> 'error'")
@@ -276,14 +275,14 @@ def _(spark, d):
 _DIFF = ("+| [ACME](http://x) | CEO | $2,500,000 |", "-| [OLD](http://y) | CFO | $9,000,000 |", "+|---|---|---|", "+| [BETA](http://z) | VP | $3,000,000 |", "+| [CEE](http://w) | Chief Technology Officer [bio](http://b) | $1,000,000 |")
 
 
-@query("s16_markdown_diff", "SELECT o_orderkey, [0, 2, 3, 4][i] AS line_no, ['ACME', 'BETA', 'CEE'][i] AS company, ['CEO', 'VP', 'Chief Technology Officer'][i] AS role, [2500000, 3000000, 1000000][i]::DOUBLE AS amount FROM orders, (VALUES (1), (2), (3)) v(i) WHERE o_orderkey < 200".replace("[0, 2, 3, 4][i] AS line_no", "[0, 3, 4][i]::INTEGER AS line_no"))
+@query("s16_markdown_diff", "SELECT o_orderkey, [0, 2, 3, 4][i] AS line_no, ['ACME', 'BETA', 'CEE'][i] AS company, ['CEO', 'VP', 'Chief Technology Officer'][i] AS role, [2500000, 3000000, 1000000][i]::DOUBLE AS amount FROM orders, (VALUES (1), (2), (3)) v(i)".replace("[0, 2, 3, 4][i] AS line_no", "[0, 3, 4][i]::INTEGER AS line_no"))
 def _(spark, d):
-    return readers.diff_rows(orders(spark, d).where("o_orderkey < 200").select("o_orderkey", F.lit("\n".join(_DIFF)).alias("diff")))
+    return readers.diff_rows(orders(spark, d).select("o_orderkey", F.lit("\n".join(_DIFF)).alias("diff")))
 
 
-@query("f26_insider_gate", "SELECT o_orderkey, 'ACME' AS company FROM orders WHERE o_orderkey < 200")
+@query("f26_insider_gate", "SELECT o_orderkey, 'ACME' AS company FROM orders")
 def _(spark, d):
-    rows = readers.diff_rows(orders(spark, d).where("o_orderkey < 200").select("o_orderkey", F.lit("\n".join(_DIFF)).alias("diff")))
+    rows = readers.diff_rows(orders(spark, d).select("o_orderkey", F.lit("\n".join(_DIFF)).alias("diff")))
     return rows.where(nm.is_c_suite(F.col("role")) & (F.col("amount") > 1_000_000)).select("o_orderkey", "company")
 
 
@@ -324,5 +323,3 @@ def _(spark, d):
     out = F.when(~interval.isin("1m", "5m", "15m", "1h", "4h"), "not an intraday interval").when(~ok, "provider does not serve it").otherwise("requested")
     return fx.read(spark, d, "events").select("event_type", out.alias("outcome")).distinct()
 
-
-_ = (Window, rounded)

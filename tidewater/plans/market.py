@@ -160,9 +160,9 @@ def _(spark, d):
     return bars.gaps(fx.candles(spark, d), schedule)
 
 
-@query("w3_recency_rank", with_tables("candles") + "SELECT instrument_id, ts, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC)::INTEGER AS rn FROM candles QUALIFY rn <= 5")
+@query("w3_recency_rank", with_tables("candles") + "SELECT instrument_id, ts, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC)::INTEGER AS rn FROM candles")
 def _(spark, d):
-    return bars.newest_first(fx.candles(spark, d), 5).select("instrument_id", "ts", "rn")
+    return bars.newest_first(fx.candles(spark, d)).select("instrument_id", "ts", "rn")
 
 
 def breadth(spark: SparkSession, d: str) -> DataFrame:
@@ -306,9 +306,9 @@ def _(spark, d):
     return rounded(ind.select("instrument_id", (F.col("sma50") > F.col("sma200")).alias("golden"), (F.col("last_close") / F.col("sma200") - 1).alias("distance")))
 
 
-@query("w6_running_peak", with_tables("candles") + LOADED + " SELECT instrument_id, ts, peak252 AS peak FROM r WHERE rn <= 30")
+@query("w6_running_peak", with_tables("candles") + LOADED + " SELECT instrument_id, ts, peak252 AS peak FROM r")
 def _(spark, d):
-    return indicators.loaded(fx.candles(spark, d)).where("rn <= 30").select("instrument_id", "ts", F.col("peak252").alias("peak"))
+    return indicators.loaded(fx.candles(spark, d)).select("instrument_id", "ts", F.col("peak252").alias("peak"))
 
 
 # --- scores -----------------------------------------------------------------------------------------------

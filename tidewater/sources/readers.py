@@ -16,13 +16,12 @@ def wide_frame(frame: DataFrame, unit: str = "USD") -> DataFrame:
     return rows.dropna(subset=["open", "high", "low", "close"]).where(coherent())
 
 
-def split_symbols(frame: DataFrame, fields: list[str]) -> DataFrame:
-    """Columns named ``symbol|field`` to one row a symbol and time; symbols without values give none."""
-    cells = [c for c in frame.columns if "|" in c]
-    long = frame.unpivot(["ts"], cells, "cell", "value").where("value IS NOT NULL")
-    part = F.split("cell", r"\|")
-    by = long.select("ts", part[0].alias("symbol"), part[1].alias("field"), "value").groupBy("symbol", "ts")
-    return by.pivot("field", fields).agg(F.first("value")).select("symbol", "ts", *[F.col(f).alias(f.lower()) for f in fields])
+def split_symbols(frame: DataFrame, fields: list[str], key: list[str]) -> DataFrame:
+    """Columns named ``symbol|field`` to one row a symbol and key; symbols without values give none."""
+    symbols = dict.fromkeys(c.split("|")[0] for c in frame.columns if "|" in c)
+    cell = lambda s: F.struct(F.lit(s).alias("symbol"), *[F.col(f"`{s}|{f}`").alias(f.lower()) for f in fields])
+    rows = frame.select(*key, F.explode(F.array(*map(cell, symbols))).alias("x")).select(*key, "x.*")
+    return rows.dropna("all", subset=[f.lower() for f in fields])
 
 
 SERIES = "status string, meta struct<symbol: string>, values array<struct<datetime: string, close: string>>"
