@@ -1,7 +1,8 @@
 """Structured Streaming jobs over the same batch operators.
 
-A stored table is a folder of versions: a micro-batch writes the next version and then names it in a
-one-row ``current`` table, so a batch that is run again replaces its own version and readers see whole ones.
+A stored table is cut by a partition rule (candles: the year). A micro-batch reads and writes only the
+partitions that it touches, as files of its own version, and then names them in the ``current`` table; a
+batch that is run again replaces its own version, and readers see whole ones.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -17,25 +18,36 @@ from ..operators import bars
 from ..sources.readers import validate
 
 
-def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version of a stored table; empty before the first."""
+def _versions(spark: SparkSession, path: str) -> dict[str, int]:
+    """The current version of each partition: as many entries as the table has partitions."""
+    rows = spark.read.schema("part string, version long").option("ignoreMissingFiles", "true")
     try:
-        n = spark.read.schema("version long").parquet(f"{path}/current").agg(F.max("version")).first()[0]
+        return {r["part"]: r["v"] for r in rows.parquet(f"{path}/current").groupBy("part").agg(F.max("version").alias("v")).collect()}
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        n = None
-    return spark.createDataFrame([], schema) if n is None else spark.read.schema(schema).parquet(f"{path}/v{n}")
+        return {}
 
 
-def upsert_into(path: str, schema: str, key: list[str], prepare: Callable[[DataFrame], DataFrame], first_wins: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
+def read_current(spark: SparkSession, path: str, schema: str, parts: set[str] | None = None) -> DataFrame:
+    """The newest version of a stored table, or of some of its partitions; empty before the first."""
+    files = [f"{path}/v{v}/part={p}" for p, v in _versions(spark, path).items() if parts is None or p in parts]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def upsert_into(path: str, schema: str, key: list[str], part: Column, prepare: Callable[[DataFrame], DataFrame], first_wins: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: prepared rows replace stored ones of their key; a replay changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = bars.upsert(read_current(spark, path, schema), prepare(batch), first_wins, key)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.range(number, number + 1).select(F.col("id").alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/current")
+        rows = prepare(batch)
+        touched = {r["part"] for r in rows.select(part.alias("part")).distinct().collect()}
+        if not touched:
+            return
+        merged = bars.upsert(read_current(spark, path, schema, touched), rows, first_wins, key)
+        merged.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
+        named = spark.createDataFrame([(p, number) for p in sorted(touched)], "part string, version long")
+        named.coalesce(1).write.mode("append").parquet(f"{path}/current")
 
     return write
 
@@ -59,7 +71,7 @@ def ingest_candles(spark: SparkSession, source: str, path: str, checkpoint: str,
         return bars.purge_unclosed(rows, as_of) if as_of else rows
 
     stream = spark.readStream.schema(CANDLES).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-    sink = upsert_into(path, CANDLES, ["instrument_id", "ts"], prepare, ("currency",))
+    sink = upsert_into(path, CANDLES, ["instrument_id", "ts"], F.date_format("ts", "yyyy"), prepare, ("currency",))
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
