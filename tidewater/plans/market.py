@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, indicators, scoring
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF, with_tables
+from ..sources.scratch import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -356,8 +357,13 @@ SCORES_CTE = INDICATORS_CTE + f""",
 _SCORES_CTE = with_tables("candles", "instruments", "fundamentals") + SCORES_CTE.replace("""    fund AS (SELECT instrument_id, arg_max(trailing_pe, as_of) FILTER (WHERE true) AS x FROM fundamentals GROUP BY instrument_id),\n""", "")
 
 
+def indicator_table(spark: SparkSession, d: str) -> DataFrame:
+    """All indicators, stored: a row an instrument, read three times by the scan (itself, proxies, benchmark)."""
+    return stored(indicators.indicators(fx.candles(spark, d), 300), "indicators")
+
+
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    ind = indicators.indicators(fx.candles(spark, d), 300)
+    ind = indicator_table(spark, d)
     return scoring.score_all(ind, fx.instruments(spark, d), fx.fundamentals(spark, d), AS_OF)
 
 
@@ -376,7 +382,7 @@ for _name, _cat in {"c2_trend_signals": "trend", "c3_momentum_signals": "momentu
 
     @query(_name, _SCORES_CTE + " SELECT instrument_id, " + ", ".join(f"round({v}, 6) AS x_{k}" for k, v in SIGNAL_SQL[_cat].items()) + " FROM ctx")
     def _(spark, d, cat=_cat):
-        ind = indicators.indicators(fx.candles(spark, d), 300)
+        ind = indicator_table(spark, d)
         rows = scoring.with_signals(scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d)), cat)
         return rounded(rows.select("instrument_id", *[f"x_{k}" for k in scoring.signal_names()[cat]]))
 
@@ -387,7 +393,7 @@ _LIST = lambda test: "array_to_string([p.name FOR p IN [" + ", ".join(f"{{'name'
 
 @query("c9_signal_lists", _SCORES_CTE + f" SELECT instrument_id, {_LIST('p.x >= 0.5')} AS positive, {_LIST('p.x < 0.5')} AS negative, {_LIST('p.x IS NULL')} AS missing FROM ctx")
 def _(spark, d):
-    ind = indicators.indicators(fx.candles(spark, d), 300)
+    ind = indicator_table(spark, d)
     lists = scoring.signal_lists(scoring.with_signals(scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d))))
     return lists.select("instrument_id", *[F.concat_ws(",", c).alias(c) for c in ("positive", "negative", "missing")])
 
