@@ -4,7 +4,8 @@ Two equal strings of ``length`` bytes have, at the same offset, the same smalles
 length); so only the suffixes that start at such anchors are sorted, about one in fifty. Leading token
 of a suffix is the hash of its gram; second token the hash of its span: all ``length``-byte windows that
 share the anchor. Spark's sampled splitters range-partition the suffixes by these tokens; a partition
-sorts them and compares neighbours, and what stands at its ends is compared across the boundary.
+is sorted by the leading token in Spark and its ties by multikey quicksort, neighbours are compared, and
+what stands at its ends is compared across the boundary.
 Suffixes with both tokens in common repeat as a whole. Where only the leading token is shared, the
 single windows of the span become suffixes of their own and are sorted the same way.
 """
@@ -150,35 +151,56 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, ROW)
 
 
-def _classify(g: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Of sorted suffixes in whole groups: "r" repeats as a whole; "o" shares only the leading token;
-    "ro" repeats, and stands for the spans equal to it beside others with its leading token."""
+def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by their tokens: a quicksort by the first, then, only among ties, by the next."""
+    order = np.argsort(tokens[0], kind="stable")
+    tied = np.zeros(max(0, len(order) - 1), bool)
+    for depth, token in enumerate(tokens):
+        if depth:
+            near = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
+            run = np.cumsum(np.concatenate(([True], ~tied)))[near]
+            order[near] = order[near][np.lexsort((token[order[near]], run))]
+        same = token[order[1:]] == token[order[:-1]]
+        tied = same if not depth else tied & same
+        if not tied.any():
+            break
+    return order
+
+
+def _classify(g: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of sorted suffixes if their groups are whole, and if the groups may go on elsewhere.
+
+    Whole: "r" repeats; "o" shares only the leading token; "ro" repeats, and stands for the spans equal to
+    it beside others with its leading token. Elsewhere: "r" repeats; "e" is yet alone; "re" repeats, and
+    stands for the spans equal to it.
+    """
     new_g = np.concatenate(([True], g[1:] != g[:-1]))
     new_s = new_g | np.concatenate(([True], s[1:] != s[:-1]))
     group, span = np.cumsum(new_g) - 1, np.cumsum(new_s) - 1
     size, spans = np.bincount(span)[span], np.bincount(group, new_s)[group]
-    kind = np.full(len(g), "", dtype="U2")
-    kind[size > 1] = "r"
-    kind[(spans > 1) & (size == 1)] = "o"
-    kind[(spans > 1) & (size > 1) & new_s] = "ro"
-    return kind
+    edge = np.where(size == 1, "e", np.where(new_s, "re", "r")).astype("U2")
+    whole = np.where(size > 1, np.where((spans > 1) & new_s, "ro", "r"), np.where(spans > 1, "o", "")).astype("U2")
+    return whole, edge
 
 
 def _neighbours(batches: Iterator) -> Iterator:
-    """Compare the neighbours of one sorted partition; suffixes that are like no neighbour are left out.
+    """Sort the ties of one partition, which comes in order of the leading token, and compare neighbours.
+
+    Suffixes that are like no neighbour are left out.
 
-    The first and the last group may go on in the partition before or after: they get kind "e", and so
-    does a group of more than HELD rows, so that no group is held whole.
+    The first and the last group may go on in the partition before or after: they get the kinds "e" and
+    "re", and so does a group of more than HELD rows, so that no group is held whole.
     """
     rest, first, flushed = None, None, None
 
-    def out(batch: pa.RecordBatch, kind: np.ndarray | None = None) -> pa.RecordBatch:
+    def out(batch: pa.RecordBatch, at_edge: bool = False) -> pa.RecordBatch:
         g, s = (batch.column(k).to_numpy() for k in (0, 1))
-        if kind is None:
-            kind = _classify(g, s)
-            kind[(g == first) | (g == flushed if flushed is not None else False)] = "e"
+        order = multikey_order([g, s])
+        g, s, batch = g[order], s[order], batch.take(pa.array(order))
+        whole, edge = _classify(g, s)
+        kind = edge if at_edge else np.where((g == first) | (g == flushed if flushed is not None else False), edge, whole)
         keep = np.flatnonzero(kind != "")
-        edge = kind[keep] == "e"
+        edge = (kind[keep] == "e") | (kind[keep] == "re")
         tokens = [pa.array(np.where(edge, x[keep], 0)) for x in (g, s)]
         others = [batch.column(k).take(pa.array(keep)) for k in range(2, 6)]
         return pa.RecordBatch.from_arrays([*tokens, *others, pa.array(kind[keep].astype(object), pa.string())], names=[*_NAMES, "kind"])
@@ -197,25 +219,26 @@ def _neighbours(batches: Iterator) -> Iterator:
         rest = batch.slice(cut)
         if rest.num_rows > HELD:
             flushed = g[-1]
-            yield out(rest, np.full(rest.num_rows, "e", dtype="U2"))
+            yield out(rest, at_edge=True)
             rest = None
     if rest is not None:
-        yield out(rest, np.full(rest.num_rows, "e", dtype="U2"))
+        yield out(rest, at_edge=True)
 
 
 def compare_suffixes(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repeated, open): suffixes that repeat as a whole, and those whose single windows are to be compared."""
     tokens = ["g", "s", "id", "p"]
-    done = table(suffixes.repartitionByRange(*tokens).sortWithinPartitions(*tokens).mapInArrow(_neighbours, ROW + ", kind string"))
-    edge = done.where("kind = 'e'")
-    spans = table(edge.groupBy("g", "s").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("id", "sig", "p")).alias("least")))
+    done = table(suffixes.repartitionByRange(*tokens).sortWithinPartitions("g").mapInArrow(_neighbours, ROW + ", kind string"))
+    edge = done.where("kind IN ('e', 're')")
+    again = (F.count(F.lit(1)) > 1) | F.bool_or(F.col("kind") == "re")
+    spans = table(edge.groupBy("g", "s").agg(again.alias("again"), F.min(F.struct("id", "sig", "p")).alias("least")))
     groups = table(spans.groupBy("g").agg(F.count(F.lit(1)).alias("spans")))
     stats = table(spans.join(lookup(groups, groups.count()), "g"))
-    settled = table(edge.join(lookup(stats, stats.count()), ["g", "s"]).drop("g", "s", "kind"))
+    settled = table(edge.join(lookup(stats, stats.count()), ["g", "s"]).drop("g", "s"))
     cols = ["id", "sig", "p", "n"]
-    repeated = done.where("kind in ('r', 'ro')").select(*cols).unionByName(settled.where("same > 1").select(*cols))
-    stands = (F.col("spans") > 1) & ((F.col("same") == 1) | F.struct("id", "sig", "p").eqNullSafe(F.col("least")))
-    return repeated, done.where("kind in ('o', 'ro')").select(*cols).unionByName(settled.where(stands).select(*cols))
+    repeated = done.where("kind IN ('r', 'ro', 're')").select(*cols).unionByName(settled.where("again AND kind = 'e'").select(*cols))
+    stands = (F.col("spans") > 1) & F.struct("id", "sig", "p").eqNullSafe(F.col("least"))
+    return repeated, done.where("kind IN ('o', 'ro')").select(*cols).unionByName(settled.where(stands).select(*cols))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
