@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +66,10 @@ def text_batches(batches: Iterator, most: int = 1 << 21) -> Iterator:
     The batches need a string column ``text``.
     """
     for batch in batches:
-        sizes = np.fromiter((len(x) if x else 0 for x in batch.column("text").to_pylist()), np.int64, batch.num_rows)
-        first, total = 0, 0
-        for i, n in enumerate(sizes):
-            if i > first and total + n > most:
-                yield batch.slice(first, i - first)
-                first, total = i, 0
-            total += n
-        if first < batch.num_rows:
-            yield batch.slice(first)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            start = upto[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(upto, start + most, "right")))
+            yield batch.slice(first, stop - first)
+            first = stop
