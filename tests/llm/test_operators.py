@@ -167,6 +167,14 @@ def test_remove_repeats(docs, empty, length):
     assert got == want and suffix_dedup.remove_repeats(empty, length=length).count() == 0
 
 
+def test_multikey_order_sorts_by_all_tokens():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 500):
+        tokens = [rng.integers(0, k, n) for k in (3, 4, 50)]
+        rows = list(zip(*tokens, strict=True))
+        assert [rows[i] for i in suffix_dedup.multikey_order(tokens)] == sorted(rows)
+
+
 def test_remove_repeats_with_one_hot_string(spark):
     rng = np.random.default_rng(3)
     noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
