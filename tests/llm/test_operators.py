@@ -142,10 +142,11 @@ def test_main_text(spark):
     rows = [(i, "https://a.example/p", page(i)) for i in range(6)]
     rows += [(7, None, None), (8, "https://b.example/", "<article><h1>A</h1><p>b<aside>c</aside></article><p>outside"), (9, "https://b.example/", "plain &lt;text&gt; only")]
     rows += [(9, "https://b.example/", "plain &lt;text&gt; only")]
+    rows += [(10, "https://c.example/", "<body><div class=header>Site</div><article><div class=entry-header><h1>T</h1></div><p>x</p><ul class='share-links'><li>tweet</li></ul></article></body>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
     got = sorted((r["page_id"], r["text"]) for r in html_text.extract_main_text(table, F.col("page_id")).collect())
     assert got[:6] == [(i, f"Head {i} Text & more {i} open {i} bold end line") for i in range(6)]
-    assert got[6:] == [(7, ""), (8, "A b"), (9, "plain <text> only"), (9, "plain <text> only")]
+    assert got[6:] == [(7, ""), (8, "A b"), (9, "plain <text> only"), (9, "plain <text> only"), (10, "T x")]
     assert html_text.extract_main_text(table.limit(0), F.col("page_id")).count() == 0
 
 

@@ -135,7 +135,8 @@ def is_template_element(node: Node, in_article: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    return any(w in NOT_ARTICLE for name in ("class", "id", "role") for w in _WORDS.findall(attrs.get(name, "")))
+    words = {w for name in ("class", "id", "role") for w in _WORDS.findall(attrs.get(name, ""))}
+    return bool(words & NOT_ARTICLE - ({"header"} if in_article else set()))
 
 
 def main_text(page: str | None, template: set[int]) -> str:
