@@ -101,11 +101,20 @@ def _x(category: str) -> list[Column]:
     return [F.col(f"x_{k}") for k in signal_names()[category]]
 
 
-def mean_score(rows: DataFrame, name: str, *parts: Column) -> DataFrame:
-    """Add ``name``: 100 x the mean of the known parts, each held to 0..1."""
-    cols = [f"{name}_{i}" for i in range(len(parts))]
-    out = _clamped(rows, dict(zip(cols, parts, strict=True)))
-    return out.withColumn(name, 100 * mean_known(*map(F.col, cols))).drop(*cols)
+def with_strengths(rows: DataFrame) -> DataFrame:
+    """Add every signal as ``x_<name>`` and every part of the factor scores as ``<score>_<n>``, all in 0..1."""
+    raw = {f"x_{k}": v for make in CATEGORIES.values() for k, v in make().items()}
+    return _clamped(rows, raw | {f"{name}_{i}": part for name, make in PARTS.items() for i, part in enumerate(make())})
+
+
+@cache
+def part_names() -> dict[str, tuple[str, ...]]:
+    return {name: tuple(f"{name}_{i}" for i in range(len(make()))) for name, make in PARTS.items()}
+
+
+def part_mean(name: str) -> Column:
+    """100 x the mean of the known parts of a factor score; NULL without any."""
+    return 100 * mean_known(*map(F.col, part_names()[name]))
 
 
 def with_context(ind: DataFrame, instruments: DataFrame, benchmark: int = 0) -> DataFrame:
@@ -124,14 +133,11 @@ def with_context(ind: DataFrame, instruments: DataFrame, benchmark: int = 0) ->
     return out.join(F.broadcast(bench), F.lit(True), "left")
 
 
-def core_scores(rows: DataFrame) -> DataFrame:
-    """Category points, core score, completeness and confidence of rows with signals."""
+def core_columns() -> dict[str, Column]:
+    """Category points and completeness of rows with signals."""
     names = signal_names()
     known = sum((x.isNotNull().cast("int") for name in names for x in _x(name)), F.lit(0))
-    out = rows.withColumns({**{f"{name}_points": category_points(CATEGORY_MAX[name], *_x(name)) for name in names}, "completeness": known / ALL_SIGNALS})
-    core = sum((F.col(f"{name}_points") for name in names), F.lit(0.0))
-    confidence = clamp01(0.5 * F.col("completeness") + 0.5 * clamp01(F.col("n_bars") / float(FULL_HISTORY)))
-    return out.withColumns({"core_score": core, "confidence": confidence})
+    return {**{f"{name}_points": category_points(CATEGORY_MAX[name], *_x(name)) for name in names}, "completeness": known / ALL_SIGNALS}
 
 
 def signal_lists(rows: DataFrame) -> DataFrame:
@@ -143,39 +149,37 @@ def signal_lists(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_reversal(rows: DataFrame) -> DataFrame:
-    """reversal_score, from 30 bars on: RSI turn, reclaim of the 20-day mean, weak half-year turning, off the low, calmer fall."""
+def reversal_parts() -> list[Column]:
+    """RSI turn, reclaim of the 20-day mean, weak half-year turning, off the low, calmer fall."""
     turn = clamp01(0.5 + (F.col("rsi14") - F.col("rsi14_10_ago")) / 20)
     bounce = F.when((F.col("rsi14_10_ago") < 40) & (F.col("rsi14") < 60), 0.2).otherwise(0.0)
     off = F.col("from_low")
-    out = mean_score(
-        rows, "reversal_score", turn + bounce, 0.5 + (F.col("last_close") / F.col("sma20") - 1) / 0.10, F.when(F.col("ret126") < 0, F.col("ret21") / 0.10),
+    return [
+        turn + bounce, 0.5 + (F.col("last_close") / F.col("sma20") - 1) / 0.10, F.when(F.col("ret126") < 0, F.col("ret21") / 0.10),
         F.when(off <= 0.15, off / 0.15).otherwise(1 - (off - 0.15) / 0.35), F.when(F.col("drawdown60") > 0, 1 - F.col("drawdown20") / F.col("drawdown60")),
-    )
-    return out.withColumn("reversal_score", F.when(F.col("n_bars") >= LEAST_BARS, F.col("reversal_score")))
+    ]
 
 
-def with_price_value(rows: DataFrame) -> DataFrame:
-    """price_value: far from the high, low in the range, below the long mean, oversold; 50 without any."""
+def price_value_parts() -> list[Column]:
+    """Far from the high, low in the range, below the long mean, oversold."""
     discount = F.when(F.col("sma200") > 0, 1 - F.col("last_close") / F.col("sma200"))
-    out = mean_score(rows, "price_value", F.col("from_high") / 0.4, 1 - F.col("range_position"), 0.5 + discount / 0.4, (70 - F.col("rsi14")) / 40)
-    return out.withColumn("price_value", F.coalesce("price_value", F.lit(50.0)))
+    return [F.col("from_high") / 0.4, 1 - F.col("range_position"), 0.5 + discount / 0.4, (70 - F.col("rsi14")) / 40]
 
 
-def with_fundamental_scores(rows: DataFrame) -> DataFrame:
-    """fundamental_value and fundamental_quality, NULL without a known part."""
-    pe, pb, g, dy, m, rg, debt = (F.col(c) for c in ("trailing_pe", "price_to_book", "earnings_growth", "dividend_yield", "profit_margin", "revenue_growth", "debt_to_equity"))
-    out = mean_score(
-        rows, "fundamental_value", F.when(pe > 0, 1 / pe / 0.10), F.when(pb > 0, 1 - (pb - 1) / 4), F.when((pe > 0) & (pb > 0), (1 - F.sqrt(pe * pb / 22.5)) / 0.5),
+def fundamental_value_parts() -> list[Column]:
+    pe, pb, g, dy = (F.col(c) for c in ("trailing_pe", "price_to_book", "earnings_growth", "dividend_yield"))
+    return [
+        F.when(pe > 0, 1 / pe / 0.10), F.when(pb > 0, 1 - (pb - 1) / 4), F.when((pe > 0) & (pb > 0), (1 - F.sqrt(pe * pb / 22.5)) / 0.5),
         F.when((pe > 0) & (g > 0), (2 - pe / (100 * g)) / 1.5), F.when(dy >= 0, dy / 0.04),
-    )
-    return mean_score(out, "fundamental_quality", F.when(pe > 0, 1 - (pe - 10) / 30), m / 0.30, 0.5 + rg / 0.4, 1 - debt / 200)
+    ]
 
 
-def with_quality(rows: DataFrame) -> DataFrame:
-    """quality_score: mean of the fundamental quality, the risk and the liquidity signals; 50 without any."""
-    parts = rows.withColumns({"_risk": mean_known(*_x("risk")), "_liquidity": mean_known(*_x("liquidity"))})
-    return parts.withColumn("quality_score", 100 * F.coalesce(mean_known(F.col("fundamental_quality") / 100, F.col("_risk"), F.col("_liquidity")), F.lit(0.5))).drop("_risk", "_liquidity")
+def fundamental_quality_parts() -> list[Column]:
+    pe, margin, growth, debt = (F.col(c) for c in ("trailing_pe", "profit_margin", "revenue_growth", "debt_to_equity"))
+    return [F.when(pe > 0, 1 - (pe - 10) / 30), margin / 0.30, 0.5 + growth / 0.4, 1 - debt / 200]
+
+
+PARTS = {"reversal_score": reversal_parts, "price_value": price_value_parts, "fundamental_value": fundamental_value_parts, "fundamental_quality": fundamental_quality_parts}
 
 
 def blended_value(price: Column, fundamental: Column) -> Column:
@@ -203,16 +207,25 @@ def latest_fundamentals(snapshots: DataFrame, as_of: str) -> DataFrame:
 
 
 def score_all(ind: DataFrame, instruments: DataFrame, snapshots: DataFrame, as_of: str, insider: DataFrame | None = None) -> DataFrame:
-    """The scan: every instrument with enough bars, its factors, final score and class."""
-    rows = with_signals(with_context(ind.where(F.col("n_bars") >= LEAST_BARS), instruments))
-    rows = core_scores(rows).join(latest_fundamentals(snapshots, as_of), "instrument_id", "left")
+    """The scan: every instrument with enough bars, its factors, final score and class.
+
+    A handful of projections, each over columns of the one before, so that nothing is evaluated twice.
+    """
+    rows = with_context(ind.where(F.col("n_bars") >= LEAST_BARS), instruments).join(latest_fundamentals(snapshots, as_of), "instrument_id", "left")
     rows = rows.join(insider, "instrument_id", "left") if insider is not None else rows.withColumns({"insider_score": F.lit(None).cast("double"), "insider_penalty": F.lit(None).cast("double")})
-    rows = with_quality(with_fundamental_scores(with_price_value(with_reversal(rows))))
-    rows = rows.withColumns({"sector_score": 100 * mean_known(*_x("sector")), "value_score": blended_value(F.col("price_value"), F.col("fundamental_value"))})
+    first = {"price_value": F.coalesce(part_mean("price_value"), F.lit(50.0)), "_risk": mean_known(*_x("risk")), "_liquidity": mean_known(*_x("liquidity")), "sector_score": 100 * mean_known(*_x("sector"))}
+    first |= {name: part_mean(name) for name in ("reversal_score", "fundamental_value", "fundamental_quality")}
+    rows = with_strengths(rows).withColumns(core_columns() | first)
+    quality = mean_known(F.col("fundamental_quality") / 100, F.col("_risk"), F.col("_liquidity"))
+    rows = rows.withColumns({
+        "core_score": sum((F.col(f"{name}_points") for name in CATEGORIES), F.lit(0.0)),
+        "confidence": clamp01(0.5 * F.col("completeness") + 0.5 * clamp01(F.col("n_bars") / float(FULL_HISTORY))),
+        "quality_score": 100 * F.coalesce(quality, F.lit(0.5)), "value_score": blended_value(F.col("price_value"), F.col("fundamental_value")),
+    })
     factors = {"core": F.col("core_score"), "value": F.col("value_score"), "reversal": F.col("reversal_score"), "quality": F.col("quality_score"), "sector": F.col("sector_score"), "insider": F.col("insider_score")}
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_ts")) / 86400
-    rows = rows.withColumn("final_score", final_score(factors, F.col("fundamental_value"), F.col("insider_penalty")))
-    return rows.withColumns({"classification": classify(F.col("final_score")), "freshness_days": age})
+    rows = rows.withColumns({"final_score": final_score(factors, F.col("fundamental_value"), F.col("insider_penalty")), "freshness_days": age})
+    return rows.withColumn("classification", classify(F.col("final_score")))
 
 
 def run_summary(considered: DataFrame, scored: DataFrame) -> DataFrame:
