@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, text_batches
 
 #: Text bytes of a chunk, bits of a bigram key, keys that one part of the key space holds on average.
-CHUNK_BYTES, KEY_BITS, PART_KEYS = 6 << 20, 52, 2_000_000
+CHUNK_BYTES, KEY_BITS, PART_KEYS = 4 << 20, 52, 1_000_000
 #: One in so many training documents is left out to learn the weights; EM rounds; ratio steps a nat.
 DELETED, ROUNDS, STEPS, BUCKETS = 10, 40, 8, 32
 END, BEGIN = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x2545F4914F6CDD1D)
