@@ -21,7 +21,7 @@ from .common import text_batches
 
 #: The most training documents (those with the smallest hash of the identifier), hashed cells and
 #: characters whose cells are scored at once.
-MOST_DOCS, CELLS, SLICE = 20_000, 1 << 16, 1 << 20
+MOST_DOCS, CELLS, SLICE = 20_000, 1 << 16, 1 << 19
 SWITCH, SMOOTH, RARE_SCRIPT = 12.0, 0.5, 0.002
 #: First code points of script ranges, each up to the next, and their names.
 SCRIPTS = (
@@ -172,7 +172,7 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", *k
     def run(batches: Iterator) -> Iterator:
         m = handle.value
         names = np.array([*m.languages, "und"], object)
-        for batch in text_batches(batches, 1 << 23):
+        for batch in text_batches(batches, 1 << 22):
             n = batch.num_rows
             pair, triple, first, text, script, start, end = words_of([t or "" for t in batch.column("text").to_pylist()])
             if not m.languages:
