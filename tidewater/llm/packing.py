@@ -82,7 +82,11 @@ class Cache(dict):
     """What a function gives for a key, kept for about the last ``most`` to twice as many distinct keys."""
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.parts = make, most, {}, None
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
@@ -142,6 +146,7 @@ def _encoder(path: str) -> Cache:
                 return b"".join(map(parts.__getitem__, find(x)))
 
             _encoders[path] = Cache(run, CACHE_RUNS)
+            _encoders[path].parts = parts
         else:
             _encoders[path] = Cache(encode, CACHE_RUNS)
     return _encoders[path]
@@ -152,6 +157,13 @@ def _ids(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(known, _CHUNK.findall(t) if _ODD.search(t) else t.split())) for t in texts]
 
 
+def _forget(path: str) -> None:
+    """Drop what a task has cached, as its worker may wait long for the next; the tokenizer stays."""
+    for cache in (_encoder(path), _encoder(path).parts):
+        if cache is not None:
+            cache.forget()
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     end = int(end_id).to_bytes(4, "little")
 
@@ -168,6 +180,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["id", "piece", "start", "length", "ids_crc32"],
             )
+        _forget(tokenizer_path)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
 
