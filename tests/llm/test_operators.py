@@ -112,6 +112,25 @@ def test_connected_components_of_a_long_path(spark, task_edges):
     assert found == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_connected_components_of_random_graphs(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 220, (150, 2))] + [(903, 901), (903, 902)]
+    forest = components.Forest()
+    for a, b in links:
+        forest.union(a, b)
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    edges = spark.createDataFrame(links, "src long, dst long").repartition(9)
+    found = components.connected_components(edges, 40).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == sorted((x, forest.find(x)) for x in nodes)
+
+
+def test_connected_components_of_two_edges_in_two_tasks(spark):
+    edges = spark.createDataFrame([(3, 1)], "src long, dst long").union(spark.createDataFrame([(3, 2)], "src long, dst long"))
+    found = components.connected_components(edges, 1).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(400)]

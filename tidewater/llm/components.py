@@ -1,4 +1,4 @@
-"""Connected components of an edge table by min-label rounds with pointer jumping."""
+"""Connected components of an edge table by alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -55,13 +55,29 @@ def _drain(forest: Forest) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["src", "dst"])
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours go to the smallest of the node and its neighbours; src > dst."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    least = table(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("dst"), F.least("src", "m").alias("m")))
+    return edges.join(least, "dst").select("src", F.col("m").alias("dst")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours go to the smallest of these; src > dst."""
+    least = table(edges.groupBy("src").agg(F.min("dst").alias("m")))
+    small = edges.join(least, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return small.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
+
+
 def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(src, dst) long edges -> (node, component), component being the smallest node of each set.
 
     Nodes without an edge don't occur. Tasks contract the edges that they hold to stars around their
     smallest nodes, about ``task_edges`` in a task; if one task holds all, that is the result. Otherwise
-    every node is pointed at the smallest neighbour of its neighbours and tasks contract again, until
-    nothing changes. Rounds are tables in the shared folder; nothing is collected.
+    a large-star and a small-star step move edges to smaller nodes and tasks contract again, until a
+    round changes nothing. Each step keeps what is connected and lowers the sum of all ends unless it
+    moves no edge, so equal edges before and after mean that neither step moved one: all are stars.
+    Rounds are tables in the shared folder; nothing is collected.
     """
     pairs = edges.where("src <> dst").select(F.col("src").cast("long"), F.col("dst").cast("long"))
     stars = table(_contract(pairs))
@@ -70,10 +86,7 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> Data
         stars = table(_contract(stars.coalesce(max(1, tasks))).distinct() if tasks > 1 else _contract(stars.coalesce(1)))
         if tasks <= 1:
             break
-        both = stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = table(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        moved = table(large.unionByName(least.where("m < src").select("src", F.col("m").alias("dst"))).where("src <> dst").distinct())
+        moved = table(_small_star(table(_large_star(stars))))
         if moved.count() == stars.count() and moved.exceptAll(stars).isEmpty():
             break
         stars = moved
