@@ -14,38 +14,54 @@ from tidewater.llm.common import lookup, table
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.7
-KEY = "doc_id"
+#: Number of a row in a stage's input, by which decisions find their row.
+ROW = "_row"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is not in ``ids``; null identifiers stay."""
-    ids = table(ids.select(KEY).distinct())
-    return docs.join(lookup(ids, ids.count()), KEY, "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written so that every later read sees the same numbers."""
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The numbered ``docs`` whose number is not in ``rows``, without numbers."""
+    rows = table(rows.select(ROW))
+    return docs.join(lookup(rows, rows.count()), ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     model = queries.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = quality.score_quality(docs, model)
+    docs = _numbered(docs)
+    scores = quality.score_quality(docs, model, id_col=ROW)
     return _without(docs, scores.where(F.col("score") < LEAST_QUALITY))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest identifier stays."""
-    return _without(docs, exact_dedup.exact_duplicates(docs, keep="max").where("not kept"))
+    """Of equal texts one row with the largest identifier stays, one without if none has any."""
+    docs = _numbered(docs)
+    keyed = docs.select(F.struct("doc_id", ROW).alias("_key"), "text")
+    return _without(docs, exact_dedup.exact_duplicates(keyed, id_col="_key", keep="max").where("not kept").select(f"_key.{ROW}"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest identifier stays."""
-    return _without(docs, simhash.simhash_components(docs).where("doc_id <> component_id"))
+    """Of each group of near-duplicates one row with the smallest identifier stays, one without if none has any."""
+    docs = _numbered(docs)
+    found = table(simhash.simhash_components(docs, id_col=ROW).select(ROW, "component_id"))
+    groups = table(found.groupBy("component_id").count().where("count > 1").select("component_id"))
+    inside = table(found.join(lookup(groups, groups.count()), "component_id").join(docs.select(ROW, "doc_id"), ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    kept = table(inside.groupBy("component_id").agg(first.alias("first")).select(f"first.{ROW}"))
+    return _without(docs, inside.join(lookup(kept, kept.count()), ROW, "left_anti"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take every document as often as the mix does: not at all, once, or as repeated rows."""
-    plan = mixing.mix_to_weights(docs).where("copies <> 1").select(KEY, F.col("copies").cast("int").alias("_copies")).distinct()
-    plan = table(plan)
-    out = docs.join(lookup(plan, plan.count()), KEY, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    docs = _numbered(docs)
+    plan = mixing.mix_to_weights(docs, id_col=ROW, hash_of=F.xxhash64("doc_id", "text"))
+    plan = table(plan.where("copies <> 1").select(ROW, F.col("copies").cast("int").alias("_copies")))
+    out = docs.join(lookup(plan, plan.count()), ROW, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(ROW, "_copies", "_copy")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

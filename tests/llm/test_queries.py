@@ -25,3 +25,33 @@ def test_pipeline_stages_keep_the_columns_and_act(spark, sf_dir):
             assert docs.select("text").distinct().count() == docs.count()
     assert counts[0] > counts[1] >= counts[2] >= counts[3] and docs.count() > 0
     assert docs.select("doc_id", "piece").distinct().count() <= docs.count()
+
+
+def test_pipeline_decides_row_by_row(spark, sf_dir, monkeypatch):
+    body = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest where nobody has been " * 9
+    rows = [
+        (None, "same text here", "a"), (None, "same text here", "a"), (1, "same text here", "a"), (1, "same text here", "a"),
+        (None, "only without ids", "b"), (None, "only without ids", "b"), (2, body, "a"), (None, body + " end", "b"), (3, "bad text", "a"),
+        (3, "good text with one shared id", "b"), (None, "bad text", "b"),
+    ]
+    docs = corpus_pipeline.table(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+
+    def after(stage, docs):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, sf_dir).collect()), key=str)
+
+    scores = lambda d, model, id_col: d.select(id_col, corpus_pipeline.F.when(d.text == "bad text", 0.1).otherwise(0.9).alias("score"))
+    monkeypatch.setattr(corpus_pipeline.queries, "quality_model", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.quality, "score_quality", lambda d, model, id_col="doc_id": scores(d, model, id_col))
+    assert after(corpus_pipeline.quality_stage, docs) == sorted(((i, t) for i, t, _ in rows if t != "bad text"), key=str)
+    exact = [(1, "same text here"), (None, "only without ids"), (2, body), (None, body + " end"), (3, "good text with one shared id")]
+    got = after(corpus_pipeline.exact_stage, docs.where("text <> 'bad text'"))
+    assert got == sorted(exact, key=str)
+    near = after(corpus_pipeline.near_stage, docs.where("text <> 'bad text'"))
+    assert near == sorted([x for x in exact if x != (None, body + " end")], key=str)
+    unequal = [(7, f"word {k} of the first source", "a") for k in range(40)] + [(7, "one", "b"), (None, "two", "b")]
+    mixed = corpus_pipeline.table(spark.createDataFrame(unequal, "doc_id long, text string, source string"))
+    words = {s: sum(len(t.split()) for _, t, x in unequal if x == s) for s in "ab"}
+    plan = {"a": (words["a"] + words["b"] - 3 * words["b"]), "b": 3 * words["b"]}
+    out = corpus_pipeline.mix_stage(spark, mixed, sf_dir).collect()
+    for s in "ab":
+        assert abs(sum(len(r["text"].split()) for r in out if r["source"] == s) - plan[s]) <= (6 if s == "a" else 0)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, lookup, table
@@ -58,13 +58,15 @@ def mix_to_weights(
     source_col: str = "source",
     weights: Sequence[float] = (1, 2, 3),
     cap: float = 3.0,
+    hash_of: Column | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: id_col, source, size, source_size, target, copies, taken.
 
     size: words of the text, 0 for null or empty. copies: how often the mix takes the document, at most
     ``cap`` rounded up and never above ``cap`` where it is whole; taken: copies times size. A source's
     taken words differ from its target by less than its largest document, or the documents that share
-    one id. Reruns agree, since the hash depends on the id alone; repeated rows are taken alike. A null
+    one id. Reruns agree, since the hash depends on the id alone, or on the long ``hash_of`` if that is
+    given; repeated rows are taken alike. A null
     source is a source of its own, the last. No words at all: targets 0. An empty table gives no rows.
     """
     slim = table(
@@ -72,7 +74,7 @@ def mix_to_weights(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 64 - LEVEL_BITS * LEVELS).alias("h"),
+            F.shiftrightunsigned(F.xxhash64(F.col(id_col)) if hash_of is None else hash_of, 64 - LEVEL_BITS * LEVELS).alias("h"),
         )
     )
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
