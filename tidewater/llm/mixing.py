@@ -21,6 +21,12 @@ from .common import WORD_PATTERN, lookup, table
 LEVEL_BITS, LEVELS = 10, 5
 
 
+def row_hash(*columns: Column) -> Column:
+    """50 bits of the MD5 of the columns as text; a null is told from an empty text."""
+    line = F.concat(*[F.concat(F.coalesce(c.cast("string"), F.lit("\x00")), F.lit("\x01")) for c in columns])
+    return F.shiftright(F.conv(F.substring(F.md5(line), 1, 13), 16, 10).cast("long"), 52 - LEVEL_BITS * LEVELS)
+
+
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
@@ -30,10 +36,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
 
     Sources in code point order, null last, get the weights in turn. All words are shared by weight;
     a target stops at ``cap`` times its source's size and the excess is reshared by weight until none
-    is above: the water level L with sum(min(cap * size, L * weight)) = all words. Only three sums of
-    each round reach the driver.
+    is above: the water level L with sum(min(cap * size, L * weight)) = all words. Only four sums of
+    each round reach the driver. Sources are ranked within ranges of them, which Spark's sampled
+    splitters cut, and a range starts where the ones before it end; no task ranks all.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    order = F.col("source").asc_nulls_last()
+    dealt = table(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(parts), F.lit(0)).alias("before"))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
+    ranked = ranked.join(F.broadcast(before), "part").withColumn("rank", F.col("rank") + F.col("before"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = table(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")))
     level, stopped = None, 0
@@ -64,17 +76,18 @@ def mix_to_weights(
 
     size: words of the text, 0 for null or empty. copies: how often the mix takes the document, at most
     ``cap`` rounded up and never above ``cap`` where it is whole; taken: copies times size. A source's
-    taken words differ from its target by less than its largest document, or the documents that share
-    one id. Reruns agree, since the hash depends on the id alone, or on the long ``hash_of`` if that is
-    given; repeated rows are taken alike. A null
-    source is a source of its own, the last. No words at all: targets 0. An empty table gives no rows.
+    taken words differ from its target by less than its largest document, or the rows that share one
+    hash. Reruns agree, since the hash depends on identifier and text alone, or on ``hash_of`` (50 bits
+    of a long) if that is given; rows that repeat both are taken alike, rows that share or lack an
+    identifier are not. A null source is a source of its own, the last. No words at all: targets 0. An
+    empty table gives no rows.
     """
     slim = table(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col)) if hash_of is None else hash_of, 64 - LEVEL_BITS * LEVELS).alias("h"),
+            (row_hash(F.col(id_col), F.col(text_col)) if hash_of is None else hash_of).alias("h"),
         )
     )
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
@@ -83,7 +96,7 @@ def mix_to_weights(
         targets.withColumn("copies", whole.cast("long")).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
     )
     few = targets.count()
-    bounds = targets.select(F.col("source").alias("b_source"), "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("held"))
+    bounds = targets.where("budget > 0").select(F.col("source").alias("b_source"), "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("held"))
     for level in range(LEVELS):
         rest = LEVEL_BITS * (LEVELS - 1 - level)
         inside = F.col("source").eqNullSafe(F.col("b_source")) & (F.shiftrightunsigned("h", rest + LEVEL_BITS) == F.col("prefix"))

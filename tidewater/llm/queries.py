@@ -86,6 +86,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # the sources' shares by the water level, and the documents below each source's threshold
+    "op5_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0)) || chr(1) || coalesce(text, chr(0)) || chr(1)), 1, 13))::BIGINT >> 2 AS h FROM documents),
+             s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+             r AS (SELECT *, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+             l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                             / sum(weight) OVER (ORDER BY most / weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+             t AS (SELECT source, source_size, least(most, (SELECT arg_min(level, most / weight) FROM l WHERE level <= most / weight) * weight) AS target FROM l),
+             b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t),
+             k AS (SELECT source, h, sum(size) AS held FROM d GROUP BY source, h),
+             c AS (SELECT b.*, target - copies * source_size AS budget, h, held, sum(held) OVER (PARTITION BY k.source ORDER BY h) AS upto
+                   FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source),
+             e AS (SELECT source, source_size, target, copies, budget > 0 AND (upto <= budget OR (upto - held < budget AND (budget - (upto - held)) * 2 > held)) AS more, h FROM c)
+        SELECT d.doc_id, d.size, e.source_size, e.target, (e.copies + e.more::BIGINT) * d.size AS taken
+        FROM d JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.h = d.h
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
