@@ -58,7 +58,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take every document as often as the mix does: not at all, once, or as repeated rows."""
     docs = _numbered(docs)
-    plan = mixing.mix_to_weights(docs, id_col=ROW, hash_of=F.xxhash64("doc_id", "text"))
+    plan = mixing.mix_to_weights(docs, id_col=ROW, hash_of=mixing.row_hash(F.col("doc_id"), F.col("text")))
     plan = table(plan.where("copies <> 1").select(ROW, F.col("copies").cast("int").alias("_copies")))
     out = docs.join(lookup(plan, plan.count()), ROW, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(ROW, "_copies", "_copy")
