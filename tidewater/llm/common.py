@@ -36,17 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def table(df: DataFrame, bloom: str | None = None) -> DataFrame:
+def table(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    bloom: a column whose row groups get Parquet Bloom filters.
+    by: an integer column of few values whose rows get a folder each, so that a filter on it reads only these.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    if bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
-    writer.parquet(path)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
