@@ -201,7 +201,8 @@ def pack_best_fit(
     equal lengths keep the order of (id, piece). Repeated rows are packed each. The path of the
     tokenizer file must exist on every executor. An empty table gives no rows.
     """
-    slim = table(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    slim = tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
+    slim = table(slim.withColumn("row", F.monotonically_increasing_id()))
     total = slim.agg(F.sum("length")).first()[0] or 0
     groups = max(1, math.ceil(total / (capacity * group_bins)))
 
@@ -210,6 +211,6 @@ def pack_best_fit(
         bins, offsets = best_fit_decreasing(frame["length"].to_numpy(np.int64), capacity)
         return frame.assign(sequence_id=frame["grp"].to_numpy(np.int64) + bins * groups, offset=offsets).drop(columns="grp")
 
-    dealt = slim.withColumn("grp", F.pmod(F.xxhash64("id", "piece", F.lit("pack")), F.lit(groups)).cast("long"))
+    dealt = slim.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long")).drop("row")
     packed = dealt.groupBy("grp").applyInPandas(pack, PIECES + ", sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
