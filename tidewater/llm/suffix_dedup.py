@@ -109,12 +109,12 @@ def anchors(line: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarra
     return part[starts], starts, stops - starts + 1, grams[anchor[starts]], second
 
 
-ROW = "g long, s long, id long, sig int, p long, n int"
+ROW = "g long, s long, id long, sig long, p long, n int"
 _NAMES = ["g", "s", "id", "sig", "p", "n"]
 
 
 def _rows(g, s, ids: pa.Array, sig, p, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), ids, pa.array(sig, pa.int32()), pa.array(p, pa.int64()), pa.array(n, pa.int32())], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), ids, pa.array(sig, pa.int64()), pa.array(p, pa.int64()), pa.array(n, pa.int32())], names=_NAMES)
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -249,9 +249,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input, and never reach over two texts. spans are the maximal removed runs, kept is what
     is left. Repeated rows repeat each other, so of them nothing but the rest of texts below ``length``
     stays. Texts shorter than ``length`` stay whole. An empty table gives no rows. Equality of strings is
-    that of 64-bit hashes. length: an even number of bytes.
+    that of 64-bit hashes; so is that of the texts of rows which share or lack an identifier. length: an
+    even number of bytes.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     repeated, opened = compare_suffixes(_suffixes(texts, length))
     runs = opened.groupBy("id", "sig").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
     named = runs.withColumnsRenamed({"id": "r_id", "sig": "r_sig"})
