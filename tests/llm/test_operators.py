@@ -75,6 +75,17 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+@pytest.mark.parametrize("filing", [(2, 2), (4, 2), (3, 3), (4, 4)])
+def test_every_near_pair_shares_a_file(filing):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 64, 4000, np.uint64, endpoint=False)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in a], np.uint64)
+    masks, starts = simhash.file_masks(4, *filing)
+    shared = (flips[None, :] & masks[:, None]) == 0
+    passed = [simhash.near(a, a ^ flips, np.full(len(a), s), 4) for s in starts]
+    assert (shared & np.array(passed)).any(0).all()
+
+
 def slow_components(prints, distance=4):
     forest = components.Forest()
     for i, (a, x) in enumerate(prints):
@@ -93,15 +104,15 @@ def test_simhash_components(docs, empty):
     assert len(got) == len(ROWS) and simhash.simhash_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [8, 4096])
-def test_links_connect_all_near_fingerprints(spark, block):
+@pytest.mark.parametrize(("block", "filing"), [(8, (2, 2)), (4096, None), (8, (4, 2)), (4096, (3, 3)), (8, (4, 4))])
+def test_links_connect_all_near_fingerprints(spark, block, filing):
     rng = np.random.default_rng(1)
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 40)]
     prints = sorted({s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for s in seeds for _ in range(30)})
     rows = list(enumerate(prints))
     want = slow_components([(i, p) for i, p in rows])
     frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)), i) for i, p in rows], "fp long, node long")
-    found = {r["node"]: r["component"] for r in components.connected_components(simhash.links(frame, 4, block)).collect()}
+    found = {r["node"]: r["component"] for r in components.connected_components(simhash.links(frame, 4, block, filing)).collect()}
     assert {i: found.get(i, i) for i, _ in rows} == want
 
 

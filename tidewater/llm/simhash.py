@@ -2,17 +2,21 @@
 
 Fingerprints that differ in at most ``t`` bits are split into a ring of ``SEGMENTS`` segments. By the
 pigeonring principle some segment starts a chain in which the first ``l`` segments differ in at most
-``l * t / SEGMENTS`` bits, for every ``l``. With t = 4 and five segments the first is equal and the first
-two differ in one bit at most, so one half of the second is equal too: a fingerprint is filed under
-(start, first segment, half of the second), and only fingerprints of one file meet. There the budgets of
-longer chains prune pairs before the full Hamming check. Fingerprints are made distinct first, and a
-file yields a spanning forest of its links rather than all pairs.
+``l * t / SEGMENTS`` bits, for every ``l``. With t = 4 and five segments the first is equal, the first two
+differ in one bit at most and the first three in two. So of ``a`` parts of the second all but one are
+equal, and of ``b`` parts of the third all but two: a fingerprint is filed under (start, first segment,
+some a - 1 parts of the second, some b - 2 of the third), and only fingerprints of one file meet. The
+more fingerprints there are by count, the finer the parts, and the more bits a file's fingerprints share.
+In a file the budgets of longer chains prune pairs before the full Hamming check. Fingerprints are made
+distinct first, and a file yields a spanning forest of its links rather than all pairs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,9 @@ from .components import connected_components
 SEED, SHINGLE, SEGMENTS = 42, 4, 5
 #: Rows of one file that meet in one task; larger files meet block by block.
 BLOCK = 4096
+#: (fingerprints up to which it serves, parts of the second segment, parts of the third). They share 19,
+#: 22, 25 and 28 bits in a file, for 10, 20, 45 and 120 files of a fingerprint.
+FILINGS = ((1 << 22, 2, 2), (1 << 26, 4, 2), (1 << 30, 3, 3), (None, 4, 4))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -65,34 +72,46 @@ def ring(distance: int, segments: int = SEGMENTS) -> tuple[list[int], list[list[
     return masks, chains, [n * distance // segments for n in range(1, segments + 1)]
 
 
-def file_keys(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint and file: (number of the file kind, key), as arrays of shape (kinds, rows)."""
+def _parts(mask: int, n: int) -> list[int]:
+    """A segment's mask cut to ``n`` masks of nearly equal width."""
+    places = [b for b in range(64) if mask >> b & 1]
+    return [sum(1 << b for b in places[len(places) * i // n : len(places) * (i + 1) // n]) for i in range(n)]
+
+
+@cache
+def file_masks(distance: int, second: int = 2, third: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that the fingerprints of a file share, segment that starts the chain), one a file kind."""
     masks, _, budgets = ring(distance)
-    if budgets[0] or budgets[1] > 1:
+    if budgets[0] or budgets[1] > 1 or budgets[2] > 2:
         raise ValueError("this filing needs a distance of at most four bits")
-    kinds, keys = [], []
-    for s, mask in enumerate(masks):
-        second = masks[(s + 1) % SEGMENTS]
-        low = second & -second
-        half = low * ((1 << (second.bit_count() // 2)) - 1)
-        for part in (half, second ^ half):
-            kinds.append(np.full(len(fps), len(kinds), np.int32))
-            keys.append((fps & np.uint64(mask | part)).view(np.int64))
-    return np.array(kinds), np.array(keys)
-
-
-def near(a: np.ndarray, b: np.ndarray, kind: np.ndarray, distance: int) -> np.ndarray:
-    """Whether pairs pass the chain budgets of the file that they met in, the whole ring included."""
+    kinds = [
+        (masks[s] | sum(a) | sum(b), s)
+        for s in range(SEGMENTS)
+        for a in combinations(_parts(masks[(s + 1) % SEGMENTS], second), second - 1)
+        for b in combinations(_parts(masks[(s + 2) % SEGMENTS], third), third - 2)
+    ]
+    return np.array([m for m, _ in kinds], np.uint64), np.array([s for _, s in kinds])
+
+
+def file_keys(fps: np.ndarray, distance: int, second: int = 2, third: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """For each file kind and fingerprint: (number of the kind, key), as arrays of shape (kinds, rows)."""
+    masks, _ = file_masks(distance, second, third)
+    kinds = np.repeat(np.arange(len(masks), dtype=np.int32)[:, None], len(fps), 1)
+    return kinds, (fps[None, :] & masks[:, None]).view(np.int64)
+
+
+def near(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
+    """Whether pairs pass the budgets of the chain that starts at a segment, the whole ring included."""
     _, chains, budgets = ring(distance)
     differ, alive = a ^ b, np.ones(len(a), bool)
     for n, budget in enumerate(budgets):
-        masks = np.array([c[n] for c in chains], np.uint64)[kind // 2]
+        masks = np.array([c[n] for c in chains], np.uint64)[start]
         left = np.flatnonzero(alive)
         alive[left] = np.bitwise_count(differ[left] & masks[left]) <= budget
     return alive
 
 
-def forest_edges(fps: np.ndarray, nodes: np.ndarray, group: np.ndarray, side: np.ndarray, kind: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def forest_edges(fps: np.ndarray, nodes: np.ndarray, group: np.ndarray, side: np.ndarray, start: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within runs of equal ``group``.
 
     side: rows of side 0 meet all others of their group, rows of side 1 only those of side 2.
@@ -106,7 +125,7 @@ def forest_edges(fps: np.ndarray, nodes: np.ndarray, group: np.ndarray, side: np
             break
         meet = left[(side[left] == 0) | (side[left] != side[left + shift])]
         meet = meet[label[meet] != label[meet + shift]]
-        hit = meet[near(fps[meet], fps[meet + shift], kind[meet], distance)]
+        hit = meet[near(fps[meet], fps[meet + shift], start[meet], distance)]
         for i in hit.tolist():
             a, b = label[i], label[i + shift]
             if a != b:
@@ -116,13 +135,20 @@ def forest_edges(fps: np.ndarray, nodes: np.ndarray, group: np.ndarray, side: np
     return out
 
 
-def links(distinct: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
-    """(fp, node) of distinct fingerprints -> (src, dst) edges that connect what all links connect."""
+def links(distinct: DataFrame, distance: int, block: int = BLOCK, filing: tuple[int, int] | None = None) -> DataFrame:
+    """(fp, node) of distinct fingerprints -> (src, dst) edges that connect what all links connect.
+
+    filing: parts of the second and third segment; chosen by the number of fingerprints without it.
+    """
+    if filing is None:
+        rows = distinct.count()
+        filing = next(parts for most, *parts in FILINGS if most is None or rows <= most)
+    second, third = filing
 
     def file(batches: Iterator) -> Iterator:
         for batch in batches:
             fp, node = (batch.column(i).to_numpy() for i in (0, 1))
-            kinds, keys = file_keys(fp.view(np.uint64), distance)
+            kinds, keys = file_keys(fp.view(np.uint64), distance, second, third)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds.ravel()), pa.array(keys.ravel()), pa.array(np.tile(fp, len(kinds))), pa.array(np.tile(node, len(kinds)))],
                 names=["kind", "key", "fp", "node"],
@@ -131,7 +157,7 @@ def links(distinct: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     def edges(kind, key, one, two, own, fp, node) -> pa.RecordBatch:
         group = np.concatenate(([0], np.cumsum(_changes(kind, key, one, two))))
         side = np.where(one == two, 0, np.where(own == one, 1, 2))
-        found = forest_edges(fp.view(np.uint64), node, group, side, kind, distance)
+        found = forest_edges(fp.view(np.uint64), node, group, side, file_masks(distance, second, third)[1][kind], distance)
         src, dst = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
