@@ -180,6 +180,61 @@ def test_main_text(spark):
     assert html_text.extract_main_text(table.limit(0), F.col("page_id")).count() == 0
 
 
+def extracted(spark, pages):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("http://h.example/x"))
+    return [r["text"] for r in html_text.extract_main_text(table, F.col("page_id")).orderBy("page_id").collect()]
+
+
+def test_templates_alone_remove_what_no_name_tells(spark):
+    strip = "<div class=x1><b>Read</b> our daily letter</div>"
+    page = lambda i: f"<body>{strip if i < 5 else ''}<article><p>story {i}</p><p>quoted by three</p>{strip if i < 5 else ''}<p>never miss a story</p></article></body>"
+    got = extracted(spark, [page(i).replace("quoted by three", "quoted by three" if i < 3 else f"own {i}") for i in range(10)])
+    assert got == [f"story {i} " + ("quoted by three" if i < 3 else f"own {i}") for i in range(10)]
+    # copies of one article are no template, and neither is what few pages of a host share
+    assert extracted(spark, ["<article><div>same</div><p>text of one article</p></article>"] * 9) == ["same text of one article"] * 9
+    assert extracted(spark, [page(0), page(1)]) == [f"story {i} quoted by three Read our daily letter never miss a story" for i in range(2)]
+
+
+def test_names_are_judged_as_a_whole_inside_an_article(spark):
+    page = "<article><h1>T</h1><div class='share-price'>a</div><section class='social-history'>b</section><p class='notice-of-motion'>c</p><div class='comment-list'>d</div><div class='Ad'>e</div><div id=cookie-banner>f</div></article>"
+    assert extracted(spark, [page]) == ["T a b c"]
+    assert extracted(spark, ["<body><div class='share-price'>a</div><p>b</p><div class=site-header>c</div></body>"]) == ["b"]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<b>", "<p><button><ul>", "<", "=", "<!--", "<p>a", "<b><i></b>", "</i>", "<li><dl><dt>", "<a b='"])
+def test_long_broken_pages_take_linear_time(unit):
+    import time
+
+    spent = []
+    for size in (60_000, 480_000):
+        start = time.process_time()
+        html_text.subtrees(unit * (size // len(unit)) + '"')
+        spent.append(time.process_time() - start)
+    assert spent[1] < 24 * max(spent[0], 0.02)
+
+
+def slow_main_text(pages):
+    """Text of pages of one host made of <div> and <p> in a body, by recurrence over different pages."""
+    blocks = [[(m[1], " ".join(re.sub("<[^>]*>", "", m[2]).split())) for m in re.finditer(r"<(div|p)>(.*?)</\1>", p)] for p in pages]
+    whole = [tuple(own) for own in blocks]
+    seen = collections.defaultdict(set)
+    for own, article in zip(blocks, whole, strict=True):
+        for block in own:
+            seen[block].add(article)
+    n = len(set(whole))
+    is_template = lambda b: len(seen[b]) >= (4 if b[0] == "div" else max(8, 0.8 * n))
+    return [" ".join(t for tag, t in own if not is_template((tag, t))) for own in blocks]
+
+
+def test_main_text_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    common = [f"<div>strip {k}</div>" for k in range(4)] + ["<p>on every page</p>", "<p>often quoted</p>"]
+    pages = ["".join(x for x, share in zip(common, (0.1, 0.3, 0.5, 0.9, 0.95, 0.5), strict=True) if rng.random() < share) + f"<p>the long story number {i // 2} and its end</p><div>by {i}</div>" for i in range(40)]
+    assert extracted(spark, [f"<body>{p}</body>" for p in pages]) == slow_main_text(pages)
+
+
 def slow_removed(raw, length):
     seen = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
     for b in raw:
