@@ -80,7 +80,7 @@ def test_preferred_close_is_all_or_nothing(spark):
 def test_missing_signals_are_not_penalised(spark):
     row = spark.range(1).select(*[F.lit(x).cast("double").alias(n) for n, x in (("a", 0.8), ("b", None), ("c", 0.4))])
     got = row.select(scoring.category_points(20.0, *map(F.col, "abc")), scoring.category_points(20.0, F.col("b")), scoring.clamp01(F.col("b")), scoring.classify(F.lit(75.0)), scoring.classify(F.lit(59.9))).first()
-    assert tuple(got) == (pytest.approx(12.0), 10.0, None, "strong", "reject")
+    assert tuple(got) == (pytest.approx(12.0), 10.0, None, "screening_candidate", "does_not_pass")
 
 
 def test_rising_series_outscores_falling_one(spark):

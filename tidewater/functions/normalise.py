@@ -6,18 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-#: Venue suffixes of two data vendors, broker suffixes, order states, kinds, secret keys.
+#: Venue suffixes of two data vendors, broker suffixes, titles, order states, kinds, secret keys.
 SUFFIXES = {
-    "XLON": ".L", "XETR": ".DE", "XPAR": ".PA", "XAMS": ".AS", "XBRU": ".BR", "XLIS": ".LS", "XMIL": ".MI", "XMAD": ".MC",
-    "XSWX": ".SW", "XVIE": ".VI", "XSTO": ".ST", "XHEL": ".HE", "XCSE": ".CO", "XOSL": ".OL", "XTSE": ".TO", "XASX": ".AX",
+    "XLON": ".L", "XETR": ".DE", "XPAR": ".PA", "XAMS": ".AS", "XMIL": ".MI", "XMAD": ".MC", "XSWX": ".SW", "XSTO": ".ST",
+    "XHEL": ".HE", "XCSE": ".CO", "XOSL": ".OL", "XDUB": ".IR", "XLIS": ".LS", "XBRU": ".BR", "XWBO": ".VI", "XWAR": ".WA",
 }
-US_VENUES = ("XNYS", "XNAS", "XASE", "ARCX")
-CODES = {"XLON": "LSE", "XETR": "XETRA", "XPAR": "PA", "XAMS": "AS", "XNYS": "US", "XNAS": "US"}
-BROKER_SUFFIXES = {"_US_EQ": "XNYS", "_UK_EQ": "XLON", "l_EQ": "XLON", "d_EQ": "XETR", "p_EQ": "XPAR", "a_EQ": "XAMS", "_EQ": "XXXX"}
+US_VENUES = ("XNAS", "XNYS", "ARCX", "BATS")
+CODES = {
+    "XNAS": "US", "XNYS": "US", "ARCX": "US", "BATS": "US", "XLON": "LSE", "XETR": "XETRA", "XPAR": "PA", "XAMS": "AS", "XBRU": "BR", "XMIL": "MI",
+    "XMAD": "MC", "XSWX": "SW", "XWBO": "VI", "XLIS": "LS", "XDUB": "IR", "XSTO": "ST", "XHEL": "HE", "XCSE": "CO", "XOSL": "OL", "XWAR": "WAR",
+}
+BROKER_SUFFIXES = {"l_EQ": "XLON", "_US_EQ": "XNAS", "d_EQ": "XETR", "p_EQ": "XPAR", "a_EQ": "XAMS", "m_EQ": "XMIL", "e_EQ": "XMAD", "s_EQ": "XSWX", "_SW_EQ": "XSWX"}
+CHIEFS = ("ceo", "cfo", "cto", "coo", "cio", "cmo", "clo", "cao", "chro", "ciso", "cro", "cco", "cdo")
 ORDER_STATES = {"LOCAL": "pending", "NEW": "pending", "CONFIRMED": "working", "UNCONFIRMED": "pending", "FILLED": "filled", "PARTIALLY_FILLED": "working", "CANCELLED": "cancelled", "CANCELLING": "working", "REJECTED": "rejected", "REPLACING": "working", "REPLACED": "cancelled"}
 KINDS = {"STOCK": "equity", "ETF": "etf", "CRYPTOCURRENCY": "crypto", "FOREX": "forex", "FUTURES": "future", "INDEX": "index", "WARRANT": "warrant", "CORPACT": "corporate_action", "CVR": "right"}
-SECRET_KEYS = ("password", "secret", "token", "api_key", "apikey", "authorization", "cookie", "session", "private_key")
+SECRET_KEYS = ("api_key", "apikey", "authorization", "password", "secret", "token", "session_token", "private_key", "encrypted_api_key")
+REDACTED, REDACTION_DEPTH = "[redacted]", 6
 LINK = r"\[([^\]]*)\]\([^)]*\)"
 
 
@@ -90,8 +96,9 @@ def broker_bare(code: Column) -> Column:
 
 
 def is_c_suite(title: Column) -> Column:
-    chief = title.rlike(r"(?i)\bchief\b.*\bofficer\b|\b(ceo|cfo|coo|cto|cio|cmo)\b")
-    return F.coalesce(chief | (title.rlike(r"(?i)\bpresident\b") & ~title.rlike(r"(?i)\bvice\b")), F.lit(False))
+    """A chief officer by words or initials, or a president; vice presidents are neither."""
+    chief = title.rlike(rf"(?i)chief[a-z &.,/()-]*officer|\b({'|'.join(CHIEFS)})\b")
+    return F.coalesce(chief | (title.rlike(r"(?i)\bpresident\b") & ~title.rlike(r"(?i)vice[ -]president|\b[esv]vp\b")), F.lit(False))
 
 
 def accession(url: Column) -> Column:
@@ -110,9 +117,24 @@ def masked(account: Column) -> Column:
     return F.when(F.length(account) <= 4, "****").otherwise(F.concat(F.lit("****"), F.right(account, F.lit(4))))
 
 
-def redact(payload: Column) -> Column:
-    """Values of secret keys of a string map, whatever their case, as stars."""
-    return F.transform_values(payload, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), "***").otherwise(v))
+def redact(value: Column, kind: DataType, depth: int = 0) -> Column:
+    """A payload of type ``kind`` with the values of secret keys, whatever their case, replaced.
+
+    Looks into fields, maps and lists down to REDACTION_DEPTH. A secret value that is no text becomes
+    NULL, as a column has one type; without a secret below, a value stays as it is.
+    """
+    if depth > REDACTION_DEPTH:
+        return value
+    mark = lambda t: F.lit(REDACTED) if isinstance(t, StringType) else F.lit(None).cast(t)
+    if isinstance(kind, StructType):
+        own = [mark(f.dataType) if f.name.lower() in SECRET_KEYS else redact(value[f.name], f.dataType, depth + 1) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*[c.alias(f.name) for c, f in zip(own, kind, strict=True)]))
+    if isinstance(kind, MapType):
+        secret = lambda k: F.lower(k.cast("string")).isin(*SECRET_KEYS)
+        return F.transform_values(value, lambda k, v: F.when(secret(k), mark(kind.valueType)).otherwise(redact(v, kind.valueType, depth + 1)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact(x, kind.elementType, depth + 1))
+    return value
 
 
 def json_safe(metrics: Column, digits: int = 6) -> Column:

@@ -101,6 +101,10 @@ def _volatility(p: int) -> Column:
     return _enough(p + 1, F.stddev_samp(last(p, F.col("ret"))) * F.sqrt(F.lit(float(YEAR))))
 
 
+def _downside(p: int) -> Column:
+    return _enough(p + 1, F.sqrt(F.avg(last(p, F.pow(F.least("ret", F.lit(0.0)), 2)))) * F.sqrt(F.lit(float(YEAR))))
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
@@ -111,9 +115,9 @@ INDICATORS: dict[str, Callable[[], Column]] = {
     "sma50": lambda: F.max(last(1, F.col("sma50"))), "sma200": lambda: F.max(last(1, F.col("sma200"))),
     "ret21": lambda: _return(21), "ret63": lambda: _return(63), "ret126": lambda: _return(126), "ret252": lambda: _return(252),
     "vol20": lambda: _volatility(20), "vol60": lambda: _volatility(60),
-    "downside60": lambda: _enough(61, F.sqrt(F.avg(last(60, F.pow(F.least("ret", F.lit(0.0)), 2)))) * F.sqrt(F.lit(float(YEAR)))),
+    "downside20": lambda: _downside(20), "downside60": lambda: _downside(60),
     "drawdown20": lambda: _drawdown(20), "drawdown60": lambda: _drawdown(60), "drawdown252": lambda: _drawdown(252),
-    "worst_day60": lambda: _enough(2, F.greatest(-F.min(last(60, F.col("ret"))), F.lit(0.0))),
+    "worst_day252": lambda: _enough(2, F.greatest(-F.min(last(YEAR, F.col("ret"))), F.lit(0.0))),
     "avg_volume20": lambda: _enough(20, F.avg(last(20, F.col("volume")))),
     "avg_traded20": lambda: _enough(20, F.avg(last(20, F.col("close") * F.col("volume")))),
     "zero_volume20": lambda: F.count_if(last(20, F.col("volume")) == 0),

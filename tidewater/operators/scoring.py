@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Category maxima, class thresholds, factor weights, penalties.
+#: Category maxima, class thresholds and names, factor weights, penalties.
 CATEGORY_MAX = {"trend": 20.0, "momentum": 20.0, "risk": 15.0, "liquidity": 15.0, "positioning": 10.0, "sector": 20.0}
-STRONG, WATCH = 75.0, 60.0
-FACTOR_WEIGHTS = {"core": 0.30, "value": 0.29, "reversal": 0.05, "quality": 0.12, "sector": 0.09, "insider": 0.15}
+SCREENING, WATCHLIST = 75.0, 60.0
+CLASSES = ("screening_candidate", "watchlist_candidate", "does_not_pass")
+FACTOR_WEIGHTS = {"fundamental_value": 0.30, "price_cheapness": 0.29, "reversal": 0.05, "quality": 0.12, "sector": 0.09, "insider": 0.15}
 NO_FUNDAMENTALS_PENALTY, LEAST_BARS, FULL_HISTORY, ALL_SIGNALS = 0.10, 30, 252, 26
 
 
@@ -40,40 +42,92 @@ def category_points(most: float, *xs: Column) -> Column:
     return most * F.coalesce(mean_known(*xs), F.lit(0.5))
 
 
-def classify(score: Column, strong: float = STRONG, watch: float = WATCH) -> Column:
-    return F.when(score >= strong, "strong").when(score >= watch, "watch").otherwise("reject")
+def classify(score: Column, screening: float = SCREENING, watchlist: float = WATCHLIST) -> Column:
+    return F.when(score >= screening, CLASSES[0]).when(score >= watchlist, CLASSES[1]).otherwise(CLASSES[2])
 
 
-def trend_signals() -> dict[str, Column]:
-    c, s50, s200 = F.col("last_close"), F.col("sma50"), F.col("sma200")
-    return {"price_over_sma50": flag(c > s50), "price_over_sma200": flag(c > s200), "sma50_over_sma200": flag(s50 > s200), "sma200_slope": (0.5 + F.col("slope200") / 0.002)}
+class Signal(NamedTuple):
+    """A signal's raw strength (held to 0..1 later), whether it speaks for the instrument, and its text."""
 
+    strength: Column
+    positive: Column
+    text: Column
 
-def momentum_signals() -> dict[str, Column]:
-    out = {f"ret{k}": (0.5 + F.col(f"ret{k}") / 0.4) for k in (21, 63, 126, 252)}
-    return out | {"vs_benchmark": (0.5 + (F.col("ret252") - F.col("bench_ret252")) / 0.4), "vs_sector": (0.5 + (F.col("ret252") - F.col("sector_ret252")) / 0.4)}
 
+def percent(x: Column, form: str = "%.1f%%", digits: int = 1) -> Column:
+    """A share as a percentage, ties to even."""
+    return F.format_string(form, F.bround(x * 100, digits))
 
-def risk_signals() -> dict[str, Column]:
-    bad = {"vol20": 0.60, "vol60": 0.60, "drawdown252": 0.50, "downside60": 0.40, "worst_day60": 0.20}
-    return {f"low_{k}": (1 - F.col(k) / v) for k, v in bad.items()}
 
+def whole(x: Column) -> Column:
+    """A number without decimals and with commas between thousands."""
+    return F.format_string("%,d", F.bround(x, 0).cast("long"))
 
-def liquidity_signals() -> dict[str, Column]:
+
+def _choice(test: Column, yes: str, no: str, strength: Column | None = None) -> Signal:
+    return Signal(flag(test) if strength is None else strength, test, F.when(test, yes).otherwise(no))
+
+
+def _return(x: Column, name: str) -> Signal:
+    return Signal(0.5 + x / 0.4, x > 0, F.concat(F.lit(f"{name} is "), percent(x, "%+.1f%%")))
+
+
+def _low(x: Column, bad: float, name: str) -> Signal:
+    return Signal(1 - x / bad, clamp01(1 - x / bad) >= 0.5, F.concat(F.lit(f"{name} is "), percent(x)))
+
+
+def trend_signals() -> dict[str, Signal]:
+    c, s50, s200, slope = (F.col(x) for x in ("last_close", "sma50", "sma200", "slope200"))
+    return {
+        "price_above_sma50": _choice(c > s50, "Price is above its 50-day average", "Price is below its 50-day average"),
+        "price_above_sma200": _choice(c > s200, "Price is above its 200-day average", "Price is below its 200-day average"),
+        "sma50_above_sma200": _choice(s50 > s200, "50-day average is above the 200-day average", "50-day average is below the 200-day average"),
+        "sma200_slope": _choice(slope > 0, "Long-term trend is rising", "Long-term trend is falling", 0.5 + slope / 0.002),
+    }
+
+
+def momentum_signals() -> dict[str, Signal]:
+    out = {f"return_{m}m": _return(F.col(f"ret{k}"), f"{m}m return") for m, k in ((1, 21), (3, 63), (6, 126), (12, 252))}
+    return out | {
+        "relative_momentum_12m": _return(F.col("ret252") - F.col("bench_ret252"), "12-month return vs benchmark"),
+        "relative_momentum_vs_sector": _return(F.col("ret252") - F.col("sector_ret252"), "12-month return vs its sector"),
+    }
+
+
+def risk_signals() -> dict[str, Signal]:
     return {
-        "volume_depth": (F.log10(F.greatest(F.col("avg_volume20"), F.lit(1.0))) / 6), "traded_value": (F.col("avg_traded20") / 1e6),
-        "no_zero_volume": (1 - F.col("zero_volume20") / 5.0), "no_stale_price": (1 - F.col("stale_price20") / 5.0),
+        "volatility_20d": _low(F.col("vol20"), 0.60, "20-day volatility"), "volatility_60d": _low(F.col("vol60"), 0.60, "60-day volatility"),
+        "max_drawdown_1y": _low(F.col("drawdown252"), 0.50, "1-year max drawdown"), "downside_deviation_60d": _low(F.col("downside60"), 0.40, "downside deviation"),
+        "largest_daily_loss_1y": _low(F.col("worst_day252"), 0.20, "largest 1-day loss"),
     }
 
 
-def positioning_signals() -> dict[str, Column]:
-    return {"near_high": (1 - F.col("from_high") / 0.5), "high_in_range": (F.col("range_position")), "off_low": (F.col("from_low") / 1.0)}
+def liquidity_signals() -> dict[str, Signal]:
+    value, volume, zero, stale = (F.col(x) for x in ("avg_traded20", "avg_volume20", "zero_volume20", "stale_price20"))
+    depth = F.log10(F.greatest(value, F.lit(1.0))) / 6
+    return {
+        "avg_traded_value_20d": Signal(F.when(value.isNotNull(), depth), depth >= 0.5, F.concat(F.lit("20-day average traded value is "), whole(value))),
+        "avg_volume_20d": Signal(volume / 1e6, volume >= 100_000, F.concat(F.lit("20-day average volume is "), whole(volume))),
+        "zero_volume_days_20d": Signal(1 - zero / 5.0, zero == 0, F.format_string("%d zero-volume day(s) in 20", zero)),
+        "stale_price_days_20d": Signal(1 - stale / 5.0, stale <= 1, F.format_string("%d stale-price day(s) in 20", stale)),
+    }
+
+
+def positioning_signals() -> dict[str, Signal]:
+    high, place, low = (F.col(x) for x in ("from_high", "range_position", "from_low"))
+    return {
+        "distance_from_52w_high": Signal(1 - high / 0.5, high < 0.25, F.concat(percent(high), F.lit(" below the 52-week high"))),
+        "position_in_52w_range": Signal(place, place >= 0.5, F.concat(F.lit("At the "), percent(place, "%.0f%%", 0), F.lit(" mark of its 52-week range"))),
+        "distance_from_52w_low": Signal(low / 1.0, low > 0.20, F.concat(percent(low), F.lit(" above the 52-week low"))),
+    }
 
 
-def sector_signals() -> dict[str, Column]:
+def sector_signals() -> dict[str, Signal]:
+    close, sma, slope = (F.col(x) for x in ("sector_close", "sector_sma200", "sector_slope200"))
     return {
-        "sector_over_sma200": flag(F.col("sector_close") > F.col("sector_sma200")), "sector_slope": (0.5 + F.col("sector_slope200") / 0.002),
-        "sector_ret63": (0.5 + F.col("sector_ret63") / 0.4), "sector_ret126": (0.5 + F.col("sector_ret126") / 0.4),
+        "sector_above_200d": _choice(close > sma, "Sector is above its 200-day average", "Sector is below its 200-day average"),
+        "sector_trend_rising": _choice(slope > 0, "Sector trend is rising", "Sector trend is falling", 0.5 + slope / 0.002),
+        "sector_momentum_3m": _return(F.col("sector_ret63"), "Sector 3m return"), "sector_momentum_6m": _return(F.col("sector_ret126"), "Sector 6m return"),
     }
 
 
@@ -89,7 +143,7 @@ def _clamped(rows: DataFrame, raw: dict[str, Column]) -> DataFrame:
 def with_signals(rows: DataFrame, *categories: str) -> DataFrame:
     """Add the strength of every signal of the categories (all without any) as a column ``x_<name>``."""
     raw = {f"x_{k}": v for name, make in CATEGORIES.items() if not categories or name in categories for k, v in make().items()}
-    return _clamped(rows, raw)
+    return _clamped(rows, {k: v.strength for k, v in raw.items()})
 
 
 @cache
@@ -103,7 +157,7 @@ def _x(category: str) -> list[Column]:
 
 def with_strengths(rows: DataFrame) -> DataFrame:
     """Add every signal as ``x_<name>`` and every part of the factor scores as ``<score>_<n>``, all in 0..1."""
-    raw = {f"x_{k}": v for make in CATEGORIES.values() for k, v in make().items()}
+    raw = {f"x_{k}": v.strength for make in CATEGORIES.values() for k, v in make().items()}
     return _clamped(rows, raw | {f"{name}_{i}": part for name, make in PARTS.items() for i, part in enumerate(make())})
 
 
@@ -141,11 +195,12 @@ def core_columns() -> dict[str, Column]:
 
 
 def signal_lists(rows: DataFrame) -> DataFrame:
-    """Names of the signals at 0.5 or more, below it, and missing, in the order of the signals."""
-    all_ = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"x_{k}").alias("x")) for keys in signal_names().values() for k in keys])
-    names = lambda test: F.transform(F.filter("_signals", test), lambda s: s["name"])
+    """Texts of the known signals that speak for and against, and names of the missing ones, in the order of the signals."""
+    each = {k: v for make in CATEGORIES.values() for k, v in make().items()}
+    all_ = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"x_{k}").isNotNull().alias("known"), v.positive.alias("positive"), v.text.alias("text")) for k, v in each.items()])
+    pick = lambda test, what: F.transform(F.filter("_signals", test), lambda s: s[what])
     return rows.withColumn("_signals", all_).select(
-        "instrument_id", names(lambda s: s["x"] >= 0.5).alias("positive"), names(lambda s: s["x"] < 0.5).alias("negative"), names(lambda s: s["x"].isNull()).alias("missing")
+        "instrument_id", pick(lambda s: s["known"] & s["positive"], "text").alias("positive"), pick(lambda s: s["known"] & ~s["positive"], "text").alias("negative"), pick(lambda s: ~s["known"], "name").alias("missing")
     )
 
 
@@ -156,7 +211,7 @@ def reversal_parts() -> list[Column]:
     off = F.col("from_low")
     return [
         turn + bounce, 0.5 + (F.col("last_close") / F.col("sma20") - 1) / 0.10, F.when(F.col("ret126") < 0, F.col("ret21") / 0.10),
-        F.when(off <= 0.15, off / 0.15).otherwise(1 - (off - 0.15) / 0.35), F.when(F.col("drawdown60") > 0, 1 - F.col("drawdown20") / F.col("drawdown60")),
+        F.when(off <= 0.15, off / 0.15).otherwise(1 - (off - 0.15) / 0.35), F.when(F.col("downside60") > 0, 1 - F.col("downside20") / F.col("downside60")),
     ]
 
 
@@ -176,7 +231,7 @@ def fundamental_value_parts() -> list[Column]:
 
 def fundamental_quality_parts() -> list[Column]:
     pe, margin, growth, debt = (F.col(c) for c in ("trailing_pe", "profit_margin", "revenue_growth", "debt_to_equity"))
-    return [F.when(pe > 0, 1 - (pe - 10) / 30), margin / 0.30, 0.5 + growth / 0.4, 1 - debt / 200]
+    return [F.when(pe > 0, 1 - (pe - 10) / 30), margin / 0.30, 0.5 + growth / 0.4, F.when(debt >= 0, 1 - debt / 200)]
 
 
 PARTS = {"reversal_score": reversal_parts, "price_value": price_value_parts, "fundamental_value": fundamental_value_parts, "fundamental_quality": fundamental_quality_parts}
@@ -192,12 +247,12 @@ def primary_score(momentum: Column, value: Column, momentum_weight: float = 0.5,
     return momentum if total <= 0 else (momentum * momentum_weight + F.coalesce(value, F.lit(50.0)) * value_weight) / total
 
 
-def final_score(factors: Mapping[str, Column], fundamental: Column, penalty: Column, weights: Mapping[str, float] = FACTOR_WEIGHTS) -> Column:
-    """Weighted mean of the known factors, cut without fundamentals and by the insider penalty."""
+def final_score(factors: Mapping[str, Column], penalty: Column, weights: Mapping[str, float] = FACTOR_WEIGHTS) -> Column:
+    """Weighted mean of the known factors, cut without fundamental value and by the insider penalty; two places."""
     total = sum((F.when(x.isNotNull(), weights[k]).otherwise(0.0) for k, x in factors.items()), F.lit(0.0))
     score = sum((F.coalesce(x, F.lit(0.0)) * weights[k] for k, x in factors.items()), F.lit(0.0)) / total
-    cut = F.when(fundamental.isNull(), 1 - NO_FUNDAMENTALS_PENALTY).otherwise(1.0) * (1 - F.coalesce(penalty, F.lit(0.0)))
-    return F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score * cut))).otherwise(0.0)
+    cut = F.when(factors["fundamental_value"].isNull(), 1 - NO_FUNDAMENTALS_PENALTY).otherwise(1.0) * (1 - F.coalesce(clamp01(penalty), F.lit(0.0)))
+    return F.when(total > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score * cut)), 2)).otherwise(0.0)
 
 
 def latest_fundamentals(snapshots: DataFrame, as_of: str) -> DataFrame:
@@ -222,14 +277,15 @@ def score_all(ind: DataFrame, instruments: DataFrame, snapshots: DataFrame, as_o
         "confidence": clamp01(0.5 * F.col("completeness") + 0.5 * clamp01(F.col("n_bars") / float(FULL_HISTORY))),
         "quality_score": 100 * F.coalesce(quality, F.lit(0.5)), "value_score": blended_value(F.col("price_value"), F.col("fundamental_value")),
     })
-    factors = {"core": F.col("core_score"), "value": F.col("value_score"), "reversal": F.col("reversal_score"), "quality": F.col("quality_score"), "sector": F.col("sector_score"), "insider": F.col("insider_score")}
+    names = {"fundamental_value": "fundamental_value", "price_cheapness": "price_value", "reversal": "reversal_score", "quality": "quality_score", "sector": "sector_score", "insider": "insider_score"}
+    factors = {k: F.round(F.col(c), 2) if k != "insider" else F.col(c) for k, c in names.items()}
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_ts")) / 86400
-    rows = rows.withColumns({"final_score": final_score(factors, F.col("fundamental_value"), F.col("insider_penalty")), "freshness_days": age})
+    rows = rows.withColumns({"final_score": final_score(factors, F.col("insider_penalty")), "freshness_days": age})
     return rows.withColumn("classification", classify(F.col("final_score")))
 
 
 def run_summary(considered: DataFrame, scored: DataFrame) -> DataFrame:
     """Considered, scored, skipped, and how many of each class."""
     n = considered.agg(F.count(F.lit(1)).alias("considered"))
-    s = scored.agg(F.count(F.lit(1)).alias("scored"), *[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in ("strong", "watch", "reject")])
+    s = scored.agg(F.count(F.lit(1)).alias("scored"), *[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in CLASSES])
     return n.join(s, F.lit(True)).withColumn("skipped", F.col("considered") - F.col("scored"))

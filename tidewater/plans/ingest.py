@@ -85,19 +85,27 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", F.coalesce(fixed, raw).alias("symbol"), fixed.isNotNull().alias("is_active"))
 
 
-@query("f9_vendor_symbol", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'T.L', 'T', 'T.DE', None, 'T.TO')} AS symbol FROM orders")
+_VENUES = (*nm.US_VENUES, *nm.SUFFIXES, "XTSE", None)
+_BROKER_CODES = ("AAPL_US_EQ", "VODl_EQ", "SAPd_EQ", "AIRp_EQ", "ASMLa_EQ", "ENIm_EQ", "SANe_EQ", "NESNs_EQ", "ROG_SW_EQ", "RAW_thing", "X_EQ", "PLAIN")
+_FOREIGN = "CASE {venue} WHEN 'XLON' THEN {0} WHEN 'XETR' THEN {1} WHEN 'XPAR' THEN {2} WHEN 'XAMS' THEN {3} WHEN 'XMIL' THEN {4} WHEN 'XMAD' THEN {5} WHEN 'XSWX' THEN {6} WHEN 'XSTO' THEN {7} WHEN 'XHEL' THEN {8} WHEN 'XCSE' THEN {9} WHEN 'XOSL' THEN {10} WHEN 'XDUB' THEN {11} WHEN 'XLIS' THEN {12} WHEN 'XBRU' THEN {13} WHEN 'XWBO' THEN {14} WHEN 'XWAR' THEN {15} END"
+_VENUE_SQL = _pick_sql("o_orderkey", *_VENUES)
+_venue_codes = lambda *codes: _FOREIGN.format(*[f"'{c}'" for c in codes], venue=f"({_VENUE_SQL})")
+_IS_US = f"({_VENUE_SQL}) IN ('XNAS', 'XNYS', 'ARCX', 'BATS')"
+
+
+@query("f9_vendor_symbol", f"SELECT o_orderkey, 'T' || CASE WHEN {_IS_US} THEN '' ELSE {_venue_codes('.L', '.DE', '.PA', '.AS', '.MI', '.MC', '.SW', '.ST', '.HE', '.CO', '.OL', '.IR', '.LS', '.BR', '.VI', '.WA')} END AS symbol FROM orders")
 def _(spark, d):
-    return orders(spark, d).select("o_orderkey", nm.vendor_symbol(F.lit("T"), _pick("o_orderkey", "XLON", "XNYS", "XETR", "XNONE", "XTSE")).alias("symbol"))
+    return orders(spark, d).select("o_orderkey", nm.vendor_symbol(F.lit("T"), _pick("o_orderkey", *_VENUES)).alias("symbol"))
 
 
-@query("f10_second_vendor_symbol", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'T.LSE', 'T.US', 'T.XETRA', None)} AS symbol FROM orders")
+@query("f10_second_vendor_symbol", f"SELECT o_orderkey, 'T.' || CASE WHEN {_IS_US} THEN 'US' ELSE {_venue_codes('LSE', 'XETRA', 'PA', 'AS', 'MI', 'MC', 'SW', 'ST', 'HE', 'CO', 'OL', 'IR', 'LS', 'BR', 'VI', 'WAR')} END AS symbol FROM orders")
 def _(spark, d):
-    return orders(spark, d).select("o_orderkey", nm.second_vendor_symbol(F.lit("T"), _pick("o_orderkey", "XLON", "XNAS", "XETR", "XNONE")).alias("symbol"))
+    return orders(spark, d).select("o_orderkey", nm.second_vendor_symbol(F.lit("T"), _pick("o_orderkey", *_VENUES)).alias("symbol"))
 
 
-@query("f11_broker_ticker", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'XNYS', 'XLON', 'XETR', None, 'XXXX')} AS venue, {_pick_sql('o_orderkey', 'AAPL', 'VOD', 'SAP', 'RAW', 'X')} AS bare FROM orders")
+@query("f11_broker_ticker", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'XNAS', 'XLON', 'XETR', 'XPAR', 'XAMS', 'XMIL', 'XMAD', 'XSWX', 'XSWX', None, None, None)} AS venue, {_pick_sql('o_orderkey', 'AAPL', 'VOD', 'SAP', 'AIR', 'ASML', 'ENI', 'SAN', 'NESN', 'ROG', 'RAW', 'X', 'PLAIN')} AS bare FROM orders")
 def _(spark, d):
-    code = _pick("o_orderkey", "AAPL_US_EQ", "VODl_EQ", "SAPd_EQ", "RAW_thing", "X_EQ")
+    code = _pick("o_orderkey", *_BROKER_CODES)
     return orders(spark, d).select("o_orderkey", nm.broker_venue(code).alias("venue"), nm.broker_bare(code).alias("bare"))
 
 
@@ -107,10 +115,13 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.settlement_currency(_pick("o_orderkey", "GBX", None, "EUR")).alias("settles"), kind.alias("kind"))
 
 
-_TITLES = ("Chief Financial Officer", "VP Sales", "CEO & Chair", "Vice President", "President", None)
+_TITLES = (
+    "Chief Financial Officer", "Chief Legal & Compliance Officer", "President", "President and CEO", "EVP and President, Retail", "Vice President", "Senior Vice-President", "SVP, CFO", "VP Sales", "Director", None, "",
+    *(f"{c.upper()} & Chair" for c in nm.CHIEFS),
+)
 
 
-@query("f13_c_suite_title", "SELECT o_orderkey, o_orderkey % 6 IN (0, 2, 4) AS c_suite FROM orders")
+@query("f13_c_suite_title", f"SELECT o_orderkey, o_orderkey % {len(_TITLES)} IN (0, 1, 2, 3, 7) OR o_orderkey % {len(_TITLES)} >= 12 AS c_suite FROM orders")
 def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.is_c_suite(_pick("o_orderkey", *_TITLES)).alias("c_suite"))
 
@@ -146,12 +157,14 @@ def _(spark, d):
     return fx.read(spark, d, "customer").select("c_custkey", nm.masked(F.col("c_name")).alias("account"))
 
 
-@query("f21_redaction", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Password=***,k=' || event_type ELSE 'note=' || event_type || ',API_KEY=***' END AS payload FROM events")
+@query("f21_redaction", """SELECT event_id, to_json({'a': {'b': [{'c': {'d': {'token': '[redacted]', 'note': event_type}}}]}, 'Password': '[redacted]', 'headers': json_object(['Api_Key', 'apikey', 'Authorization', 'session_token', 'private_key', 'encrypted_api_key', 'Secret', 'TOKEN', 'accept'][event_id % 9 + 1],
+    CASE WHEN event_id % 9 < 8 THEN '[redacted]' ELSE event_type END)})::VARCHAR AS payload FROM events""")
 def _(spark, d):
+    key = F.element_at(F.array(*map(F.lit, ("Api_Key", "apikey", "Authorization", "session_token", "private_key", "encrypted_api_key", "Secret", "TOKEN", "accept"))), (F.col("event_id") % 9 + 1).cast("int"))
     e = F.col("event_type")
-    payload = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("Password"), F.lit("x"), F.lit("k"), e)).otherwise(F.create_map(F.lit("note"), e, F.lit("API_KEY"), F.lit("y")))
-    flat = F.concat_ws(",", F.transform(F.map_entries(nm.redact(payload)), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
-    return fx.read(spark, d, "events").select("event_id", flat.alias("payload"))
+    inner = F.struct(F.struct(F.struct(e.alias("token"), e.alias("note")).alias("d")).alias("c"))
+    rows = fx.read(spark, d, "events").select("event_id", F.struct(F.struct(F.array(inner).alias("b")).alias("a"), e.alias("Password"), F.create_map(key, e).alias("headers"), F.struct(e.alias("id")).alias("api_key")).alias("payload"))
+    return rows.select("event_id", F.to_json(nm.redact(F.col("payload"), rows.schema["payload"].dataType)).alias("payload"))
 
 
 @query("f22_json_safe_metrics", "SELECT event_id, round(value / 3, 6) AS a, CAST(NULL AS DOUBLE) AS b FROM events")

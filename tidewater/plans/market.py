@@ -218,9 +218,9 @@ INDICATOR_SQL = {
     "n_bars": "max(n)", "last_ts": "max(ts)", "last_close": _NOW, "sma20": f"CASE WHEN max(n) >= 20 THEN {_MEAN} END", "sma50": f"max(sma50) {_F(1)}", "sma200": f"max(sma200) {_F(1)}",
     **{f"ret{k}": _ret_sql(k) for k in (21, 63, 126, 252)},
     "vol20": f"CASE WHEN max(n) >= 21 THEN stddev_samp(ret) {_F(20)} * sqrt(252) END", "vol60": f"CASE WHEN max(n) >= 61 THEN stddev_samp(ret) {_F(60)} * sqrt(252) END",
-    "downside60": f"CASE WHEN max(n) >= 61 THEN sqrt(avg(pow(least(ret, 0), 2)) {_F(60)}) * sqrt(252) END",
+    **{f"downside{p}": f"CASE WHEN max(n) > {p} THEN sqrt(avg(pow(least(ret, 0), 2)) {_F(p)}) * sqrt(252) END" for p in (20, 60)},
     **{f"drawdown{p}": f"CASE WHEN max(n) >= 2 THEN max(CASE WHEN peak{p} > 0 THEN (peak{p} - close) / peak{p} ELSE 0 END) {_F(p)} END" for p in (20, 60, 252)},
-    "worst_day60": f"CASE WHEN max(n) >= 2 THEN greatest(-min(ret) {_F(60)}, 0) END", "avg_volume20": f"CASE WHEN max(n) >= 20 THEN avg(volume) {_F(20)} END",
+    "worst_day252": f"CASE WHEN max(n) >= 2 THEN greatest(-min(ret) {_F(252)}, 0) END", "avg_volume20": f"CASE WHEN max(n) >= 20 THEN avg(volume) {_F(20)} END",
     "avg_traded20": f"CASE WHEN max(n) >= 20 THEN avg(close * volume) {_F(20)} END", "zero_volume20": "count(*) FILTER (WHERE rn <= 20 AND volume = 0)",
     "stale_price20": "count(*) FILTER (WHERE rn <= 20 AND close = prev)", "slope50": _slope_sql("sma50"), "slope200": _slope_sql("sma200"), "rsi14": _rsi_sql("pow0", 15),
     "rsi14_10_ago": _rsi_sql("pow10", 25), "from_high": f"CASE WHEN {_HI} > 0 THEN ({_HI} - {_NOW}) / ({_HI}) END", "from_low": f"CASE WHEN {_LO} > 0 THEN ({_NOW} - {_LO}) / ({_LO}) END",
@@ -245,8 +245,8 @@ def _indicator_query(name: str, columns: Iterable[str]) -> None:
 
 
 for _name, _columns in {
-    "i1_simple_moving_average": ["sma20", "sma50", "sma200"], "i4_trailing_return": ["ret21", "ret63", "ret126", "ret252"], "i5_annualised_volatility": ["vol20", "vol60"], "i6_downside_deviation": ["downside60"],
-    "i7_max_drawdown": ["drawdown20", "drawdown60", "drawdown252"], "i8_largest_daily_loss": ["worst_day60"], "i9_average_volume": ["avg_volume20"], "i10_average_traded_value": ["avg_traded20"],
+    "i1_simple_moving_average": ["sma20", "sma50", "sma200"], "i4_trailing_return": ["ret21", "ret63", "ret126", "ret252"], "i5_annualised_volatility": ["vol20", "vol60"], "i6_downside_deviation": ["downside20", "downside60"],
+    "i7_max_drawdown": ["drawdown20", "drawdown60", "drawdown252"], "i8_largest_daily_loss": ["worst_day252"], "i9_average_volume": ["avg_volume20"], "i10_average_traded_value": ["avg_traded20"],
     "i11_zero_volume_days": ["zero_volume20"], "i12_stale_price_days": ["stale_price20"], "i13_sma_slope": ["slope50", "slope200"], "i14_rsi": ["rsi14", "rsi14_10_ago"], "i15_distance_from_high": ["from_high"],
     "i16_distance_from_low": ["from_low"], "i17_position_in_range": ["range_position"], "i18_average_true_range": ["atr14"], "i19_bollinger_bands": ["boll_low", "boll_mid", "boll_high"], "i20_bollinger_position": ["boll_position"],
 }.items():
@@ -316,26 +316,45 @@ def _(spark, d):
 
 _C = lambda x: f"CASE WHEN ({x}) IS NOT NULL THEN greatest(0, least(1, {x})) END"
 _B = lambda t: f"CASE WHEN {t} THEN 1.0::DOUBLE WHEN NOT ({t}) THEN 0.0::DOUBLE END"
-SIGNAL_SQL = {
-    "trend": {"price_over_sma50": _B("last_close > sma50"), "price_over_sma200": _B("last_close > sma200"), "sma50_over_sma200": _B("sma50 > sma200"), "sma200_slope": _C("0.5 + slope200 / 0.002::DOUBLE")},
-    "momentum": {**{f"ret{k}": _C(f"0.5 + ret{k} / 0.4::DOUBLE") for k in (21, 63, 126, 252)}, "vs_benchmark": _C("0.5 + (ret252 - bench_ret252) / 0.4::DOUBLE"), "vs_sector": _C("0.5 + (ret252 - sector_ret252) / 0.4::DOUBLE")},
-    "risk": {f"low_{k}": _C(f"1 - {k} / {v}::DOUBLE") for k, v in {"vol20": 0.6, "vol60": 0.6, "drawdown252": 0.5, "downside60": 0.4, "worst_day60": 0.2}.items()},
-    "liquidity": {"volume_depth": _C("log10(greatest(avg_volume20, 1)) / 6"), "traded_value": _C("avg_traded20 / 1e6"), "no_zero_volume": _C("1 - zero_volume20 / 5.0::DOUBLE"), "no_stale_price": _C("1 - stale_price20 / 5.0::DOUBLE")},
-    "positioning": {"near_high": _C("1 - from_high / 0.5::DOUBLE"), "high_in_range": _C("range_position"), "off_low": _C("from_low")},
-    "sector": {"sector_over_sma200": _B("sector_close > sector_sma200"), "sector_slope": _C("0.5 + sector_slope200 / 0.002::DOUBLE"), "sector_ret63": _C("0.5 + sector_ret63 / 0.4::DOUBLE"), "sector_ret126": _C("0.5 + sector_ret126 / 0.4::DOUBLE")},
+# strength, whether it is positive, and the text of every signal
+_PCT = lambda x, form="%.1f%%", n=1: f"printf('{form}', round_even(({x}) * 100, {n}))"
+_WHOLE = lambda x: f"format('{{:,}}', round_even({x}, 0)::BIGINT)"
+_EITHER = lambda t, yes, no, strength=None: (strength or _B(t), t, f"CASE WHEN {t} THEN '{yes}' ELSE '{no}' END")
+_UP = lambda x, name: (_C(f"0.5 + ({x}) / 0.4::DOUBLE"), f"({x}) > 0", f"'{name} is ' || {_PCT(x, '%+.1f%%')}")
+_SAFE = lambda x, bad, name: (_C(f"1 - {x} / {bad}::DOUBLE"), f"{_C(f'1 - {x} / {bad}::DOUBLE')} >= 0.5", f"'{name} is ' || {_PCT(x)}")
+SIGNALS_SQL = {
+    "trend": {"price_above_sma50": _EITHER("last_close > sma50", "Price is above its 50-day average", "Price is below its 50-day average"),
+              "price_above_sma200": _EITHER("last_close > sma200", "Price is above its 200-day average", "Price is below its 200-day average"),
+              "sma50_above_sma200": _EITHER("sma50 > sma200", "50-day average is above the 200-day average", "50-day average is below the 200-day average"),
+              "sma200_slope": _EITHER("slope200 > 0", "Long-term trend is rising", "Long-term trend is falling", _C("0.5 + slope200 / 0.002::DOUBLE"))},
+    "momentum": {"return_1m": _UP("ret21", "1m return"), "return_3m": _UP("ret63", "3m return"), "return_6m": _UP("ret126", "6m return"), "return_12m": _UP("ret252", "12m return"),
+                 "relative_momentum_12m": _UP("ret252 - bench_ret252", "12-month return vs benchmark"), "relative_momentum_vs_sector": _UP("ret252 - sector_ret252", "12-month return vs its sector")},
+    "risk": {"volatility_20d": _SAFE("vol20", 0.6, "20-day volatility"), "volatility_60d": _SAFE("vol60", 0.6, "60-day volatility"), "max_drawdown_1y": _SAFE("drawdown252", 0.5, "1-year max drawdown"),
+             "downside_deviation_60d": _SAFE("downside60", 0.4, "downside deviation"), "largest_daily_loss_1y": _SAFE("worst_day252", 0.2, "largest 1-day loss")},
+    "liquidity": {"avg_traded_value_20d": (_C("CASE WHEN avg_traded20 IS NOT NULL THEN log10(greatest(avg_traded20, 1)) / 6 END"), "log10(greatest(avg_traded20, 1)) / 6 >= 0.5", f"'20-day average traded value is ' || {_WHOLE('avg_traded20')}"),
+                  "avg_volume_20d": (_C("avg_volume20 / 1e6"), "avg_volume20 >= 100000", f"'20-day average volume is ' || {_WHOLE('avg_volume20')}"),
+                  "zero_volume_days_20d": (_C("1 - zero_volume20 / 5.0::DOUBLE"), "zero_volume20 = 0", "zero_volume20 || ' zero-volume day(s) in 20'"),
+                  "stale_price_days_20d": (_C("1 - stale_price20 / 5.0::DOUBLE"), "stale_price20 <= 1", "stale_price20 || ' stale-price day(s) in 20'")},
+    "positioning": {"distance_from_52w_high": (_C("1 - from_high / 0.5::DOUBLE"), "from_high < 0.25", f"{_PCT('from_high')} || ' below the 52-week high'"),
+                    "position_in_52w_range": (_C("range_position"), "range_position >= 0.5", f"'At the ' || {_PCT('range_position', '%.0f%%', 0)} || ' mark of its 52-week range'"),
+                    "distance_from_52w_low": (_C("from_low"), "from_low > 0.2", f"{_PCT('from_low')} || ' above the 52-week low'")},
+    "sector": {"sector_above_200d": _EITHER("sector_close > sector_sma200", "Sector is above its 200-day average", "Sector is below its 200-day average"),
+               "sector_trend_rising": _EITHER("sector_slope200 > 0", "Sector trend is rising", "Sector trend is falling", _C("0.5 + sector_slope200 / 0.002::DOUBLE")),
+               "sector_momentum_3m": _UP("sector_ret63", "Sector 3m return"), "sector_momentum_6m": _UP("sector_ret126", "Sector 6m return")},
 }
+SIGNAL_SQL = {c: {k: v[0] for k, v in own.items()} for c, own in SIGNALS_SQL.items()}
 _M = lambda xs: f"list_avg([x FOR x IN [{', '.join(xs)}] IF x IS NOT NULL])"
 _POINTS = {k: f"{scoring.CATEGORY_MAX[k]}::DOUBLE * coalesce({_M(v.values())}, 0.5)" for k, v in SIGNAL_SQL.items()}
 _KNOWN = " + ".join(f"(({x}) IS NOT NULL)::INT" for v in SIGNAL_SQL.values() for x in v.values())
 _TURN = "0.5 + (rsi14 - rsi14_10_ago) / 20"
 _PARTS = {
     "reversal_score": [_C(f"({_C(_TURN)}) + CASE WHEN rsi14_10_ago < 40 AND rsi14 < 60 THEN 0.2::DOUBLE ELSE 0 END"), _C("0.5 + (last_close / sma20 - 1) / 0.1::DOUBLE"), f"CASE WHEN ret126 < 0 THEN {_C('ret21 / 0.1::DOUBLE')} END",
-                       f"CASE WHEN from_low <= 0.15 THEN {_C('from_low / 0.15::DOUBLE')} ELSE {_C('1 - (from_low - 0.15::DOUBLE) / 0.35::DOUBLE')} END", f"CASE WHEN drawdown60 > 0 THEN {_C('1 - drawdown20 / drawdown60')} END"],
+                       f"CASE WHEN from_low <= 0.15 THEN {_C('from_low / 0.15::DOUBLE')} ELSE {_C('1 - (from_low - 0.15::DOUBLE) / 0.35::DOUBLE')} END", f"CASE WHEN downside60 > 0 THEN {_C('1 - downside20 / downside60')} END"],
     "price_value": [_C("from_high / 0.4::DOUBLE"), _C("1 - range_position"), _C("0.5 + (CASE WHEN sma200 > 0 THEN 1 - last_close / sma200 END) / 0.4::DOUBLE"), _C("(70 - rsi14) / 40")],
     "fundamental_value": [f"CASE WHEN trailing_pe > 0 THEN {_C('1 / trailing_pe / 0.1::DOUBLE')} END", f"CASE WHEN price_to_book > 0 THEN {_C('1 - (price_to_book - 1) / 4')} END",
                           f"CASE WHEN trailing_pe > 0 AND price_to_book > 0 THEN {_C('(1 - sqrt(trailing_pe * price_to_book / 22.5::DOUBLE)) / 0.5::DOUBLE')} END",
                           f"CASE WHEN trailing_pe > 0 AND earnings_growth > 0 THEN {_C('(2 - trailing_pe / (100 * earnings_growth)) / 1.5::DOUBLE')} END", f"CASE WHEN dividend_yield >= 0 THEN {_C('dividend_yield / 0.04::DOUBLE')} END"],
-    "fundamental_quality": [f"CASE WHEN trailing_pe > 0 THEN {_C('1 - (trailing_pe - 10) / 30')} END", _C("profit_margin / 0.3::DOUBLE"), _C("0.5 + revenue_growth / 0.4::DOUBLE"), _C("1 - debt_to_equity / 200")],
+    "fundamental_quality": [f"CASE WHEN trailing_pe > 0 THEN {_C('1 - (trailing_pe - 10) / 30')} END", _C("profit_margin / 0.3::DOUBLE"), _C("0.5 + revenue_growth / 0.4::DOUBLE"), f"CASE WHEN debt_to_equity >= 0 THEN {_C('1 - debt_to_equity / 200')} END"],
 }
 SCORES_CTE = INDICATORS_CTE + f""",
     proxies AS (SELECT sector, min(instrument_id) AS proxy_id FROM instruments GROUP BY sector),
@@ -351,8 +370,8 @@ SCORES_CTE = INDICATORS_CTE + f""",
           FROM core LEFT JOIN f USING (instrument_id)),
     v AS (SELECT *, 100 * coalesce({_M(['fundamental_quality / 100', _M(SIGNAL_SQL['risk'].values()), _M(SIGNAL_SQL['liquidity'].values())])}, 0.5) AS quality_score,
           CASE WHEN fundamental_value IS NOT NULL THEN 0.65::DOUBLE * price_value + 0.35::DOUBLE * fundamental_value ELSE price_value END AS value_score FROM s),
-    fin AS (SELECT *, greatest(0, least(100, (0.3::DOUBLE * core_score + 0.29::DOUBLE * value_score + 0.05::DOUBLE * coalesce(reversal_score, 0) + 0.12::DOUBLE * quality_score + 0.09::DOUBLE * coalesce(sector_score, 0))
-          / (0.71::DOUBLE + CASE WHEN reversal_score IS NULL THEN 0 ELSE 0.05::DOUBLE END + CASE WHEN sector_score IS NULL THEN 0 ELSE 0.09::DOUBLE END) * CASE WHEN fundamental_value IS NULL THEN 0.9::DOUBLE ELSE 1 END)) AS final_score,
+    fin AS (SELECT *, round(greatest(0, least(100, (0.3::DOUBLE * coalesce(round(fundamental_value, 2), 0) + 0.29::DOUBLE * round(price_value, 2) + 0.05::DOUBLE * coalesce(round(reversal_score, 2), 0) + 0.12::DOUBLE * round(quality_score, 2) + 0.09::DOUBLE * coalesce(round(sector_score, 2), 0))
+          / (0.41::DOUBLE + CASE WHEN fundamental_value IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN reversal_score IS NULL THEN 0 ELSE 0.05::DOUBLE END + CASE WHEN sector_score IS NULL THEN 0 ELSE 0.09::DOUBLE END) * CASE WHEN fundamental_value IS NULL THEN 0.9::DOUBLE ELSE 1 END)), 2) AS final_score,
           (epoch(TIMESTAMP '2001-11-05') - epoch(last_ts)) / 86400 AS freshness_days FROM v)"""
 _SCORES_CTE = with_tables("candles", "instruments", "fundamentals") + SCORES_CTE.replace("""    fund AS (SELECT instrument_id, arg_max(trailing_pe, as_of) FILTER (WHERE true) AS x FROM fundamentals GROUP BY instrument_id),\n""", "")
 
@@ -387,15 +406,15 @@ for _name, _cat in {"c2_trend_signals": "trend", "c3_momentum_signals": "momentu
         return rounded(rows.select("instrument_id", *[f"x_{k}" for k in scoring.signal_names()[cat]]))
 
 
-_ALL = [(k, v) for s in SIGNAL_SQL.values() for k, v in s.items()]
-_LIST = lambda test: "array_to_string([p.name FOR p IN [" + ", ".join(f"{{'name': '{k}', 'x': {v}}}" for k, v in _ALL) + f"] IF {test}], ',')"
+_ALL = [(k, v) for s in SIGNALS_SQL.values() for k, v in s.items()]
+_LIST = lambda what, test: f"array_to_string([p.{what} FOR p IN [" + ", ".join(f"{{'name': '{k}', 'known': ({x}) IS NOT NULL, 'positive': {pos}, 'text': {text}}}" for k, (x, pos, text) in _ALL) + f"] IF {test}], ';')"
 
 
-@query("c9_signal_lists", _SCORES_CTE + f" SELECT instrument_id, {_LIST('p.x >= 0.5')} AS positive, {_LIST('p.x < 0.5')} AS negative, {_LIST('p.x IS NULL')} AS missing FROM ctx")
+@query("c9_signal_lists", _SCORES_CTE + f" SELECT instrument_id, {_LIST('text', 'p.known AND p.positive')} AS positive, {_LIST('text', 'p.known AND NOT p.positive')} AS negative, {_LIST('name', 'NOT p.known')} AS missing FROM ctx")
 def _(spark, d):
     ind = indicator_table(spark, d)
     lists = scoring.signal_lists(scoring.with_signals(scoring.with_context(ind.where(F.col("n_bars") >= 30), fx.instruments(spark, d))))
-    return lists.select("instrument_id", *[F.concat_ws(",", c).alias(c) for c in ("positive", "negative", "missing")])
+    return lists.select("instrument_id", *[F.concat_ws(";", c).alias(c) for c in ("positive", "negative", "missing")])
 
 
 @query("c16_primary_score", _SCORES_CTE + " SELECT instrument_id, round(core_score * 0.6 + coalesce(fundamental_value, 50) * 0.4, 5) AS primary_score FROM fin")
@@ -403,14 +422,14 @@ def _(spark, d):
     return rounded(scores(spark, d).select("instrument_id", scoring.primary_score(F.col("core_score"), F.col("fundamental_value"), 0.6, 0.4).alias("primary_score")), 5)
 
 
-@query("c19_scan_job", _SCORES_CTE + " SELECT instrument_id, round(final_score, 5) AS final_score, CASE WHEN final_score >= 75 THEN 'strong' WHEN final_score >= 60 THEN 'watch' ELSE 'reject' END AS classification, round(freshness_days, 2) AS freshness_days, tradable FROM fin JOIN instruments USING (instrument_id)")
+@query("c19_scan_job", _SCORES_CTE + " SELECT instrument_id, final_score, CASE WHEN final_score >= 75 THEN 'screening_candidate' WHEN final_score >= 60 THEN 'watchlist_candidate' ELSE 'does_not_pass' END AS classification, round(freshness_days, 2) AS freshness_days, tradable FROM fin JOIN instruments USING (instrument_id)")
 def _(spark, d):
     out = scores(spark, d).join(fx.instruments(spark, d).select("instrument_id", "tradable"), "instrument_id")
-    return out.select("instrument_id", F.round("final_score", 5).alias("final_score"), "classification", F.round("freshness_days", 2).alias("freshness_days"), "tradable")
+    return out.select("instrument_id", "final_score", "classification", F.round("freshness_days", 2).alias("freshness_days"), "tradable")
 
 
-@query("c20_run_summary", _SCORES_CTE + """ SELECT (SELECT count(*) FROM instruments) AS considered, count(*) AS scored, count(*) FILTER (WHERE final_score >= 75) AS n_strong,
-    count(*) FILTER (WHERE final_score >= 60 AND final_score < 75) AS n_watch, count(*) FILTER (WHERE final_score < 60) AS n_reject, (SELECT count(*) FROM instruments) - count(*) AS skipped FROM fin""")
+@query("c20_run_summary", _SCORES_CTE + """ SELECT (SELECT count(*) FROM instruments) AS considered, count(*) AS scored, count(*) FILTER (WHERE final_score >= 75) AS n_screening_candidate,
+    count(*) FILTER (WHERE final_score >= 60 AND final_score < 75) AS n_watchlist_candidate, count(*) FILTER (WHERE final_score < 60) AS n_does_not_pass, (SELECT count(*) FROM instruments) - count(*) AS skipped FROM fin""")
 def _(spark, d):
     return scoring.run_summary(fx.instruments(spark, d), scores(spark, d))
 
@@ -421,6 +440,6 @@ def _(spark, d):
     return fx.read(spark, d, "orders").select("o_orderkey", scoring.clamp01(x).alias("clamped"), scoring.saturate(x).alias("saturated"))
 
 
-@query("f24_classify", "SELECT o_orderkey, CASE WHEN o_totalprice / 5000 >= 75 THEN 'strong' WHEN o_totalprice / 5000 >= 60 THEN 'watch' ELSE 'reject' END AS class FROM orders")
+@query("f24_classify", "SELECT o_orderkey, CASE WHEN o_totalprice / 5000 >= 75 THEN 'screening_candidate' WHEN o_totalprice / 5000 >= 60 THEN 'watchlist_candidate' ELSE 'does_not_pass' END AS class FROM orders")
 def _(spark, d):
     return fx.read(spark, d, "orders").select("o_orderkey", scoring.classify(F.col("o_totalprice") / 5000).alias("class"))
