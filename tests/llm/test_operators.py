@@ -164,6 +164,48 @@ def test_nearest(spark):
     assert ann.nearest(alone, alone).count() == 6
 
 
+def test_nearest_of_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    huge = [float(x) * 1e155 for x in rng.standard_normal(8)]
+    tiny = [x * 1e-300 for x in huge]
+    rows = [(1, huge), (2, tiny), (3, [-x for x in huge]), (4, [1.0] * 8), (4, [1.0] * 8), (5, [2.0] * 8), (6, []), (None, [1.0] * 8), (7, [float("inf")] + [1.0] * 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("id", "v", "dim", "row", "tab", "prefix", "score", "rank")})
+    ask = table.where("vec_id IN (1, 4, 5)")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, ask.union(ask)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 12)))
+    assert got[1][0] == (1, 2, 1.0) and got[1][-1] == (5, 3, -1.0) and [i for _, i, _ in got[1]][1:4] in ([4, 4, 5], [5, 4, 4])
+    assert got[5][:2] == [(1, 4, 1.0), (2, 4, 1.0)] and len(got[5]) == 5 and got[4][0] == (1, 5, 1.0) and len(got[4]) == 4 and set(got) == {1, 4, 5}
+
+
+def test_equal_vectors_cost_no_neighbours(spark):
+    rows = [(i, [1.0, 0.5, 0.25]) for i in range(60)] + [(100 + i, [0.5, 1.0, float(i)]) for i in range(4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, table.where("vec_id < 30")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(got[q] == [i for i in range(6) if i != q][:5] for q in range(30))
+
+
+@pytest.mark.parametrize("shard", [64, 8192])
+def test_recall_on_the_given_table(spark, shard):
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.where("embedding IS NOT NULL").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ask = table.where("vec_id % 10 = 0")
+    found = collections.defaultdict(set)
+    for r in ann.nearest(table, ask, shard=shard).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hit = sum(len(found[q] & set(ids[np.lexsort((ids, np.where(ids == q, 9, -(u @ u[np.flatnonzero(ids == q)[0]]))))[:5]].tolist())) for q in found)
+    assert hit >= 0.9 * 5 * len(found) and len(found) == 50
+    assert 0 < ann.nearest(table, ask, with_visited=True).agg(F.avg("visited")).first()[0] < 0.9 * len(ids)
+
+
 def test_main_text(spark):
     from pyspark.sql import functions as F
 

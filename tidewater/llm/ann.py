@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by cosine with multiprobe p-stable hashing.
 
 Vectors are scaled to length one, where cosine and Euclidean distance order alike. A table hashes a
-vector to the cells of ``HASHES`` random projections of width ``WIDTH``. A query visits a table's cells
-in the order of their estimated success: the probability that a neighbour at distance ``REACH``, whose
-projections are normal around the query's, lies in the cell. The candidates of all tables are merged
-and reranked by exact cosine on the original vectors.
+vector to a bucket: its cells in random projections. A query visits a table's buckets in the order of
+their estimated success, the probability that a neighbour at distance ``reach``, whose projections are
+normal around the query's, lies in the bucket, until they add up to ``SUCCESS``. The candidates of all
+tables are merged and reranked by exact cosine on the original vectors.
 
-Vectors are dealt to shards by a hash, so no common region of space gathers in one task; blocks of
-queries visit every shard, and the best of all shards are merged.
+A vector goes once to each table, to the task that holds its bucket; a query goes to the tasks whose
+buckets it visits. Buckets of one prefix (the first projections' cells) share a task, so that a query's
+buckets, which differ in few cells, lie in few of them. Prefixes with many vectors are dealt to parts.
 """
 
 from __future__ import annotations
@@ -17,51 +18,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tables, projections of a table, cell width, cells visited a table, distance that probes aim at.
-TABLES, HASHES, WIDTH, PROBES, REACH, SEED = 8, 6, 1.6, 80, 1.05, 20
-#: Vectors of a shard, queries of a block, cells that a probe goes from home along one projection.
-SHARD, QUERY_BLOCK, SPAN = 8192, 4096, 1
-
-
-class Table:
-    """One hash table over a shard."""
-
-    def __init__(self, units: np.ndarray, number: int, hashes: int, width: float):
-        rng = np.random.default_rng([SEED, number, units.shape[1]])
-        self.axes, self.shift, self.width = rng.standard_normal((units.shape[1], hashes)), rng.uniform(0, width, hashes), width
-        codes = self.codes(np.floor(self.project(units)).astype(np.int64))
-        self.order = np.argsort(codes, kind="stable")
-        self.codes_sorted = codes[self.order]
-
-    def project(self, units: np.ndarray) -> np.ndarray:
-        return (units @ self.axes + self.shift) / self.width
+from .common import lookup, table
 
-    @staticmethod
-    def codes(cells: np.ndarray) -> np.ndarray:
-        code = np.zeros(cells.shape[:-1], np.int64)
-        for j in range(cells.shape[-1]):
-            code = code * 1_000_003 + cells[..., j]
-        return code
+#: Tables; cell width in units of ``reach``; summed success at which a query stops in a table, and most buckets.
+TABLES, WIDTH, SUCCESS, PROBES, SEED = 8, 2.8, 0.3, 1024, 20
+#: Vectors of a task's share of a table, queries of a block, cells that a probe goes from home in a projection.
+SHARD, QUERY_BLOCK, SPAN = 8192, 4096, 1
+#: Rows of the sample that ``reach`` is measured on: vectors and queries.
+SAMPLE, SAMPLE_QUERIES = 8192, 256
+#: Fewest and most projections of a table; one for each doubling of the vectors between.
+LEAST_HASHES, MOST_HASHES = 8, 24
 
-    def probes(self, units: np.ndarray, probes: int, reach: float) -> np.ndarray:
-        """Codes of the cells that each query visits, likeliest first."""
-        at = self.project(units)
-        home = np.floor(at)
-        steps = np.arange(-SPAN, SPAN + 1)
-        edges = home[..., None] + np.append(steps, SPAN + 1) - at[..., None]
-        below = _normal(edges * self.width / reach)
-        success = np.log(np.maximum(np.diff(below, axis=-1), 1e-12))
-        hashes = at.shape[1]
-        grid = np.stack(np.meshgrid(*[np.arange(len(steps))] * hashes, indexing="ij"), -1).reshape(-1, hashes)
-        total = sum(success[:, j, grid[:, j]] for j in range(hashes))
-        best = np.argsort(-total, axis=1, kind="stable")[:, :probes]
-        return self.codes(home[:, None, :].astype(np.int64) + steps[grid[best]])
 
-    def visit(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.codes_sorted, codes, "left"), np.searchsorted(self.codes_sorted, codes, "right")
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two, which is exact, so that squares stay finite; and their lengths then."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(-1))[1][..., None])
+    return x, np.sqrt((x * x).sum(-1))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -73,69 +49,231 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, half, 1 - half)
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, reach: float = REACH) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each query: its id, the ids and scores of its best k candidates, and how many it looked at."""
-    norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    units, q_units = x / norm[:, None], q / q_norm[:, None]
-    built = [Table(units, i, hashes, width) for i in range(tables)]
-    for at in range(0, len(q), 256):
-        part = slice(at, at + 256)
-        visits = [t.visit(t.probes(q_units[part], probes, reach)) for t in built]
-        for i in range(len(q_units[part])):
-            seen = np.zeros(len(x), bool)
-            for t, (lo, hi) in zip(built, visits, strict=True):
-                for a, b in zip(lo[i].tolist(), hi[i].tolist(), strict=True):
-                    if a < b:
-                        seen[t.order[a:b]] = True
-            j = at + i
-            seen &= ids != query_ids[j]
-            found = np.flatnonzero(seen)
-            yield (int(query_ids[j]), *_best(ids, x, norm, q[j], q_norm[j], found, k), len(found))
+class Table:
+    """One hash table's projections for vectors of a dimension."""
+
+    def __init__(self, number: int, dim: int, hashes: int, prefix: int, reach: float):
+        rng = np.random.default_rng([SEED, number, dim])
+        self.reach, self.width, self.prefix = reach, WIDTH * reach, prefix
+        self.axes, self.shift = rng.standard_normal((dim, hashes)), rng.uniform(0, self.width, hashes)
+        self.factors = rng.integers(1, 1 << 62, hashes) * 2 + 1
+
+    def project(self, units: np.ndarray) -> np.ndarray:
+        return (units @ self.axes + self.shift) / self.width
+
+    def buckets(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix and code of each vector's bucket."""
+        parts = np.cumsum(np.floor(self.project(units)).astype(np.int64) * self.factors, axis=1)
+        return parts[:, self.prefix - 1] if self.prefix else np.zeros(len(units), np.int64), parts[:, -1]
+
+    def probes(self, units: np.ndarray, success: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query prefixes and codes of the buckets that it visits, likeliest first.
+
+        The likeliest cells of the first projections are extended one projection at a time; as successes
+        multiply, the ``most`` likeliest of each step hold those of the next.
+        """
+        at = self.project(units)
+        home, steps = np.floor(at), np.arange(-SPAN, SPAN + 1)
+        edges = home[..., None] + np.append(steps, SPAN + 1) - at[..., None]
+        gain = np.log(np.maximum(np.diff(_normal(edges * (self.width / self.reach)), axis=-1), 1e-12))
+        cells = (home[..., None] + steps).astype(np.int64) * self.factors[:, None]
+        n = len(units)
+        best, code, prefix = np.zeros((n, 1)), np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64)
+        for j in range(at.shape[1]):
+            best = (best[:, :, None] + gain[:, j, None, :]).reshape(n, -1)
+            code = (code[:, :, None] + cells[:, j, None, :]).reshape(n, -1)
+            prefix = code if j < self.prefix else np.repeat(prefix, len(steps), axis=1)
+            if best.shape[1] > most:
+                keep = np.argpartition(-best, most - 1, axis=1)[:, :most]
+                best, code, prefix = (np.take_along_axis(a, keep, 1) for a in (best, code, prefix))
+        order = np.argsort(-best, axis=1, kind="stable")
+        best, code, prefix = (np.take_along_axis(a, order, 1) for a in (best, code, prefix))
+        before = np.cumsum(np.exp(best), axis=1) - np.exp(best)
+        for i in range(n):
+            visited = before[i] < success
+            yield prefix[i][visited], code[i][visited]
+
+
+def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(dimension, rows, their vectors scaled to length one)."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
+        x, norm = scaled(rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+        yield int(dim), rows, x / norm[:, None]
 
 
 def _best(ids: np.ndarray, x: np.ndarray, norm: np.ndarray, q: np.ndarray, q_norm: float, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best ``k`` of the vectors at ``found``."""
     score = (x[found] * q).sum(1) / (norm[found] * q_norm)
+    if len(found) > 4 * k:
+        near = np.flatnonzero(score >= np.partition(score, -k)[-k])
+        found, score = found[near], score[near]
     order = np.lexsort((ids[found], -score))[:k]
-    return ids[found][order], score[order]
+    return found[order], score[order]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v, dim): vectors that are not null, not zero and have finite components only."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    cut = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return cut.where(fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    cut = vectors.where(F.col(id_col).isNotNull() & fine & F.exists(F.col(vector_col), lambda x: x.cast("double") != 0))
+    return cut.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
+
 
+def candidates(vectors: DataFrame, k: int) -> DataFrame:
+    """Rows with a number each; of equal vectors those that can be among the best ``k`` of some query.
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", **parameters) -> DataFrame:
+    Equal vectors are equally near, and ties go to the smaller id: besides the query's own id only the
+    rows of the k + 1 smallest ids count, and of one id k rows.
+    """
+    same = Window.partitionBy("hash", "v").orderBy("id")
+    own = Window.partitionBy("hash", "v", "id").orderBy("dim")
+    rows = vectors.withColumn("hash", F.xxhash64("v")).withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") <= k + 1)
+    rows = rows.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k)
+    return table(rows.select("id", "v", "dim", F.monotonically_increasing_id().alias("row")))
+
+
+def measure_reach(x: DataFrame, q: DataFrame, rows: int, asked: int, k: int) -> dict[int, float]:
+    """By dimension the distance within which a query has its ``k`` nearest, from a bounded sample.
+
+    In a sample of the share f of the rows the neighbour of rank k * f stands for the k-th; its distance
+    for three quarters of the queries is taken. Dimensions that the sample lacks get 1.
+    """
+    share = lambda n, of: min(1.0, 1.2 * n / max(1, of))
+    some = x.sample(share(SAMPLE, rows), 1).limit(SAMPLE).collect()
+    few = q.sample(share(SAMPLE_QUERIES, asked), 2).limit(SAMPLE_QUERIES).collect()
+    reach: dict[int, float] = {}
+    for dim in {r["dim"] for r in few}:
+        a, ids = (np.array([r[c] for r in some if r["dim"] == dim], t) for c, t in (("v", float), ("id", np.int64)))
+        b, own = (np.array([r[c] for r in few if r["dim"] == dim], t) for c, t in (("v", float), ("id", np.int64)))
+        if len(a) < 2:
+            continue
+        (a, a_norm), (b, b_norm) = scaled(a), scaled(b)
+        cos = np.where(own[:, None] == ids, -1.0, (b / b_norm[:, None]) @ (a / a_norm[:, None]).T)
+        rank = min(len(a) - 1, max(1, round(k * len(some) / max(1, rows))))
+        reach[dim] = float(np.clip(np.quantile(np.sqrt(np.maximum(0, 2 - 2 * np.sort(cos, 1)[:, -rank])), 0.75), 0.05, 1.5))
+    return reach
+
+
+def nearest(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    tables: int = TABLES,
+    success: float = SUCCESS,
+    most_probes: int = PROBES,
+    shard: int = SHARD,
+    with_visited: bool = False,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest rows of ``vectors`` to each row of ``queries``.
 
     Nearest by cosine in double precision, ties to the smaller id. A query never finds rows of its own
     id; a repeated row is a candidate each time, a repeated query id counts once. Null, zero and
-    non-finite vectors take no part, and vectors meet only those of their own dimension. A query for
-    which a shard's cells hold fewer than k candidates looks at the whole shard, so every query gets k
-    rows if there are as many. Empty tables give no rows. parameters: those of ``search_shard``.
+    non-finite vectors take no part, and vectors meet only those of their own dimension. A query whose
+    buckets hold fewer than k candidates looks at all rows, so every query gets k rows if there are as
+    many. Empty tables give no rows. Other columns are ignored. with_visited: (query_id, visited) instead,
+    how many rows the query's buckets hold in all tables together, to measure how well they choose.
     """
-    x, q = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["id"])
-    shards, blocks = max(1, math.ceil(x.count() / SHARD)), max(1, math.ceil(q.count() / QUERY_BLOCK))
+    x, q = candidates(usable(vectors, id_col, vector_col), k), table(usable(queries, id_col, vector_col).dropDuplicates(["id"]))
+    rows, asked = x.count(), q.count()
+    reach = measure_reach(x, q, rows, asked, k)
+    hashes = min(MOST_HASHES, max(LEAST_HASHES, round(math.log2(max(1, rows)))))
+    prefix = min(hashes, max(0, math.floor(math.log2(max(1, rows) / shard))))
+
+    def hashing(number: int, dim: int) -> Table:
+        return Table(number, dim, hashes, prefix, reach.get(dim, 1.0))
+
+    def count(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for dim, _, units in _by_dimension(batch):
+                for t in range(tables):
+                    own, n = np.unique(hashing(t, dim).buckets(units)[0], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"dim": np.full(len(n), dim, np.int32), "tab": np.full(len(n), t, np.int32), "prefix": own, "n": n.astype(np.int64)})
+
+    def file(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for dim, own, units in _by_dimension(batch):
+                for t in range(tables):
+                    first, code = hashing(t, dim).buckets(units)
+                    yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(np.full(len(code), t, np.int32)), pa.array(first), pa.array(code), *(own.column(c) for c in ("id", "row", "v"))], names=["dim", "tab", "prefix", "code", "id", "row", "v"])
+
+    def visit(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for dim, own, units in _by_dimension(batch):
+                for t in range(tables):
+                    hasher = hashing(t, dim)
+                    for at in range(0, len(units), 64):
+                        take, prefixes, codes = [], [], []
+                        for i, (first, code) in enumerate(hasher.probes(units[at : at + 64], success, most_probes), at):
+                            for p in np.unique(first):
+                                take.append(i)
+                                prefixes.append(int(p))
+                                codes.append(code[first == p])
+                        some = own.take(pa.array(take))
+                        yield pa.RecordBatch.from_arrays([some.column("dim"), pa.array(np.full(len(take), t, np.int32)), pa.array(prefixes, pa.int64()), pa.array(codes, pa.list_(pa.int64())), some.column("id"), some.column("v")], names=["dim", "tab", "prefix", "codes", "id", "v"])
+
+    def search(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, float]] = []
+        if len(some) and len(asked):
+            some = some.sort_values("code", kind="stable")
+            code, ids, row = (some[c].to_numpy(np.int64) for c in ("code", "id", "row"))
+            vs, norm = scaled(np.stack(some["v"].to_numpy()).astype(np.float64))
+            qs, q_norm = scaled(np.stack(asked["v"].to_numpy()).astype(np.float64))
+            for i, (qid, codes) in enumerate(zip(asked["id"].to_numpy(np.int64), asked["codes"], strict=True)):
+                lo, hi = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = at[ids[at] != qid]
+                found, score = _best(ids, vs, norm, qs[i], q_norm[i], at, len(at) if with_visited else k)
+                out += [(int(qid), int(row[a]), int(ids[a]), float(s)) for a, s in zip(found, score, strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
+
+    key = ["dim", "tab", "prefix"]
+    large = table(x.mapInArrow(count, "dim int, tab int, prefix long, n long").groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * shard).select(*key, F.ceil(F.col("n") / shard).alias("parts")))
+    large = lookup(large, large.count())
+    v_type = dict(x.dtypes)["v"]
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    filed = x.mapInArrow(file, f"dim int, tab int, prefix long, code long, id long, row long, v {v_type}").join(large, key, "left").withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("parts")
+    probes = q.mapInArrow(visit, f"dim int, tab int, prefix long, codes array<long>, id long, v {dict(q.dtypes)['v']}").join(large, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    key.append("part")
+    found = filed.groupBy(*key).cogroup(probes.groupBy(*key)).applyInPandas(search, "query_id long, row long, vec_id long, score double")
+    if with_visited:
+        return found.groupBy("query_id").agg(F.count_distinct("row").alias("visited"))
+    found = table(_ranked(found.dropDuplicates(["query_id", "row"]), k))
+    short = q.join(found.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < k).select("id", "v", "dim")
+    short = table(short)
+    few = short.count()
+    if not few:
+        return found
+    done = found.join(lookup(short.select(F.col("id").alias("query_id")), few), "query_id", "left_anti")
+    return done.unionByName(_ranked(look_at_all(x, short, rows, few, k), k))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def look_at_all(x: DataFrame, q: DataFrame, rows: int, asked: int, k: int) -> DataFrame:
+    """The best ``k`` of every shard of the vectors for each query, shard by block of queries."""
+    shards, blocks = max(1, math.ceil(rows / SHARD)), max(1, math.ceil(asked / QUERY_BLOCK))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit("deal")), F.lit(n)).cast("int")
-    left = x.withColumn("shard", deal(shards)).withColumn("block", spread(blocks))
+    left = x.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
     right = q.withColumn("block", deal(blocks)).withColumn("shard", spread(shards))
     key = ["dim", "shard", "block"]
 
-    def search(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, float]] = []
-        if len(some) and len(asked):
-            some, asked = some.sort_values("id", kind="stable"), asked.sort_values("id", kind="stable")
-            ids, vs, qs = some["id"].to_numpy(np.int64), np.stack(some["v"].to_numpy()), np.stack(asked["v"].to_numpy())
-            norm = np.sqrt((vs * vs).sum(1))
-            for i, (qid, found, score, seen) in enumerate(search_shard(ids, vs, asked["id"].to_numpy(np.int64), qs, k, **parameters)):
-                if seen < k:
-                    found, score = _best(ids, vs, norm, qs[i], np.sqrt((qs[i] * qs[i]).sum()), np.flatnonzero(ids != qid), k)
-                rows += [(qid, int(a), float(b)) for a, b in zip(found, score, strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(some: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, float]] = []
+        if len(some) and len(few):
+            ids, row = some["id"].to_numpy(np.int64), some["row"].to_numpy(np.int64)
+            vs, norm = scaled(np.stack(some["v"].to_numpy()).astype(np.float64))
+            qs, q_norm = scaled(np.stack(few["v"].to_numpy()).astype(np.float64))
+            for i, qid in enumerate(few["id"].to_numpy(np.int64)):
+                found, score = _best(ids, vs, norm, qs[i], q_norm[i], np.flatnonzero(ids != qid), k)
+                out += [(int(qid), int(row[a]), int(ids[a]), float(s)) for a, s in zip(found, score, strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, row long, vec_id long, score double")
