@@ -447,3 +447,163 @@ def test_quality(spark, docs, empty, sf_dir):
     scores = quality.score_quality(docs, model).collect()
     assert len(scores) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scores)
     assert quality.score_quality(empty, quality.fit_quality(empty, labels)).count() == 0
+
+
+def slow_trees(x, y, trees):
+    """Boosted trees by plain loops over every row and threshold; scores of the rows of ``x``."""
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    rate = min(max(sum(y) / len(y), 0.01), 0.99)
+    raw = [math.log(rate / (1 - rate))] * len(y)
+
+    def grow(rows, g, h, depth):
+        gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best = (1e-6, None, None)
+        if depth < quality.DEPTH and len(rows) >= 2 * quality.LEAST_LEAF:
+            for j, own in enumerate(edges):
+                for cut in own:
+                    left = [i for i in rows if x[i, j] <= cut]
+                    if min(len(left), len(rows) - len(left)) < quality.LEAST_LEAF:
+                        continue
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    gain = gl**2 / (hl + quality.RIDGE) + (gs - gl) ** 2 / (hs - hl + quality.RIDGE) - gs**2 / (hs + quality.RIDGE)
+                    if gain > best[0] * (1 + 1e-12):
+                        best = (gain, j, cut)
+        if best[1] is None:
+            return quality.RATE * gs / (hs + quality.RIDGE)
+        _, j, cut = best
+        return (j, cut, grow([i for i in rows if x[i, j] <= cut], g, h, depth + 1), grow([i for i in rows if x[i, j] > cut], g, h, depth + 1))
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            j, cut, left, right = tree
+            tree = left if row[j] <= cut else right
+        return tree
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-r)) for r in raw]
+        tree = grow(list(range(len(y))), [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p], 0)
+        raw = [r + walk(tree, row) for r, row in zip(raw, x, strict=True)]
+    return [1 / (1 + math.exp(-r)) for r in raw]
+
+
+def test_boosted_trees_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(90, 4)), 2)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, 90)) > 0).astype(float)
+    for n in (1, 5):
+        monkeypatch.setattr(quality, "TREES", n)
+        assert quality.fit_trees(x, y).score(x) == pytest.approx(slow_trees(x, y, n), abs=1e-9)
+    model = quality.fit_trees(x, y)
+
+    def walk(row):
+        total = model.base
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at]
+            total += model.value[at]
+        return 1 / (1 + math.exp(-total))
+
+    fresh = rng.normal(size=(50, 4))
+    assert model.score(fresh) == pytest.approx([walk(r) for r in fresh])
+    assert quality.fit_trees(np.zeros((0, 4)), np.zeros(0)).score(fresh).tolist() == [0.5] * 50
+
+
+def test_statistics_of_a_text():
+    got = dict(zip(quality.FEATURES, quality.statistics("Ab abc abc ABC 12! | é\nhttp://x.y"), strict=True))
+    n = len("Ab abc abc ABC 12! | é\nhttp://x.y".encode())
+    assert got["log_chars"] == pytest.approx(math.log1p(n)) and got["log_words"] == pytest.approx(math.log1p(8))
+    assert got["upper_share"] == pytest.approx(4 / n) and got["digit_share"] == pytest.approx(2 / n) and got["wide_share"] == pytest.approx(2 / n)
+    assert got["distinct_share"] == 7 / 8 and got["same_as_last_share"] == 1 / 8 and got["upper_words"] == 1 / 8 and got["hash_like_share"] == 1 / 8
+    assert got["exclaim_share"] == pytest.approx(1 / n) and got["pipe_share"] == pytest.approx(1 / n) and got["newline_share"] == pytest.approx(1 / n)
+
+
+def test_interpolated_score_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(10)
+    word = lambda: f"W{int(rng.zipf(1.6)) % 50}"
+    rows = [(i, " ".join(word() for _ in range(int(rng.integers(0, 14))))) for i in range(60)] + [(61, None), (62, "W1 w2 new")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.interpolated_scores(frame, F.col("doc_id") % 3 != 0).collect()}
+    deleted = {r[0] for r in frame.where(F.pmod(F.xxhash64("doc_id", F.lit("deleted")), F.lit(lm.DELETED)) == 0).select("doc_id").collect()}
+    tokens = {i: (t or "").lower().split() + ["</s>"] for i, t in rows}
+    train = [i for i in tokens if i % 3 != 0]
+
+    def counts(ids):
+        one, two = collections.Counter(), collections.Counter()
+        for i in ids:
+            one.update(tokens[i])
+            two.update(zip(["<s>", *tokens[i]], tokens[i], strict=False))
+        return one, two, len(ids)
+
+    def terms(i, held):
+        one, two, docs = held
+        n = sum(one.values())
+        for before, word in zip(["<s>", *tokens[i]], tokens[i], strict=False):
+            context = docs if before == "<s>" else one[before]
+            yield context, (two[before, word] / context if context else 0.0), one[word] / n, 1 / (len(one) + 1)
+
+    bucket = lambda c: 0 if c == 0 else 1 + int(math.log2(c))
+    rest = counts([i for i in train if i not in deleted])
+    cells = collections.defaultdict(collections.Counter)
+    for i in train:
+        if i in deleted:
+            for context, two, one, uniform in terms(i, rest):
+                level = lambda p: math.exp(round(lm.STEPS * math.log(p / uniform)) / lm.STEPS) if p > 0 else 0.0  # noqa: B023, E731
+                cells[bucket(context)][level(two), level(one), 1.0] += 1
+    weights = collections.defaultdict(lambda: [0.3, 0.6, 0.1], {0: [0.0, 0.85, 0.15]})
+    for b, own in cells.items():
+        lam = weights[b]
+        for _ in range(lm.ROUNDS):
+            total = [0.0] * 3
+            for p, n in own.items():
+                parts = [x * y for x, y in zip(p, lam, strict=True)]
+                total = [t + n * x / sum(parts) for t, x in zip(total, parts, strict=True)]
+            lam = [t / sum(own.values()) for t in total]
+        lam = [lam[0], max(lam[1], 1e-6), max(lam[2], 1e-6)]
+        weights[b] = [x / sum(lam) for x in lam]
+    whole = counts(train)
+    assert deleted & set(train) and len(cells) > 1
+    for i in tokens:
+        want = sum(math.log10(sum(w * p for w, p in zip(weights[bucket(c)], ps, strict=True))) for c, *ps in terms(i, whole))
+        assert got[i] == pytest.approx(want, rel=1e-9), i
+
+
+def test_word_scores_against_brute_force(spark):
+    texts = [("the cat sat on the mat", "en"), ("le chat est assis là", "fr"), ("the hat", "en"), ("кот сидит", "ru")] * 3
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(train)
+    assert model.languages == ["en", "fr", "ru"]
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    cells = collections.defaultdict(collections.Counter)
+
+    def letters(word):
+        pair, triple, first, *_ = langid.words_of([word])
+        assert len(first) == 1 and len(pair) == len(word)
+        return list(zip(pair.tolist(), triple.tolist(), strict=True))
+
+    for t, x in texts:
+        for w in words(t):
+            for a, b in letters(w):
+                cells[x, 2][a] += 1
+                cells[x, 3][b] += 1
+    log = lambda x, size, cell: math.log((cells[x, size][cell] + langid.SMOOTH) / (sum(cells[x, size].values()) + langid.SMOOTH * langid.CELLS))
+    for word in ("the", "chat", "zebra", "là"):
+        pair, triple, first, _, script, *_ = langid.words_of([word])
+        got = langid.word_scores(model, pair, triple, first, script)[0]
+        want = [sum(log(x, 2, a) + log(x, 3, b) for a, b in letters(word)) for x in ("en", "fr")]
+        assert got[:2] == pytest.approx(want, rel=1e-4) and got[2] == -1e4
+    pair, triple, first, _, script, *_ = langid.words_of(["кот"])
+    assert langid.word_scores(model, pair, triple, first, script)[0].tolist()[:2] == [-1e4, -1e4]
+
+
+def test_remove_repeats_across_the_pieces_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 12)
+    rng = np.random.default_rng(11)
+    noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    a, b, c = noise(260), noise(5000), noise(200)
+    rows = [(1, noise(3900) + a + noise(4000) + c + noise(50)), (2, noise(100) + a + b), (3, b[:2500] + noise(7000) + b[2500:]), (None, noise(30) + c), (None, c[:199]), (5, a + a), (5, "é" * 150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup.remove_repeats(frame, length=200).collect())
+    raw = [t.encode() for _, t in rows]
+    assert got == sorted((str(i), len(t), n, kept) for (i, _), t, (kept, n) in zip(rows, raw, slow_removed(raw, 200), strict=True))

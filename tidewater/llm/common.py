@@ -71,3 +71,9 @@ def text_batches(batches: Iterator, most: int = 1 << 21) -> Iterator:
             stop = max(first + 1, int(np.searchsorted(upto, start + most, "right")))
             yield batch.slice(first, stop - first)
             first = stop
+
+
+def sample_by_id(rows: DataFrame, id_col: str, most: int, count: int) -> DataFrame:
+    """About ``most`` of ``count`` rows at most, those whose identifier has the smallest hash of 62 bits."""
+    share = min(1.0, most / max(1, count))
+    return rows if share == 1.0 else rows.where(F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("sample")), 2) < int(share * (1 << 62)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import sample_by_id, text_batches
 
 #: The most training documents (those with the smallest hash of the identifier), hashed cells and
 #: characters whose cells are scored at once.
@@ -87,8 +87,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     the driver.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(1.0, most_docs / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = sample_by_id(known, id_col, most_docs, known.count())
 
     def count(batches: Iterator) -> Iterator:
         held: dict[str, np.ndarray] = {}

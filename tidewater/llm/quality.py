@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import lookup, sample_by_id, table, text_batches
 
 #: The most labelled rows that a model is fitted on: those with the smallest hash of the identifier.
 MOST_ROWS = 20_000
@@ -139,12 +139,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     """Fit on about ``most_rows`` labelled rows at most, chosen by the hash of the identifier.
 
     labels: id_col and label_col (0 or 1); null labels and ids without a document are left out. The
-    chosen labels are broadcast, so no text is shuffled; only statistics of the sample reach the driver.
+    chosen labels are counted and broadcast, so no text is shuffled; only statistics of the sample reach
+    the driver. An identifier's repeated labels count once, different ones each.
     """
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    share = min(1.0, most_rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).distinct()
+    chosen = table(sample_by_id(known, "id", most_rows, known.count()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lookup(chosen, chosen.count()), "id")
     found = document_statistics(rows, "text", F.col("y"), F.col("id")).toPandas().sort_values(["id", "y"], kind="stable")
     x = np.stack(found["stats"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     order = np.lexsort([*x.T, found["y"].to_numpy(float), found["id"].to_numpy()]) if len(found) else np.zeros(0, int)
