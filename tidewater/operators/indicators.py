@@ -138,6 +138,14 @@ def indicators(candles: DataFrame, bars: int = 300, names: list[str] | None = No
     return rows.agg(*[INDICATORS[k]().alias(k) for k in (names or INDICATORS)])
 
 
+def series(candles: DataFrame, bars: int = 300, names: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
+    """The newest ``bars`` bars of each instrument as arrays in the order of time, ``bars`` long at most; no volume counts as 0."""
+    volume = F.coalesce("volume", F.lit(0.0)).alias("volume")
+    rows = newest_first(candles.select("instrument_id", "ts", *[volume if c == "volume" else c for c in names]), bars)
+    held = rows.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("ts", *names))).alias("s"))
+    return held.select("instrument_id", *[F.col(f"s.{c}").alias(c) for c in ("ts", *names)])
+
+
 def moving_averages(candles: DataFrame, p: int, bars: int = 300) -> DataFrame:
     """Every loaded bar with its simple moving average, NULL until ``p`` bars are there."""
     asc = Window.partitionBy("instrument_id").orderBy("ts")

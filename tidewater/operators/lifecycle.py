@@ -46,32 +46,59 @@ def proposal_states(proposals: DataFrame, decisions: DataFrame, as_of: str) -> D
     return out.select("proposal_id", F.when(expired, "expired").otherwise(F.coalesce("decision", F.lit("pending"))).alias("state"))
 
 
+def decide(proposals: DataFrame, actions: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(proposals after, what came of each action): only a pending proposal is actionable, once.
+
+    proposals: proposal_id, status, expires_at, suspended (its instrument). actions: proposal_id, nth (their
+    order), action (approve or reject), at. Approving an expired proposal expires it; approving one of a
+    suspended instrument is refused and changes nothing; rejecting needs neither. What is still pending and
+    past its time by ``as_of`` expires.
+    """
+    rows = actions.join(proposals, "proposal_id")
+    late = F.col("expires_at") <= F.col("at")
+    to = F.when(F.col("action") == "reject", "rejected").when(late, "expired").when(~F.col("suspended"), "approved")
+    before = Window.partitionBy("proposal_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("to", to).withColumn("done", (F.col("status") != "pending") | F.coalesce(F.max(F.col("to").isNotNull()).over(before), F.lit(False)))
+    rows = rows.withColumn("outcome", F.when(F.col("done"), "not actionable").when(F.col("to").isNull(), "suspended").otherwise(F.col("to")))
+    moves = rows.where("NOT done AND to IS NOT NULL").select("proposal_id", "to", "at")
+    out = proposals.join(moves, "proposal_id", "left")
+    swept = (F.col("status") == "pending") & F.col("to").isNull() & (F.col("expires_at") <= F.lit(as_of).cast("timestamp"))
+    after = F.coalesce("to", F.when(swept, "expired"), "status")
+    return out.select("proposal_id", after.alias("status"), F.when(F.col("to").isin("approved", "rejected"), F.col("at")).alias("decided_at")), rows.select("proposal_id", "nth", "action", "outcome")
+
+
 def admit(requests: DataFrame, daily: int, reserve: int, minute: int, critical: int = 2) -> DataFrame:
     """Quota over a request log: provider, day, ts, request_id, priority -> granted, reason.
 
     A day's limit is soft for critical priorities, which may draw on the reserve. A minute counts every
     call that passed the day's check, granted or not; the day counts granted calls only. Each decision
-    depends on the ones before, so a provider's day is folded in order.
+    depends on the ones before, so providers' days are dealt to tasks, sorted, and folded row by row; a
+    task holds the counters of one day, not its requests.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "request_id"], kind="stable")
-        used, minutes, out = 0, {}, []
-        for rid, ts, priority in zip(frame["request_id"], frame["ts"], frame["priority"], strict=True):
-            limit = daily + (reserve if priority <= critical else 0)
-            if used >= limit:
-                out.append((rid, False, "reserve exhausted" if priority <= critical else "daily limit"))
-                continue
-            bucket = ts.floor("min")
-            minutes[bucket] = minutes.get(bucket, 0) + 1
-            if minutes[bucket] > minute:
-                out.append((rid, False, "minute limit"))
-                continue
-            out.append((rid, True, "reserve" if used >= daily else "within budget"))
-            used += 1
-        return pd.DataFrame(out, columns=["request_id", "granted", "reason"])
-
-    return requests.groupBy("provider", "day").applyInPandas(fold, "request_id long, granted boolean, reason string")
+    def fold(frames):
+        key, used, minute_of, in_minute = None, 0, None, 0
+        for frame in frames:
+            out = []
+            for provider, day, rid, ts, rank in frame[["provider", "day", "request_id", "ts", "priority"]].itertuples(index=False):
+                if (provider, day) != key:
+                    key, used, minute_of, in_minute = (provider, day), 0, None, 0
+                limit = daily + (reserve if rank <= critical else 0)
+                if used >= limit:
+                    out.append((rid, False, "reserve exhausted" if rank <= critical else "daily limit"))
+                    continue
+                bucket = ts.floor("min")
+                in_minute = in_minute + 1 if bucket == minute_of else 1
+                minute_of = bucket
+                if in_minute > minute:
+                    out.append((rid, False, "minute limit"))
+                    continue
+                out.append((rid, True, "reserve" if used >= daily else "within budget"))
+                used += 1
+            yield pd.DataFrame(out, columns=["request_id", "granted", "reason"])
+
+    ordered = requests.repartition("provider", "day").sortWithinPartitions("provider", "day", "ts", "request_id")
+    return ordered.mapInPandas(fold, "request_id long, granted boolean, reason string")
 
 
 def canonical(event: dict) -> str:
@@ -81,19 +108,26 @@ def canonical(event: dict) -> str:
 def append_chain(events: DataFrame) -> DataFrame:
     """Hash chains: chain, event_id, kind, summary -> sequence, previous_hash, event_hash.
 
-    Every hash covers the one before, so a chain is folded in order; chains run in parallel.
+    Every hash covers the one before, so chains are dealt to tasks, sorted, and folded row by row; a task
+    holds the last hash of one chain, not its events. One chain alone is one task's work by its nature.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        previous, rows = GENESIS, []
-        for n, (chain, eid, kind, summary) in enumerate(frame.sort_values("event_id", kind="stable")[["chain", "event_id", "kind", "summary"]].itertuples(index=False), 1):
-            body = canonical({"chain": int(chain), "sequence": n, "kind": kind, "summary": summary, "previous": previous})
-            digest = hashlib.sha256(body.encode()).hexdigest()
-            rows.append((chain, eid, kind, summary, n, previous, digest))
-            previous = digest
-        return pd.DataFrame(rows, columns=["chain", "event_id", "kind", "summary", "sequence", "previous_hash", "event_hash"])
-
-    return events.groupBy("chain").applyInPandas(fold, "chain long, event_id long, kind string, summary string, sequence long, previous_hash string, event_hash string")
+    def fold(frames):
+        own, previous, n = None, GENESIS, 0
+        for frame in frames:
+            rows = []
+            for chain, eid, kind, summary in frame[["chain", "event_id", "kind", "summary"]].itertuples(index=False):
+                if chain != own:
+                    own, previous, n = chain, GENESIS, 0
+                n += 1
+                body = canonical({"chain": int(chain), "sequence": n, "kind": kind, "summary": summary, "previous": previous})
+                digest = hashlib.sha256(body.encode()).hexdigest()
+                rows.append((chain, eid, kind, summary, n, previous, digest))
+                previous = digest
+            yield pd.DataFrame(rows, columns=["chain", "event_id", "kind", "summary", "sequence", "previous_hash", "event_hash"])
+
+    ordered = events.select("chain", "event_id", "kind", "summary").repartition("chain").sortWithinPartitions("chain", "event_id")
+    return ordered.mapInPandas(fold, "chain long, event_id long, kind string, summary string, sequence long, previous_hash string, event_hash string")
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:

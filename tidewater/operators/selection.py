@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .upkeep import ranked_by_range
+
 
 def page(df: DataFrame, order: list, size: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(size)
@@ -37,13 +39,12 @@ def tiered(tiers: list[tuple[str, DataFrame, Column]], eligible: DataFrame, cap:
     return kept.orderBy("t.tier", "t.pos", "instrument_id").limit(cap).select("instrument_id", F.col("t.tier").alias("tier"), F.col("t.reason").alias("reason"))
 
 
-def chunks(windows: DataFrame, size: int, floor: str) -> DataFrame:
+def chunks(windows: DataFrame, size: int, floor: str, store) -> DataFrame:
     """Fetch plan: newest starts first, ``size`` instruments a chunk, each chunk from its earliest start.
 
-    The plan is one row an instrument that is to be fetched; numbering it is one ordered pass.
+    store: as in ``upkeep.ranked_by_range``, which numbers the plan without one task that holds it all.
     """
-    order = Window.orderBy(F.col("start").desc(), "instrument_id")
-    numbered = windows.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    numbered = ranked_by_range(windows, [F.col("start").desc(), F.col("instrument_id")], store).withColumn("chunk", F.floor(F.col("nth") / size))
     start = F.greatest(F.min("start"), F.lit(floor).cast("timestamp"))
     return numbered.groupBy("chunk").agg(start.alias("chunk_start"), F.count(F.lit(1)).alias("n"))
 

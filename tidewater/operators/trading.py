@@ -59,19 +59,25 @@ def floor_step(x: Column, digits: int = STEP) -> Column:
 
 
 def proposals(ind: DataFrame, equity: Column, risk: float = 0.01, multiple: float = 2.0, most: float = 0.10) -> DataFrame:
-    """Entry, stop, quantity and the first reason to refuse of rows with n_bars, last_close, atr14."""
-    entry, stop = F.col("last_close"), F.bround(F.col("last_close") - F.col("atr14") * multiple, STEP)
-    distance = entry - stop
-    quantity = floor_step(F.least(equity * risk / distance, equity * most / entry))
+    """Entry, stop, quantity, value and risk, or the first reason to refuse, of rows with n_bars, last_close, atr14.
+
+    suspended, has_pending: whether the instrument is suspended, and has a pending proposal already. The
+    newest 60 bars are what indicators should be of.
+    """
+    entry, distance = F.col("last_close"), F.col("atr14") * multiple
+    stop = F.bround(entry - distance, STEP)
+    quantity = floor_step(F.least(F.bround(equity * risk, 4) / distance, equity * most / entry))
     reason = (
-        F.when(F.col("n_bars") < 20, "not enough history")
-        .when(~(entry > 0), "no entry price")
-        .when(F.col("atr14").isNull() | (F.col("atr14") <= 0), "no stop distance")
-        .when(stop <= 0, "stop at or below zero")
-        .when(equity <= 0, "no equity")
-        .when(quantity <= 0, "sized to zero")
-    )
-    return ind.select("instrument_id", entry.alias("entry"), stop.alias("stop"), F.when(reason.isNull(), quantity.cast("double")).alias("quantity"), reason.alias("reason"))
+        F.when(F.col("suspended"), "suspended").when(F.col("n_bars") < 20, "not enough history").when(~(entry > 0), "no entry price")
+        .when(F.col("atr14").isNull() | (F.col("atr14") <= 0), "no stop distance").when(stop <= 0, "stop at or below zero").when(equity <= 0, "no equity")
+        .when(quantity <= 0, "sized to zero").when(F.col("has_pending"), "pending already")
+    )
+    known = lambda x: F.when(reason.isNull(), x)
+    amount = F.bround(quantity.cast("double") * distance, 4)
+    return ind.select(
+        "instrument_id", entry.alias("entry"), stop.alias("stop"), known(quantity.cast("double")).alias("quantity"), known(F.bround(quantity.cast("double") * entry, 4)).alias("position_value"),
+        known(amount).alias("risk_amount"), known(F.bround(amount / equity, 6)).alias("risk_share"), reason.alias("reason"),
+    )
 
 
 def smallest_cap(caps: dict[str, Column]) -> Column:
@@ -82,28 +88,35 @@ def smallest_cap(caps: dict[str, Column]) -> Column:
 def evaluate(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
     """The risk decision of candidates: gates in order, then caps of which the smallest wins.
 
-    rows: instrument_id, halted, stale, open_positions, is_new, trades_today, n_bars, last_close, atr14,
-    equity, cash, held_value, open_risk, regime, correlation, exposure.
+    rows: instrument_id, configured (a risk configuration is active; without one all is refused), halted,
+    stale, open_positions, is_new, trades_today, n_bars, last_close, atr14, equity, equity_ceiling (what a
+    live session was armed with, NULL: none), cash, held_value, open_risk, regime, monetary_cap (NULL: none),
+    correlation, exposure. applied: the binding cap, the regime where it cuts, the correlation cut.
     """
-    entry, equity = F.col("last_close"), F.col("equity")
+    entry, equity = F.col("last_close"), F.least("equity", "equity_ceiling")
     distance = F.col("atr14") * limits["multiple"]
     gate = (
-        F.when(F.col("halted"), "halted").when(F.col("stale"), "stale")
+        F.when(~F.coalesce("configured", F.lit(False)), "no configuration").when(F.col("halted"), "halted").when(F.col("stale"), "stale")
         .when(F.col("is_new") & (F.col("open_positions") >= limits["positions"]), "position cap").when(F.col("trades_today") >= limits["trades"], "trade cap")
         .when(F.col("n_bars") < 20, "not enough history").when(~(entry > 0), "no entry price").when(F.col("atr14").isNull() | (F.col("atr14") <= 0), "no stop distance")
         .when(entry - distance <= 0, "stop at or below zero").when(equity <= 0, "no equity")
     )
     zero = F.lit(0.0)
     cap = smallest_cap({
-        "risk_budget": equity * limits["risk"] * F.col("regime") / distance, "max_position": equity * limits["position"] / entry,
-        "max_instrument": F.greatest(equity * limits["instrument"] - F.col("held_value"), zero) / entry, "available_cash": F.least(F.col("cash"), equity) / entry,
-        "open_risk": F.greatest(equity * limits["open_risk"] - F.col("open_risk"), zero) / distance,
+        "risk_budget": equity * limits["risk"] * F.col("regime") / distance, "max_position_pct": equity * limits["position"] / entry,
+        "max_instrument_pct": F.greatest(equity * limits["instrument"] - F.col("held_value"), zero) / entry, "available_cash": F.least(F.col("cash"), equity) / entry,
+        "max_total_open_risk": F.greatest(equity * limits["open_risk"] - F.col("open_risk"), zero) / distance, "monetary_cap": F.coalesce(F.col("monetary_cap") / entry, F.lit(float("inf"))),
     })
     reduce = (F.col("correlation") > limits["correlation"]) & (F.col("exposure") > limits["exposure"])
     out = rows.withColumn("cap", cap).withColumn("reduced", F.coalesce(reduce, F.lit(False)))
     quantity = floor_step(F.col("cap.value") * F.when(F.col("reduced"), 0.5).otherwise(1.0))
     reason = F.coalesce(gate, F.when(quantity <= 0, "sized to zero"))
-    return out.select("instrument_id", F.when(reason.isNull(), quantity.cast("double")).alias("quantity"), F.when(reason.isNull(), F.col("cap.name")).alias("binding"), "reduced", reason.alias("reason"))
+    known = lambda x: F.when(reason.isNull(), x)
+    applied = F.array_compact(F.array(F.col("cap.name"), F.when(F.col("regime") < 1, F.concat(F.lit("market regime x"), F.col("regime").cast("string"))), F.when(F.col("reduced"), "correlation_reduction")))
+    return out.select(
+        "instrument_id", known(quantity.cast("double")).alias("quantity"), known(F.col("cap.name")).alias("binding"), known(applied).alias("applied"), "reduced",
+        known(F.floor((quantity.cast("double") * distance).cast("decimal(38,10)"), 4).cast("double")).alias("risk_amount"), reason.alias("reason"),
+    )
 
 
 def mean_reversion(rows: DataFrame, oversold: float = 35.0, least_atr: float = 0.02, veto: float = 0.10, most_drop: float = 1.0) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bars, lifecycle, selection
+from ..operators import bars, lifecycle, selection, upkeep
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF, with_tables
+from ..sources.scratch import stored
+from . import market
 from .market import rounded
 
 QUERIES: dict = {}
@@ -87,7 +89,7 @@ def _(spark, d):
 
 @query("t4_fetch_chunks", f"WITH {WINDOWS}, n AS (SELECT *, (row_number() OVER (ORDER BY start DESC, instrument_id) - 1) // 25 AS chunk FROM wn) SELECT chunk, greatest(min(start), TIMESTAMP '1999-11-06') AS chunk_start, count(*) AS n FROM n GROUP BY chunk")
 def _(spark, d):
-    return selection.chunks(windows(spark, d), 25, "1999-11-06")
+    return selection.chunks(windows(spark, d), 25, "1999-11-06", lambda df: stored(df, "chunks"))
 
 
 @query("t5_strategy_universe", f"WITH {RESULTS} SELECT instrument_id, score FROM results WHERE run_id = (SELECT max(run_id) FROM results WHERE run_id % 3 <> 0) AND tradable ORDER BY score DESC, instrument_id, result_id LIMIT 20")
@@ -312,9 +314,48 @@ def _(spark, d):
     return resolved(spark, d)
 
 
-@query("in1_instrument_sync", _RES + " SELECT CASE WHEN i1 IS NOT NULL THEN 'isin' WHEN i2 IS NOT NULL THEN 'ticker' ELSE 'new' END AS tier, count(*) AS n FROM rs GROUP BY ALL")
+_ENDS = ("l_EQ", "_US_EQ", "d_EQ", "p_EQ", "_odd")
+_PLACES = ("XLON", "XNAS", "XETR", "XPAR", None)
+_SYNC = """WITH li AS (SELECT 'T' || c_custkey % 140 || ['l_EQ', '_US_EQ', 'd_EQ', 'p_EQ', '_odd'][c_nationkey % 5 + 1] AS broker_ticker, 'T' || c_custkey % 140 AS bare, ['XLON', 'XNAS', 'XETR', 'XPAR', NULL][c_nationkey % 5 + 1] AS venue,
+        arg_min(CASE WHEN c_custkey % 3 <> 0 THEN 'ISIN' || c_custkey % 150 END, c_custkey) FILTER (WHERE true) AS isin0, min(c_custkey) AS k FROM customer GROUP BY ALL),
+    ls AS (SELECT broker_ticker, bare, venue, CASE WHEN k % 3 <> 0 THEN 'ISIN' || k % 150 END AS isin, k % 8 <> 0 AS available FROM li),
+    st AS (SELECT 'T' || p_partkey % 170 || ['l_EQ', '_US_EQ', 'd_EQ', 'p_EQ', '_odd'][p_partkey % 5 + 1] AS broker_ticker, bool_or(p_size > 10) AS is_available FROM part GROUP BY ALL),
+    kn AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 4 <> 0 THEN 'ISIN' || s_suppkey END AS isin, ['XLON', 'XNAS', 'XETR', 'XPAR', NULL][s_nationkey % 5 + 1] AS venue, 'T' || s_suppkey AS ticker FROM supplier),
+    m1 AS (SELECT broker_ticker, min(instrument_id) AS i1 FROM ls JOIN kn ON ls.isin = kn.isin AND (ls.venue IS NULL OR ls.venue = kn.venue) GROUP BY ALL),
+    m2 AS (SELECT broker_ticker, min(instrument_id) AS i2, arg_min(kn.isin IS NULL, instrument_id) AS no_isin FROM ls JOIN kn ON ls.venue = kn.venue AND bare = ticker GROUP BY ALL),
+    r AS (SELECT ls.*, i1, i2, coalesce(no_isin, false) AS no_isin, row_number() OVER (PARTITION BY coalesce(i1, i2) IS NULL, CASE WHEN isin IS NOT NULL THEN 'i' || isin || coalesce(venue, '') WHEN venue IS NOT NULL THEN 'b' || bare || venue ELSE 't' || broker_ticker END ORDER BY broker_ticker) AS nth
+          FROM ls LEFT JOIN m1 USING (broker_ticker) LEFT JOIN m2 USING (broker_ticker)),
+    t AS (SELECT *, CASE WHEN i1 IS NOT NULL THEN 'isin' WHEN i2 IS NOT NULL THEN 'ticker' WHEN nth = 1 THEN 'new' WHEN isin IS NOT NULL THEN 'isin' ELSE 'ticker' END AS tier FROM r),
+    ch AS (SELECT broker_ticker, CASE WHEN broker_ticker IN (SELECT broker_ticker FROM st) THEN 'updated' ELSE 'created' END AS action, tier, coalesce(i1, i2) AS instrument_id, i1 IS NULL AND no_isin AND isin IS NOT NULL AS fills_isin,
+                  tier = 'new' AND isin IS NULL AS needs_confirmation, available FROM t
+           UNION ALL SELECT broker_ticker, 'delisted', NULL, NULL, NULL, NULL, false FROM st WHERE is_available AND broker_ticker NOT IN (SELECT broker_ticker FROM ls))
+    """.replace("arg_min(CASE WHEN c_custkey % 3 <> 0 THEN 'ISIN' || c_custkey % 150 END, c_custkey) FILTER (WHERE true) AS isin0, ", "")
+
+
+def _one_of(key, *choices):
+    return F.element_at(F.array(*map(F.lit, choices)), (key % len(choices) + 1).cast("int"))
+
+
+def synced(spark, d):
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    c = fx.read(spark, d, "customer")
+    first = c.groupBy(F.concat(text("T", F.col("c_custkey") % 140), _one_of(F.col("c_nationkey"), *_ENDS)).alias("broker_ticker")).agg(F.min("c_custkey").alias("k"))
+    listing = first.select("broker_ticker", F.when(F.col("k") % 3 != 0, text("ISIN", F.col("k") % 150)).alias("isin"), (F.col("k") % 8 != 0).alias("available"))
+    kept = fx.read(spark, d, "part").groupBy(F.concat(text("T", F.col("p_partkey") % 170), _one_of(F.col("p_partkey"), *_ENDS)).alias("broker_ticker")).agg(F.bool_or(F.col("p_size") > 10).alias("is_available"))
+    k = F.col("s_suppkey")
+    known = fx.read(spark, d, "supplier").select(k.alias("instrument_id"), F.when(k % 4 != 0, text("ISIN", k)).alias("isin"), _one_of(F.col("s_nationkey"), *_PLACES).alias("venue"), text("T", k).alias("ticker"))
+    return upkeep.sync_catalogue(listing, kept, known)
+
+
+@query("in1_instrument_sync", _SYNC + "SELECT * FROM ch")
+def _(spark, d):
+    return synced(spark, d)
+
+
+@query("in1_sync_counts", _SYNC + """SELECT count(*) FILTER (WHERE action <> 'delisted') AS listed, count(*) FILTER (WHERE action = 'created') AS created, count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'delisted') AS delisted,
+    count(*) FILTER (WHERE tier = 'new') AS instruments_created, count(*) FILTER (WHERE tier = 'isin') AS matched_by_isin, count(*) FILTER (WHERE needs_confirmation) AS needing_confirmation FROM ch""")
 def _(spark, d):
-    return resolved(spark, d).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return upkeep.sync_counts(synced(spark, d))
 
 
 @query("j11_unique_ticker", "SELECT c_nationkey % 7 * 100 + c_custkey % 211 AS ticker, min(c_custkey) AS instrument_id FROM customer GROUP BY ALL HAVING count(*) = 1")
@@ -405,12 +446,40 @@ def _(spark, d):
     return f.agg(*[(F.count(c) / F.count(F.lit(1))).alias(a) for c, a in (("trailing_pe", "pe"), ("price_to_book", "pb"), ("debt_to_equity", "de"))])
 
 
-@query("in2_backfill_counts", f"WITH {_MAPS} SELECT CASE WHEN s_suppkey IN (SELECT instrument_id FROM mp WHERE priority < 3) THEN 'already mapped' WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate > TIMESTAMP '2001-10-20') THEN 'ingested' ELSE 'no data' END AS status, count(*) AS n FROM supplier GROUP BY ALL")
+_MICS = ("XNAS", "XLON", "XETR", "XTSE", "XPAR", None)
+_BACK = with_tables("candles") + f""", {_MAPS}, ii AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 13 = 0 THEN 'W' || s_suppkey || '/W' ELSE 's' || s_suppkey END AS ticker, ['XNAS', 'XLON', 'XETR', 'XTSE', 'XPAR', NULL][s_nationkey % 6 + 1] AS venue FROM supplier),
+    sy AS (SELECT instrument_id, CASE WHEN instrument_id % 13 <> 0 THEN 'S' || instrument_id || CASE venue WHEN 'XNAS' THEN '' WHEN 'XLON' THEN '.L' WHEN 'XETR' THEN '.DE' WHEN 'XPAR' THEN '.PA' END END AS symbol FROM ii),
+    fd AS (SELECT c.*, close * 2 AS again FROM candles c WHERE ts > TIMESTAMP '2000-10-01' AND instrument_id % 9 <> 4), fed AS (SELECT fd.* FROM fd JOIN sy USING (instrument_id) WHERE symbol IS NOT NULL),
+    bf AS (SELECT sy.instrument_id, symbol, symbol IS NOT NULL AND sy.instrument_id NOT IN (SELECT instrument_id FROM mp WHERE priority < 3) AS mapping_created, CASE WHEN symbol IS NULL THEN 'unsupported' WHEN n IS NULL THEN 'no data' ELSE 'ingested' END AS status,
+           coalesce(n, 0) AS candles_written FROM sy LEFT JOIN (SELECT instrument_id, count(*) AS n FROM fed GROUP BY ALL) USING (instrument_id)),
+    bk AS (SELECT instrument_id, ts, arg_max(close, r) AS close FROM (SELECT instrument_id, ts, close, 1 AS r FROM candles WHERE ts <= TIMESTAMP '2001-03-01' UNION ALL SELECT instrument_id, ts, again, 2 FROM fed) GROUP BY ALL)"""
+
+
+def _backfilled(spark, d):
+    k = F.col("s_suppkey")
+    ticker = F.when(k % 13 == 0, F.concat(F.lit("W"), k.cast("string"), F.lit("/W"))).otherwise(F.concat(F.lit("s"), k.cast("string")))
+    instruments = fx.read(spark, d, "supplier").select(k.alias("instrument_id"), ticker.alias("ticker"), _one_of(F.col("s_nationkey"), *_MICS).alias("venue"))
+    c = fx.candles(spark, d).select("instrument_id", "ts", "close")
+    have = mappings(spark, d).where("priority < 3").select("instrument_id")
+    names = upkeep.map_by_ticker(instruments, have).select("instrument_id", "symbol")
+    feed = c.where("ts > TIMESTAMP '2000-10-01' AND instrument_id % 9 <> 4").join(names, "instrument_id").select("symbol", "ts", (F.col("close") * 2).alias("close"), F.lit(2).alias("retrieved_at"))
+    return upkeep.backfill(instruments, have, feed, c.where("ts <= TIMESTAMP '2001-03-01'").withColumn("retrieved_at", F.lit(1)))
+
+
+@query("in2_backfill", _BACK + " SELECT * FROM bf")
+def _(spark, d):
+    return _backfilled(spark, d)[0]
+
+
+@query("in2_backfill_counts", _BACK + " SELECT status, count(*) AS n, count(*) FILTER (WHERE mapping_created) AS mapped, sum(candles_written)::BIGINT AS candles_written FROM bf GROUP BY status")
+def _(spark, d):
+    rows = _backfilled(spark, d)[0].groupBy("status")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("mapping_created").alias("mapped"), F.sum("candles_written").alias("candles_written"))
+
+
+@query("in2_backfilled_candles", _BACK + " SELECT instrument_id, count(*) AS n_bars, round(sum(close), 4) AS closes FROM bk GROUP BY instrument_id")
 def _(spark, d):
-    m = mappings(spark, d).where("priority < 3").select("instrument_id", F.lit(True).alias("m")).distinct()
-    c = fx.candles(spark, d).where("ts > TIMESTAMP '2001-10-20'").select("instrument_id", F.lit(True).alias("c")).distinct()
-    out = fx.instruments(spark, d).select("instrument_id").join(m, "instrument_id", "left").join(c, "instrument_id", "left")
-    return out.groupBy(F.when(F.col("m"), "already mapped").when(F.col("c"), "ingested").otherwise("no data").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(_backfilled(spark, d)[1].groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("close").alias("closes")), 4)
 
 
 @query("in3_enrichment", with_tables("fundamentals", "instruments") + " SELECT instrument_id, coalesce(CASE WHEN instrument_id % 2 = 0 THEN 'S' || sector END, 'unknown') AS sector, DATE '2001-11-05' AS as_of FROM instruments WHERE instrument_id NOT IN (SELECT instrument_id FROM fundamentals WHERE trailing_pe > 20)")
@@ -420,15 +489,36 @@ def _(spark, d):
     return fx.instruments(spark, d).join(have, "instrument_id", "left_anti").select("instrument_id", F.coalesce(sector, F.lit("unknown")).alias("sector"), F.lit(AS_OF).cast("date").alias("as_of"))
 
 
-@query("in5_sector_proxies", with_tables("instruments") + " SELECT sector, min(instrument_id) AS proxy, count(*) FILTER (WHERE suspended) > 0 AS needs_new FROM instruments GROUP BY sector")
+@query("in5_sector_proxies", """WITH w AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(upkeep.SECTOR_PROXIES.items())) + """) AS t(symbol, name, i)),
+    mp AS (SELECT p_partkey % 16 AS i, p_partkey AS instrument_id FROM part WHERE p_partkey % 16 < 6), fd AS (SELECT l_suppkey % 14 AS i, l_shipdate AS ts FROM lineitem WHERE l_suppkey % 14 > 2)
+    SELECT symbol, name, (SELECT min(instrument_id) FROM mp WHERE mp.i = w.i) AS instrument_id, NOT EXISTS (FROM mp WHERE mp.i = w.i) AS created, (SELECT count(DISTINCT ts) FROM fd WHERE fd.i = w.i) AS candles_written FROM w""")
 def _(spark, d):
-    return fx.instruments(spark, d).groupBy("sector").agg(F.min("instrument_id").alias("proxy"), (F.count_if("suspended") > 0).alias("needs_new"))
+    names = F.array(*map(F.lit, (*upkeep.SECTOR_PROXIES, *("OTHER",) * 5)))
+    m = fx.read(spark, d, "part").where("p_partkey % 16 < 6").select(F.element_at(names, (F.col("p_partkey") % 16 + 1).cast("int")).alias("symbol"), F.col("p_partkey").alias("instrument_id"))
+    feed = fx.read(spark, d, "lineitem").where("l_suppkey % 14 > 2").select(F.element_at(names, (F.col("l_suppkey") % 14 + 1).cast("int")).alias("symbol"), F.col("l_shipdate").alias("ts"))
+    return upkeep.ensure_proxies(m, feed)
+
+
+_NAMED = "nm AS (SELECT DISTINCT o_orderkey % 130 AS instrument_id FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 
-@query("in6_on_demand_refresh", with_tables("candles") + " SELECT instrument_id, true AS is_ad_hoc, CASE WHEN count(*) < 530 THEN 'not enough history' END AS reason FROM candles WHERE instrument_id IN (1, 5, 9, 33) GROUP BY instrument_id")
+@query("in6_on_demand_refresh", _BACK + market.SCORES_CTE.replace("FROM candles QUALIFY", "FROM nb QUALIFY").replace(""",
+    b AS""", """,
+    nb AS (SELECT instrument_id, ts, close AS open, close AS high, close AS low, close, 1000.0::DOUBLE AS volume FROM bk), """ + ", ".join(fx.CTE[t] for t in ("instruments", "fundamentals")) + """,
+    b AS""", 1).replace("""    fund AS (SELECT instrument_id, arg_max(trailing_pe, as_of) FILTER (WHERE true) AS x FROM fundamentals GROUP BY instrument_id),\n""", "") + f""", {_NAMED},
+    rs AS (SELECT nm.instrument_id, candles_written, final_score, CASE WHEN status = 'unsupported' THEN 'venue not supported' WHEN status IS NULL THEN 'unknown instrument' WHEN coalesce(nbars, 0) < 30 THEN 'not enough history' END AS reason
+           FROM nm LEFT JOIN bf USING (instrument_id) LEFT JOIN (SELECT instrument_id, count(*) AS nbars FROM bk GROUP BY ALL) USING (instrument_id) LEFT JOIN fin USING (instrument_id))
+    SELECT instrument_id, true AS is_ad_hoc, candles_written, CASE WHEN reason IS NULL THEN final_score END AS final_score,
+           CASE WHEN reason IS NULL THEN CASE WHEN final_score >= 75 THEN 'screening_candidate' WHEN final_score >= 60 THEN 'watchlist_candidate' ELSE 'does_not_pass' END END AS classification, reason FROM rs""")
 def _(spark, d):
-    n = bars.counts(fx.candles(spark, d).where("instrument_id IN (1, 5, 9, 33)"), 530)
-    return n.select("instrument_id", F.lit(True).alias("is_ad_hoc"), F.when(~F.col("has_history"), "not enough history").alias("reason"))
+    from ..operators import indicators, scoring
+
+    rows, after = _backfilled(spark, d)
+    after = stored(after.select("instrument_id", "ts", *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], F.lit(1000.0).alias("volume")), "refreshed")
+    named = orders(spark, d).where("o_orderpriority = '1-URGENT'").select((F.col("o_orderkey") % 130).alias("instrument_id")).distinct()
+    ind = stored(indicators.indicators(after, 300), "refreshed")
+    scored = scoring.score_all(ind, fx.instruments(spark, d), fx.fundamentals(spark, d), AS_OF)
+    return upkeep.refresh_named(named, rows, scored, bars.counts(after, scoring.LEAST_BARS))
 
 
 # --- state ------------------------------------------------------------------------------------------------
@@ -450,10 +540,31 @@ def _(spark, d):
     return lifecycle.proposal_states(p, made, "2001-09-15")
 
 
-@query("r2_proposal_decisions", "SELECT o_orderstatus AS was, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS approved, count(*) FILTER (WHERE o_orderstatus <> 'P') AS not_actionable FROM orders GROUP BY o_orderstatus")
+_DECIDE = """WITH p AS (SELECT o_orderkey AS proposal_id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'rejected' ELSE 'pending' END AS status, o_orderdate + CAST(o_orderkey % 200 AS INTEGER) * INTERVAL 1 DAY AS expires_at, o_custkey % 6 = 0 AS suspended FROM orders),
+    a AS (SELECT l_orderkey AS proposal_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_extendedprice) AS nth, CASE WHEN l_partkey % 3 = 0 THEN 'reject' ELSE 'approve' END AS action, l_shipdate AS acted FROM lineitem),
+    t AS (SELECT *, CASE WHEN action = 'reject' THEN 'rejected' WHEN expires_at <= acted THEN 'expired' WHEN NOT suspended THEN 'approved' END AS to_ FROM a JOIN p USING (proposal_id)),
+    x AS (SELECT *, status <> 'pending' OR coalesce(max((to_ IS NOT NULL)::INT) OVER (PARTITION BY proposal_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS done FROM t),
+    m AS (SELECT * FROM x WHERE NOT done AND to_ IS NOT NULL)
+    """
+
+
+def _decided(spark, d):
+    k = F.col("o_orderkey")
+    status = F.when((F.col("o_orderstatus") == "P") & (k % 3 == 0), "rejected").otherwise("pending")
+    p = orders(spark, d).select(k.alias("proposal_id"), status.alias("status"), F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (k % 200) * 86400).alias("expires_at"), (F.col("o_custkey") % 6 == 0).alias("suspended"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice"))
+    a = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("proposal_id"), nth.alias("nth"), F.when(F.col("l_partkey") % 3 == 0, "reject").otherwise("approve").alias("action"), F.col("l_shipdate").alias("at"))
+    return lifecycle.decide(p, a, "2000-06-01")
+
+
+@query("r2_proposal_decisions", _DECIDE + "SELECT p.proposal_id, coalesce(m.to_, CASE WHEN p.status = 'pending' AND p.expires_at <= TIMESTAMP '2000-06-01' THEN 'expired' END, p.status) AS status, CASE WHEN m.to_ IN ('approved', 'rejected') THEN m.acted END AS decided_at FROM p LEFT JOIN m USING (proposal_id)")
+def _(spark, d):
+    return _decided(spark, d)[0]
+
+
+@query("r2_decision_outcomes", _DECIDE + "SELECT proposal_id, nth, action, CASE WHEN done THEN 'not actionable' WHEN to_ IS NULL THEN 'suspended' ELSE to_ END AS outcome FROM x".replace("nth, action", "nth::INTEGER AS nth, action"))
 def _(spark, d):
-    pending, yes = F.col("was") == "P", F.col("o_orderkey") % 2 == 0
-    return orders(spark, d).withColumnRenamed("o_orderstatus", "was").groupBy("was").agg(F.count(F.lit(1)).alias("n"), F.count_if(pending & yes).alias("approved"), F.count_if(~pending).alias("not_actionable"))
+    return _decided(spark, d)[1]
 
 
 @query("st12_reconcile_halts", with_tables("intents") + ", p AS (SELECT account, count(*) FILTER (WHERE status = 'RECONCILED' AND fill_price IS NULL) AS problems FROM intents GROUP BY account) SELECT account, CASE WHEN problems > 0 THEN 'halt' ELSE 'clear' END AS action FROM p")
@@ -475,12 +586,30 @@ def _(spark, d):
     return fx.instruments(spark, d).join(done, "instrument_id", "left").select("instrument_id", F.coalesce("now", "last_scanned_on").alias("last_scanned_on"))
 
 
-@query("st16_mapping_lifecycle", f"WITH {_MAPS}, r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY is_active DESC, priority, symbol) AS n FROM mp) SELECT instrument_id, symbol, CASE WHEN NOT is_active THEN 'INACTIVE' WHEN priority > 30 THEN 'MAPPING_REQUIRED' WHEN n = 1 THEN 'DATA_BACKFILL' ELSE 'MAPPED' END AS state, n = 1 AND is_active AS is_signal_source FROM r")
+_MAPPED = """WITH st AS (SELECT p_partkey % 97 AS instrument_id, p_partkey % 3 AS provider, 'P' || min(p_partkey) AS symbol, bool_or(p_size > 48) AS confirmed, min(p_partkey) % 2 = 0 AS is_signal_source FROM part GROUP BY ALL),
+    an AS (SELECT s_suppkey AS instrument_id, 1 AS provider, CASE WHEN s_suppkey % 7 <> 0 THEN 'A' || s_suppkey END AS answer, s_suppkey % 4 = 0 AS requires_confirmation, s_suppkey % 5 <> 0 AS asks_signal FROM supplier),
+    bo AS (SELECT *, answer IS NOT NULL AND NOT coalesce(confirmed, false) AS taken FROM st FULL JOIN an USING (instrument_id, provider)),
+    mv AS (SELECT *, bool_or(taken AND coalesce(asks_signal, false)) OVER (PARTITION BY instrument_id) AS moved FROM bo)
+    """
+
+
+def _resolved_mappings(spark, d):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    kept = fx.read(spark, d, "part").groupBy((k % 97).alias("instrument_id"), (k % 3).alias("provider")).agg(text("P", F.min("p_partkey")).alias("symbol"), F.bool_or(F.col("p_size") > 48).alias("confirmed"), (F.min("p_partkey") % 2 == 0).alias("is_signal_source"))
+    answers = fx.read(spark, d, "supplier").select(s.alias("instrument_id"), F.lit(1).cast("long").alias("provider"), F.when(s % 7 != 0, text("A", s)).alias("answer"), (s % 4 == 0).alias("requires_confirmation"), (s % 5 != 0).alias("asks_signal"))
+    return upkeep.resolve_mappings(kept, answers)
+
+
+@query("st16_mapping_lifecycle", _MAPPED + """SELECT instrument_id, provider, CASE WHEN taken THEN answer ELSE symbol END AS symbol, coalesce(confirmed, false) AS confirmed, CASE WHEN taken AND asks_signal THEN true ELSE coalesce(is_signal_source, false) AND NOT moved END AS is_signal_source,
+    CASE WHEN coalesce(confirmed, false) AND asks_signal IS NOT NULL THEN 'already confirmed by user' WHEN asks_signal IS NULL THEN 'not asked' WHEN answer IS NULL THEN 'not identified' WHEN symbol IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM mv""")
+def _(spark, d):
+    return _resolved_mappings(spark, d)[0]
+
+
+@query("st16_mapping_required", _MAPPED + "SELECT DISTINCT instrument_id, 'MAPPING_REQUIRED' AS lifecycle_state FROM mv WHERE taken AND requires_confirmation")
 def _(spark, d):
-    n = F.row_number().over(Window.partitionBy("instrument_id").orderBy(F.col("is_active").desc(), "priority", "symbol"))
-    rows = mappings(spark, d).withColumn("n", n)
-    state = F.when(~F.col("is_active"), "INACTIVE").when(F.col("priority") > 30, "MAPPING_REQUIRED").when(F.col("n") == 1, "DATA_BACKFILL").otherwise("MAPPED")
-    return rows.select("instrument_id", "symbol", state.alias("state"), ((F.col("n") == 1) & F.col("is_active")).alias("is_signal_source"))
+    return _resolved_mappings(spark, d)[1]
 
 
 @query("st17_watchlist_membership", "WITH w AS (SELECT o_custkey AS list_id, o_orderkey % 97 AS instrument_id, o_orderkey, o_orderdate, o_orderstatus FROM orders) SELECT list_id, instrument_id, o_orderdate AS changed_at FROM w QUALIFY row_number() OVER (PARTITION BY list_id, instrument_id ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AND o_orderstatus <> 'F'")

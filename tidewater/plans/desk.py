@@ -83,10 +83,15 @@ def _(spark, d):
     return rows.groupBy("instrument_id").agg(F.min_by("close", "ts").alias("at_filing"))
 
 
-@query("st4_filing_upsert", "SELECT l_orderkey AS accession, l_linenumber AS line_index, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL")
+@query("st4_filing_upsert", """SELECT l_orderkey AS accession, l_linenumber AS line_index, arg_max(l_extendedprice, r) AS value, arg_max(l_suppkey, r) AS instrument_id, arg_min(l_returnflag, r) AS code
+    FROM (SELECT *, row(l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS r FROM lineitem) GROUP BY ALL""")
 def _(spark, d):
-    f = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("line_index"), F.col("l_extendedprice").alias("value"))
-    return f.groupBy("accession", "line_index").agg(F.max("value").alias("value"))
+    # a line that is read again, as (accession, line) repeats in the table, replaces what was read before; its code stays as first read
+    li = fx.read(spark, d, "lineitem")
+    read_at = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    reads = li.select(F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("line_index"), F.col("l_extendedprice").alias("value"), F.col("l_suppkey").alias("instrument_id"), F.col("l_returnflag").alias("code"), read_at.alias("retrieved_at"))
+    old = reads.where("retrieved_at.l_shipdate < TIMESTAMP '1999-01-01'")
+    return bars.upsert(old, reads.where("retrieved_at.l_shipdate >= TIMESTAMP '1999-01-01'"), ("code",), ["accession", "line_index"]).drop("retrieved_at")
 
 
 @query("a15_filing_counters", with_tables("filings") + " SELECT count(*) AS seen, count(DISTINCT (accession, line_index)) AS stored, count(*) FILTER (WHERE code IN ('P', 'S') AND (is_c_suite OR is_officer OR is_director)) AS signalling FROM filings")
@@ -172,13 +177,16 @@ def _(spark, d):
 IND = with_tables("candles") + INDICATORS_CTE
 
 
-@query("r1_proposal_sizing", IND + """, p AS (SELECT instrument_id, n_bars, last_close AS entry, last_close - atr14 * 2 AS stop, atr14 FROM ind)
-    SELECT instrument_id, round(entry, 7) AS entry, round(stop, 4) AS stop, CASE WHEN n_bars < 20 THEN 'not enough history' WHEN NOT entry > 0 THEN 'no entry price' WHEN atr14 IS NULL OR atr14 <= 0 THEN 'no stop distance' WHEN stop <= 0 THEN 'stop at or below zero' END AS reason,
-           CASE WHEN stop > 0 THEN round(least(1e6 * 0.01::DOUBLE / (entry - stop), 1e6 * 0.1::DOUBLE / entry), 4) END AS quantity FROM p""")
+@query("r1_proposal_sizing", IND.replace("rn <= 300", "rn <= 60") + """, p AS (SELECT instrument_id, n_bars, last_close AS entry, last_close - atr14 * 0.25::DOUBLE AS stop, atr14 * 0.25::DOUBLE AS dist, atr14, instrument_id % 17 = 0 AS suspended, instrument_id IN (SELECT o_orderkey % 97 FROM orders WHERE o_orderkey % 8 = 1) AS pending FROM ind),
+    q AS (SELECT *, least(1e6 * 0.01::DOUBLE / dist, 1e6 * 0.1::DOUBLE / entry) AS n FROM p),
+    rf AS (SELECT *, CASE WHEN suspended THEN 'suspended' WHEN n_bars < 20 THEN 'not enough history' WHEN NOT entry > 0 THEN 'no entry price' WHEN atr14 IS NULL OR atr14 <= 0 THEN 'no stop distance' WHEN stop <= 0 THEN 'stop at or below zero' WHEN n < 1e-8 THEN 'sized to zero' WHEN pending THEN 'pending already' END AS reason FROM q)
+    SELECT instrument_id, round(entry, 7) AS entry, round(stop, 4) AS stop, reason, CASE WHEN reason IS NULL THEN round(n, 4) END AS quantity, CASE WHEN reason IS NULL THEN round(n * entry, 1) END AS position_value, CASE WHEN reason IS NULL THEN round(n * dist, 1) END AS risk_amount, CASE WHEN reason IS NULL THEN round(n * dist / 1e6, 5) END AS risk_share FROM rf""")
 def _(spark, d):
-    ind = indicators.indicators(fx.candles(spark, d), 300, ["n_bars", "last_close", "atr14"])
-    out = trading.proposals(ind, F.lit(1e6))
-    return out.select("instrument_id", F.round("entry", 7).alias("entry"), F.round("stop", 4).alias("stop"), "reason", F.round("quantity", 4).alias("quantity"))
+    ind = indicators.indicators(fx.candles(spark, d), 60, ["n_bars", "last_close", "atr14"])
+    pending = fx.read(spark, d, "orders").where("o_orderkey % 8 = 1").select((F.col("o_orderkey") % 97).alias("instrument_id"), F.lit(True).alias("p")).distinct()
+    rows = ind.join(pending, "instrument_id", "left").withColumns({"suspended": F.col("instrument_id") % 17 == 0, "has_pending": F.coalesce("p", F.lit(False))})
+    digits = {"entry": 7, "stop": 4, "quantity": 4, "position_value": 1, "risk_amount": 1, "risk_share": 5}
+    return trading.proposals(rows, F.lit(1e6), multiple=0.25).select("instrument_id", "reason", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 LIMITS = {"multiple": 0.5, "positions": 10, "trades": 5, "risk": 0.01, "position": 0.10, "instrument": 0.20, "open_risk": 0.05, "correlation": 0.80, "exposure": 0.50}
@@ -188,27 +196,29 @@ def candidates(spark, d):
     k = F.col("instrument_id")
     ind = indicators.indicators(fx.candles(spark, d), 300, ["n_bars", "last_close", "atr14"])
     return ind.withColumns({
-        "halted": k % 19 == 0, "stale": k % 23 == 1, "open_positions": (k % 12).cast("int"), "is_new": k % 2 == 0, "trades_today": (k % 7).cast("int"), "equity": F.lit(1e6), "cash": (k % 10) * 20000.0,
-        "held_value": (k % 5) * 60000.0, "open_risk": (k % 6) * 10000.0, "regime": F.lit(0.85), "correlation": (k % 10) / 10.0, "exposure": (k % 4) / 4.0,
+        "configured": k % 29 != 2, "halted": k % 19 == 0, "stale": k % 23 == 1, "open_positions": (k % 12).cast("int"), "is_new": k % 2 == 0, "trades_today": (k % 7).cast("int"), "equity": F.lit(1e6),
+        "equity_ceiling": F.when(k % 6 == 3, (k % 5) * 200000.0), "cash": (k % 10) * 20000.0, "held_value": (k % 5) * 60000.0, "open_risk": (k % 6) * 10000.0, "regime": F.lit(0.85),
+        "monetary_cap": F.when(k % 4 == 1, 5000.0), "correlation": (k % 10) / 10.0, "exposure": (k % 4) / 4.0,
     })
 
 
-_CAND = IND + """, k AS (SELECT instrument_id, n_bars, last_close AS e, atr14, atr14 * 0.5::DOUBLE AS dist, instrument_id % 19 = 0 AS halted, instrument_id % 23 = 1 AS stale FROM ind),
-    c AS (SELECT *, 1e6 * 0.01::DOUBLE * 0.85::DOUBLE / dist AS c0, 1e6 * 0.1::DOUBLE / e AS c1, greatest(1e6 * 0.2::DOUBLE - (instrument_id % 5) * 60000.0::DOUBLE, 0) / e AS c2, least((instrument_id % 10) * 20000.0::DOUBLE, 1e6) / e AS c3,
-          greatest(1e6 * 0.05::DOUBLE - (instrument_id % 6) * 10000.0::DOUBLE, 0) / dist AS c4, instrument_id % 10 > 8 AND instrument_id % 4 > 2 AS reduced FROM k),
-    m AS (SELECT *, least(c0, c1, c2, c3, c4) AS q FROM c),
-    dz AS (SELECT *, CASE WHEN halted THEN 'halted' WHEN stale THEN 'stale' WHEN instrument_id % 2 = 0 AND instrument_id % 12 >= 10 THEN 'position cap' WHEN instrument_id % 7 >= 5 THEN 'trade cap' WHEN n_bars < 20 THEN 'not enough history'
-          WHEN NOT e > 0 THEN 'no entry price' WHEN atr14 IS NULL OR atr14 <= 0 THEN 'no stop distance' WHEN e - dist <= 0 THEN 'stop at or below zero' WHEN q <= 0 THEN 'sized to zero' END AS reason FROM m)"""
+_CAND = IND + """, k AS (SELECT instrument_id, n_bars, last_close AS e, atr14, atr14 * 0.5::DOUBLE AS dist, instrument_id % 19 = 0 AS halted, instrument_id % 23 = 1 AS stale, CASE WHEN instrument_id % 6 = 3 THEN least(1e6, (instrument_id % 5) * 200000.0::DOUBLE) ELSE 1e6 END AS eq FROM ind),
+    c AS (SELECT *, eq * 0.01::DOUBLE * 0.85::DOUBLE / dist AS c0, eq * 0.1::DOUBLE / e AS c1, greatest(eq * 0.2::DOUBLE - (instrument_id % 5) * 60000.0::DOUBLE, 0) / e AS c2, least((instrument_id % 10) * 20000.0::DOUBLE, eq) / e AS c3,
+          greatest(eq * 0.05::DOUBLE - (instrument_id % 6) * 10000.0::DOUBLE, 0) / dist AS c4, CASE WHEN instrument_id % 4 = 1 THEN 5000 / e END AS c5, instrument_id % 10 > 8 AND instrument_id % 4 > 2 AS reduced FROM k),
+    m AS (SELECT *, least(c0, c1, c2, c3, c4, c5) AS q FROM c),
+    dz AS (SELECT *, CASE WHEN instrument_id % 29 = 2 THEN 'no configuration' WHEN halted THEN 'halted' WHEN stale THEN 'stale' WHEN instrument_id % 2 = 0 AND instrument_id % 12 >= 10 THEN 'position cap' WHEN instrument_id % 7 >= 5 THEN 'trade cap' WHEN n_bars < 20 THEN 'not enough history'
+          WHEN NOT e > 0 THEN 'no entry price' WHEN atr14 IS NULL OR atr14 <= 0 THEN 'no stop distance' WHEN e - dist <= 0 THEN 'stop at or below zero' WHEN eq <= 0 THEN 'no equity' WHEN q <= 0 THEN 'sized to zero' END AS reason FROM m)"""
 
 
-@query("r3_risk_evaluate", _CAND + " SELECT instrument_id, reason, CASE WHEN reason IS NULL THEN round(q * CASE WHEN reduced THEN 0.5 ELSE 1 END, 4) END AS quantity FROM dz")
+@query("r3_risk_evaluate", _CAND + """ SELECT instrument_id, reason, CASE WHEN reason IS NULL THEN round(q * CASE WHEN reduced THEN 0.5 ELSE 1 END, 4) END AS quantity, CASE WHEN reason IS NULL THEN round(q * CASE WHEN reduced THEN 0.5 ELSE 1 END * dist, 1) END AS risk_amount FROM dz""")
 def _(spark, d):
-    return rounded(trading.evaluate(candidates(spark, d), LIMITS).select("instrument_id", "reason", "quantity"), 4)
+    return trading.evaluate(candidates(spark, d), LIMITS).select("instrument_id", "reason", F.round("quantity", 4).alias("quantity"), F.round("risk_amount", 1).alias("risk_amount"))
 
 
-@query("r4_binding_cap", _CAND + " SELECT instrument_id, CASE q WHEN c0 THEN 'risk_budget' WHEN c1 THEN 'max_position' WHEN c2 THEN 'max_instrument' WHEN c3 THEN 'available_cash' ELSE 'open_risk' END AS binding FROM dz WHERE reason IS NULL")
+@query("r4_binding_cap", _CAND + """, bc AS (SELECT *, CASE q WHEN c0 THEN 'risk_budget' WHEN c1 THEN 'max_position_pct' WHEN c2 THEN 'max_instrument_pct' WHEN c3 THEN 'available_cash' WHEN c4 THEN 'max_total_open_risk' ELSE 'monetary_cap' END AS binding FROM dz WHERE reason IS NULL)
+    SELECT instrument_id, binding, binding || ';market regime x0.85' || CASE WHEN reduced THEN ';correlation_reduction' ELSE '' END AS applied FROM bc""")
 def _(spark, d):
-    return trading.evaluate(candidates(spark, d), LIMITS).where("reason IS NULL").select("instrument_id", "binding")
+    return trading.evaluate(candidates(spark, d), LIMITS).where("reason IS NULL").select("instrument_id", "binding", F.concat_ws(";", "applied").alias("applied"))
 
 
 @query("r5_correlation_cut", _CAND + " SELECT instrument_id, reduced FROM dz")

@@ -295,10 +295,12 @@ def _(spark, d):
     return indicators.preferred_close(fx.candles(spark, d).withColumn("adjusted_close", adjusted))
 
 
-@query("i24_series_arrays", with_tables("candles") + " SELECT instrument_id, count(*) AS n, max(ts) AS last_ts, round(sum(coalesce(volume, 0)), 4) AS volume FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) AS rn FROM candles QUALIFY rn <= 300) GROUP BY instrument_id")
+@query("i24_series_arrays", with_tables("candles") + LOADED + """, s AS (SELECT instrument_id, list(ts ORDER BY ts) AS ts, list(close ORDER BY ts) AS close, list(volume ORDER BY ts) AS volume FROM r GROUP BY instrument_id)
+    SELECT instrument_id, len(close)::INTEGER AS n, ts[1] AS first_ts, ts[-1] AS last_ts, close[1] AS first_close, close[-1] AS last_close, round(list_sum([close[i] * i FOR i IN range(1, len(close) + 1)]), 2) AS weighted_close, round(list_sum([volume[i] * i FOR i IN range(1, len(volume) + 1)]), 2) AS weighted_volume FROM s""")
 def _(spark, d):
-    rows = indicators.loaded(fx.candles(spark, d))
-    return rounded(rows.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"), F.sum("volume").alias("volume")), 4)
+    s = indicators.series(fx.candles(spark, d))
+    weighted = lambda c: F.round(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 2)
+    return s.select("instrument_id", F.size("close").alias("n"), F.col("ts")[0].alias("first_ts"), F.element_at("ts", -1).alias("last_ts"), F.col("close")[0].alias("first_close"), F.element_at("close", -1).alias("last_close"), weighted("close").alias("weighted_close"), weighted("volume").alias("weighted_volume"))
 
 
 @query("i25_cross_state", with_tables("candles") + INDICATORS_CTE + " SELECT instrument_id, sma50 > sma200 AS golden, round(last_close / sma200 - 1, 6) AS distance FROM ind")
