@@ -73,13 +73,14 @@ def _(spark, d):
     return fx.instruments(spark, d).orderBy(F.col("bot_universe").desc(), F.col("last_scanned_on").asc_nulls_first(), "instrument_id").limit(40).select("instrument_id")
 
 
-WINDOWS = "wn AS (SELECT s_suppkey AS instrument_id, coalesce(max(l_shipdate) FILTER (WHERE l_suppkey % 8 <> 5) - INTERVAL 10 DAY, TIMESTAMP '1999-11-06') AS start FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey)"
+WINDOWS = "wn AS (SELECT p_partkey AS instrument_id, coalesce(greatest(max(l_shipdate) - INTERVAL 10 DAY, TIMESTAMP '1999-11-06'), TIMESTAMP '1999-11-06') AS start FROM part LEFT JOIN lineitem ON l_suppkey = p_partkey GROUP BY p_partkey)"
 
 
 def windows(spark, d):
-    last = bars.latest_times(fx.candles(spark, d).where("instrument_id % 8 <> 5"))
+    last = bars.latest_times(fx.candles(spark, d))
+    listed = fx.read(spark, d, "part").select(F.col("p_partkey").alias("instrument_id"))  # most of which have no bars
     start = F.coalesce(F.greatest(F.col("latest_ts") - F.expr("INTERVAL 10 DAYS"), F.lit("1999-11-06").cast("timestamp")), F.lit("1999-11-06").cast("timestamp"))
-    return fx.instruments(spark, d).select("instrument_id").join(last, "instrument_id", "left").select("instrument_id", start.alias("start"))
+    return listed.join(last, "instrument_id", "left").select("instrument_id", start.alias("start"))
 
 
 @query("st2_refresh_windows", f"WITH {WINDOWS} SELECT instrument_id, start FROM wn")

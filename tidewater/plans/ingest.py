@@ -236,18 +236,17 @@ def _(spark, d):
     return readers.json_series(payload.select(F.to_json(F.struct(status.alias("status"), F.struct(F.col("event_type").alias("symbol")).alias("meta"), "values")).alias("payload")))
 
 
-@query("s11_json_fundamentals", with_tables("fundamentals") + " SELECT instrument_id, coalesce(nullif(CASE WHEN instrument_id % 4 = 0 THEN 0 ELSE trailing_pe END, 0), price_to_book) AS trailing_pe, market_cap FROM fundamentals WHERE as_of = DATE '2001-10-01'")
+@query("s11_json_fundamentals", with_tables("fundamentals") + " SELECT instrument_id, as_of, coalesce(nullif(CASE WHEN instrument_id % 4 = 0 THEN 0 ELSE trailing_pe END, 0), price_to_book) AS trailing_pe, market_cap FROM fundamentals")
 def _(spark, d):
-    f = fx.fundamentals(spark, d).where("as_of = DATE '2001-10-01'")
+    f = fx.fundamentals(spark, d)
     pe = F.when(F.col("instrument_id") % 4 == 0, 0.0).otherwise(F.col("trailing_pe"))
     body = F.struct(F.struct(pe.alias("TrailingPE")).alias("Valuation"), F.struct(F.col("price_to_book").alias("PERatio"), F.col("market_cap").alias("MarketCapitalization")).alias("Highlights"))
-    return readers.json_fundamentals(f.select("instrument_id", F.to_json(body).alias("payload")))
+    return readers.json_fundamentals(f.select("instrument_id", "as_of", F.to_json(body).alias("payload")))
 
 
-@query("s12_profile_fields", with_tables("fundamentals") + " SELECT instrument_id, CASE WHEN dividend_yield * 30 > 1 THEN dividend_yield * 30 / 100 ELSE dividend_yield * 30 END AS dividend_yield FROM fundamentals WHERE as_of = DATE '2001-06-01'")
+@query("s12_profile_fields", with_tables("fundamentals") + " SELECT instrument_id, as_of, CASE WHEN dividend_yield * 30 > 1 THEN dividend_yield * 30 / 100 ELSE dividend_yield * 30 END AS dividend_yield FROM fundamentals")
 def _(spark, d):
-    f = fx.fundamentals(spark, d).where("as_of = DATE '2001-06-01'")
-    return f.select("instrument_id", readers.yield_as_share(F.col("dividend_yield") * 30).alias("dividend_yield"))
+    return fx.fundamentals(spark, d).select("instrument_id", "as_of", readers.yield_as_share(F.col("dividend_yield") * 30).alias("dividend_yield"))
 
 
 @query("s13_economic_series", "SELECT event_type AS series, arg_max(value, ts) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY event_type")

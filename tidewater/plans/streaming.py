@@ -28,9 +28,9 @@ def query(name: str, sql: str | None = None):
 
 
 def drop(parts: list[DataFrame], path: str) -> str:
-    """Write each part as files of its own, so that a stream reads them one after another."""
+    """Write each part as files of its own, as many as the cluster has cores; a stream takes a part's files a batch."""
     for k, part in enumerate(parts):
-        part.coalesce(1).write.mode("append" if k else "overwrite").parquet(path)
+        part.repartition(streams.files_of_a_part(part.sparkSession)).write.mode("append" if k else "overwrite").parquet(path)
     return path
 
 
@@ -69,7 +69,7 @@ def _(spark, d):
 @query("st_hourly_bars", "SELECT date_trunc('hour', ts) AS ts, event_type, max(value) AS high, min(value) AS low, count(*) AS n FROM events WHERE value > 0 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def _(spark, d):
     e, base = fx.read(spark, d, "events").select("ts", "event_type", "value"), folder(spark, "hours")
-    streams.hourly_bars(spark, drop([e.orderBy("ts")], f"{base}/in"), "ts timestamp, event_type string, value double", f"{base}/out", f"{base}/check")
+    streams.hourly_bars(spark, drop([e], f"{base}/in"), "ts timestamp, event_type string, value double", f"{base}/out", f"{base}/check")
     return spark.read.schema("ts timestamp, event_type string, high double, low double, n long").parquet(f"{base}/out")
 
 

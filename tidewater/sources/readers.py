@@ -38,10 +38,10 @@ FUNDAMENTALS = "Valuation struct<TrailingPE: double>, Highlights struct<PERatio:
 
 
 def json_fundamentals(payloads: DataFrame) -> DataFrame:
-    """A ratio of zero counts as missing, and the second place is asked."""
+    """A ratio of zero counts as missing, and the second place is asked; other columns stay."""
     p = payloads.withColumn("p", F.from_json("payload", FUNDAMENTALS))
     pe = F.coalesce(F.nullif(F.col("p.Valuation.TrailingPE"), F.lit(0.0)), F.col("p.Highlights.PERatio"))
-    return p.select("instrument_id", pe.alias("trailing_pe"), F.col("p.Highlights.MarketCapitalization").alias("market_cap"))
+    return p.select(*[c for c in payloads.columns if c != "payload"], pe.alias("trailing_pe"), F.col("p.Highlights.MarketCapitalization").alias("market_cap"))
 
 
 def yield_as_share(x: Column) -> Column:

@@ -35,6 +35,11 @@ def read_current(spark: SparkSession, path: str, schema: str, parts: set[str] |
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
+def files_of_a_part(spark: SparkSession) -> int:
+    """Files that a drop-folder's part has, and that a batch takes: one a core of the cluster."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
 def upsert_into(path: str, schema: str, key: list[str], part: Column, prepare: Callable[[DataFrame], DataFrame], first_wins: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: prepared rows replace stored ones of their key; a replay changes nothing."""
 
@@ -59,7 +64,7 @@ def accepted(batch: DataFrame) -> DataFrame:
     return validate(batch, F.lit("USD")).where("verdict = 'accepted'").drop("verdict")
 
 
-def ingest_candles(spark: SparkSession, source: str, path: str, checkpoint: str, files_a_batch: int = 1, as_of: str | None = None) -> None:
+def ingest_candles(spark: SparkSession, source: str, path: str, checkpoint: str, files_a_batch: int | None = None, as_of: str | None = None) -> None:
     """Run the drop folder through validation and key upsert until it is drained.
 
     Bars are corrected rather than appended, so late ones replace by key; no watermark drops them. With
@@ -70,7 +75,7 @@ def ingest_candles(spark: SparkSession, source: str, path: str, checkpoint: str,
         rows = accepted(batch)
         return bars.purge_unclosed(rows, as_of) if as_of else rows
 
-    stream = spark.readStream.schema(CANDLES).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    stream = spark.readStream.schema(CANDLES).option("maxFilesPerTrigger", files_a_batch or files_of_a_part(spark)).parquet(source)
     sink = upsert_into(path, CANDLES, ["instrument_id", "ts"], F.date_format("ts", "yyyy"), prepare, ("currency",))
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -81,13 +86,13 @@ def _drain(out: DataFrame, path: str, checkpoint: str) -> None:
 
 def dedupe_filings(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, key: list[str], delay: str = "10 days") -> None:
     """Append each key once; state is dropped as the watermark passes."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_of_a_part(spark)).parquet(source)
     _drain(stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key), path, checkpoint)
 
 
 def hourly_bars(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str) -> None:
     """Tumbling one-hour bars of an event stream, emitted once the watermark closes them."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_of_a_part(spark)).parquet(source)
     hour = stream.withWatermark("ts", "1 hour").where("value > 0").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
     out = hour.agg(F.max("value").alias("high"), F.min("value").alias("low"), F.count(F.lit(1)).alias("n"))
     _drain(out.select(F.col("w.start").alias("ts"), "event_type", "high", "low", "n"), path, checkpoint)
@@ -103,7 +108,7 @@ def ratchet_stops(spark: SparkSession, source: str, path: str, checkpoint: str)
         state.update((float(rows["stop"].iloc[-1]),))
         yield rows[["instrument_id", "ts", "stop"]]
 
-    stream = spark.readStream.schema("instrument_id long, ts timestamp, candidate double").option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema("instrument_id long, ts timestamp, candidate double").option("maxFilesPerTrigger", files_of_a_part(spark)).parquet(source)
     out = stream.groupBy("instrument_id").applyInPandasWithState(raise_only, "instrument_id long, ts timestamp, stop double", "best double", "append", GroupStateTimeout.NoTimeout)
     _drain(out, path, checkpoint)
 
@@ -120,6 +125,6 @@ def count_empties(spark: SparkSession, source: str, path: str, checkpoint: str,
         state.update((n,))
         yield pd.DataFrame(out, columns=["symbol", "ts"])
 
-    stream = spark.readStream.schema("symbol long, ts timestamp, fetch_id long, outcome string").option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema("symbol long, ts timestamp, fetch_id long, outcome string").option("maxFilesPerTrigger", files_of_a_part(spark)).parquet(source)
     out = stream.groupBy("symbol").applyInPandasWithState(follow, "symbol long, ts timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
     _drain(out, path, checkpoint)
