@@ -55,3 +55,74 @@ def test_pipeline_decides_row_by_row(spark, sf_dir, monkeypatch):
     out = corpus_pipeline.mix_stage(spark, mixed, sf_dir).collect()
     for s in "ab":
         assert abs(sum(len(r["text"].split()) for r in out if r["source"] == s) - plan[s]) <= (6 if s == "a" else 0)
+
+
+AWKWARD = [
+    (None, None, "en", None, 0), (None, None, "en", None, 0), (1, "", "en", "a", 0), (1, "", None, "b", 0), (2, "   \t\n", "en", "a", 5), (2, "one", "en", "a", 3), (2, "one", "en", "b", 3),
+    (None, "one", "fr", "c", None), (3, "word " * 30_000, "en", "a", 1), (4, "x" * 50_000, "en", "b", 1), (5, "é ü 漢字 привет", None, None, None),
+]
+FIVE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_awkward_rows(spark, sf_dir, k):
+    """Nulls, repeats, empty and long texts, one identifier in two sources, clashing names, no rows."""
+    name, stage = corpus_pipeline.STAGES[k]
+    clash = {c: corpus_pipeline.F.lit("clash") for c in ("id", "fp", "copies", "size", "digest", "keep_id", "component_id", "score", "h", "_copies", "_row", "_key", "piece", "row")}
+    docs = corpus_pipeline.table(spark.createDataFrame(AWKWARD, FIVE).repartition(3).withColumns(clash))
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns
+        given = [tuple(r) for r in docs.collect()]
+        assert all(tuple(r) in given for r in rows)
+    texts = [r["text"] for r in rows] if k < 4 else []
+    if name == "exact dedup":
+        kept = sorted((str(r["doc_id"]), r["text"] or "") for r in rows)
+        assert kept == sorted([("1", ""), ("2", "   \t\n"), ("2", "one"), ("3", "word " * 30_000), ("4", "x" * 50_000), ("5", "é ü 漢字 привет")])
+    if name == "simhash near-dedup":
+        # texts without words have one fingerprint, and so have equal ones: one row of each stays, the smallest identifier first
+        assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "3", "4", "5"] and len(texts) == 5
+    if name == "mixing sources":
+        words = lambda source: sum(len((r["text"] or "").split()) for r in rows if r["source"] == source)
+        assert words("c") == 3 and words(None) == 12 and texts.count("") + texts.count(None) + texts.count("   \t\n") <= 4 * 5
+    if name == "best-fit packing":
+        assert sum(r["piece"] == 0 for r in rows) == len(AWKWARD) and max(r["offset"] + r["length"] for r in rows) <= 4096
+    nothing = stage(spark, docs.limit(0), sf_dir)
+    assert nothing.count() == 0 and nothing.columns == out.columns
+
+
+def test_the_whole_run_equals_its_stages(spark, sf_dir):
+    """Rows of run() are those of the stages called one after another on what the one before kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.table(stage(spark, docs, sf_dir))
+    placed = ["sequence_id", "offset"]
+    key = lambda df: sorted(tuple(r) for r in df.drop(*placed).collect())
+    assert key(corpus_pipeline.run(spark, sf_dir)) == key(docs)
+
+
+def slow_keep(rows):
+    """Rows of (doc_id, text) that exact and near stages keep, by brute force over all pairs."""
+    from tidewater.llm import simhash
+    from tidewater.llm.components import Forest
+
+    best = {}
+    for i, t in rows:
+        if (t or "") not in best or best[t or ""] < i:
+            best[t or ""] = i
+    left = sorted((i, t) for t, i in best.items())
+    prints, forest = [simhash.fingerprint(t) for _, t in left], Forest()
+    for a in range(len(left)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                forest.union(left[a][0], left[b][0])
+    return sorted(i for i, _ in left if forest.find(i) == i)
+
+
+def test_deduplicating_stages_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        out = corpus_pipeline.table(stage(spark, out, sf_dir))
+    assert sorted(r["doc_id"] for r in out.collect()) == slow_keep([(r["doc_id"], r["text"]) for r in docs.collect()])
