@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewater.llm import ann, components, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup
+from tidewater.llm import ann, components, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, simhash_wide, suffix_dedup
 
 LONG = " ".join(f"word{i % 997} of{i % 13}" for i in range(30_000))
 BASE = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest where nobody has ever been before " * 4
@@ -116,6 +116,52 @@ def test_links_connect_all_near_fingerprints(spark, block, filing):
     assert {i: found.get(i, i) for i, _ in rows} == want
 
 
+def slow_similar(rows, similarity=0.8):
+    """Components of (id, text) by the share of their five-word shingles, over all pairs."""
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, forest = [(i, shingles(t)) for i, t in rows], components.Forest()
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if len(x & y) >= similarity * len(x | y):
+                forest.union(a, b)
+    return {i: forest.find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_similar_texts_against_brute_force(spark, block):
+    rng = np.random.default_rng(14)
+    words = [f"W{k}" for k in range(800)]
+    made = lambda n: [words[int(k)] for k in rng.integers(0, 800, n)]
+    texts = [None, "", " \t", "one", "ONE", "two words"]
+    passage = made(60)
+    for n in (40, 90, 200, 400):
+        base = made(n)
+        for _ in range(18):
+            copy = list(base)
+            for k in rng.integers(0, n, int(rng.integers(0, 1 + n // 25))):
+                copy[k] = f"other{rng.integers(10**6)}"
+            texts.append(" ".join(copy[int(rng.integers(0, 3)) :]))
+    texts += [" ".join(made(80) + passage + made(80)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: simhash_wide.F.lit("clash") for c in ("id", "n", "sig", "node", "key")}).repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.near_components(frame, "doc_id", block=block).collect()}
+    want = slow_similar(rows)
+    assert got == want and len(set(want.values())) > 25 and max(collections.Counter(want.values()).values()) > 8
+    assert simhash_wide.near_components(frame.limit(0), "doc_id").count() == 0
+
+
+def test_chains_never_lose_a_near_fingerprint():
+    rng = np.random.default_rng(15)
+    flips = np.array([rng.random(256) < p for p in rng.uniform(0.05, 0.4, 5000)])
+    differ = np.packbits(flips, axis=1).view(np.uint64)
+    for most in (20, 51, 80):
+        assert simhash_wide.within(differ, most).tolist() == np.flatnonzero(flips.sum(1) <= most).tolist()
+
+
 @pytest.mark.parametrize("task_edges", [40, 200_000])
 def test_connected_components_of_a_long_path(spark, task_edges):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "src long, dst long").repartition(7)

@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 
+from test_operators import slow_similar
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -104,20 +106,12 @@ def test_the_whole_run_equals_its_stages(spark, sf_dir):
 
 def slow_keep(rows):
     """Rows of (doc_id, text) that exact and near stages keep, by brute force over all pairs."""
-    from tidewater.llm import simhash
-    from tidewater.llm.components import Forest
-
     best = {}
     for i, t in rows:
         if (t or "") not in best or best[t or ""] < i:
             best[t or ""] = i
-    left = sorted((i, t) for t, i in best.items())
-    prints, forest = [simhash.fingerprint(t) for _, t in left], Forest()
-    for a in range(len(left)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                forest.union(left[a][0], left[b][0])
-    return sorted(i for i, _ in left if forest.find(i) == i)
+    found = slow_similar(sorted((i, t) for t, i in best.items()))
+    return sorted(i for i, least in found.items() if i == least)
 
 
 def test_deduplicating_stages_against_brute_force(spark, sf_dir):

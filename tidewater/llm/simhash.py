@@ -37,16 +37,20 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def word_spans(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words, A-Z in lower case, joined by one space, and where each starts and ends."""
+    words = _SPLIT.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    return b" ".join(words), np.concatenate(([0], ends[:-1] + 1))[: len(words)], ends
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of the word shingles of a text; 0 without words."""
-    words = _SPLIT.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
+    line, starts, ends = word_spans(text)
+    if not len(starts):
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = min(shingle, len(words)) - 1
-    counts, n = np.zeros(64, np.int64), len(words) - last
+    last = min(shingle, len(starts)) - 1
+    counts, n = np.zeros(64, np.int64), len(starts) - last
     for at in range(0, n, 1 << 16):
         to = min(n, at + (1 << 16))
         digest, seed = xxhash.xxh64_intdigest, SEED
