@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import exact_dedup, mixing, packing, quality, queries, simhash
+from tidewater.llm import exact_dedup, mixing, packing, quality, queries, simhash_wide
 from tidewater.llm.common import lookup, table
 
 #: Documents that score below this are rejected.
@@ -55,10 +55,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row with the smallest identifier stays, one without if none has any.
 
-    Texts without words are one group. What links texts is a fingerprint at most 4 bits apart.
+    Texts link whose sets of five-word shingles share 0.8 of all their shingles or more; texts without words
+    are one group.
     """
     docs, row = _numbered(docs)
-    found = table(simhash.simhash_components(docs, id_col=row).select(row, "component_id"))
+    found = table(simhash_wide.near_components(docs, row, shingle=5, similarity=0.8))
     groups = table(found.groupBy("component_id").count().where("count > 1").select("component_id"))
     inside = table(found.join(lookup(groups, groups.count()), "component_id").join(docs.select(row, "doc_id"), row))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
