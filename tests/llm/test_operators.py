@@ -210,6 +210,25 @@ def test_nearest(spark):
     assert ann.nearest(alone, alone).count() == 6
 
 
+def test_probes_are_the_likeliest_buckets():
+    import itertools
+
+    rng = np.random.default_rng(16)
+    units = rng.standard_normal((5, 20))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    for prefix, success, most in ((2, 2.0, 300), (0, 0.4, 300), (5, 0.3, 2187)):
+        table = ann.Table(1, 20, 7, prefix, 1.05)
+        at = table.project(units)
+        for q, (first, codes) in enumerate(table.probes(units, success, most)):
+            home = np.floor(at[q])
+            gains = np.diff(ann._normal((home[:, None] + np.arange(-1, 3) - at[q][:, None]) * table.width / table.reach), axis=1)
+            code = lambda cell, n: int(((home[:n].astype(np.int64) + np.array(cell[:n], np.int64) - 1) * table.factors[:n]).sum()) if n else 0  # noqa: B023, E731
+            cells = sorted(itertools.product(range(3), repeat=7), key=lambda c: -np.prod(gains[range(7), c]))[:most]  # noqa: B023
+            done = np.cumsum([np.prod(gains[range(7), c]) for c in cells])
+            cells = cells[: int(np.searchsorted(done, success)) + 1]
+            assert sorted(zip(first.tolist(), codes.tolist(), strict=True)) == sorted((code(c, prefix), code(c, 7)) for c in cells)
+
+
 def test_nearest_of_awkward_rows(spark):
     from pyspark.sql import functions as F
 

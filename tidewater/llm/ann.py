@@ -66,32 +66,50 @@ class Table:
         parts = np.cumsum(np.floor(self.project(units)).astype(np.int64) * self.factors, axis=1)
         return parts[:, self.prefix - 1] if self.prefix else np.zeros(len(units), np.int64), parts[:, -1]
 
-    def probes(self, units: np.ndarray, success: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query prefixes and codes of the buckets that it visits, likeliest first.
+    def _likeliest(self, gain: np.ndarray, cells: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Summed gains, codes and prefixes of the ``most`` likeliest cells of some projections, likeliest first.
 
         The likeliest cells of the first projections are extended one projection at a time; as successes
         multiply, the ``most`` likeliest of each step hold those of the next.
         """
-        at = self.project(units)
-        home, steps = np.floor(at), np.arange(-SPAN, SPAN + 1)
-        edges = home[..., None] + np.append(steps, SPAN + 1) - at[..., None]
-        gain = np.log(np.maximum(np.diff(_normal(edges * (self.width / self.reach)), axis=-1), 1e-12))
-        cells = (home[..., None] + steps).astype(np.int64) * self.factors[:, None]
-        n = len(units)
+        n = len(gain)
         best, code, prefix = np.zeros((n, 1)), np.zeros((n, 1), np.int64), np.zeros((n, 1), np.int64)
-        for j in range(at.shape[1]):
+        for j in range(gain.shape[1]):
             best = (best[:, :, None] + gain[:, j, None, :]).reshape(n, -1)
             code = (code[:, :, None] + cells[:, j, None, :]).reshape(n, -1)
-            prefix = code if j < self.prefix else np.repeat(prefix, len(steps), axis=1)
+            prefix = code if j < self.prefix else np.repeat(prefix, gain.shape[2], axis=1)
             if best.shape[1] > most:
                 keep = np.argpartition(-best, most - 1, axis=1)[:, :most]
                 best, code, prefix = (np.take_along_axis(a, keep, 1) for a in (best, code, prefix))
         order = np.argsort(-best, axis=1, kind="stable")
-        best, code, prefix = (np.take_along_axis(a, order, 1) for a in (best, code, prefix))
-        before = np.cumsum(np.exp(best), axis=1) - np.exp(best)
-        for i in range(n):
-            visited = before[i] < success
-            yield prefix[i][visited], code[i][visited]
+        return tuple(np.take_along_axis(a, order, 1) for a in (best, code, prefix))
+
+    def probes(self, units: np.ndarray, success: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query prefixes and codes of the buckets that it visits, likeliest first.
+
+        The projections are taken in two halves. A bucket of the ``most`` likeliest is the i-th of one half
+        with the j-th of the other for some i * j <= most.
+        """
+        at = self.project(units)
+        home, steps = np.floor(at), np.arange(-SPAN, SPAN + 1)
+        edges = home[..., None] + np.append(steps, SPAN + 1) - at[..., None]
+        gain = np.log(np.maximum(np.diff(_normal(edges * (self.width / self.reach)), axis=-1), 1e-12))
+        cells = (home[..., None] + steps).astype(np.int64) * self.factors[:, None]
+        half = max(self.prefix, at.shape[1] // 2)
+        (gain_a, code_a, first), (gain_b, code_b, _) = self._likeliest(gain[:, :half], cells[:, :half], most), self._likeliest(gain[:, half:], cells[:, half:], most)
+        pairs = [(i, j) for i in range(gain_a.shape[1]) for j in range(min(gain_b.shape[1], most // (i + 1)))]
+        i, j = np.array(pairs).T
+        best = gain_a[:, i] + gain_b[:, j]
+        if best.shape[1] > most:
+            keep = np.argpartition(-best, most - 1, axis=1)[:, :most]
+        else:
+            keep = np.tile(np.arange(best.shape[1]), (len(best), 1))
+        order = np.take_along_axis(keep, np.argsort(-np.take_along_axis(best, keep, 1), axis=1, kind="stable"), 1)
+        best = np.exp(np.take_along_axis(best, order, 1))
+        before = np.cumsum(best, axis=1) - best
+        for q in range(len(units)):
+            own = order[q][before[q] < success]
+            yield first[q][i[own]], code_a[q][i[own]] + code_b[q][j[own]]
 
 
 def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
@@ -103,14 +121,25 @@ def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch,
         yield int(dim), rows, x / norm[:, None]
 
 
-def _best(ids: np.ndarray, x: np.ndarray, norm: np.ndarray, q: np.ndarray, q_norm: float, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the best ``k`` of the vectors at ``found``."""
-    score = (x[found] * q).sum(1) / (norm[found] * q_norm)
-    if len(found) > 4 * k:
-        near = np.flatnonzero(score >= np.partition(score, -k)[-k])
-        found, score = found[near], score[near]
-    order = np.lexsort((ids[found], -score))[:k]
-    return found[order], score[order]
+class Vectors:
+    """Vectors of a task with what finding the best of some of them needs."""
+
+    def __init__(self, ids: np.ndarray, v: list):
+        self.ids = ids
+        self.x, self.norm = scaled(np.stack(v).astype(np.float64))
+        self.rough = (self.x / self.norm[:, None]).astype(np.float32)
+
+    def best(self, q: np.ndarray, q_norm: float, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the best ``k`` of the vectors at ``found``.
+
+        Those that single precision, whose error is far below the margin, leaves no chance are not scored.
+        """
+        if len(found) > 4 * k:
+            near = self.rough[found] @ (q / q_norm).astype(np.float32)
+            found = found[near >= np.partition(near, -k)[-k] - 1e-4]
+        score = (self.x[found] * q).sum(1) / (self.norm[found] * q_norm)
+        order = np.lexsort((self.ids[found], -score))[:k]
+        return found[order], score[order]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -219,14 +248,14 @@ def nearest(
         if len(some) and len(asked):
             some = some.sort_values("code", kind="stable")
             code, ids, row = (some[c].to_numpy(np.int64) for c in ("code", "id", "row"))
-            vs, norm = scaled(np.stack(some["v"].to_numpy()).astype(np.float64))
+            held = Vectors(ids, some["v"].to_list())
             qs, q_norm = scaled(np.stack(asked["v"].to_numpy()).astype(np.float64))
             for i, (qid, codes) in enumerate(zip(asked["id"].to_numpy(np.int64), asked["codes"], strict=True)):
                 lo, hi = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 at = at[ids[at] != qid]
-                found, score = _best(ids, vs, norm, qs[i], q_norm[i], at, len(at) if with_visited else k)
+                found, score = held.best(qs[i], q_norm[i], at, len(at) if with_visited else k)
                 out += [(int(qid), int(row[a]), int(ids[a]), float(s)) for a, s in zip(found, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
 
@@ -269,10 +298,10 @@ def look_at_all(x: DataFrame, q: DataFrame, rows: int, asked: int, k: int) -> Da
         out: list[tuple[int, int, int, float]] = []
         if len(some) and len(few):
             ids, row = some["id"].to_numpy(np.int64), some["row"].to_numpy(np.int64)
-            vs, norm = scaled(np.stack(some["v"].to_numpy()).astype(np.float64))
+            held = Vectors(ids, some["v"].to_list())
             qs, q_norm = scaled(np.stack(few["v"].to_numpy()).astype(np.float64))
             for i, qid in enumerate(few["id"].to_numpy(np.int64)):
-                found, score = _best(ids, vs, norm, qs[i], q_norm[i], np.flatnonzero(ids != qid), k)
+                found, score = held.best(qs[i], q_norm[i], np.flatnonzero(ids != qid), k)
                 out += [(int(qid), int(row[a]), int(ids[a]), float(s)) for a, s in zip(found, score, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
 
