@@ -208,7 +208,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = table(fingerprints(docs, id_col, text_col, shingle))
     distinct = table(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")))
-    found = connected_components(links(distinct, distance))
+    found = connected_components(table(links(distinct, distance)))
     labels = table(distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     out = prints.join(lookup(labels, labels.count()), "fp", "left")
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
