@@ -158,6 +158,9 @@ def test_chains_never_lose_a_near_fingerprint():
     rng = np.random.default_rng(15)
     flips = np.array([rng.random(256) < p for p in rng.uniform(0.05, 0.4, 5000)])
     differ = np.packbits(flips, axis=1).view(np.uint64)
+    assert simhash_wide.within(differ[:0], 51).tolist() == []
+    apart = simhash_wide.shortest_forest(differ[:2], np.array([10, 100]), np.zeros(2, int), np.zeros(2, int), 256, 0.8)
+    assert [x.tolist() for x in apart] == [[], []]
     for most in (20, 51, 80):
         assert simhash_wide.within(differ, most).tolist() == np.flatnonzero(flips.sum(1) <= most).tolist()
 

@@ -69,7 +69,7 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def within(differ: np.ndarray, most: int) -> np.ndarray:
     """Which rows of XORed fingerprints (n, WORDS) have ``most`` set bits or fewer, by chains of the ring first."""
-    each = np.bitwise_count(differ.view(np.uint16).reshape(len(differ), -1)).astype(np.int16)
+    each = np.bitwise_count(np.ascontiguousarray(differ).view(np.uint16).reshape(len(differ), SEGMENTS)).astype(np.int16)
     left, run = np.arange(len(each)), np.zeros_like(each)
     alive = np.ones_like(each, bool)
     for n in range(CHAINS):
