@@ -36,16 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """``table(df, by)`` and the folder that it is in, to be removed when a later table replaces it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def table(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
     by: an integer column of few values whose rows get a folder each, so that a filter on it reads only these.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, by)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the folder of a table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def lookup(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup
+from . import ann, codes, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup
 from .common import WORD_PATTERN, id_crc
 
 
@@ -77,15 +77,44 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op4_suffix_dedup, op5_source_mixing, op6_lm_scoring, op7_language_id,
-        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier,
+        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier, op13_vector_codes,
     )
 }
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds by comparing every part with every entry, a round after the other."""
+    away = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda y: floor({codes.SCALE} * y::DOUBLE)::BIGINT) AS v
+                               FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)""",
+        f"p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, range({parts}) t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, p.part, any_value(x) AS x, min({away} * {entries} + entry) AS m FROM p JOIN b{n} b ON b.part = p.part GROUP BY r, p.part)")
+        if n < rounds:
+            steps += [
+                f"u{n} AS (SELECT part, m % {entries} AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, 4097) t(i) WHERE i <= len(x) GROUP BY ALL)",
+                f"n{n} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM u{n} GROUP BY part, entry)",
+                f"b{n + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{n} b LEFT JOIN n{n} n ON n.part = b.part AND n.entry = b.entry)",
+            ]
+    return f"""WITH {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS y, unnest(range(len(c))) AS i FROM b{rounds})),
+        e AS (SELECT r, string_agg(printf('%02x', (m % {entries})::INT), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN k USING (r), h"""
+
+
 ORACLE_SQL = {
+    "op13_vector_codes": _codes_sql(),
     # the sources' shares by the water level, and the documents below each source's threshold
     "op5_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
