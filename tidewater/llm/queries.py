@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup
+from . import ann, codes, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup, trie
 from .common import WORD_PATTERN, id_crc
 
 
@@ -77,6 +77,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"), every=20, most=3)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = codes.vector_codes(_read(spark, sf_dir, "embeddings"))
     return out.select("vec_id", "code", "error", "label_error", F.lit(codes.codebooks_sha256(books)).alias("codebooks_sha256"))
@@ -86,7 +90,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op4_suffix_dedup, op5_source_mixing, op6_lm_scoring, op7_language_id,
-        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier, op13_vector_codes,
+        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier, op12_prefix_trie, op13_vector_codes,
     )
 }
 
@@ -114,6 +118,30 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
 
 
 ORACLE_SQL = {
+    # crc32 bit by bit; paths as lists of turns, and every node joined to the nodes of its subtree
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) - 1 AS place
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+                          xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: list_transform(range(8), lambda j: (ascii(s) >> j) & 1))),
+                                          lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295) % 4 AS h
+                   FROM (SELECT DISTINCT conv_id FROM t)),
+             r AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN t ON t.conv_id = c.base WHERE place < h
+                   UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE place >= h),
+             p AS (SELECT c.conv_id, coalesce(list(sha256(role || chr(1) || text) ORDER BY part, place) FILTER (role IS NOT NULL), []) AS path,
+                          coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY part, place) FILTER (role IS NOT NULL), []) AS words
+                   FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+             m AS (SELECT conv_id, depth, array_to_string(path[1:depth], ',') AS node, array_to_string(path[1:depth - 1], ',') AS above, CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS words, path, len(path) = depth AS ends
+                   FROM (SELECT *, unnest(range(len(path) + 1)) AS depth FROM p)),
+             n AS (SELECT node, any_value(above) AS above, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(path[1:depth]) AS path,
+                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+                   FROM m GROUP BY node, depth),
+             k AS (SELECT above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+             s AS (SELECT array_to_string(path[1:up], ',') AS node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+                   FROM (SELECT *, unnest(range(depth + 1)) AS up FROM n) n LEFT JOIN k ON k.node = n.node GROUP BY 1)
+        SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM n JOIN s ON s.node = n.node LEFT JOIN k ON k.node = n.node LEFT JOIN n a ON n.depth > 0 AND a.node = n.above
+    """,
     "op13_vector_codes": _codes_sql(),
     # the sources' shares by the water level, and the documents below each source's threshold
     "op5_source_mixing": r"""
