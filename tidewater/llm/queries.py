@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, suffix_dedup, trie
+from . import ann, codes, exact_dedup, html_text, langid, lm, minhash, mixing, packing, quality, simhash, suffix_dedup, trie
 from .common import WORD_PATTERN, id_crc
 
 
@@ -77,6 +77,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_read(spark, sf_dir, "conversations"), every=20, most=3)
 
@@ -90,7 +94,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_nearest_neighbours, op3_main_text, op4_suffix_dedup, op5_source_mixing, op6_lm_scoring, op7_language_id,
-        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier, op12_prefix_trie, op13_vector_codes,
+        op8_best_fit_packing, op9_exact_dedup, op10_quality_classifier, op11_minhash_dedup, op12_prefix_trie, op13_vector_codes,
     )
 }
 
@@ -118,6 +122,21 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
 
 
 ORACLE_SQL = {
+    # sets as sorted lists, all pairs that share a shingle, and the closure of their links
+    "op11_minhash_dedup": r"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             h AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                       ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM d),
+             u AS MATERIALIZED (SELECT s, row_number() OVER () AS node, min(doc_id) AS least FROM h WHERE len(s) > 0 GROUP BY s),
+             e AS MATERIALIZED (SELECT node, len(s) AS n, unnest(s) AS g FROM u),
+             l AS MATERIALIZED (SELECT a.node AS x, b.node AS y FROM e a JOIN e b ON a.g = b.g AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+                                GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+             c AS (SELECT node AS x, node AS y FROM u UNION SELECT c.x, l.y FROM c JOIN l ON l.x = c.y),
+             m AS (SELECT c.x AS node, min(u.least) AS component_id FROM c JOIN u ON u.node = c.y GROUP BY c.x)
+        SELECT h.doc_id, len(h.s) AS n_shingles, CASE WHEN len(h.s) = 0 THEN h.doc_id ELSE m.component_id END AS component_id,
+               h.doc_id IS NOT DISTINCT FROM (CASE WHEN len(h.s) = 0 THEN h.doc_id ELSE m.component_id END) AS kept
+        FROM h LEFT JOIN u ON u.s = h.s LEFT JOIN m ON m.node = u.node
+    """,
     # crc32 bit by bit; paths as lists of turns, and every node joined to the nodes of its subtree
     "op12_prefix_trie": r"""
         WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) - 1 AS place
