@@ -11,7 +11,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages_keep_the_columns_and_act(spark, sf_dir):
