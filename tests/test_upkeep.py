@@ -48,7 +48,7 @@ def test_confirmed_mappings_stay_and_signal_sources_move(spark):
 
 
 def test_backfill_maps_ingests_and_counts(spark):
-    instruments = spark.createDataFrame([(1, "aa/b", "XLON"), (2, "bb", "XTSE"), (3, "cc", "XNAS"), (4, "dd/W", "XNAS")], "instrument_id long, ticker string, venue string")
+    instruments = spark.createDataFrame([(1, "aa/b", "XLON"), (2, "bb", "XTSE"), (3, "cc", "XNAS"), (4, "dd_WAR", "XNAS")], "instrument_id long, ticker string, venue string")
     feed = spark.createDataFrame([("AA-B.L", DAY, 2.0, 2), ("AA-B.L", DAY + dt.timedelta(1), 3.0, 2), ("XX", DAY, 9.0, 2)], "symbol string, ts timestamp, close double, retrieved_at int")
     stored = spark.createDataFrame([(1, DAY, 1.0, 1), (3, DAY, 7.0, 1)], "instrument_id long, ts timestamp, close double, retrieved_at int")
     mapped = spark.createDataFrame([(3, "CC")], "instrument_id long, symbol string")

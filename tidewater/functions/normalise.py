@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-#: Venue suffixes of two data vendors, broker suffixes, titles, order states, kinds, secret keys.
+#: Venue suffixes of two data vendors, broker suffixes, titles, order states, kinds, quote units, warrants, secret keys.
 SUFFIXES = {
     "XLON": ".L", "XETR": ".DE", "XPAR": ".PA", "XAMS": ".AS", "XMIL": ".MI", "XMAD": ".MC", "XSWX": ".SW", "XSTO": ".ST",
     "XHEL": ".HE", "XCSE": ".CO", "XOSL": ".OL", "XDUB": ".IR", "XLIS": ".LS", "XBRU": ".BR", "XWBO": ".VI", "XWAR": ".WA",
@@ -20,8 +20,18 @@ CODES = {
 }
 BROKER_SUFFIXES = {"l_EQ": "XLON", "_US_EQ": "XNAS", "d_EQ": "XETR", "p_EQ": "XPAR", "a_EQ": "XAMS", "m_EQ": "XMIL", "e_EQ": "XMAD", "s_EQ": "XSWX", "_SW_EQ": "XSWX"}
 CHIEFS = ("ceo", "cfo", "cto", "coo", "cio", "cmo", "clo", "cao", "chro", "ciso", "cro", "cco", "cdo")
-ORDER_STATES = {"LOCAL": "pending", "NEW": "pending", "CONFIRMED": "working", "UNCONFIRMED": "pending", "FILLED": "filled", "PARTIALLY_FILLED": "working", "CANCELLED": "cancelled", "CANCELLING": "working", "REJECTED": "rejected", "REPLACING": "working", "REPLACED": "cancelled"}
-KINDS = {"STOCK": "equity", "ETF": "etf", "CRYPTOCURRENCY": "crypto", "FOREX": "forex", "FUTURES": "future", "INDEX": "index", "WARRANT": "warrant", "CORPACT": "corporate_action", "CVR": "right"}
+TITLE_CHIEF, TITLE_PRESIDENT, TITLE_VICE = r"(?i)chief[a-z &.,/()-]*officer", r"(?i)\bpresident\b", r"(?i)vice[ -]president|\b[esv]vp\b"
+ORDER_STATES = {
+    "LOCAL": "pending", "UNCONFIRMED": "pending", "NEW": "submitted", "CONFIRMED": "submitted", "SUBMITTED": "submitted", "REPLACING": "submitted", "REPLACED": "submitted",
+    "CANCELLING": "submitted", "PARTIALLY_FILLED": "partially_filled", "FILLED": "filled", "CANCELLED": "cancelled", "REJECTED": "rejected", "EXPIRED": "expired",
+}
+TERMINAL_STATES = ("filled", "cancelled", "rejected", "expired")
+KINDS = {
+    "STOCK": "stock", "REIT": "stock", "ETF": "etf", "ETC": "etc", "TRUST": "trust", "CORPACT": "unknown", "CRYPTOCURRENCY": "unknown", "CVR": "unknown", "FOREX": "unknown",
+    "FUTURES": "unknown", "INDEX": "unknown", "WARRANT": "unknown",
+}
+PENCE, UNITS = ("GBp", "GBX", "GBp "), ("GBP", "GBX", "USD", "EUR", "CHF", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF")
+WARRANTS, SEPARATORS = ("_RGT", "_RTS", "_WAR"), "_/-"
 SECRET_KEYS = ("api_key", "apikey", "authorization", "password", "secret", "token", "session_token", "private_key", "encrypted_api_key")
 REDACTED, REDACTION_DEPTH = "[redacted]", 6
 LINK = r"\[([^\]]*)\]\([^)]*\)"
@@ -50,12 +60,9 @@ def normalise_price(price: Column, unit: Column) -> Column:
 
 
 def infer_unit(symbol: Column, currency: Column) -> Column:
-    return (
-        F.when(currency.isin("GBp", "GBX"), "GBX")
-        .when(F.upper(currency).isin("USD", "GBP", "EUR", "CHF", "SEK", "NOK", "DKK", "CAD", "AUD"), F.upper(currency))
-        .when(symbol.endswith(".L"), "GBX")
-        .otherwise("USD")
-    )
+    """The currency decides where it is a known unit, then a London symbol (pence); dollars otherwise."""
+    said = F.upper(currency)
+    return F.when(currency.isin(*PENCE), "GBX").when(said.isin(*UNITS), said).when(F.upper(symbol).endswith(".L"), "GBX").otherwise("USD")
 
 
 def major_unit(unit: Column) -> Column:
@@ -67,9 +74,13 @@ def settlement_currency(currency: Column) -> Column:
 
 
 def ticker(raw: Column) -> Column:
-    """Upper case, separators as dashes, none at the end; warrants are NULL."""
-    t = F.upper(F.trim(raw))
-    return F.when(~t.rlike(r"(/W|_WS|\.WS|/WS|-WT)$"), F.translate(F.regexp_replace(t, r"[_/-]+$", ""), "/_", "--"))
+    """Upper case, separators as dashes, none at the end; NULL for warrants and rights, and where nothing is left."""
+    t = F.upper(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    right = F.lit(False)
+    for mark in WARRANTS:
+        right = right | F.contains(t, F.lit(mark))
+    bare = F.translate(F.regexp_replace(t, f"[{SEPARATORS}]+$", ""), "/_", "--")
+    return F.when(~right & (bare != ""), bare)
 
 
 def vendor_symbol(tick: Column, venue: Column) -> Column:
@@ -97,8 +108,8 @@ def broker_bare(code: Column) -> Column:
 
 def is_c_suite(title: Column) -> Column:
     """A chief officer by words or initials, or a president; vice presidents are neither."""
-    chief = title.rlike(rf"(?i)chief[a-z &.,/()-]*officer|\b({'|'.join(CHIEFS)})\b")
-    return F.coalesce(chief | (title.rlike(r"(?i)\bpresident\b") & ~title.rlike(r"(?i)vice[ -]president|\b[esv]vp\b")), F.lit(False))
+    chief = title.rlike(TITLE_CHIEF) | title.rlike(rf"(?i)\b({'|'.join(CHIEFS)})\b")
+    return F.coalesce(chief | (title.rlike(TITLE_PRESIDENT) & ~title.rlike(TITLE_VICE)), F.lit(False))
 
 
 def accession(url: Column) -> Column:

@@ -448,7 +448,7 @@ def _(spark, d):
 
 
 _MICS = ("XNAS", "XLON", "XETR", "XTSE", "XPAR", None)
-_BACK = with_tables("candles") + f""", {_MAPS}, ii AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 13 = 0 THEN 'W' || s_suppkey || '/W' ELSE 's' || s_suppkey END AS ticker, ['XNAS', 'XLON', 'XETR', 'XTSE', 'XPAR', NULL][s_nationkey % 6 + 1] AS venue FROM supplier),
+_BACK = with_tables("candles") + f""", {_MAPS}, ii AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 13 = 0 THEN 'W' || s_suppkey || '_WAR' ELSE 's' || s_suppkey END AS ticker, ['XNAS', 'XLON', 'XETR', 'XTSE', 'XPAR', NULL][s_nationkey % 6 + 1] AS venue FROM supplier),
     sy AS (SELECT instrument_id, CASE WHEN instrument_id % 13 <> 0 THEN 'S' || instrument_id || CASE venue WHEN 'XNAS' THEN '' WHEN 'XLON' THEN '.L' WHEN 'XETR' THEN '.DE' WHEN 'XPAR' THEN '.PA' END END AS symbol FROM ii),
     fd AS (SELECT c.*, close * 2 AS again FROM candles c WHERE ts > TIMESTAMP '2000-10-01' AND instrument_id % 9 <> 4), fed AS (SELECT fd.* FROM fd JOIN sy USING (instrument_id) WHERE symbol IS NOT NULL),
     bf AS (SELECT sy.instrument_id, symbol, symbol IS NOT NULL AND sy.instrument_id NOT IN (SELECT instrument_id FROM mp WHERE priority < 3) AS mapping_created, CASE WHEN symbol IS NULL THEN 'unsupported' WHEN n IS NULL THEN 'no data' ELSE 'ingested' END AS status,
@@ -458,7 +458,7 @@ _BACK = with_tables("candles") + f""", {_MAPS}, ii AS (SELECT s_suppkey AS instr
 
 def _backfilled(spark, d):
     k = F.col("s_suppkey")
-    ticker = F.when(k % 13 == 0, F.concat(F.lit("W"), k.cast("string"), F.lit("/W"))).otherwise(F.concat(F.lit("s"), k.cast("string")))
+    ticker = F.when(k % 13 == 0, F.concat(F.lit("W"), k.cast("string"), F.lit("_WAR"))).otherwise(F.concat(F.lit("s"), k.cast("string")))
     instruments = fx.read(spark, d, "supplier").select(k.alias("instrument_id"), ticker.alias("ticker"), _one_of(F.col("s_nationkey"), *_MICS).alias("venue"))
     c = fx.candles(spark, d).select("instrument_id", "ts", "close")
     have = mappings(spark, d).where("priority < 3").select("instrument_id")

@@ -58,9 +58,17 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.normalise_price(F.col("o_totalprice"), _pick("o_orderkey", "GBX", "USD", None)).alias("price"))
 
 
-@query("f6_infer_price_unit", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'GBX', 'GBX', 'EUR', 'GBX', 'USD')} AS unit FROM orders")
+#: (symbol, currency, unit): pence by their three spellings, every known currency, unknown ones and none by symbol
+_UNITS = (
+    ("A", "GBp", "GBX"), ("A.L", "GBp ", "GBX"), ("B", "GBX", "GBX"), ("B", "gbx", "GBX"), ("A.L", "GBP", "GBP"), ("A.L", "gbp", "GBP"), ("A", "USD", "USD"), ("A.L", "usd", "USD"), ("A", "EUR", "EUR"),
+    ("A", "chf", "CHF"), ("A", "SEK", "SEK"), ("A", "NOK", "NOK"), ("A", "DKK", "DKK"), ("A", "PLN", "PLN"), ("A", "CZK", "CZK"), ("A", "HUF", "HUF"), ("A", "CAD", "USD"), ("A.L", "AUD", "GBX"),
+    ("C.L", None, "GBX"), ("c.l", None, "GBX"), ("D.LX", "", "USD"), ("E", None, "USD"),
+)
+
+
+@query("f6_infer_price_unit", f"SELECT o_orderkey, {_pick_sql('o_orderkey', *(u for *_, u in _UNITS))} AS unit FROM orders")
 def _(spark, d):
-    unit = nm.infer_unit(_pick("o_orderkey", "A", "B", "C.L", "D.L", "E"), _pick("o_orderkey", "GBp", "GBX", "eur", None, None))
+    unit = nm.infer_unit(_pick("o_orderkey", *(s for s, *_ in _UNITS)), _pick("o_orderkey", *(c for _, c, _ in _UNITS)))
     return orders(spark, d).select("o_orderkey", unit.alias("unit"))
 
 
@@ -70,15 +78,19 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", (unit == "GBX").alias("is_minor"), nm.major_unit(unit).alias("major"))
 
 
-_TICKERS = ("brk/b ", "ABC_", "xyz/W", "FOO_WS", "a_b-c-", "PLAIN")
+#: What brokers write, and the vendor's notation of it
+_TICKERS = {
+    "brk/b ": "BRK-B", "BRK_A": "BRK-A", "ABC_": "ABC", "abc_/-": "ABC", "xyz/W": "XYZ-W", "FOO_WS": "FOO-WS", "FOO-WT": "FOO-WT", "foo_war": None, "FOO_WARB": None, "BAR_RTS": None, "bar_rgt_1": None,
+    "WARP": "WARP", "a_b-c-": "A-B-C", "PLAIN": "PLAIN", "\t x \n": "X", "": None, "  ": None, "_/-": None,
+}
 
 
-@query("f8_ticker_notation", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'BRK-B', 'ABC', None, None, 'A-B-C', 'PLAIN')} AS ticker FROM orders")
+@query("f8_ticker_notation", f"SELECT o_orderkey, {_pick_sql('o_orderkey', *_TICKERS.values())} AS ticker FROM orders")
 def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.ticker(_pick("o_orderkey", *_TICKERS)).alias("ticker"))
 
 
-@query("f29_symbol_repair", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'BRK-B', 'ABC', 'xyz/W', 'FOO_WS', 'A-B-C', 'PLAIN')} AS symbol, o_orderkey % 6 NOT IN (2, 3) AS is_active FROM orders")
+@query("f29_symbol_repair", f"SELECT o_orderkey, coalesce({_pick_sql('o_orderkey', *_TICKERS.values())}, {_pick_sql('o_orderkey', *_TICKERS)}) AS symbol, {_pick_sql('o_orderkey', *_TICKERS.values())} IS NOT NULL AS is_active FROM orders")
 def _(spark, d):
     raw = _pick("o_orderkey", *_TICKERS)
     fixed = nm.ticker(raw)
@@ -109,9 +121,20 @@ def _(spark, d):
     return orders(spark, d).select("o_orderkey", nm.broker_venue(code).alias("venue"), nm.broker_bare(code).alias("bare"))
 
 
-@query("f12_settlement", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'GBP', 'USD', 'EUR')} AS settles, {_pick_sql('o_orderkey', 'equity', 'unknown', 'etf')} AS kind FROM orders")
+#: Broker codes of instruments and of order states, each with its meaning here
+_KINDS = {
+    "STOCK": "stock", "REIT": "stock", "ETF": "etf", "ETC": "etc", "TRUST": "trust", "CORPACT": "unknown", "CRYPTOCURRENCY": "unknown", "CVR": "unknown", "FOREX": "unknown", "FUTURES": "unknown",
+    "INDEX": "unknown", "WARRANT": "unknown", "WEIRD": "unknown", None: "unknown",
+}
+_STATES = {
+    "LOCAL": "pending", "UNCONFIRMED": "pending", "NEW": "submitted", "CONFIRMED": "submitted", "SUBMITTED": "submitted", "REPLACING": "submitted", "REPLACED": "submitted", "CANCELLING": "submitted",
+    "PARTIALLY_FILLED": "partially_filled", "FILLED": "filled", "CANCELLED": "cancelled", "REJECTED": "rejected", "EXPIRED": "expired", "ODD": "unknown", None: "unknown",
+}
+
+
+@query("f12_settlement", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'GBP', 'USD', 'EUR')} AS settles, {_pick_sql('o_orderkey', *_KINDS.values())} AS kind FROM orders")
 def _(spark, d):
-    kind = nm.lookup(nm.KINDS, _pick("o_orderkey", "STOCK", "WEIRD", "ETF"), "unknown")
+    kind = nm.lookup(nm.KINDS, _pick("o_orderkey", *_KINDS), "unknown")
     return orders(spark, d).select("o_orderkey", nm.settlement_currency(_pick("o_orderkey", "GBX", None, "EUR")).alias("settles"), kind.alias("kind"))
 
 
@@ -192,15 +215,19 @@ def _(spark, d):
     return fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", nm.signed_percent(F.col("l_discount") - 0.05).alias("text"))
 
 
-@query("f30_broker_vocabularies", f"SELECT o_orderkey, {_pick_sql('o_orderkey', 'filled', 'pending', 'unknown', 'cancelled', 'rejected')} AS status FROM orders")
+@query("f30_broker_vocabularies", f"SELECT o_orderkey, {_pick_sql('o_orderkey', *_STATES.values())} AS status, {_pick_sql('o_orderkey', *_KINDS.values())} AS kind FROM orders")
 def _(spark, d):
-    return orders(spark, d).select("o_orderkey", nm.lookup(nm.ORDER_STATES, _pick("o_orderkey", "FILLED", "NEW", "ODD", "CANCELLED", "REJECTED"), "unknown").alias("status"))
+    status = nm.lookup(nm.ORDER_STATES, _pick("o_orderkey", *_STATES), "unknown")
+    return orders(spark, d).select("o_orderkey", status.alias("status"), nm.lookup(nm.KINDS, _pick("o_orderkey", *_KINDS), "unknown").alias("kind"))
+
+
+_QUALITY = ("ok", "stale", "suspect", "conflicted", "incomplete", "unavailable", None)
 
 
-@query("p10_status_predicates", "SELECT o_orderkey, o_orderkey % 5 IN (0, 3, 4) AS terminal, o_orderkey % 5 <> 2 AS tradable FROM orders")
+@query("p10_status_predicates", f"SELECT o_orderkey, coalesce({_pick_sql('o_orderkey', *_STATES.values())} IN ('filled', 'cancelled', 'rejected', 'expired'), false) AS terminal, coalesce({_pick_sql('o_orderkey', *_QUALITY)} = 'ok', false) AS tradable FROM orders")
 def _(spark, d):
-    s = nm.lookup(nm.ORDER_STATES, _pick("o_orderkey", "FILLED", "NEW", "ODD", "CANCELLED", "REJECTED"), "unknown")
-    return orders(spark, d).select("o_orderkey", nm.any_of(s, ("filled", "cancelled", "rejected")).alias("terminal"), (~nm.any_of(s, ("unknown",))).alias("tradable"))
+    s = nm.lookup(nm.ORDER_STATES, _pick("o_orderkey", *_STATES), "unknown")
+    return orders(spark, d).select("o_orderkey", nm.any_of(s, nm.TERMINAL_STATES).alias("terminal"), nm.any_of(_pick("o_orderkey", *_QUALITY), ("ok",)).alias("tradable"))
 
 
 # --- readers ----------------------------------------------------------------------------------------------
@@ -304,10 +331,10 @@ def _(spark, d):
     return readers.broker_catalogue(fx.read(spark, d, "part").select("p_partkey", body.alias("payload")))
 
 
-@query("s18_broker_orders", f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, (o_orderkey % 10 + 1)::DOUBLE AS quantity, {_pick_sql('o_orderkey', 'filled', 'pending', 'unknown')} AS status FROM orders")
+@query("s18_broker_orders", f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, (o_orderkey % 10 + 1)::DOUBLE AS quantity, {_pick_sql('o_orderkey', *_STATES.values())} AS status FROM orders")
 def _(spark, d):
     sign = F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(-1.0)
-    body = F.to_json(F.struct((sign * (F.col("o_orderkey") % 10 + 1)).alias("quantity"), _pick("o_orderkey", "FILLED", "NEW", "ODD").alias("status")))
+    body = F.to_json(F.struct((sign * (F.col("o_orderkey") % 10 + 1)).alias("quantity"), _pick("o_orderkey", *_STATES).alias("status")))
     return readers.broker_orders(orders(spark, d).select("o_orderkey", body.alias("payload")))
 
 
