@@ -6,9 +6,11 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 GENESIS = "0" * 64
 
 
@@ -18,15 +20,95 @@ def last_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("e")).select(*keys, "e.*")
 
 
-def blocking_halts(halts: DataFrame, instruments: DataFrame) -> DataFrame:
-    """The halt that blocks each instrument: a global one, else its own; strategy halts block none."""
-    active = halts.where("active AND scope IN ('global', 'instrument')")
-    rank = F.when(F.col("scope") == "global", 0).otherwise(1)
-    every = active.where("scope = 'global'").agg(F.min_by("kind", "kind").alias("g"))
-    own = active.where("scope = 'instrument'").groupBy("instrument_id").agg(F.min(F.struct(rank.alias("r"), "kind")).alias("o"))
-    out = instruments.join(F.broadcast(every), F.lit(True), "left").join(own, "instrument_id", "left")
-    kind = F.coalesce("g", "o.kind")
-    return out.where(kind.isNotNull()).select("instrument_id", kind.alias("kind"), F.when(F.col("g").isNotNull(), "global").otherwise("instrument").alias("scope"))
+def running_count(rows: DataFrame, keys: list[str], flag: Column, order: list[str], day: str, name: str) -> DataFrame:
+    """``rows`` with the number of flagged rows of the same keys up to each one, itself included.
+
+    Counted within the days of a key and carried on from day to day, so that no task needs all rows of a key.
+    ``keys`` and ``day`` are not null; ``rows`` are read twice.
+    """
+    within = Window.partitionBy(*keys, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*keys, day).agg(F.sum(flag.cast("long")).alias("_n"))
+    carry = days.select(*keys, day, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    counted = rows.withColumn(name, F.sum(flag.cast("long")).over(within))
+    return counted.join(carry, [*keys, day]).withColumn(name, F.col(name) + F.col("_carry")).drop("_carry")
+
+
+def halt_periods(log: DataFrame) -> DataFrame:
+    """Every time that a halt was active: kind, scope, instrument_id, strategy, reason, by_user, activated_at, cleared_at, cleared_by.
+
+    log: event_id, ts, action, kind, scope, instrument_id, strategy, reason, by_user (NULL: the system). A halt
+    is one of a kind, scope and instrument. ``activate`` does nothing while it is active, so the first reason
+    and time stay. ``clear`` ends it, whoever began it; ``clear_kind`` ends all halts of a kind that the system
+    began. What is still active has no cleared_at.
+
+    Clearings cut a halt's time into stretches, and clearings of its kind cut these into pieces. A stretch
+    without a user's halt starts each piece inactive, so a piece's first activation begins a period. The
+    first piece that a user begins goes on to the end of the stretch.
+    """
+    key, at = ["kind", "scope", "target"], ["ts", "event_id"]
+    rows = log.withColumns({"target": F.coalesce("instrument_id", F.lit(-1)), "day": F.to_date("ts")})
+    rows = stored(running_count(rows, ["kind"], F.col("action") == "clear_kind", at, "day", "piece"), "halts")
+    own = stored(running_count(rows.where("action <> 'clear_kind'"), key, F.col("action") == "clear", at, "day", "stretch"), "halts")
+    what = F.struct("ts", "event_id", "instrument_id", "strategy", "reason", "by_user")
+    first = own.where("action = 'activate'").groupBy(*key, "stretch", "piece").agg(F.min_by(what, F.struct(*at)).alias("a"))
+    held = first.where("a.by_user IS NOT NULL").groupBy(*key, "stretch").agg(F.min("piece").alias("held"))
+    begun = first.join(held, [*key, "stretch"], "left").where("held IS NULL OR piece <= held").select(*key, "stretch", "piece", "a.*")
+    cleared = own.where("action = 'clear'").select(*key, (F.col("stretch") - 1).alias("stretch"), F.struct(*at, F.lit("clear").alias("how")).alias("own_end"))
+    swept = rows.where("action = 'clear_kind'").select("kind", (F.col("piece") - 1).alias("piece"), F.struct(*at, F.lit("clear_kind").alias("how")).alias("kind_end"))
+    out = begun.join(cleared, [*key, "stretch"], "left").join(swept, ["kind", "piece"], "left")
+    end = F.least("own_end", F.when(F.col("by_user").isNull(), F.col("kind_end")))
+    return out.select("kind", "scope", "instrument_id", "strategy", "reason", "by_user", F.col("ts").alias("activated_at"), end["ts"].alias("cleared_at"), end["how"].alias("cleared_by"))
+
+
+def halts_at(periods: DataFrame, times: DataFrame) -> DataFrame:
+    """The halts that are active at each of a few ``times`` (one column, at)."""
+    active = (F.col("activated_at") <= F.col("at")) & (F.col("cleared_at").isNull() | (F.col("cleared_at") > F.col("at")))
+    return periods.join(F.broadcast(times), active)
+
+
+def blocking_halts(active: DataFrame, instruments: DataFrame) -> DataFrame:
+    """The halt that blocks each instrument at each time: a global one, else its own; strategy halts block none."""
+    every = active.where("scope = 'global'").groupBy("at").agg(F.min("kind").alias("kind"))
+    own = active.where("scope = 'instrument'").groupBy("at", "instrument_id").agg(F.min("kind").alias("kind"))
+    shut = every.join(instruments.select("instrument_id"), F.lit(True)).select("at", "instrument_id", "kind", F.lit("global").alias("scope"))
+    open_days = own.join(F.broadcast(every.select("at")), "at", "left_anti").join(instruments.select("instrument_id"), "instrument_id")
+    return shut.unionByName(open_days.select("at", "instrument_id", "kind", F.lit("instrument").alias("scope")))
+
+
+def reconciliation_events(runs: DataFrame) -> DataFrame:
+    """Halt events of reconciliation runs (ts, run_id, broker, discrepancies): a divergence halts all trading, a clean run clears.
+
+    A run that is told twice counts once.
+    """
+    once = runs.groupBy("run_id").agg(F.max(F.struct("ts", "broker", "discrepancies")).alias("r")).select("run_id", "r.*")
+    clean = F.col("discrepancies") == 0
+    reason = F.when(~clean, F.format_string("%s: %d discrepancies", "broker", "discrepancies"))
+    none = F.lit(None)
+    return once.select(
+        F.col("run_id").alias("event_id"), "ts", F.when(clean, "clear_kind").otherwise("activate").alias("action"), F.lit("reconciliation").alias("kind"), F.lit("global").alias("scope"),
+        none.cast("long").alias("instrument_id"), none.cast("string").alias("strategy"), reason.alias("reason"), none.cast("long").alias("by_user"),
+    )
+
+
+def memberships(log: DataFrame) -> DataFrame:
+    """list_id, instrument_id, pinned_at, event_id, note, removed_at of every stay on a watchlist.
+
+    log: event_id, ts, action (add or remove), list_id, instrument_id, note. Adding what is on the list keeps
+    its place; its note changes if one is given. After a removal an addition starts a new stay, with its own note.
+    """
+    key, at = ["list_id", "instrument_id"], ["ts", "event_id"]
+    rows = stored(running_count(log.withColumn("day", F.to_date("ts")), key, F.col("action") == "remove", at, "day", "stay"), "watch")
+    added = rows.where("action = 'add'").groupBy(*key, "stay").agg(F.min(F.struct(*at)).alias("first"), F.max_by("note", F.when(F.col("note").isNotNull(), F.struct(*at))).alias("note"))
+    gone = rows.where("action = 'remove'").select(*key, (F.col("stay") - 1).alias("stay"), F.col("ts").alias("removed_at"))
+    return added.join(gone, [*key, "stay"], "left").select(*key, F.col("first.ts").alias("pinned_at"), F.col("first.event_id").alias("event_id"), "note", "removed_at")
+
+
+def watchlist(stays: DataFrame, scannable: DataFrame) -> DataFrame:
+    """What is on each list in the order it was pinned, with its note, and whether it can be scanned (instrument_id, has_history)."""
+    place = F.row_number().over(Window.partitionBy("list_id").orderBy("pinned_at", "event_id"))
+    rows = stays.where("removed_at IS NULL").join(scannable.select("instrument_id", "has_history"), "instrument_id", "left")
+    return rows.select("list_id", place.alias("place"), "instrument_id", "pinned_at", "note", F.coalesce("has_history", F.lit(False)).alias("scannable"))
 
 
 def backoff(fetches: DataFrame, most: int = 3, rest_days: int = 30) -> DataFrame:
@@ -109,7 +191,8 @@ def append_chain(events: DataFrame) -> DataFrame:
     """Hash chains: chain, event_id, kind, summary -> sequence, previous_hash, event_hash.
 
     Every hash covers the one before, so chains are dealt to tasks, sorted, and folded row by row; a task
-    holds the last hash of one chain, not its events. One chain alone is one task's work by its nature.
+    holds the last hash of one chain, not its events. One chain alone is one task's work by its nature;
+    ``linked`` and ``verify_chain`` check it in all tasks.
     """
 
     def fold(frames):
@@ -130,11 +213,31 @@ def append_chain(events: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, "chain long, event_id long, kind string, summary string, sequence long, previous_hash string, event_hash string")
 
 
+def linked(chain: DataFrame) -> DataFrame:
+    """``chain`` with ok_link: whether previous_hash is the hash of the event before, the genesis hash at first.
+
+    Sequences may have gaps. Events are range-partitioned by sequence; each part looks back within itself and
+    takes the last hash of the part before it, so a chain of any length is checked by all tasks.
+    """
+    rows = stored(chain.repartitionByRange("chain", "sequence").withColumn("part", F.spark_partition_id()), "chain")
+    own = Window.partitionBy("chain", "part").orderBy("sequence")
+    last = rows.groupBy("chain", "part").agg(F.max_by("event_hash", "sequence").alias("last"))  # a row a part
+    carry = last.select("chain", "part", F.lag("last").over(Window.partitionBy("chain").orderBy("part")).alias("carry"))
+    out = rows.withColumn("before", F.lag("event_hash").over(own)).join(carry, ["chain", "part"])
+    return out.withColumn("ok_link", F.col("previous_hash") == F.coalesce("before", "carry", F.lit(GENESIS))).drop("part", "before", "carry")
+
+
 def verify_chain(chain: DataFrame) -> DataFrame:
-    """Problems of chains: a hash that its row doesn't give, or a predecessor that isn't the one before."""
-    order = Window.partitionBy("chain").orderBy("sequence")
+    """Problems of chains: a hash that its row doesn't give, and a predecessor that isn't the event before."""
     quoted = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', "$1")
     body = F.concat(F.lit('{"chain":'), F.col("chain").cast("string"), F.lit(',"kind":'), quoted("kind"), F.lit(',"previous":'), quoted("previous_hash"), F.lit(',"sequence":'), F.col("sequence").cast("string"), F.lit(',"summary":'), quoted("summary"), F.lit("}"))
-    rows = chain.withColumn("ok_hash", F.sha2(body, 256) == F.col("event_hash"))
-    rows = rows.withColumn("ok_link", F.col("previous_hash") == F.coalesce(F.lag("event_hash").over(order), F.lit(GENESIS)))
-    return rows.where("NOT ok_hash OR NOT ok_link").select("chain", "sequence", F.when(~F.col("ok_hash"), "hash").otherwise("link").alias("problem"))
+    found = F.array_compact(F.array(F.when(F.sha2(body, 256) != F.col("event_hash"), "hash"), F.when(~F.col("ok_link"), "link")))
+    return linked(chain).select("chain", "sequence", F.explode(found).alias("problem"))
+
+
+def audit_listing(events: DataFrame, most: int, kind: str | None = None, subject_type: str | None = None, subject_id: str | None = None) -> DataFrame:
+    """The newest events, of a kind or about a subject where these are given."""
+    for column, value in (("kind", kind), ("subject_type", subject_type), ("subject_id", subject_id)):
+        if value is not None:
+            events = events.where(F.col(column) == value)
+    return events.orderBy(F.col("sequence").desc()).limit(most)

@@ -191,34 +191,6 @@ def _(spark, d):
     return fx.instruments(spark, d).where("NOT suspended AND (bot_universe OR scanner_eligible) AND (last_scanned_on IS NULL OR last_scanned_on <= DATE '2001-10-20')").select("instrument_id")
 
 
-_HALTS = "h AS (SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'strategy' ELSE 'instrument' END AS scope, user_id % 97 AS instrument_id, event_type AS kind, ts, event_id % 2 = 0 AS active FROM events)"
-
-
-def halts(spark, d):
-    e = fx.read(spark, d, "events")
-    return e.select("event_id", F.when(F.col("user_id") % 3 == 0, "strategy").otherwise("instrument").alias("scope"), (F.col("user_id") % 97).alias("instrument_id"), F.col("event_type").alias("kind"), "ts", (F.col("event_id") % 2 == 0).alias("active"))
-
-
-_LAST = f"WITH {_HALTS}, s AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY kind, scope, instrument_id ORDER BY ts DESC, event_id DESC) = 1)"
-
-
-@query("st10_halt_state", _LAST + " SELECT kind, scope, instrument_id, active FROM s")
-def _(spark, d):
-    return lifecycle.last_state(halts(spark, d), ["kind", "scope", "instrument_id"], ["ts", "event_id"]).select("kind", "scope", "instrument_id", "active")
-
-
-@query("p8_blocking_halts", _LAST + " SELECT s_suppkey AS instrument_id, min(kind) AS kind, 'instrument' AS scope FROM supplier JOIN s ON instrument_id = s_suppkey WHERE active AND scope = 'instrument' GROUP BY s_suppkey")
-def _(spark, d):
-    state = lifecycle.last_state(halts(spark, d), ["kind", "scope", "instrument_id"], ["ts", "event_id"])
-    return lifecycle.blocking_halts(state, fx.instruments(spark, d).select("instrument_id"))
-
-
-@query("p9_audit_listing", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 30")
-def _(spark, d):
-    e = fx.read(spark, d, "events").where("event_type = 'error'").select("event_id", "ts")
-    return selection.page(e, [F.col("ts").desc(), F.col("event_id").desc()], 30)
-
-
 @query("p11_preflight", "SELECT o_orderkey, array_to_string([x FOR x IN [CASE WHEN o_orderkey % 2 = 0 THEN 'not armed' END, CASE WHEN o_orderkey % 3 = 0 THEN 'halted' END, CASE WHEN o_orderkey % 5 = 0 THEN 'stale' END] IF x IS NOT NULL], ',') AS blockers, CASE WHEN o_orderkey % 2 = 0 THEN 'not armed' WHEN o_orderkey % 3 = 0 THEN 'halted' WHEN o_orderkey % 5 = 0 THEN 'stale' END AS first_blocker FROM orders")
 def _(spark, d):
     checks = [F.when(F.col("o_orderkey") % n == 0, text) for n, text in ((2, "not armed"), (3, "halted"), (5, "stale"))]
@@ -568,12 +540,6 @@ def _(spark, d):
     return _decided(spark, d)[1]
 
 
-@query("st12_reconcile_halts", with_tables("intents") + ", p AS (SELECT account, count(*) FILTER (WHERE status = 'RECONCILED' AND fill_price IS NULL) AS problems FROM intents GROUP BY account) SELECT account, CASE WHEN problems > 0 THEN 'halt' ELSE 'clear' END AS action FROM p")
-def _(spark, d):
-    per = fx.intents(spark, d).groupBy("account").agg(F.count_if((F.col("status") == "RECONCILED") & F.col("fill_price").isNull()).alias("problems"))
-    return per.select("account", F.when(F.col("problems") > 0, "halt").otherwise("clear").alias("action"))
-
-
 @query("st13_quota_admission")
 def _(spark, d):
     e = fx.read(spark, d, "events")
@@ -613,37 +579,8 @@ def _(spark, d):
     return _resolved_mappings(spark, d)[1]
 
 
-@query("st17_watchlist_membership", "WITH w AS (SELECT o_custkey AS list_id, o_orderkey % 97 AS instrument_id, o_orderkey, o_orderdate, o_orderstatus FROM orders) SELECT list_id, instrument_id, o_orderdate AS changed_at FROM w QUALIFY row_number() OVER (PARTITION BY list_id, instrument_id ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AND o_orderstatus <> 'F'")
-def _(spark, d):
-    e = orders(spark, d).select(F.col("o_custkey").alias("list_id"), (F.col("o_orderkey") % 97).alias("instrument_id"), "o_orderkey", F.col("o_orderdate").alias("changed_at"), F.col("o_orderstatus").alias("what"))
-    return lifecycle.last_state(e, ["list_id", "instrument_id"], ["changed_at", "o_orderkey"]).where("what <> 'F'").select("list_id", "instrument_id", "changed_at")
-
-
 @query("st18_suspension", with_tables("instruments") + " SELECT i.instrument_id, CASE WHEN hit IS NOT NULL THEN 'SUSPENDED' ELSE 'ACTIVE' END AS state, hit AS suspended_at FROM instruments i LEFT JOIN (SELECT user_id % 211 AS instrument_id, max(ts) AS hit FROM events WHERE event_type = 'error' GROUP BY ALL) e USING (instrument_id)")
 def _(spark, d):
     e = fx.read(spark, d, "events").where("event_type = 'error'").groupBy((F.col("user_id") % 211).alias("instrument_id")).agg(F.max("ts").alias("suspended_at"))
     out = fx.instruments(spark, d).select("instrument_id").join(e, "instrument_id", "left")
     return out.select("instrument_id", F.when(F.col("suspended_at").isNotNull(), "SUSPENDED").otherwise("ACTIVE").alias("state"), "suspended_at")
-
-
-def audit(spark, d):
-    e = fx.read(spark, d, "events")
-    return lifecycle.append_chain(e.select((F.col("user_id") % 16).alias("chain"), "event_id", F.col("event_type").alias("kind"), F.concat(F.lit("value "), F.col("value").cast("string")).alias("summary")))
-
-
-@query("au1_audit_append")
-def _(spark, d):
-    return audit(spark, d)
-
-
-@query("au2_chain_verification", "SELECT user_id % 16 AS chain, 3::BIGINT AS sequence, 'hash' AS problem FROM events GROUP BY ALL HAVING count(*) >= 3")
-def _(spark, d):
-    broken = audit(spark, d).withColumn("summary", F.when(F.col("sequence") == 3, "tampered").otherwise(F.col("summary")))
-    return lifecycle.verify_chain(broken)
-
-
-@query("w7_chain_predecessors", "SELECT user_id % 16 AS chain, count(*) AS n, count(*) AS linked FROM events GROUP BY ALL")
-def _(spark, d):
-    order = Window.partitionBy("chain").orderBy("sequence")
-    rows = audit(spark, d).withColumn("ok", F.col("previous_hash") == F.coalesce(F.lag("event_hash").over(order), F.lit(lifecycle.GENESIS)))
-    return rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("linked"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, desk, ingest, market, streaming
+from . import catalogue, desk, events, ingest, market, streaming
 
-_MODULES = (market, ingest, desk, catalogue, streaming)
+_MODULES = (market, ingest, desk, catalogue, events, streaming)
 
 
 def queries() -> dict:
