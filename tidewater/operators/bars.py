@@ -35,14 +35,25 @@ def newest_first(df: DataFrame, n: int | None = None, key: str = "instrument_id"
     return out if n is None else out.where(F.col("rn") <= n)
 
 
-def scan(bars: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = None, closed_only: bool = True, as_of: str | None = None, interval: str = "1d") -> DataFrame:
-    """Bars with start <= ts <= end, the newest ``limit`` of each instrument, closed ones if asked."""
+def scan(
+    bars: DataFrame, start: str | None = None, end: str | None = None, limit: int | None = None, closed_only: bool = True, as_of: str | None = None, interval: str = "1d",
+    series_type: str = "raw", tradable_only: bool = False,
+) -> DataFrame:
+    """Bars of an interval and series with start <= ts <= end, the newest ``limit`` of each instrument; closed ones, and ones fit for trading, if asked.
+
+    Tables without an interval or series hold one of them. On a table that is cut by these the filters choose folders.
+    """
+    for column, value in (("interval", interval), ("series_type", series_type)):
+        if column in bars.columns:
+            bars = bars.where(F.col(column) == value)
     if start:
         bars = bars.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end:
         bars = bars.where(F.col("ts") <= F.lit(end).cast("timestamp"))
     if closed_only and as_of:
         bars = bars.where(is_closed(F.col("ts"), F.lit(interval), F.lit(as_of).cast("timestamp")))
+    if tradable_only:
+        bars = bars.where("quality = 'OK'")
     return newest_first(bars, limit).drop("rn") if limit else bars
 
 
@@ -67,6 +78,11 @@ def coherent(o="open", h="high", low="low", c="close") -> Column:
     return (h >= low) & (h >= o) & (h >= c) & (low <= o) & (low <= c) & (o > 0) & (c > 0)
 
 
+def with_quality(bars: DataFrame) -> DataFrame:
+    """What a fetched bar's quality is when it is stored."""
+    return bars.withColumn("quality", F.when(coherent(), "OK").otherwise("SUSPECT"))
+
+
 def upsert(stored: DataFrame, batch: DataFrame, first_wins: tuple[str, ...] = ("currency", "price_unit", "is_adjusted"), key: list[str] | None = None) -> DataFrame:
     """One row a key: the values that were read last, but ``first_wins`` columns as first stored."""
     key = key or [c for c in KEY if c in stored.columns]

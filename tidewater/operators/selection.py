@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +15,38 @@ def page(df: DataFrame, order: list, size: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(size)
 
 
-def search(instruments: DataFrame, text: str) -> DataFrame:
-    """Instruments whose ticker or venue holds the text, whatever its case."""
-    t = F.lit(text.lower())
-    return instruments.where(F.contains(F.lower("ticker"), t) | F.contains(F.lower("venue"), t))
+def search(
+    instruments: DataFrame, text: str | None = None, ids: Sequence[int] | None = None, lifecycle_state: str | None = None, bot_universe_only: bool = False, tradable_only: bool = False
+) -> DataFrame:
+    """Instruments whose name, ticker or ISIN holds the text, whatever its case, within what else is asked.
+
+    % and _ of a text stand for any text and any character. An empty set of ids finds nothing; no set asks for none.
+    """
+    if ids is not None:
+        instruments = instruments.where(F.col("instrument_id").isin(*ids) if ids else F.lit(False))
+    if text:
+        pattern = f"%{text.strip()}%"
+        instruments = instruments.where(F.col("name").ilike(pattern) | F.col("ticker").ilike(pattern) | F.col("isin").ilike(pattern))
+    if lifecycle_state:
+        instruments = instruments.where(F.col("lifecycle_state") == lifecycle_state)
+    if bot_universe_only:
+        instruments = instruments.where("bot_universe")
+    return instruments.where("NOT suspended") if tradable_only else instruments
+
+
+def page_with_total(found: DataFrame, order: list, size: int, offset: int = 0) -> DataFrame:
+    """A page, each row with the number of rows of all pages."""
+    return page(found, order, size, offset).join(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))), F.lit(True))
+
+
+def refresh_candidates(instruments: DataFrame, mappings: DataFrame, as_of: str) -> DataFrame:
+    """Instruments to refresh: not suspended, in the bot universe or eligible, with an active mapping that does not rest.
+
+    mappings: instrument_id, is_active, retry_after (NULL: never rested). A rest that ends at ``as_of`` is over.
+    """
+    due = F.col("retry_after").isNull() | (F.col("retry_after") <= F.lit(as_of).cast("timestamp"))
+    ready = mappings.where(F.col("is_active") & due).select("instrument_id")
+    return instruments.where("NOT suspended AND (bot_universe OR scanner_eligible)").join(ready, "instrument_id", "left_semi")
 
 
 def rotation(instruments: DataFrame, pool: int, tradable_only: bool = False) -> DataFrame:

@@ -235,3 +235,13 @@ def fold_positions(fills: DataFrame, start_cash: float) -> DataFrame:
 
 def newest_result(results: DataFrame, order: str = "created_at") -> DataFrame:
     return newest_first(results, 1, order=order).drop("rn")
+
+
+def equities_to_gdp(series: DataFrame, scale: float = 1000.0) -> DataFrame:
+    """country, equities, gdp and ratio: the newest known value of each series, equities scaled to gdp's unit, in percent of it.
+
+    series: country, series (equities or gdp), value (NULL: not published), ts, event_id. NULL where either is missing or gdp is 0.
+    """
+    newest = lambda s: F.max_by("value", F.when((F.col("series") == s) & F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias(s)
+    out = series.groupBy("country").agg(newest("equities"), newest("gdp"))
+    return out.withColumn("ratio", F.when(F.col("gdp") != 0, F.col("equities") / scale / F.col("gdp") * 100))

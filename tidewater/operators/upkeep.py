@@ -85,6 +85,31 @@ def resolve_mappings(stored: DataFrame, answers: DataFrame) -> tuple[DataFrame,
     return out, held
 
 
+def confirm(mappings: DataFrame, lifecycle: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings after, instruments' states after) a user confirmed some mappings.
+
+    mappings: instrument_id, provider, symbol, confirmed, is_signal_source. lifecycle: instrument_id,
+    lifecycle_state. confirmed: instrument_id, provider, override (a symbol of the user's, or NULL), as_signal
+    (it becomes the one signal source of its instrument; the first provider in order if several ask).
+    Confirming a mapping that does not exist does nothing. An instrument that waited for its mapping goes on to
+    its history; other states stay.
+    """
+    key = ["instrument_id", "provider"]
+    both = mappings.join(confirmed.withColumn("asked", F.lit(True)), key, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    chosen = both.where("asked AND as_signal").groupBy("instrument_id").agg(F.min("provider").alias("chosen"))
+    own = F.col("asked") & F.col("override").isNotNull() & (F.col("override") != "")
+    manual = own & (F.col("override") != F.col("symbol"))
+    after = both.join(chosen, "instrument_id", "left").select(
+        *key, F.when(own, F.col("override")).otherwise(F.col("symbol")).alias("symbol"), (F.col("confirmed") | F.col("asked")).alias("confirmed"),
+        F.when(F.col("chosen").isNotNull(), F.col("chosen") == F.col("provider")).otherwise(F.col("is_signal_source")).alias("is_signal_source"),
+        F.when(F.coalesce(manual, F.lit(False)), "manual_user_override").alias("resolution"),
+    )
+    done = both.where("asked").select("instrument_id", F.lit(True).alias("done")).distinct()
+    moved = F.col("done").isNotNull() & (F.col("lifecycle_state") == "MAPPING_REQUIRED")
+    states = lifecycle.join(done, "instrument_id", "left").select("instrument_id", F.when(moved, "DATA_BACKFILL").otherwise(F.col("lifecycle_state")).alias("lifecycle_state"))
+    return after, states
+
+
 def map_by_ticker(instruments: DataFrame, mappings: DataFrame) -> DataFrame:
     """instrument_id, symbol and whether its mapping is new; symbol is NULL where the venue is not supported."""
     symbol = nm.vendor_symbol(nm.ticker(F.col("ticker")), F.col("venue"))

@@ -113,11 +113,6 @@ def _(spark, d):
     return rows.select("instrument_id", "accession", (F.col("nth") == 1).alias("processed"))
 
 
-@query("t8_newest_listing", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
-def _(spark, d):
-    return selection.page(orders(spark, d).select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 25)
-
-
 # --- sets -------------------------------------------------------------------------------------------------
 
 
@@ -174,23 +169,11 @@ def _(spark, d):
 # --- filters ----------------------------------------------------------------------------------------------
 
 
-@query("p4_catalogue_search", with_tables("instruments") + " SELECT instrument_id, ticker, venue FROM instruments WHERE contains(lower(venue), 'nation_1') OR contains(lower(ticker), '0007') ORDER BY ticker LIMIT 40 OFFSET 5")
-def _(spark, d):
-    i = fx.instruments(spark, d)
-    found = i.where(F.contains(F.lower("venue"), F.lit("nation_1")) | F.contains(F.lower("ticker"), F.lit("0007")))
-    return selection.page(found.select("instrument_id", "ticker", "venue"), ["ticker"], 40, 5)
-
-
 @query("p5_result_filters", f"WITH {RESULTS} SELECT result_id, score FROM results WHERE run_id = 3 AND score >= 40 AND tradable")
 def _(spark, d):
     return results(spark, d).where("run_id = 3 AND score >= 40 AND tradable").select("result_id", "score")
 
 
-@query("p6_refresh_candidates", with_tables("instruments") + " SELECT instrument_id FROM instruments WHERE NOT suspended AND (bot_universe OR scanner_eligible) AND (last_scanned_on IS NULL OR last_scanned_on <= DATE '2001-10-20')")
-def _(spark, d):
-    return fx.instruments(spark, d).where("NOT suspended AND (bot_universe OR scanner_eligible) AND (last_scanned_on IS NULL OR last_scanned_on <= DATE '2001-10-20')").select("instrument_id")
-
-
 @query("p11_preflight", "SELECT o_orderkey, array_to_string([x FOR x IN [CASE WHEN o_orderkey % 2 = 0 THEN 'not armed' END, CASE WHEN o_orderkey % 3 = 0 THEN 'halted' END, CASE WHEN o_orderkey % 5 = 0 THEN 'stale' END] IF x IS NOT NULL], ',') AS blockers, CASE WHEN o_orderkey % 2 = 0 THEN 'not armed' WHEN o_orderkey % 3 = 0 THEN 'halted' WHEN o_orderkey % 5 = 0 THEN 'stale' END AS first_blocker FROM orders")
 def _(spark, d):
     checks = [F.when(F.col("o_orderkey") % n == 0, text) for n, text in ((2, "not armed"), (3, "halted"), (5, "stale"))]
@@ -222,13 +205,6 @@ def _(spark, d):
     return selection.first_mapping(mappings(spark, d)).select("instrument_id", "priority", "symbol")
 
 
-@query("in4_provider_fallback", _FIRST + " SELECT s_suppkey AS instrument_id, symbol, CASE WHEN symbol IS NULL THEN 'no provider serves it' END AS unserved FROM supplier LEFT JOIN fm ON instrument_id = s_suppkey AND priority < 3")
-def _(spark, d):
-    m = selection.first_mapping(mappings(spark, d)).where("priority < 3").select("instrument_id", "symbol")
-    out = fx.instruments(spark, d).select("instrument_id").join(m, "instrument_id", "left")
-    return out.withColumn("unserved", F.when(F.col("symbol").isNull(), "no provider serves it"))
-
-
 @query("j3_latest_fundamentals", with_tables("fundamentals") + " SELECT instrument_id, max(as_of) AS as_of, arg_max_null(trailing_pe, as_of) AS trailing_pe FROM fundamentals WHERE as_of <= DATE '2001-09-30' GROUP BY instrument_id".replace("arg_max_null(trailing_pe, as_of)", "max(trailing_pe)"))
 def _(spark, d):
     from ..operators.scoring import latest_fundamentals
@@ -263,10 +239,10 @@ def _(spark, d):
     return i.join(mappings(spark, d).where("priority < 3"), "instrument_id", "left_anti").join(listed, "instrument_id", "left_semi").orderBy("ticker").limit(30)
 
 
-@query("j9_enrichment_candidates", f"WITH {_MAPS} SELECT DISTINCT instrument_id FROM mp WHERE is_active AND instrument_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0)")
+@query("j9_enrichment_candidates", with_tables("fundamentals") + ", mp AS (SELECT p_partkey % 130 AS instrument_id, p_partkey % 6 <> 0 AS is_active FROM part) SELECT DISTINCT instrument_id FROM mp WHERE is_active AND instrument_id NOT IN (SELECT instrument_id FROM fundamentals)")
 def _(spark, d):
-    have = fx.fundamentals(spark, d).where("instrument_id % 4 = 0").select("instrument_id")
-    return mappings(spark, d).where("is_active").select("instrument_id").distinct().join(have, "instrument_id", "left_anti")
+    m = fx.read(spark, d, "part").select((F.col("p_partkey") % 130).alias("instrument_id"), (F.col("p_partkey") % 6 != 0).alias("is_active"))  # some of which no supplier has
+    return m.where("is_active").select("instrument_id").distinct().join(fx.fundamentals(spark, d).select("instrument_id"), "instrument_id", "left_anti")
 
 
 _BATCH = "bt AS (SELECT DISTINCT CASE WHEN c_custkey % 3 <> 0 THEN 'ISIN' || c_custkey % 150 END AS isin, 'V' || c_nationkey % 5 AS venue, 'T' || c_custkey % 40 AS ticker FROM customer), kn AS (SELECT s_suppkey AS instrument_id, 'ISIN' || s_suppkey AS isin, 'V' || s_nationkey % 5 AS venue, 'T' || s_suppkey AS ticker FROM supplier)"
@@ -407,18 +383,6 @@ def _(spark, d):
     return out.agg(F.count_if("tradable").alias("tradable"), F.count("m").alias("mapped"), F.count("n_bars").alias("candled"), F.count_if("has_history").alias("scannable"))
 
 
-@query("a14_ingestion_totals", "SELECT count(*) AS processed, count(*) FILTER (WHERE event_type = 'click') AS written, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events")
-def _(spark, d):
-    e = F.col("event_type")
-    return fx.read(spark, d, "events").agg(F.count(F.lit(1)).alias("processed"), F.count_if(e == "click").alias("written"), F.count_if(e == "error").alias("failed"))
-
-
-@query("a16_field_coverage", with_tables("instruments", "fundamentals") + " SELECT venue, count(trailing_pe) / count(*) AS pe, count(price_to_book) / count(*) AS pb, count(debt_to_equity) / count(*) AS de FROM fundamentals JOIN instruments USING (instrument_id) GROUP BY venue")
-def _(spark, d):
-    f = fx.fundamentals(spark, d).join(fx.instruments(spark, d).select("instrument_id", "venue"), "instrument_id").groupBy("venue")
-    return f.agg(*[(F.count(c) / F.count(F.lit(1))).alias(a) for c, a in (("trailing_pe", "pe"), ("price_to_book", "pb"), ("debt_to_equity", "de"))])
-
-
 _MICS = ("XNAS", "XLON", "XETR", "XTSE", "XPAR", None)
 _BACK = with_tables("candles") + f""", {_MAPS}, ii AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 13 = 0 THEN 'W' || s_suppkey || '_WAR' ELSE 's' || s_suppkey END AS ticker, ['XNAS', 'XLON', 'XETR', 'XTSE', 'XPAR', NULL][s_nationkey % 6 + 1] AS venue FROM supplier),
     sy AS (SELECT instrument_id, CASE WHEN instrument_id % 13 <> 0 THEN 'S' || instrument_id || CASE venue WHEN 'XNAS' THEN '' WHEN 'XLON' THEN '.L' WHEN 'XETR' THEN '.DE' WHEN 'XPAR' THEN '.PA' END END AS symbol FROM ii),
@@ -455,13 +419,6 @@ def _(spark, d):
     return rounded(_backfilled(spark, d)[1].groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("close").alias("closes")), 4)
 
 
-@query("in3_enrichment", with_tables("fundamentals", "instruments") + " SELECT instrument_id, coalesce(CASE WHEN instrument_id % 2 = 0 THEN 'S' || sector END, 'unknown') AS sector, DATE '2001-11-05' AS as_of FROM instruments WHERE instrument_id NOT IN (SELECT instrument_id FROM fundamentals WHERE trailing_pe > 20)")
-def _(spark, d):
-    have = fx.fundamentals(spark, d).where("trailing_pe > 20").select("instrument_id")
-    sector = F.when(F.col("instrument_id") % 2 == 0, F.concat(F.lit("S"), F.col("sector").cast("string")))
-    return fx.instruments(spark, d).join(have, "instrument_id", "left_anti").select("instrument_id", F.coalesce(sector, F.lit("unknown")).alias("sector"), F.lit(AS_OF).cast("date").alias("as_of"))
-
-
 @query("in5_sector_proxies", """WITH w AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(upkeep.SECTOR_PROXIES.items())) + """) AS t(symbol, name, i)),
     mp AS (SELECT p_partkey % 16 AS i, p_partkey AS instrument_id FROM part WHERE p_partkey % 16 < 6), fd AS (SELECT l_suppkey % 14 AS i, l_shipdate AS ts FROM lineitem WHERE l_suppkey % 14 > 2)
     SELECT symbol, name, (SELECT min(instrument_id) FROM mp WHERE mp.i = w.i) AS instrument_id, NOT EXISTS (FROM mp WHERE mp.i = w.i) AS created, (SELECT count(DISTINCT ts) FROM fd WHERE fd.i = w.i) AS candles_written FROM w""")
@@ -547,12 +504,6 @@ def _(spark, d):
     return lifecycle.admit(log, daily=40, reserve=5, minute=3)
 
 
-@query("st15_scan_cursor", with_tables("instruments") + f", {RESULTS}, {NEWEST} SELECT i.instrument_id, CASE WHEN n.instrument_id IS NOT NULL THEN DATE '2001-11-05' ELSE last_scanned_on END AS last_scanned_on FROM instruments i LEFT JOIN (SELECT instrument_id FROM newest WHERE score > 30) n USING (instrument_id)")
-def _(spark, d):
-    done = newest(spark, d).where("score > 30").select("instrument_id", F.lit(AS_OF).cast("date").alias("now"))
-    return fx.instruments(spark, d).join(done, "instrument_id", "left").select("instrument_id", F.coalesce("now", "last_scanned_on").alias("last_scanned_on"))
-
-
 _MAPPED = """WITH st AS (SELECT p_partkey % 97 AS instrument_id, p_partkey % 3 AS provider, 'P' || min(p_partkey) AS symbol, bool_or(p_size > 48) AS confirmed, min(p_partkey) % 2 = 0 AS is_signal_source FROM part GROUP BY ALL),
     an AS (SELECT s_suppkey AS instrument_id, 1 AS provider, CASE WHEN s_suppkey % 7 <> 0 THEN 'A' || s_suppkey END AS answer, s_suppkey % 4 = 0 AS requires_confirmation, s_suppkey % 5 <> 0 AS asks_signal FROM supplier),
     bo AS (SELECT *, answer IS NOT NULL AND NOT coalesce(confirmed, false) AS taken FROM st FULL JOIN an USING (instrument_id, provider)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, indicators, insider, trading
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF, with_tables
-from .market import INDICATORS_CTE, breadth, rounded
+from .market import BREADTH_CTE, INDICATORS_CTE, breadth, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,12 +130,12 @@ def _(spark, d):
     return trading.current_factor(trading.regime(readings(spark, d)).where("series = 'click'"))
 
 
-@query("r9_daily_reading", _READ + ", b AS (SELECT avg(vix) AS x FROM rd) SELECT series, day, vix, risk_factor, posture, (SELECT count(*) FROM supplier) > 0 AS has_breadth FROM rp WHERE day = (SELECT max(day) FROM rp)")
+@query("r9_daily_reading", f"WITH {BREADTH_CTE}, {_READ.removeprefix('WITH ')} SELECT series, day, vix, risk_factor, posture, (SELECT round(count(*) FILTER (last > mean) / nullif(count(*), 0), 6) FROM br) AS market_breadth FROM rp WHERE day = (SELECT max(day) FROM rp)")
 def _(spark, d):
     r = trading.regime(readings(spark, d))
     last = r.agg(F.max("day").alias("day"))
-    has = breadth(spark, d).select(F.col("n_instruments").isNotNull().alias("has_breadth"))
-    return r.join(F.broadcast(last), "day").join(F.broadcast(has), F.lit(True)).select("series", "day", "vix", "risk_factor", "posture", "has_breadth")
+    own = breadth(spark, d).select(F.round("breadth", 6).alias("market_breadth"))
+    return r.join(F.broadcast(last), "day").join(F.broadcast(own), F.lit(True)).select("series", "day", "vix", "risk_factor", "posture", "market_breadth")
 
 
 @query("w5_previous_snapshot", _READ + " SELECT series, day, lag(posture) OVER (PARTITION BY series ORDER BY day) AS previous FROM rp")
@@ -157,10 +157,15 @@ def _(spark, d):
     return trading.regime_alerts(trading.regime(readings(spark, d)))
 
 
-@query("a10_buffett_ratio", "SELECT event_type, round(max(value) / 1000 / nullif(min(value), 0) * 100, 6) AS ratio FROM events GROUP BY event_type")
+_RATIO = """WITH v AS (SELECT user_id % 50 AS country, CASE WHEN event_type IN ('view', 'click') THEN 'equities' ELSE 'gdp' END AS series, CASE WHEN event_id % 5 <> 0 THEN value END AS value, ts, event_id FROM events WHERE event_type <> 'error'),
+    n AS (SELECT country, arg_max(value, row(ts, event_id)) FILTER (series = 'equities' AND value IS NOT NULL) AS equities, arg_max(value, row(ts, event_id)) FILTER (series = 'gdp' AND value IS NOT NULL) AS gdp FROM v GROUP BY country)"""
+
+
+@query("a10_buffett_ratio", _RATIO + " SELECT country, equities, gdp, CASE WHEN gdp <> 0 THEN round(equities / 1000 / gdp * 100, 6) END AS ratio FROM n")
 def _(spark, d):
-    e = fx.read(spark, d, "events").groupBy("event_type")
-    return rounded(e.agg((F.max("value") / 1000 / F.nullif(F.min("value"), F.lit(0.0)) * 100).alias("ratio")))
+    kind = F.when(F.col("event_type").isin("view", "click"), "equities").otherwise("gdp")
+    series = fx.read(spark, d, "events").where("event_type <> 'error'").select((F.col("user_id") % 50).alias("country"), kind.alias("series"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"), "ts", "event_id")
+    return rounded(trading.equities_to_gdp(series)).select("country", *[F.col(c) for c in ("equities", "gdp", "ratio")])
 
 
 @query("j18_index_proxy", with_tables("candles") + """, r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) AS rn FROM candles WHERE instrument_id IN (3, 5, 8)),
@@ -291,11 +296,6 @@ def _(spark, d):
     return out
 
 
-@query("a13_strategy_totals", _CTX.replace("boll_low * 1.6", "boll_low") + " SELECT kind, count(*) AS n FROM s WHERE kind IS NOT NULL GROUP BY kind")
-def _(spark, d):
-    return trading.mean_reversion(contexts(spark, d), oversold=55.0).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- portfolio --------------------------------------------------------------------------------------------
 
 

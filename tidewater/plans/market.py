@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bars, indicators, scoring
 from ..sources import fixtures as fx
+from ..sources import sinks
 from ..sources.fixtures import AS_OF, with_tables
-from ..sources.scratch import stored
+from ..sources.scratch import folder, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,11 +40,45 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # --- bars -------------------------------------------------------------------------------------------------
 
 
-@query("s1_candle_scan", with_tables("candles") + """
-    SELECT instrument_id, ts, open, high, low, close, volume FROM candles WHERE ts >= TIMESTAMP '1998-01-01' AND ts <= TIMESTAMP '2001-06-30' AND ts + INTERVAL 1 DAY <= TIMESTAMP '2001-11-05'
-    QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) <= 100""")
+#: A table on the four-part key: daily and weekly bars, raw and adjusted, which share timestamps on Mondays. Some bars
+#: are incoherent.
+SERIES_CTE = with_tables("candles").removeprefix("WITH ") + """,
+    wk AS (SELECT instrument_id, date_trunc('week', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM candles GROUP BY ALL),
+    iv AS (SELECT '1d' AS "interval", * FROM candles UNION ALL SELECT '1w', * FROM wk),
+    sr AS (SELECT 'raw' AS series_type, * REPLACE (CASE WHEN day(ts) = 13 THEN low / 2 ELSE high END AS high) FROM iv UNION ALL SELECT 'adjusted', * REPLACE (open / 2 AS open, high / 2 AS high, low / 2 AS low, close / 2 AS close) FROM iv),
+    sq AS (SELECT *, CASE WHEN high >= low AND high >= open AND high >= close AND low <= open AND low <= close AND open > 0 AND close > 0 THEN 'OK' ELSE 'SUSPECT' END AS quality FROM sr)"""
+
+
+def series(spark, d):
+    daily = fx.candles(spark, d)
+    week = F.date_trunc("week", "ts")
+    weekly = daily.groupBy("instrument_id", week.alias("w")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("w", "ts")
+    both = daily.withColumn("interval", F.lit("1d")).unionByName(weekly.withColumn("interval", F.lit("1w")))
+    raw = both.withColumns({"series_type": F.lit("raw"), "high": F.when(F.dayofmonth("ts") == 13, F.col("low") / 2).otherwise(F.col("high"))})
+    adjusted = both.withColumns({"series_type": F.lit("adjusted"), **{c: F.col(c) / 2 for c in ("open", "high", "low", "close")}})
+    return bars.with_quality(raw.unionByName(adjusted))
+
+
+def stored_series(spark, d):
+    """``series`` as a table cut by interval and series type."""
+    rows, path = series(spark, d), folder(spark, "series")
+    sinks.write_snapshot(rows, path, ["interval", "series_type"])
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+_ASKED = (("1d", "raw", False, 100), ("1w", "adjusted", True, 40), ("1d", "adjusted", True, 5), ("1w", "raw", True, None))
+
+
+@query("s1_candle_scan", f"WITH {SERIES_CTE}" + " UNION ALL ".join(f"""
+    (SELECT "interval", series_type, instrument_id, ts, open, high, low, close, volume FROM sq WHERE "interval" = '{i}' AND series_type = '{t}' AND ts >= TIMESTAMP '1998-01-01' AND ts <= TIMESTAMP '2001-06-30' {"AND quality = 'OK'" if ok else ""}
+     AND ts + INTERVAL {1 if i == "1d" else 7} DAY <= TIMESTAMP '2001-06-28' {f"QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) <= {n}" if n else ""})""" for i, t, ok, n in _ASKED))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return bars.scan(fx.candles(spark, d), "1998-01-01", "2001-06-30", 100, as_of=AS_OF)
+    table = stored_series(spark, d)
+    found = [bars.scan(table, "1998-01-01", "2001-06-30", n, as_of="2001-06-28", interval=i, series_type=t, tradable_only=ok) for i, t, ok, n in _ASKED]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out.select("interval", "series_type", "instrument_id", "ts", "open", "high", "low", "close", "volume")
 
 
 @query("s2_latest_candle", with_tables("candles") + "SELECT instrument_id, max(ts) AS ts, arg_max(open, ts) AS open, arg_max(high, ts) AS high, arg_max(low, ts) AS low, arg_max(close, ts) AS close, arg_max(volume, ts) AS volume FROM candles GROUP BY instrument_id")
@@ -61,21 +96,18 @@ def _(spark, d):
     return bars.counts(fx.candles(spark, d), 530)
 
 
-def _stored(spark, d):
-    c = fx.candles(spark, d).where("ts < TIMESTAMP '2001-09-01'")
-    return c.select("instrument_id", "ts", "close", F.lit("USD").alias("currency"), F.lit("2001-09-01").cast("timestamp").alias("retrieved_at"))
-
-
-def _batch(spark, d):
-    c = fx.candles(spark, d).where("ts >= TIMESTAMP '2001-08-15'")
-    return c.select("instrument_id", "ts", (F.col("close") * 2).alias("close"), F.lit("GBP").alias("currency"), F.lit("2001-11-05").cast("timestamp").alias("retrieved_at"))
-
-
-@query("s5_candle_upsert", with_tables("candles") + """
-    SELECT instrument_id, ts, CASE WHEN ts >= TIMESTAMP '2001-08-15' THEN close * 2 ELSE close END AS close, CASE WHEN ts < TIMESTAMP '2001-09-01' THEN 'USD' ELSE 'GBP' END AS currency,
-           CASE WHEN ts >= TIMESTAMP '2001-08-15' THEN TIMESTAMP '2001-11-05' ELSE TIMESTAMP '2001-09-01' END AS retrieved_at FROM candles""")
+@query("s5_candle_upsert", f"""WITH {SERIES_CTE}, o AS (SELECT instrument_id, "interval", ts, series_type, open, high, low, close, 'USD' AS currency, quality, TIMESTAMP '2001-09-01' AS retrieved_at FROM sq WHERE ts < TIMESTAMP '2001-09-01'),
+    n AS (SELECT instrument_id, "interval", ts, series_type, open, high, low, CASE WHEN day(ts) % 5 = 0 THEN high * 2 ELSE close END AS close, 'GBP' AS currency, TIMESTAMP '2001-11-05' AS retrieved_at FROM sq WHERE ts >= TIMESTAMP '2001-08-15' AND series_type = 'raw'),
+    m AS (SELECT *, CASE WHEN high >= low AND high >= open AND high >= close AND low <= open AND low <= close AND open > 0 AND close > 0 THEN 'OK' ELSE 'SUSPECT' END AS quality FROM n)
+    SELECT instrument_id, "interval", ts, series_type, coalesce(m.close, o.close) AS close, coalesce(o.currency, m.currency) AS currency, coalesce(m.quality, o.quality) AS quality, coalesce(m.retrieved_at, o.retrieved_at) AS retrieved_at
+    FROM o FULL JOIN m USING (instrument_id, "interval", ts, series_type)""")
 def _(spark, d):
-    return bars.upsert(_stored(spark, d), _batch(spark, d), first_wins=("currency",))
+    s = series(spark, d)
+    at = lambda df, currency, when: df.withColumns({"currency": F.lit(currency), "retrieved_at": F.lit(when).cast("timestamp")})
+    corrected = F.when(F.dayofmonth("ts") % 5 == 0, F.col("high") * 2).otherwise(F.col("close"))
+    batch = s.where("ts >= TIMESTAMP '2001-08-15' AND series_type = 'raw'").withColumn("close", corrected)
+    out = bars.upsert(at(s.where("ts < TIMESTAMP '2001-09-01'"), "USD", "2001-09-01"), bars.with_quality(at(batch, "GBP", "2001-11-05")), first_wins=("currency",))
+    return out.select("instrument_id", "interval", "ts", "series_type", "close", "currency", "quality", "retrieved_at")
 
 
 @query("s6_purge_unclosed", with_tables("candles") + "SELECT instrument_id, ts, close FROM candles WHERE ts + INTERVAL 1 DAY <= TIMESTAMP '2001-10-15 12:00:00'")
@@ -148,9 +180,9 @@ def _(spark, d):
     return _freshness(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_stale").alias("n_stale"))
 
 
-@query("p7_scannable", "SELECT l_suppkey AS instrument_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-07-01' GROUP BY l_suppkey HAVING count(DISTINCT l_shipdate) >= 30")
+@query("p7_scannable", "SELECT l_suppkey AS instrument_id FROM lineitem WHERE l_shipdate + INTERVAL 1 DAY <= TIMESTAMP '2001-11-05' GROUP BY l_suppkey HAVING count(DISTINCT l_shipdate) >= 30")
 def _(spark, d):
-    return bars.counts(fx.candles(spark, d).where("ts >= TIMESTAMP '2001-07-01'"), 30).where("has_history").select("instrument_id")
+    return bars.counts(bars.purge_unclosed(fx.candles(spark, d), AS_OF), 30).where("has_history").select("instrument_id")
 
 
 @query("u5_gaps", with_tables("candles") + """, days AS (SELECT DISTINCT l_shipdate AS ts FROM lineitem)
@@ -177,10 +209,11 @@ def breadth(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("breadth", F.when(F.col("n_instruments") > 0, F.col("n_above") / F.col("n_instruments")))
 
 
-query("a2_market_breadth", with_tables("candles", "instruments") + """,
-    r AS (SELECT instrument_id, close, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) AS rn FROM candles JOIN instruments USING (instrument_id) WHERE scanner_eligible AND NOT suspended),
-    p AS (SELECT instrument_id, max(close) FILTER (WHERE rn = 1) AS last, avg(close) AS mean FROM r WHERE rn <= 200 GROUP BY instrument_id HAVING count(*) = 200)
-    SELECT count(*) AS n_instruments, count(*) FILTER (WHERE last > mean) AS n_above, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE last > mean) / count(*) END AS breadth FROM p""")(breadth)
+#: The last close and the mean of 200 closes of each eligible instrument (br)
+BREADTH_CTE = with_tables("candles", "instruments").removeprefix("WITH ") + """,
+    e200 AS (SELECT instrument_id, close, row_number() OVER (PARTITION BY instrument_id ORDER BY ts DESC) AS rn FROM candles JOIN instruments USING (instrument_id) WHERE scanner_eligible AND NOT suspended),
+    br AS (SELECT instrument_id, max(close) FILTER (WHERE rn = 1) AS last, avg(close) AS mean FROM e200 WHERE rn <= 200 GROUP BY instrument_id HAVING count(*) = 200)"""
+query("a2_market_breadth", f"WITH {BREADTH_CTE} SELECT count(*) AS n_instruments, count(*) FILTER (WHERE last > mean) AS n_above, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE last > mean) / count(*) END AS breadth FROM br")(breadth)
 
 
 # --- indicators -------------------------------------------------------------------------------------------

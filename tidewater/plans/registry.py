@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, desk, events, ingest, market, streaming
+from . import catalogue, desk, events, ingest, market, runs, streaming
 
-_MODULES = (market, ingest, desk, catalogue, events, streaming)
+_MODULES = (market, ingest, desk, catalogue, events, runs, streaming)
 
 
 def queries() -> dict:

@@ -81,16 +81,26 @@ def _(spark, d):
     return rounded(spark.read.schema("instrument_id long, ts timestamp, stop double").parquet(f"{base}/out"))
 
 
-@query("st5_stream_backoff", """WITH f AS (SELECT user_id % 50 AS symbol, ts, event_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'error' ELSE 'empty' END AS outcome FROM events),
-    g AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS s FROM f), k AS (SELECT *, sum((outcome = 'empty')::INT) OVER (PARTITION BY symbol, s ORDER BY ts, event_id) AS n FROM g)
-    SELECT symbol, ts FROM k WHERE outcome = 'empty' AND n = 3""")
+#: Each symbol stepped through its fetches: how many were empty, and until when it rests.
+_RESTS = """WITH RECURSIVE f AS (SELECT user_id % 50 AS symbol, ts, event_id, CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'error' ELSE 'empty' END AS outcome FROM events),
+    e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS nth FROM f),
+    s AS (SELECT DISTINCT symbol, 0::BIGINT AS nth, 0 AS n, NULL::TIMESTAMP AS until, NULL::TIMESTAMP AS began FROM e
+          UNION ALL
+          SELECT symbol, nth, CASE WHEN resting THEN n WHEN outcome = 'error' THEN m WHEN outcome = 'ok' THEN 0 ELSE m + 1 END, CASE WHEN resting THEN until WHEN outcome = 'empty' AND m = 2 THEN ts + INTERVAL 5 DAY END,
+                 CASE WHEN NOT resting AND outcome = 'empty' AND m = 2 THEN ts END
+          FROM (SELECT e.symbol, e.nth, e.ts, e.outcome, s.n, s.until, coalesce(e.ts < s.until, false) AS resting, CASE WHEN e.ts >= s.until THEN 0 ELSE s.n END AS m FROM s JOIN e ON e.symbol = s.symbol AND e.nth = s.nth + 1))
+    SELECT symbol, 'start' AS what, began AS ts FROM s WHERE began IS NOT NULL UNION ALL SELECT symbol, 'end', began + INTERVAL 5 DAY FROM s WHERE began + INTERVAL 5 DAY < (SELECT max(ts) FROM events)"""
+
+
+@query("st5_stream_backoff", _RESTS)
 def _(spark, d):
     t = F.col("event_type")
     e = fx.read(spark, d, "events").select((F.col("user_id") % 50).alias("symbol"), "ts", F.col("event_id").alias("fetch_id"), F.when(t == "click", "ok").when(t == "error", "error").otherwise("empty").alias("outcome"))
     base = folder(spark, "st5")
-    source = drop([e.where("ts < TIMESTAMP '2024-01-15'"), e.where("ts >= TIMESTAMP '2024-01-15'")], f"{base}/in")
-    streams.count_empties(spark, source, f"{base}/out", f"{base}/check")
-    return spark.read.schema("symbol long, ts timestamp").parquet(f"{base}/out")
+    weeks = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-31"]
+    source = drop([e.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp"))) for a, b in zip(weeks, weeks[1:], strict=False)], f"{base}/in")
+    streams.count_empties(spark, source, f"{base}/out", f"{base}/check", rest_days=5)
+    return spark.read.schema("symbol long, what string, ts timestamp").parquet(f"{base}/out")
 
 
 @query("s19_snapshot_sink", with_tables("intents") + " SELECT account, CAST(closed_at AS DATE) AS day, round(sum((exit_price - fill_price) * quantity), 8) AS realised FROM intents WHERE closed_at IS NOT NULL AND exit_price IS NOT NULL AND fill_price IS NOT NULL GROUP BY ALL")

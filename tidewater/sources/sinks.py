@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_snapshot(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace exactly the partitions that ``df`` has rows for; writing the same day twice changes nothing."""
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Replace exactly the partitions that ``df`` has rows for; writing the same day twice changes nothing.
+
+    Rows of a partition come together, and a large partition is split over tasks and files.
+    """
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_results(df: DataFrame, path: str, run_id: int) -> None:

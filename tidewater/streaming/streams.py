@@ -20,13 +20,11 @@ from ..sources.readers import validate
 
 def _versions(spark: SparkSession, path: str) -> dict[str, int]:
     """The current version of each partition: as many entries as the table has partitions."""
-    rows = spark.read.schema("part string, version long").option("ignoreMissingFiles", "true")
-    try:
-        return {r["part"]: r["v"] for r in rows.parquet(f"{path}/current").groupBy("part").agg(F.max("version").alias("v")).collect()}
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    named = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if not named.getFileSystem(spark._jsc.hadoopConfiguration()).exists(named):
         return {}
+    rows = spark.read.schema("part string, version long").parquet(f"{path}/current")
+    return {r["part"]: r["v"] for r in rows.groupBy("part").agg(F.max("version").alias("v")).collect()}
 
 
 def read_current(spark: SparkSession, path: str, schema: str, parts: set[str] | None = None) -> DataFrame:
@@ -50,7 +48,7 @@ def upsert_into(path: str, schema: str, key: list[str], part: Column, prepare: C
         if not touched:
             return
         merged = bars.upsert(read_current(spark, path, schema, touched), rows, first_wins, key)
-        merged.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
+        merged.withColumn("part", part).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
         named = spark.createDataFrame([(p, number) for p in sorted(touched)], "part string, version long")
         named.coalesce(1).write.mode("append").parquet(f"{path}/current")
 
@@ -113,18 +111,40 @@ def ratchet_stops(spark: SparkSession, source: str, path: str, checkpoint: str)
     _drain(out, path, checkpoint)
 
 
-def count_empties(spark: SparkSession, source: str, path: str, checkpoint: str, most: int = 3) -> None:
-    """Empty fetches since the last success by state; a row whenever a symbol starts to rest."""
+def count_empties(spark: SparkSession, source: str, path: str, checkpoint: str, most: int = 3, rest_days: int = 30) -> None:
+    """Starts and ends of rests: a symbol rests ``rest_days`` from its ``most``-th empty fetch since the last success.
+
+    What comes while a symbol rests was asked by nobody's plan and does not count. A rest ends by itself: by an
+    event-time timer once the watermark has passed its end, or before, when a later fetch of the symbol comes in
+    the same batch. Errors count as nothing. A symbol that is not counted up and does not rest has no state.
+    """
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, out = state.get[0] if state.exists else 0, []
-        for ts, outcome in pd.concat(frames).sort_values(["ts", "fetch_id"], kind="stable")[["ts", "outcome"]].itertuples(index=False):
-            n = 0 if outcome == "ok" else n + (outcome == "empty")
-            if n == most and outcome == "empty":
-                out.append((key[0], ts))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["symbol", "ts"])
+        n, until = state.get if state.exists else (0, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], "end", pd.Timestamp(until, unit="us")))
+            n, until = 0, None
+        else:
+            for ts, outcome in pd.concat(frames).sort_values(["ts", "fetch_id"], kind="stable")[["ts", "outcome"]].itertuples(index=False):
+                now = ts.value // 1000
+                if until is not None and now >= until:
+                    out.append((key[0], "end", pd.Timestamp(until, unit="us")))
+                    n, until = 0, None
+                if until is None and outcome != "error":
+                    n = 0 if outcome == "ok" else n + 1
+                    if n == most:
+                        until = now + rest_days * 86_400_000_000
+                        out.append((key[0], "start", ts))
+        if n:
+            state.update((n, until))
+            if until is not None:
+                state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["symbol", "what", "ts"])
 
     stream = spark.readStream.schema("symbol long, ts timestamp, fetch_id long, outcome string").option("maxFilesPerTrigger", files_of_a_part(spark)).parquet(source)
-    out = stream.groupBy("symbol").applyInPandasWithState(follow, "symbol long, ts timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
+    by = stream.withWatermark("ts", "0 seconds").groupBy("symbol")
+    out = by.applyInPandasWithState(follow, "symbol long, what string, ts timestamp", "n long, until long", "append", GroupStateTimeout.EventTimeTimeout)
     _drain(out, path, checkpoint)
