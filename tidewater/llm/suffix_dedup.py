@@ -25,7 +25,7 @@ PIECE, PLACE_BITS = 1 << 19, 20
 #: Most rows of one group that a task holds.
 HELD = 200_000
 _rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _OTHER_BYTE = (_rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[str, np.ndarray] = {}
 
@@ -46,9 +46,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_hash(line: np.ndarray) -> np.ndarray:
+def prefix_hash(line: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     up, _ = _powers(len(line) + 1)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[line] * up[: len(line)], dtype=np.uint64)))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[line] * up[: len(line)], dtype=np.uint64)))
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(.., runs) -> every window of the runs as a suffix of its own, the window's hash as both tokens."""
+    """(.., runs) -> every window of the runs as a suffix of its own; its tokens are two hashes of it, by other values of the bytes."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in text_batches(batches, PIECE):
@@ -143,10 +143,10 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                     if not len(own):
                         continue
                     end = int(own.sum(1).max()) + length - 1
-                    prefix = prefix_hash(np.frombuffer(raw[lo:end], np.uint8))
+                    line = np.frombuffer(raw[lo:end], np.uint8)
                     p = np.repeat(own[:, 0] - np.cumsum(own[:, 1]) + own[:, 1], own[:, 1]) + np.arange(own[:, 1].sum())
-                    h = span_hash(prefix, p - lo, p - lo + length).view(np.int64)
-                    yield _rows(h, h, ids.take(pa.array(np.zeros(len(p), np.int64))), np.full(len(p), sig), p, np.ones(len(p), np.int32))
+                    g, s = (span_hash(prefix_hash(line, values), p - lo, p - lo + length).view(np.int64) for values in (_BYTE, _OTHER_BYTE))
+                    yield _rows(g, s, ids.take(pa.array(np.zeros(len(p), np.int64))), np.full(len(p), sig), p, np.ones(len(p), np.int32))
 
     return texts.mapInArrow(run, ROW)
 
@@ -248,18 +248,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     also starts anywhere else, in the same text or another, overlaps included, is removed; strings are
     judged on the input, and never reach over two texts. spans are the maximal removed runs, kept is what
     is left. Repeated rows repeat each other, so of them nothing but the rest of texts below ``length``
-    stays. Texts shorter than ``length`` stay whole. An empty table gives no rows. Equality of strings is
-    that of 64-bit hashes; so is that of the texts of rows which share or lack an identifier. length: an
-    even number of bytes.
+    stays. Texts shorter than ``length`` stay whole. An empty table gives no rows. Strings count as equal if
+    two 64-bit hashes of them are (of gram and span, or of the window by two tables of byte values); texts of
+    rows which share or lack an identifier if one is. length: an even number of bytes.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     repeated, opened = compare_suffixes(_suffixes(texts, length))
-    runs = opened.groupBy("id", "sig").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    runs = opened.groupBy("id", "sig").agg(F.collect_set(F.struct("p", "n")).alias("runs"))
     named = runs.withColumnsRenamed({"id": "r_id", "sig": "r_sig"})
     same = lambda x: F.col("id").eqNullSafe(F.col(f"{x}_id")) & (F.col("sig") == F.col(f"{x}_sig"))
     windows, _ = compare_suffixes(_windows(texts.join(named, same("r")).select("id", "sig", "runs", "text"), length))
     covered = repeated.unionByName(windows).groupBy("id", "sig")
-    spans = covered.agg(F.collect_list(F.struct(F.col("p").alias("start"), (F.col("p") + F.col("n") + (length - 1)).alias("end"))).alias("found"))
+    # repeated rows of one identifier and text give the same spans, of which one stays
+    spans = covered.agg(F.collect_set(F.struct(F.col("p").alias("start"), (F.col("p") + F.col("n") + (length - 1)).alias("end"))).alias("found"))
     joined = texts.join(spans.withColumnsRenamed({"id": "s_id", "sig": "s_sig"}), same("s"), "left").select("id", "found", "text")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
