@@ -9,8 +9,10 @@ blocked Bloom filter of them is asked before a row's bytes go anywhere, and the
 verified: they are grouped by digest *and* text, so texts whose digests clash come apart, and what the
 filter let through in vain is a group of one.
 
-Only ids and digests are shuffled for the whole table; texts move only for hits, combined in each task,
-so that a text that a third of all rows share costs one row a task. Everything is DataFrame operations.
+Only ids and digests are shuffled for the whole table. Texts move only for hits, combined in each task,
+so that a text that a third of all rows share costs one row a task; beyond 67 million repeated digests,
+where the filter is too large to broadcast, all texts move once to be asked for. Everything is DataFrame
+operations.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import lookup, shared_dir, table
 MEMTABLES = 4
 #: Digests that one 64-bit word of the filter holds on average, and the bits that each sets in it.
 WORD_DIGESTS, WORD_BITS = 8, 3
+#: Words of the filter that one row holds when it is broadcast, and bytes up to which it is (67 million repeated digests).
+PACK, MOST_BYTES = 1024, 1 << 26
 
 
 def sha256_digest(text: Column) -> Column:
@@ -102,10 +106,22 @@ def bloom_filter(digests: DataFrame, words: int) -> DataFrame:
     return table(digests.groupBy(_word(F.col("digest"), words).alias("word")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits")))
 
 
-def may_hold(rows: DataFrame, filter_words: DataFrame, words: int) -> DataFrame:
-    """The rows whose digest the filter may hold: all that it holds and few others."""
+def may_hold(rows: DataFrame, filter_words: DataFrame, words: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows whose digest the filter may hold: all that it holds and few others.
+
+    A filter of ``most_bytes`` or less is broadcast, packed, and no row moves. A larger one is joined by word,
+    which moves all rows once.
+    """
     mask = _mask(F.col("digest"))
-    asked = rows.withColumn("word", _word(F.col("digest"), words)).join(lookup(filter_words, words), "word")
+    asked = rows.withColumn("word", _word(F.col("digest"), words))
+    if words * 8 > most_bytes:
+        asked = asked.join(filter_words, "word")
+    else:
+        place = (F.col("word") % PACK).cast("int")
+        entries = F.map_from_entries(F.collect_list(F.struct(place, "bits")))  # PACK entries at most
+        bits = F.transform(F.sequence(F.lit(0), F.lit(PACK - 1)), lambda k: F.coalesce(F.try_element_at(F.col("held"), k), F.lit(0).cast("long")))
+        packed = table(filter_words.groupBy(F.floor(F.col("word") / PACK).alias("pack")).agg(entries.alias("held")).select("pack", bits.alias("packed")))
+        asked = asked.withColumn("pack", F.floor(F.col("word") / PACK)).join(F.broadcast(packed), "pack").withColumn("bits", F.get("packed", (F.col("word") % PACK).cast("int"))).drop("pack", "packed")
     return asked.where(F.col("bits").bitwiseAND(mask) == mask).drop("word", "bits")
 
 
@@ -128,10 +144,12 @@ def exact_duplicates(
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("body"), digest(text).alias("digest"))
     slim = table(keyed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(memtables)).alias("memtable")), by="memtable")
     index = MergeIndex(docs.sparkSession, keep)
-    for k in range(memtables):
-        index.flush(slim.where(F.col("memtable") == k).select("id", "digest"))
-    groups = table(index.merged().where("group_size > 1"))
-    index.drop()
+    try:
+        for k in range(memtables):
+            index.flush(slim.where(F.col("memtable") == k).select("id", "digest"))
+        groups = table(index.merged().where("group_size > 1"))
+    finally:
+        index.drop()
     few = groups.count()
     words = max(1, few // WORD_DIGESTS)
     hits = may_hold(keyed, bloom_filter(groups, words), words)
