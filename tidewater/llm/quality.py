@@ -140,19 +140,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
 
     labels: id_col and label_col (0 or 1); null labels and ids without a document are left out. The
     chosen labels are counted and broadcast, so no text is shuffled; only statistics of the sample reach
-    the driver. An identifier's repeated labels count once, different ones each.
+    the driver, a row for each identifier and label. An identifier's repeated labels count once, different
+    ones each; of its rows the text with the smallest hash counts, however many there are. Without rows
+    the model gives every text the same score. Texts are whole; a text is one unit of work, read once.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).distinct()
     chosen = table(sample_by_id(known, "id", most_rows, known.count()))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(lookup(chosen, chosen.count()), "id")
-    found = document_statistics(rows, "text", F.col("y"), F.col("id")).toPandas().sort_values(["id", "y"], kind="stable")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).join(lookup(chosen, chosen.count()), "id")
+    one = document_statistics(rows, "text", F.col("y"), F.col("id"), F.col("h")).groupBy("id", "y").agg(F.min_by("stats", "h").alias("stats"))
+    found = one.toPandas().sort_values(["id", "y"], kind="stable")
     x = np.stack(found["stats"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     order = np.lexsort([*x.T, found["y"].to_numpy(float), found["id"].to_numpy()]) if len(found) else np.zeros(0, int)
     return fit_trees(x[order], found["y"].to_numpy(float)[order])
 
 
 def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and score (0 to 1) of every row's whole text; null and empty texts have one score too."""
+    """id_col and score (0 to 1) of every row's whole text; null and empty texts have one score too.
+
+    Rows are scored each, so repeated ones alike, whatever their identifier. An empty table gives no rows.
+    """
     handle = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand nodes at most
 
     def run(batches: Iterator) -> Iterator:
