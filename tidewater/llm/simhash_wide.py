@@ -26,9 +26,10 @@ from .simhash import SEED, word_spans
 
 #: 64-bit words of a fingerprint; minima and how many of them form a band; texts of a file that meet at once.
 WORDS, MINIMA, BAND, BLOCK, EXACT_BLOCK = 4, 64, 4, 1024, 256
-#: Bits in which fingerprints may differ, of 256: at a similarity of 0.8 they differ in 39 on average, in 51 with
-#: a probability of 1 in 50. Segments of the ring, and lengths of chains that are tried before the full distance.
-MOST_BITS, SEGMENTS, CHAINS = 51, 16, 4
+#: Bits in which fingerprints may differ, of 256: at a similarity of 0.8 they differ in 39 on average, in more than
+#: 62 with a probability of 1 in 20,000. Shingles below which bits tell too little, and pairs of a file meet without
+#: being pruned. Segments of the ring, and lengths of chains that are tried before the full distance.
+MOST_BITS, SHORT, SEGMENTS, CHAINS = 62, 40, 16, 4
 _rng = np.random.default_rng(0xD0C5)
 _TIMES = _rng.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 64, MINIMA, np.uint64, endpoint=False)
@@ -80,6 +81,12 @@ def within(differ: np.ndarray, most: int) -> np.ndarray:
     return left[each.sum(1) <= most]
 
 
+def near_pairs(differ: np.ndarray, least: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs may be similar, by XORed fingerprints and the smaller number of shingles of each: short ones all."""
+    long = np.flatnonzero(least >= SHORT)
+    return np.union1d(np.flatnonzero(least < SHORT), long[within(differ[long], most)])
+
+
 def shortest_forest(
     fps: np.ndarray, sizes: np.ndarray, group: np.ndarray, side: np.ndarray, most: int, similarity: float, linked: Callable[[int, int], bool] | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +106,7 @@ def shortest_forest(
         fits = np.minimum(sizes[left], sizes[right]) >= similarity * np.maximum(sizes[left], sizes[right])
         meet = left[fits & ((side[left] == 0) | (side[left] != side[right]))]
         differ = fps[meet] ^ fps[meet + shift]
-        near = within(differ, most)
+        near = near_pairs(differ, np.minimum(sizes[meet], sizes[meet + shift]), most)
         found.append((np.bitwise_count(differ[near]).sum(1, dtype=np.int64), meet[near], meet[near] + shift))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -227,8 +234,9 @@ def near_components(
     case, words as in ``simhash``) share ``similarity`` or more of all their shingles. Fewer words than a
     shingle form one shingle; texts without words (null and empty ones too) are alike. Equal sets count as
     one text. An empty table gives no rows. Every link that is used is exact; a linked pair can be missed if
-    its fingerprints are further apart than ``most_bits`` (about 1 of 50 at a similarity of 0.8 of long texts,
-    less above) or all its bands differ (1 of 5,000), and no other text connects it.
+    both have ``SHORT`` shingles or more and their fingerprints are further apart than ``most_bits`` (1 of
+    20,000 at a similarity of 0.8, less above) or all its bands differ (1 of 5,000), and no other text
+    connects it.
     """
     made = table(_sketches(docs, id_col, text_col, shingle))
     distinct = table(made.groupBy("sig", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys"), *[F.first(f).alias(f) for f in _FPS]))
