@@ -4,11 +4,13 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewater.llm import ann, components, exact_dedup, html_text, langid, lm, mixing, packing, quality, simhash, simhash_wide, suffix_dedup
 
@@ -675,3 +677,49 @@ def test_remove_repeats_across_the_pieces_of_a_long_text(spark, monkeypatch):
     got = sorted((str(r["doc_id"]), r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup.remove_repeats(frame, length=200).collect())
     raw = [t.encode() for _, t in rows]
     assert got == sorted((str(i), len(t), n, kept) for (i, _), t, (kept, n) in zip(rows, raw, slow_removed(raw, 200), strict=True))
+
+
+def test_repeated_rows_take_linear_time(spark):
+    """A text that most rows repeat, with an identifier and without."""
+    text = " ".join(f"w{i * 7919 % 10007}" for i in range(110))
+    rows = spark.range(50_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    began = time.monotonic()
+    got = suffix_dedup.remove_repeats(rows.repartition(8)).groupBy("doc_id", "n_bytes", F.octet_length("kept").alias("left"), F.size("spans").alias("n")).count().collect()
+    assert sorted(map(tuple, got), key=str) == [(7, len(text), 0, 1, 25_000), (None, len(text), 0, 1, 25_000)]
+    assert time.monotonic() - began < 120
+
+
+def test_labelled_rows_that_repeat_reach_the_driver_once(spark, monkeypatch):
+    docs = spark.range(100_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("some text number "), (F.col("id") % 3).cast("string")).alias("text"))
+    seen, fit = [], quality.fit_trees
+    monkeypatch.setattr(quality, "fit_trees", lambda x, y: seen.append(len(x)) or fit(x, y))
+    model = quality.fit_quality(docs, spark.createDataFrame([(0, 1), (1, 0), (1, 0), (2, 1)], "doc_id long, quality int"))
+    assert seen == [2] and quality.score_quality(docs.limit(3), model).count() == 3
+
+
+def test_filters_asked_without_moving_texts(spark):
+    """Packed words are broadcast up to a bound in bytes, and answer as the joined ones do."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("text "), (F.col("id") % 3000).cast("string")).alias("body")).withColumn("digest", exact_dedup.sha256_digest(F.col("body")))
+    held = rows.where("id >= 3000").select("digest")
+    words = 500
+    made = exact_dedup.bloom_filter(held, words)
+    packed, joined = exact_dedup.may_hold(rows, made, words), exact_dedup.may_hold(rows, made, words, most_bytes=0)
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+    assert ids(packed) == ids(joined) and set(range(1000)) <= set(ids(packed)) and len(ids(packed)) < 2600
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.replace("SinglePartition", "") and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("words", [8, 12, 16, 24, 50, 500])
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_wide_fingerprints_lose_no_similar_texts(words, similarity):
+    """Pairs at or just above a similarity, by number of shingles: that they share a band, and pass what prunes pairs of a file."""
+    rng, found, n = np.random.default_rng(words), 0, 400
+    gone = int(words * (1 - similarity))
+    for _ in range(n):
+        a = np.sort(rng.integers(0, 1 << 64, words, np.uint64, endpoint=False))
+        b = np.sort(rng.permutation(a)[: words - gone])
+        (f, x), (g, y) = simhash_wide.sketch(a), simhash_wide.sketch(b)
+        near = simhash_wide.near_pairs((f ^ g)[None], np.array([min(len(a), len(b))]), simhash_wide.MOST_BITS)
+        found += len(near) == 1 and bool((x == y).any())
+    assert found >= 0.98 * n
