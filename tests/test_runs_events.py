@@ -110,6 +110,22 @@ def test_ingestion_counts_what_it_writes(spark):
     assert none == {"processed": 0, "written": 0, "failed": 0, "skipped": 0, "attempted": 0}
 
 
+def test_intraday_runs_are_guarded(spark):
+    """Only intraday intervals of providers that have them are fetched; an empty answer is a reason and nothing else."""
+    requests = spark.createDataFrame([(1, "1h", "live"), (2, "1d", "live"), (3, "1h", "daily"), (4, "15m", "live"), (5, "1h", "live"), (6, "1h", "other")], "instrument_id long, interval string, provider string").withColumn("start", F.lit(10))
+    providers = spark.createDataFrame([("live", True), ("daily", False)], "provider string, supports_intraday boolean")
+    mappings = spark.createDataFrame([(k, p, f"S{k}") for k, p in ((1, "live"), (2, "live"), (3, "daily"), (4, "live"))], "instrument_id long, provider string, symbol string")
+    columns = "symbol string, provider string, interval string, ts int, series_type string, close double, retrieved_at int"
+    feed = spark.createDataFrame([("S1", "live", "1h", 9, "raw", 1.0, 2), ("S1", "live", "1h", 10, "raw", 2.0, 2), ("S1", "live", "15m", 11, "raw", 3.0, 2), ("S2", "live", "1d", 12, "raw", 4.0, 2), ("S3", "daily", "1h", 12, "raw", 5.0, 2)], columns)
+    old = spark.createDataFrame([(1, "1h", 10, "raw", 0.5, 1), (1, "1d", 10, "raw", 0.7, 1)], "instrument_id long, interval string, ts int, series_type string, close double, retrieved_at int")
+    rows, after = runs.intraday_run(requests, providers, mappings, feed, old)
+    assert {r["instrument_id"]: (r["candles_written"], r["skipped_reason"]) for r in rows.collect()} == {
+        1: (1, None), 2: (0, "1d is not an intraday interval"), 3: (0, "daily does not provide intraday data"), 4: (0, "no candles for the requested window"), 5: (0, "no active live mapping"),
+        6: (0, "other does not provide intraday data"),
+    }
+    assert sorted((r["interval"], r["close"]) for r in after.collect()) == [("1d", 0.7), ("1h", 2.0)]
+
+
 def test_enrichment_fills_and_always_leaves_a_snapshot(spark):
     kept = spark.createDataFrame([(1, "Old", None, True), (2, "Old", "Kept", True), (3, None, "", True), (4, None, None, False)], "instrument_id long, sector string, industry string, asked boolean")
     profiles = spark.createDataFrame([(1, "New", "Steel", 9.0), (2, "", "Other", None), (4, "New", "Steel", 1.0)], "instrument_id long, new_sector string, new_industry string, trailing_pe double")

@@ -49,6 +49,33 @@ def ingestion_run(queue: DataFrame, feed: DataFrame, candles: DataFrame, order:
     return kept, bars.upsert(candles, batch), totals
 
 
+#: Intervals below a day.
+INTRADAY = tuple(k for k, seconds in bars.BAR_SECONDS.items() if seconds < 86_400)
+
+
+def intraday_run(requests: DataFrame, providers: DataFrame, mappings: DataFrame, feed: DataFrame, candles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row for each request, candles after): intraday bars of the providers that serve them.
+
+    requests: instrument_id, interval, provider, start (of the window). providers: provider, supports_intraday.
+    mappings: instrument_id, provider, symbol, which are only read, so an empty answer does not feed the backoff.
+    feed: provider, symbol and the columns of candles but instrument_id. candles: on the four-part key, raw series.
+    """
+    rows = requests.join(F.broadcast(providers), "provider", "left").join(mappings, ["instrument_id", "provider"], "left")
+    guard = (
+        F.when(~F.col("interval").isin(*INTRADAY), F.concat("interval", F.lit(" is not an intraday interval")))
+        .when(~F.coalesce("supports_intraday", F.lit(False)), F.concat("provider", F.lit(" does not provide intraday data")))
+        .when(F.col("symbol").isNull(), F.concat(F.lit("no active "), "provider", F.lit(" mapping")))
+    )
+    rows = stored(rows.withColumn("guard", guard), "intraday")
+    asked = rows.where("guard IS NULL").select("instrument_id", "interval", "provider", "symbol", "start")
+    got = asked.join(feed, ["provider", "symbol", "interval"]).where("ts >= start")
+    n = got.groupBy("instrument_id", "interval", "provider").agg(F.count_distinct("ts").alias("n"))
+    out = rows.join(n, ["instrument_id", "interval", "provider"], "left")
+    why = F.coalesce("guard", F.when(F.col("n").isNull(), "no candles for the requested window"))
+    out = out.select("instrument_id", "interval", "provider", F.coalesce("n", F.lit(0)).cast("long").alias("candles_written"), why.alias("skipped_reason"))
+    return out, bars.upsert(candles, got.select(*candles.columns))
+
+
 def strategy_run(decisions: DataFrame) -> tuple[DataFrame, dict]:
     """Decisions (outcome, stale) written, and how many signals there were and what became of them."""
     out = F.col("outcome")

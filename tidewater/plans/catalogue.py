@@ -497,7 +497,17 @@ def _(spark, d):
     return _decided(spark, d)[1]
 
 
-@query("st13_quota_admission")
+#: Each provider's day stepped through its requests: calls granted so far, and the calls of the minute.
+_ADMIT = """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS provider, CAST(ts AS DATE) AS day, date_trunc('minute', ts) AS minute, event_id, user_id % 5 <= 2 AS critical, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth FROM events),
+    s AS (SELECT DISTINCT provider, day, 0::BIGINT AS nth, NULL::BIGINT AS request_id, 0 AS used, NULL::TIMESTAMP AS minute, 0 AS n, NULL::BOOLEAN AS granted, NULL::VARCHAR AS reason FROM e
+          UNION ALL
+          SELECT provider, day, nth, event_id, used + (NOT spent AND calls <= 3)::INTEGER, CASE WHEN spent THEN held ELSE minute END, CASE WHEN spent THEN n ELSE calls END, NOT spent AND calls <= 3,
+                 CASE WHEN spent AND critical THEN 'reserve exhausted' WHEN spent THEN 'daily limit' WHEN calls > 3 THEN 'minute limit' WHEN used >= 40 THEN 'reserve' ELSE 'within budget' END
+          FROM (SELECT e.*, s.used, s.n, s.minute AS held, s.used >= CASE WHEN e.critical THEN 45 ELSE 40 END AS spent, CASE WHEN e.minute = s.minute THEN s.n + 1 ELSE 1 END AS calls FROM s JOIN e ON e.provider = s.provider AND e.day = s.day AND e.nth = s.nth + 1))
+    SELECT request_id, granted, reason FROM s WHERE nth > 0"""
+
+
+@query("st13_quota_admission", _ADMIT)
 def _(spark, d):
     e = fx.read(spark, d, "events")
     log = e.select(F.col("event_type").alias("provider"), F.to_date("ts").alias("day"), "ts", F.col("event_id").alias("request_id"), (F.col("user_id") % 5).cast("int").alias("priority"))

@@ -371,7 +371,18 @@ def _(spark, d):
     return fx.intents(spark, d).where("status = 'RECONCILED' AND closed_at IS NULL").select("intent_id", "account")
 
 
-@query("po1_position_fold")
+#: Each account stepped through its fills: cash, and of its five instruments the quantities and average prices.
+_FOLD = """WITH RECURSIVE e AS MATERIALIZED (SELECT o_custkey AS account, (o_orderkey % 5)::INTEGER + 1 AS slot, o_orderkey % 3 <> 0 AS buy, (1 + o_orderkey % 4)::DOUBLE AS n, o_totalprice / 1000 AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders),
+    s AS (SELECT DISTINCT account, 0::BIGINT AS nth, 1000.0::DOUBLE AS cash, [NULL, NULL, NULL, NULL, NULL]::DOUBLE[] AS held, [NULL, NULL, NULL, NULL, NULL]::DOUBLE[] AS cost, 0::BIGINT AS rejected FROM e
+          UNION ALL
+          SELECT account, nth, cash + CASE WHEN bought THEN -(n * p) WHEN sold THEN n * p ELSE 0 END, CASE WHEN bought OR sold THEN list_transform(range(1, 6), lambda i: CASE WHEN i = slot THEN have + CASE WHEN bought THEN n ELSE -n END ELSE held[i] END) ELSE held END,
+                 CASE WHEN bought THEN list_transform(range(1, 6), lambda i: CASE WHEN i = slot THEN (have * coalesce(cost[slot], 0) + n * p) / (have + n) ELSE cost[i] END) ELSE cost END, rejected + (NOT bought AND NOT sold)::BIGINT
+          FROM (SELECT e.*, s.cash, s.held, s.cost, s.rejected, coalesce(s.held[e.slot], 0) AS have, e.buy AND e.n * e.p <= s.cash AS bought, NOT e.buy AND e.n <= coalesce(s.held[e.slot], 0) AS sold FROM s JOIN e ON e.account = s.account AND e.nth = s.nth + 1)),
+    z AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY account ORDER BY nth DESC) = 1)
+    SELECT account, k - 1 AS instrument_id, held[k] AS quantity, cost[k] AS average_price, cash, rejected FROM z, range(1, 6) t(k) WHERE held[k] IS NOT NULL"""
+
+
+@query("po1_position_fold", _FOLD)
 def _(spark, d):
     k = F.col("o_orderkey")
     fills = fx.read(spark, d, "orders").select(k.alias("fill_id"), F.col("o_custkey").alias("account"), (k % 5).alias("instrument_id"), F.when(k % 3 == 0, "SELL").otherwise("BUY").alias("side"), (1 + k % 4).cast("double").alias("quantity"), (F.col("o_totalprice") / 1000).alias("price"), F.col("o_orderdate").alias("ts"))

@@ -353,12 +353,3 @@ def _(spark, d):
     c = fx.candles(spark, d).withColumn("high", F.when(F.dayofmonth("ts") == 7, F.col("low") / 2).otherwise(F.col("high")))
     rows = readers.validate(c.withColumn("currency", F.lit("USD")), F.lit("USD")).where("verdict <> 'accepted'")
     return rows.groupBy("instrument_id", F.col("verdict").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("p12_intraday_guard", "SELECT DISTINCT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'requested' WHEN event_type = 'error' THEN 'not an intraday interval' ELSE 'provider does not serve it' END AS outcome FROM events")
-def _(spark, d):
-    interval = F.when(F.col("event_type") == "error", "1d").otherwise("1h")
-    ok = F.col("event_type").isin("click", "view")
-    out = F.when(~interval.isin("1m", "5m", "15m", "1h", "4h"), "not an intraday interval").when(~ok, "provider does not serve it").otherwise("requested")
-    return fx.read(spark, d, "events").select("event_type", out.alias("outcome")).distinct()
-

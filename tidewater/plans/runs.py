@@ -74,6 +74,43 @@ def _(spark, d):
     return runs.totals_row(spark, runs.strategy_run(made)[1])
 
 
+#: Who asks for which interval at which provider, and what the providers have: bars of an hour and of a quarter.
+_INTRADAY = """WITH rq AS (SELECT DISTINCT user_id AS instrument_id, ['1h', '15m', '1d', '1h'][user_id % 4 + 1] AS "interval", ['live', 'daily', 'fast'][user_id % 3 + 1] AS provider FROM events),
+    mp AS (SELECT DISTINCT user_id AS instrument_id, ['live', 'daily', 'fast'][user_id % 3 + 1] AS provider, 'S' || user_id AS symbol FROM events WHERE event_type = 'error' AND value > 20),
+    fd AS (SELECT 'S' || user_id AS symbol, p AS provider, i AS "interval", CASE i WHEN '1h' THEN date_trunc('hour', ts) ELSE time_bucket(INTERVAL 15 MINUTE, ts) END AS ts, max(value) AS close FROM events, unnest(['live', 'fast', 'daily']) a(p), unnest(['1h', '15m']) b(i) WHERE value > 0 GROUP BY ALL),
+    gd AS (SELECT rq.*, symbol, CASE WHEN "interval" = '1d' THEN '1d is not an intraday interval' WHEN provider = 'daily' THEN 'daily does not provide intraday data' WHEN symbol IS NULL THEN 'no active ' || provider || ' mapping' END AS guard FROM rq LEFT JOIN mp USING (instrument_id, provider)),
+    gt AS (SELECT gd.instrument_id, "interval", provider, fd.ts, fd.close FROM gd JOIN fd USING (provider, symbol, "interval") WHERE guard IS NULL AND fd.ts >= TIMESTAMP '2024-01-30')"""
+
+
+def _intraday(spark, d):
+    e, u = fx.read(spark, d, "events"), F.col("user_id")
+    own = F.element_at(F.array(*map(F.lit, ("live", "daily", "fast"))), (u % 3 + 1).cast("int")).alias("provider")
+    wanted = F.element_at(F.array(*map(F.lit, ("1h", "15m", "1d", "1h"))), (u % 4 + 1).cast("int")).alias("interval")
+    symbol = F.concat(F.lit("S"), u.cast("string")).alias("symbol")
+    requests = e.select(u.alias("instrument_id"), wanted, own).distinct().withColumn("start", F.lit("2024-01-30").cast("timestamp"))
+    mapped = e.where("event_type = 'error' AND value > 20").select(u.alias("instrument_id"), own, symbol).distinct()
+    at = {"1h": F.date_trunc("hour", "ts"), "15m": F.window("ts", "15 minutes")["start"]}
+    made = [e.where("value > 0").groupBy(symbol, ts.alias("ts")).agg(F.max("value").alias("close")).withColumn("interval", F.lit(i)) for i, ts in at.items()]
+    feed = made[0].unionByName(made[1]).withColumn("provider", F.explode(F.array(*map(F.lit, ("live", "fast", "daily")))))
+    feed = feed.withColumns({"series_type": F.lit("raw"), "retrieved_at": F.lit(2)})
+    old = made[0].where("ts < TIMESTAMP '2024-01-30 12:00:00'").select(F.substring("symbol", 2, 9).cast("long").alias("instrument_id"), "ts", (F.col("close") * 0).alias("close"), "interval", F.lit("raw").alias("series_type"), F.lit(1).alias("retrieved_at"))
+    known = spark.createDataFrame([("live", True), ("fast", True), ("daily", False)], "provider string, supports_intraday boolean")
+    return runs.intraday_run(requests, known, mapped, feed, old)
+
+
+@query("p12_intraday_guard", _INTRADAY + """ SELECT instrument_id, "interval", provider, coalesce(n, 0) AS candles_written, coalesce(guard, CASE WHEN n IS NULL THEN 'no candles for the requested window' END) AS skipped_reason
+    FROM gd LEFT JOIN (SELECT instrument_id, "interval", provider, count(DISTINCT ts) AS n FROM gt GROUP BY ALL) USING (instrument_id, "interval", provider)""")
+def _(spark, d):
+    return _intraday(spark, d)[0]
+
+
+@query("p12_intraday_candles", _INTRADAY + """ SELECT coalesce(g.instrument_id, o.instrument_id) AS instrument_id, coalesce(g."interval", '1h') AS "interval", count(*) AS n_bars, round(sum(coalesce(g.close, 0)), 4) AS closes
+    FROM (SELECT substr(symbol, 2)::BIGINT AS instrument_id, ts FROM fd WHERE "interval" = '1h' AND provider = 'live' AND ts < TIMESTAMP '2024-01-30 12:00:00') o FULL JOIN gt g ON g.instrument_id = o.instrument_id AND g.ts = o.ts AND g."interval" = '1h' GROUP BY 1, 2""")
+def _(spark, d):
+    after = _intraday(spark, d)[1]
+    return after.groupBy("instrument_id", "interval").agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.sum("close"), 4).alias("closes"))
+
+
 _ATTEMPTS = with_tables("fundamentals", "instruments") + """, tries AS (SELECT venue, CASE WHEN instrument_id % 12 <> 0 THEN 'E' || instrument_id END AS symbol, instrument_id % 10 <> 3 AS found, market_cap, trailing_pe, price_to_book, dividend_yield, profit_margin
           FROM instruments JOIN fundamentals USING (instrument_id) WHERE as_of = DATE '2001-10-01'),
     h AS (SELECT *, symbol IS NOT NULL AND found AS there FROM tries)"""
