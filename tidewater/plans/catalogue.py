@@ -386,7 +386,7 @@ def _(spark, d):
 _MICS = ("XNAS", "XLON", "XETR", "XTSE", "XPAR", None)
 _BACK = with_tables("candles") + f""", {_MAPS}, ii AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 13 = 0 THEN 'W' || s_suppkey || '_WAR' ELSE 's' || s_suppkey END AS ticker, ['XNAS', 'XLON', 'XETR', 'XTSE', 'XPAR', NULL][s_nationkey % 6 + 1] AS venue FROM supplier),
     sy AS (SELECT instrument_id, CASE WHEN instrument_id % 13 <> 0 THEN 'S' || instrument_id || CASE venue WHEN 'XNAS' THEN '' WHEN 'XLON' THEN '.L' WHEN 'XETR' THEN '.DE' WHEN 'XPAR' THEN '.PA' END END AS symbol FROM ii),
-    fd AS (SELECT c.*, close * 2 AS again FROM candles c WHERE ts > TIMESTAMP '2000-10-01' AND instrument_id % 9 <> 4), fed AS (SELECT fd.* FROM fd JOIN sy USING (instrument_id) WHERE symbol IS NOT NULL),
+    fd AS (SELECT c.*, close * 2 AS again FROM candles c WHERE ts > TIMESTAMP '2000-10-01' AND instrument_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)), fed AS (SELECT fd.* FROM fd JOIN sy USING (instrument_id) WHERE symbol IS NOT NULL),
     bf AS (SELECT sy.instrument_id, symbol, symbol IS NOT NULL AND sy.instrument_id NOT IN (SELECT instrument_id FROM mp WHERE priority < 3) AS mapping_created, CASE WHEN symbol IS NULL THEN 'unsupported' WHEN n IS NULL THEN 'no data' ELSE 'ingested' END AS status,
            coalesce(n, 0) AS candles_written FROM sy LEFT JOIN (SELECT instrument_id, count(*) AS n FROM fed GROUP BY ALL) USING (instrument_id)),
     bk AS (SELECT instrument_id, ts, arg_max(close, r) AS close FROM (SELECT instrument_id, ts, close, 1 AS r FROM candles WHERE ts <= TIMESTAMP '2001-03-01' UNION ALL SELECT instrument_id, ts, again, 2 FROM fed) GROUP BY ALL)"""
@@ -399,7 +399,8 @@ def _backfilled(spark, d):
     c = fx.candles(spark, d).select("instrument_id", "ts", "close")
     have = mappings(spark, d).where("priority < 3").select("instrument_id")
     names = upkeep.map_by_ticker(instruments, have).select("instrument_id", "symbol")
-    feed = c.where("ts > TIMESTAMP '2000-10-01' AND instrument_id % 9 <> 4").join(names, "instrument_id").select("symbol", "ts", (F.col("close") * 2).alias("close"), F.lit(2).alias("retrieved_at"))
+    carried = fx.read(spark, d, "supplier").where("s_acctbal > 0").select(k.alias("instrument_id"))  # what the vendor has
+    feed = c.where("ts > TIMESTAMP '2000-10-01'").join(carried, "instrument_id").join(names, "instrument_id").select("symbol", "ts", (F.col("close") * 2).alias("close"), F.lit(2).alias("retrieved_at"))
     return upkeep.backfill(instruments, have, feed, c.where("ts <= TIMESTAMP '2001-03-01'").withColumn("retrieved_at", F.lit(1)))
 
 

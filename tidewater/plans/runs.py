@@ -34,7 +34,7 @@ def key():
 # --- runs -------------------------------------------------------------------------------------------------
 
 _INGEST = with_tables("candles") + """, q AS (SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 8 <> 0 THEN 'Y' || s_suppkey END AS symbol FROM supplier ORDER BY s_suppkey % 10, s_suppkey LIMIT 70),
-    fd AS (SELECT 'Y' || instrument_id AS symbol, instrument_id, ts, close * 3 AS close, CASE WHEN instrument_id % 6 = 1 THEN 'timeout' END AS error FROM candles WHERE ts > TIMESTAMP '2001-06-01' AND (instrument_id % 7 <> 3)),
+    fd AS (SELECT 'Y' || instrument_id AS symbol, instrument_id, ts, close * 3 AS close, CASE WHEN instrument_id % 6 = 1 THEN 'timeout' END AS error FROM candles WHERE ts > TIMESTAMP '2001-06-01' AND instrument_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)),
     a AS (SELECT * FROM fd JOIN q USING (symbol, instrument_id)),
     r AS (SELECT instrument_id, symbol, coalesce(n, 0) AS candles_written, error, CASE WHEN symbol IS NULL THEN 'no active mapping' WHEN error IS NULL AND coalesce(n, 0) = 0 THEN 'no new bars' END AS skipped_reason
           FROM q LEFT JOIN (SELECT instrument_id, count(DISTINCT ts) FILTER (error IS NULL) AS n, max(error) AS error FROM a GROUP BY 1) USING (instrument_id))"""
@@ -44,7 +44,8 @@ def _ingested(spark, d):
     c = fx.candles(spark, d).select("instrument_id", "ts", "close")
     queue = supplier(spark, d).select(key().alias("instrument_id"), F.when(key() % 8 != 0, F.concat(F.lit("Y"), key().cast("string"))).alias("symbol"))
     k = F.col("instrument_id")
-    feed = c.where((F.col("ts") > F.lit("2001-06-01").cast("timestamp")) & (k % 7 != 3))
+    carried = supplier(spark, d).where("s_acctbal > 0").select(key().alias("instrument_id"))  # what the vendor has
+    feed = c.where("ts > TIMESTAMP '2001-06-01'").join(carried, "instrument_id")
     feed = feed.select(F.concat(F.lit("Y"), k.cast("string")).alias("symbol"), F.when(k % 6 == 1, "timeout").alias("error"), "ts", (F.col("close") * 3).alias("close"), F.lit(2).alias("retrieved_at"))
     old = c.where("ts < TIMESTAMP '2001-09-01'").withColumn("retrieved_at", F.lit(1))
     return runs.ingestion_run(queue, feed, old, [k % 10, k], 70)
@@ -172,14 +173,14 @@ def _(spark, d):
 _CHAIN = ("alpha", "beta", "gamma")
 
 
-@query("in4_provider_fallback", with_tables("candles") + """, n AS (SELECT s_suppkey AS i, p, CASE p WHEN 1 THEN 'alpha' WHEN 2 THEN 'beta' ELSE 'gamma' END AS provider, (SELECT count(*) FROM candles c WHERE c.instrument_id = s_suppkey AND c.ts > TIMESTAMP '2001-10-22' + p * INTERVAL 3 DAY) AS bars FROM supplier, range(1, 4) t(p) WHERE s_suppkey % 11 <> 0),
+@query("in4_provider_fallback", with_tables("candles") + """, n AS (SELECT s_suppkey AS i, p, CASE p WHEN 1 THEN 'alpha' WHEN 2 THEN 'beta' ELSE 'gamma' END AS provider, (SELECT count(*) FROM candles c WHERE c.instrument_id = s_suppkey AND c.ts > TIMESTAMP '2001-10-22' + p * INTERVAL 3 DAY) AS bars FROM supplier, range(1, 4) t(p) WHERE s_acctbal > 0),
     a AS (SELECT *, CASE (i + p) % 4 WHEN 0 THEN 'not configured' WHEN 1 THEN CASE WHEN i % 3 = 0 THEN 'quota exhausted' END END AS error, CASE WHEN bars = 0 THEN 'no new bars' END AS skipped FROM n),
     o AS (SELECT i, min(p) FILTER (error IS NULL AND skipped IS NULL) AS first FROM a GROUP BY i)
     SELECT s_suppkey AS instrument_id, w.provider AS served_by, coalesce(w.bars, 0) AS candles_written, CASE WHEN o.i IS NULL THEN 'no provider in the chain' WHEN first IS NULL THEN 'gamma: ' || coalesce(z.error, z.skipped) END AS unserved
     FROM supplier LEFT JOIN o ON o.i = s_suppkey LEFT JOIN a w ON w.i = s_suppkey AND w.p = o.first LEFT JOIN a z ON z.i = s_suppkey AND z.p = 3""")
 def _(spark, d):
     names = F.array(*map(F.lit, _CHAIN))
-    asked = supplier(spark, d).where(key() % 11 != 0).select(key().alias("instrument_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("p"))  # some instruments have no provider at all
+    asked = supplier(spark, d).where("s_acctbal > 0").select(key().alias("instrument_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("p"))  # some instruments have no provider at all
     recent = fx.candles(spark, d).where("ts > TIMESTAMP '2001-10-25'").select("instrument_id", "ts")
     late = F.count_if(F.col("ts") > F.timestamp_seconds(F.unix_timestamp(F.lit("2001-10-22").cast("timestamp")) + F.col("p") * 3 * 86400))
     n = asked.join(recent, "instrument_id", "left").groupBy("instrument_id", "p").agg(late.alias("candles_written"))
