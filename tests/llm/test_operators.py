@@ -434,8 +434,16 @@ def test_interpolation_beats_unigrams_on_held_out_text(spark, sf_dir):
     assert sums[0] > sums[1]
 
 
+def test_parts_of_the_keys_hold_each_key_once():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 52, 500, np.uint64))
+    for cut in (0, 3, 20):
+        part, ends = lm._split(keys, 52, cut)
+        assert ends[0] == 0 and ends[-1] == len(keys) and len(np.unique(part)) == len(part) == len(ends) - 1
+        assert all((keys[b:e] >> np.uint64(52 - cut) == p).all() for p, b, e in zip(part, ends[:-1], ends[1:], strict=True))
+
+
 def test_packed_numbers_round_trip():
-    for values in ([], [0], [5, 0, 1 << 40], [(1 << 64) - 1, 3]):
+    for values in ([], [0], [5, 0, 1 << 40], [(1 << 64) - 1, 3], [*range(0, 9000, 9), 1 << 63]):
         x = np.array(values, np.uint64)
         assert (lm._unpack(lm._pack(x)) == x).all() and (lm._unpack_sorted(lm._pack_sorted(np.sort(x))) == np.sort(x)).all()
 
@@ -587,13 +595,17 @@ def test_statistics_of_a_text():
     assert got["exclaim_share"] == pytest.approx(1 / n) and got["pipe_share"] == pytest.approx(1 / n) and got["newline_share"] == pytest.approx(1 / n)
 
 
-def test_interpolated_score_against_brute_force(spark):
+@pytest.mark.parametrize("part_rows, part_keys", [(lm.PART_ROWS, lm.PART_KEYS), (3, 8), (3, 1_000_000), (1, 1)])
+def test_interpolated_score_against_brute_force(spark, monkeypatch, part_rows, part_keys):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(lm, "PART_ROWS", part_rows)
+    monkeypatch.setattr(lm, "PART_KEYS", part_keys)
+    monkeypatch.setattr(lm, "FAN", 2)
     rng = np.random.default_rng(10)
     word = lambda: f"W{int(rng.zipf(1.6)) % 50}"
     rows = [(i, " ".join(word() for _ in range(int(rng.integers(0, 14))))) for i in range(60)] + [(61, None), (62, "W1 w2 new")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
     got = {r["doc_id"]: r["score"] for r in lm.interpolated_scores(frame, F.col("doc_id") % 3 != 0).collect()}
     deleted = {r[0] for r in frame.where(F.pmod(F.xxhash64("doc_id", F.lit("deleted")), F.lit(lm.DELETED)) == 0).select("doc_id").collect()}
     tokens = {i: (t or "").lower().split() + ["</s>"] for i, t in rows}

@@ -8,8 +8,10 @@ Tokens are hashed to 64 bits and bigrams to ``KEY_BITS``. A task turns its docum
 distinct tokens and, for every token, its place among them. A chunk asks for the counts of its distinct
 keys, range-partitioned over the key space; each part sums what all chunks hold and answers each chunk
 in the order of its keys. So a frequent key costs one entry a chunk, whatever its frequency, and texts
-are read once and never shuffled. Counts of the whole corpus stay spread over the parts; the driver gets
-only the totals and a histogram of quantised probability ratios.
+are read once and never shuffled. A chunk asks only the parts that its own keys lie in. A part that many
+chunks ask, as it holds a frequent key, is dealt to shares of the chunks: shares are summed in a tree, and
+each answers its chunks from the sums of the whole part. Counts of the whole corpus stay spread over the
+parts; the driver gets only the totals and a histogram of quantised probability ratios.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import lookup, table, text_batches
 
-#: Text bytes of a chunk, bits of a bigram key, keys that one part of the key space holds on average.
+#: Text bytes of a chunk, bits of a bigram key, most keys that one part of the key space holds on average.
 CHUNK_BYTES, KEY_BITS, PART_KEYS = 4 << 20, 52, 1_000_000
+#: Chunks that ask one share of a part at most (about), shares whose sums are added at once, values that are not compressed.
+PART_ROWS, FAN, PLAIN = 262_144, 8, 32
 #: One in so many training documents is left out to learn the weights; EM rounds; ratio steps a nat.
 DELETED, ROUNDS, STEPS, BUCKETS = 10, 40, 8, 32
 END, BEGIN = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x2545F4914F6CDD1D)
@@ -66,14 +70,18 @@ def token_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Integers as zstd-compressed byte planes."""
+    """Integers as zstd-compressed byte planes after their width, or a few as they are after a zero."""
+    if len(values) < PLAIN:
+        return b"\0" + values.astype("<u8").tobytes()
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    n, width = int.from_bytes(blob[:8], "little"), blob[8]
+    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    if not width:
+        return np.frombuffer(blob, "<u8", offset=1)
     planes = np.frombuffer(pa.decompress(blob[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = planes.T
@@ -81,11 +89,12 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+    return _pack(keys if len(keys) < PLAIN else np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(blob), dtype=np.uint64)
+    values = _unpack(blob)
+    return np.cumsum(values, dtype=np.uint64) if blob[0] else values
 
 
 @dataclass
@@ -150,57 +159,105 @@ def _chunk(row) -> Chunk:
     return Chunk(_unpack(row["train"]).astype(bool), _unpack(row["counts"]).astype(np.int64), _unpack_sorted(row["tokens"]), _unpack(row["place"]).astype(np.int64))
 
 
-def _cuts(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    edges = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def _split(keys: np.ndarray, bits: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted keys of ``bits`` bits lie in, by their first ``cut`` bits, and where each begins and the last ends."""
+    part = (keys >> np.uint64(1)) >> np.uint64(bits - 1 - cut)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return part[first], np.append(first, len(keys))
 
 
-def answers(made: DataFrame, parts: int) -> DataFrame:
-    """For each chunk, kind of key and part: training counts of its keys, all and without the deleted."""
+def _summed(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all rows, their sums of both counts, the place of every row's keys among them, and where rows end.
+
+    A chunk's row has one count; it is left out of the second sum where its documents are deleted.
+    """
+    held = [_unpack_sorted(b) for b in frame["keys"]]
+    ends = np.cumsum([len(h) for h in held])
+    keys, place = np.unique(np.concatenate(held), return_inverse=True)
+    del held
+    add = lambda n: np.bincount(place, n.astype(np.float64), len(keys)).astype(np.uint64)
+    total = np.concatenate([_unpack(b) for b in frame["total"]])
+    if "rest" in frame:
+        rest = np.concatenate([_unpack(b) for b in frame["rest"]])
+    else:
+        rest = np.where(np.repeat(frame["deleted"].to_numpy(bool), np.diff(ends, prepend=0)), np.uint64(0), total)
+    return keys, add(total), add(rest), place, ends
+
+
+def _sum_shares(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row for all of them: their keys and the sums of their counts."""
+    keys, total, rest, _, _ = _summed(frame)
+    one = frame.iloc[0]
+    return pd.DataFrame({"kind": [one["kind"]], "part": [one["part"]], "share": [one["share"]], "shares": [one["shares"]], "keys": [_pack_sorted(keys)], "total": [_pack(total)], "rest": [_pack(rest)]})
+
+
+def _answer(asked: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    """What chunks asked, from the sums of the whole part, or from what they hold themselves where it has one share only.
+
+    The first share of a part of tokens also tells how many of them occur, in a row of no chunk (-1).
+    """
+    chunk, deleted, total, rest = [], [], [], []
+    if len(asked):
+        keys, n, n_rest, place, ends = _summed(asked)
+        own = n, n_rest
+        chunk, deleted = asked["chunk"].to_list(), asked["deleted"].to_list()
+    if len(sums):
+        row = sums.iloc[0]
+        own = _unpack(row["total"]), _unpack(row["rest"])
+        if len(asked):
+            at = np.searchsorted(_unpack_sorted(row["keys"]), keys)
+            n, n_rest = own[0][at], own[1][at]
+    one = (sums if len(sums) else asked).iloc[0]
+    if len(asked):
+        spans = [place[b:e] for b, e in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        total, rest = [_pack(n[s]) for s in spans], [_pack(n_rest[s]) if d else None for s, d in zip(spans, deleted, strict=True)]
+    seen = [0] * len(chunk), [0] * len(chunk)
+    if one["kind"] == 0 and one["share"] == 0:
+        chunk, deleted, total, rest = [*chunk, -1], [*deleted, False], [*total, None], [*rest, None]
+        seen = tuple([*s, int((x > 0).sum())] for s, x in zip(seen, own, strict=True))
+    return pd.DataFrame({"chunk": chunk, "kind": one["kind"], "part": one["part"], "deleted": deleted, "total": total, "rest": rest, "v_total": seen[0], "v_rest": seen[1]})
+
+
+def answers(made: DataFrame, chunks: int, keys: int) -> DataFrame:
+    """For each chunk, kind of key and part: training counts of its keys, all and without the deleted.
+
+    A part cannot be asked by more chunks than there are; only beyond ``PART_ROWS`` chunks parts are counted,
+    and those that more chunks ask are dealt to shares. As parts hold ``PART_KEYS`` keys, the sums that are
+    sent to all shares of such parts are no more than a few times the keys that chunks hold.
+    """
+    cut = max(0, math.ceil(math.log2(max(1, keys / PART_KEYS))))
 
     def ask(batches: Iterator) -> Iterator:
         for batch in batches:
             for row in batch.to_pylist():
                 c = _chunk(row)
                 trained = c.trained
-                for kind, keys, place, bits in ((0, c.tokens, c.place, 64), (1, c.bigrams, c.pair, KEY_BITS)):
-                    counts, cuts = np.bincount(place[trained], minlength=len(keys)), _cuts(keys, bits, parts)
-                    full = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(full, pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array([row["deleted"]] * len(full)),
-                            pa.array([_pack_sorted(keys[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()),
-                            pa.array([_pack(counts[cuts[k] : cuts[k + 1]].astype(np.uint64)) for k in full], pa.binary()),
-                        ],
-                        names=["part", "kind", "chunk", "deleted", "keys", "n"],
-                    )
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        held = [_unpack_sorted(b) for b in frame["keys"]]
-        sizes = [len(h) for h in held]
-        keys, place = np.unique(np.concatenate(held), return_inverse=True)
-        del held
-        n = np.concatenate([_unpack(b) for b in frame["n"]]).astype(np.float64)
-        deleted = np.repeat(frame["deleted"].to_numpy(bool), sizes)
-        total = np.bincount(place, n, len(keys)).astype(np.uint64)
-        rest = np.bincount(place[~deleted], n[~deleted], len(keys)).astype(np.uint64)
-        ends = np.cumsum(sizes)
-        spans = [place[b - s : b] for s, b in zip(sizes, ends, strict=True)]
-        part, kind = frame["part"].iloc[0], frame["kind"].iloc[0]
-        out = pd.DataFrame(
-            {
-                "chunk": frame["chunk"].to_numpy(), "kind": kind, "part": part, "deleted": frame["deleted"].to_numpy(bool),
-                "total": [_pack(total[s]) for s in spans], "rest": [_pack(rest[s]) if d else None for s, d in zip(spans, frame["deleted"], strict=True)],
-                "v_total": 0, "v_rest": 0,
-            }
-        )
-        if kind == 0:
-            out.loc[0, ["v_total", "v_rest"]] = int((total > 0).sum()), int((rest > 0).sum())
-        return out
-
-    asked = made.select("chunk", "deleted", "train", "counts", "tokens", "place").mapInArrow(ask, "part int, kind int, chunk long, deleted boolean, keys binary, n binary")
-    schema = "chunk long, kind int, part int, deleted boolean, total binary, rest binary, v_total long, v_rest long"
-    return table(asked.groupBy("kind", "part").applyInPandas(answer, schema))
+                for kind, own, place, bits in ((0, c.tokens, c.place, 64), (1, c.bigrams, c.pair, KEY_BITS)):
+                    counts = np.bincount(place[trained], minlength=len(own)).astype(np.uint64)
+                    part, ends = _split(own, bits, cut)
+                    spans = list(zip(ends[:-1], ends[1:], strict=True))
+                    head = [part.astype(np.int64), np.full(len(part), kind, np.int32), np.full(len(part), row["chunk"]), np.full(len(part), row["deleted"])]
+                    blobs = [_pack_sorted(own[b:e]) for b, e in spans], [_pack(counts[b:e]) for b, e in spans]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, head), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "kind", "chunk", "deleted", "keys", "total"])
+
+    asked = made.select("chunk", "deleted", "train", "counts", "tokens", "place").mapInArrow(ask, "part long, kind int, chunk long, deleted boolean, keys binary, total binary")
+    key, sums = ["kind", "part", "share"], "kind int, part long, share long, shares long, keys binary, total binary, rest binary"
+    schema = "chunk long, kind int, part long, deleted boolean, total binary, rest binary, v_total long, v_rest long"
+    if chunks <= PART_ROWS:
+        whole = asked.withColumn("share", F.lit(0).cast("long"))
+        return table(whole.groupBy(*key).applyInPandas(lambda frame: _answer(frame, frame[:0]), schema))
+    asked = table(asked)
+    hot = table(asked.groupBy("kind", "part").count().where(F.col("count") > PART_ROWS).select("kind", "part", F.ceil(F.col("count") / PART_ROWS).alias("shares")))
+    count, most = hot.agg(F.count("*"), F.max("shares")).first()
+    hot = lookup(hot, count)
+    dealt = asked.join(hot, ["kind", "part"], "left").withColumn("share", F.pmod(F.xxhash64("chunk"), F.coalesce("shares", F.lit(1).cast("long"))))
+    whole = dealt.where(F.col("shares").isNotNull()).groupBy(*key).applyInPandas(_sum_shares, sums)
+    left = most or 1
+    while left > 1:
+        whole = table(whole).withColumn("share", F.floor(F.col("share") / FAN)).groupBy(*key).applyInPandas(_sum_shares, sums)
+        left = math.ceil(left / FAN)
+    sent = table(whole).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    return table(dealt.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(_answer, schema))
 
 
 @dataclass
@@ -272,11 +329,11 @@ def interpolated_scores(docs: DataFrame, train: Column, id_col: str = "doc_id",
     """
     made = chunks(docs, id_col, text_col, train)
     sums = made.agg(
-        F.sum("n_keys").alias("keys"), F.sum("n_train").alias("n"), F.sum("docs_train").alias("docs"),
+        F.count("*").alias("chunks"), F.sum("n_keys").alias("keys"), F.sum("n_train").alias("n"), F.sum("docs_train").alias("docs"),
         F.sum(F.when(~F.col("deleted"), F.col("n_train"))).alias("n_rest"), F.sum(F.when(~F.col("deleted"), F.col("docs_train"))).alias("docs_rest"),
     ).first()
     totals = {k: int(v or 0) for k, v in sums.asDict().items()}
-    replies = answers(made, max(1, math.ceil(totals["keys"] / PART_KEYS)))
+    replies = answers(made, totals["chunks"], totals["keys"])
     seen = replies.agg(F.sum("v_total").alias("v"), F.sum("v_rest").alias("v_rest")).first()
     totals |= {k: int(v or 0) for k, v in seen.asDict().items()}
     model = learn_weights(made, replies, totals)
@@ -293,6 +350,6 @@ def interpolated_scores(docs: DataFrame, train: Column, id_col: str = "doc_id",
             {"id": pd.array(list(row["ids"]), "Int64"), "n_tokens": c.counts, "n_known": total((one > 0).astype(np.int64)), "train_tokens": model.tokens, "base_score": total(base), "score": total(p)}
         )
 
-    right = replies.select("chunk", "kind", "part", "total")
+    right = replies.where("chunk >= 0").select("chunk", "kind", "part", "total")
     out = made.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInPandas(score, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
