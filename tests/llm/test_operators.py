@@ -276,6 +276,15 @@ def test_recall_on_the_given_table(spark, shard):
     assert 0 < ann.nearest(table, ask, with_visited=True).agg(F.avg("visited")).first()[0] < 0.9 * len(ids)
 
 
+@pytest.mark.parametrize("shard", [64, 8192])
+def test_blocks_of_queries_change_nothing(spark, shard):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    ask = table.where("vec_id % 10 = 0")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    whole = rows(ann.nearest(table, ask, shard=shard))
+    assert whole == rows(ann.nearest(table.repartition(7), ask, shard=shard, query_block=6)) and len(whole) == 250
+
+
 def test_main_text(spark):
     from pyspark.sql import functions as F
 

@@ -8,7 +8,8 @@ tables are merged and reranked by exact cosine on the original vectors.
 
 A vector goes once to each table, to the task that holds its bucket; a query goes to the tasks whose
 buckets it visits. Buckets of one prefix (the first projections' cells) share a task, so that a query's
-buckets, which differ in few cells, lie in few of them. Prefixes with many vectors are dealt to parts.
+buckets, which differ in few cells, lie in few of them. Prefixes with many vectors are dealt to parts,
+prefixes that many queries visit to blocks of queries, and every part meets every block.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import lookup, table
 TABLES, WIDTH, SUCCESS, PROBES, SEED = 8, 2.8, 0.3, 1024, 20
 #: Vectors of a task's share of a table, queries of a block, cells that a probe goes from home in a projection.
 SHARD, QUERY_BLOCK, SPAN = 8192, 4096, 1
-#: Rows of the sample that ``reach`` is measured on: vectors and queries.
+#: Rows of the sample that ``reach`` is measured on: vectors and queries. They are those of the smallest hashes.
 SAMPLE, SAMPLE_QUERIES = 8192, 256
 #: Fewest and most projections of a table; one for each doubling of the vectors between.
 LEAST_HASHES, MOST_HASHES = 8, 24
@@ -168,9 +169,14 @@ def measure_reach(x: DataFrame, q: DataFrame, rows: int, asked: int, k: int) ->
     In a sample of the share f of the rows the neighbour of rank k * f stands for the k-th; its distance
     for three quarters of the queries is taken. Dimensions that the sample lacks get 1.
     """
-    share = lambda n, of: min(1.0, 1.2 * n / max(1, of))
-    some = x.sample(share(SAMPLE, rows), 1).limit(SAMPLE).collect()
-    few = q.sample(share(SAMPLE_QUERIES, asked), 2).limit(SAMPLE_QUERIES).collect()
+
+
+    def smallest(of: DataFrame, count: int, most: int, salt: str) -> list:
+        drawn = F.shiftrightunsigned(F.xxhash64("id", "v", F.lit(salt)), 2)
+        share = min(1.0, 1.2 * most / max(1, count))
+        return of.select("id", "v", "dim", drawn.alias("drawn")).where(F.col("drawn") < int(share * (1 << 62))).orderBy("drawn", "id").limit(most).collect()
+
+    some, few = smallest(x, rows, SAMPLE, "vectors"), smallest(q, asked, SAMPLE_QUERIES, "queries")
     reach: dict[int, float] = {}
     for dim in {r["dim"] for r in few}:
         a, ids = (np.array([r[c] for r in some if r["dim"] == dim], t) for c, t in (("v", float), ("id", np.int64)))
@@ -194,6 +200,7 @@ def nearest(
     success: float = SUCCESS,
     most_probes: int = PROBES,
     shard: int = SHARD,
+    query_block: int = QUERY_BLOCK,
     with_visited: bool = False,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): up to k nearest rows of ``vectors`` to each row of ``queries``.
@@ -260,13 +267,27 @@ def nearest(
         return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
 
     key = ["dim", "tab", "prefix"]
-    large = table(x.mapInArrow(count, "dim int, tab int, prefix long, n long").groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * shard).select(*key, F.ceil(F.col("n") / shard).alias("parts")))
-    large = lookup(large, large.count())
-    v_type = dict(x.dtypes)["v"]
-    parts = F.coalesce("parts", F.lit(1).cast("long"))
-    filed = x.mapInArrow(file, f"dim int, tab int, prefix long, code long, id long, row long, v {v_type}").join(large, key, "left").withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("parts")
-    probes = q.mapInArrow(visit, f"dim int, tab int, prefix long, codes array<long>, id long, v {dict(q.dtypes)['v']}").join(large, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    key.append("part")
+    def deal(rows: DataFrame, most: int, name: str) -> DataFrame:
+        """How many pieces of about ``most`` rows the prefixes of more than twice as many are cut into."""
+        cut = table(rows.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * most).select(*key, F.ceil(F.col("n") / most).alias(name)))
+        return lookup(cut, cut.count())
+
+    one = F.lit(1).cast("long")
+    own = lambda name, *by: F.pmod(F.xxhash64(*by), F.coalesce(name, one))
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(name, one) - 1))
+    large = deal(x.mapInArrow(count, "dim int, tab int, prefix long, n long"), shard, "parts")
+    filed = x.mapInArrow(file, f"dim int, tab int, prefix long, code long, id long, row long, v {dict(x.dtypes)['v']}").join(large, key, "left").withColumn("part", own("parts", "row"))
+    probes = q.mapInArrow(visit, f"dim int, tab int, prefix long, codes array<long>, id long, v {dict(q.dtypes)['v']}")
+    if asked > 2 * query_block:
+        # A query visits a prefix once: with fewer queries no prefix can have more.
+        probes = table(probes)
+        busy = deal(probes.select(*key, F.lit(1).alias("n")), query_block, "blocks")
+        filed, probes = (rows.join(busy, key, "left") for rows in (filed, probes))
+    else:
+        filed, probes = (rows.withColumn("blocks", one) for rows in (filed, probes))
+    filed = filed.withColumn("block", every("blocks")).drop("parts", "blocks")
+    probes = probes.join(large, key, "left").withColumn("block", own("blocks", "id")).withColumn("part", every("parts")).drop("parts", "blocks")
+    key += ["part", "block"]
     found = filed.groupBy(*key).cogroup(probes.groupBy(*key)).applyInPandas(search, "query_id long, row long, vec_id long, score double")
     if with_visited:
         return found.groupBy("query_id").agg(F.count_distinct("row").alias("visited"))
