@@ -487,6 +487,22 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 64])
+def test_stretches_of_a_long_text_keep_its_path(stretch):
+    rng = np.random.default_rng(6)
+    counts = np.array([500, 0, 7, 64, 65, 1])
+    for scores in (rng.normal(size=(637, 4)), np.zeros((637, 4)), rng.integers(0, 2, (637, 4)) * 0.25, rng.normal(size=(637, 4)) * 1e-3):
+        scores = scores.astype(np.float32)
+        assert (langid.viterbi(scores, counts, 0.7, stretch) == langid.viterbi(scores, counts, 0.7, 1000)).all()
+
+
+def test_a_very_long_text_takes_few_steps():
+    scores = np.random.default_rng(7).normal(size=(2_000_000, 4)).astype(np.float32)
+    start = time.time()
+    labels = langid.viterbi(scores, np.array([len(scores)]), 2.0)
+    assert time.time() - start < 30 and len(np.unique(labels)) == 4
+
+
 def test_best_fit_decreasing_is_best_fit():
     rng = np.random.default_rng(5)
     for capacity in (1, 7, 64, 100):

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import sample_by_id, text_batches
 
 #: The most training documents (those with the smallest hash of the identifier), hashed cells and
-#: characters whose cells are scored at once.
-MOST_DOCS, CELLS, SLICE = 20_000, 1 << 16, 1 << 19
+#: characters whose cells are scored at once; words of a text that are followed one after another.
+MOST_DOCS, CELLS, SLICE, STRETCH = 20_000, 1 << 16, 1 << 19, 4096
 SWITCH, SMOOTH, RARE_SCRIPT = 12.0, 0.5, 0.002
 #: First code points of script ranges, each up to the next, and their names.
 SCRIPTS = (
@@ -130,31 +130,68 @@ def word_scores(model: Model, pair: np.ndarray, triple: np.ndarray, first: np.nd
     return np.where(allowed, total, np.float32(-1e4))
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
-    """Best language of each word; ``counts`` words for each text, all texts in lock step."""
-    order = np.argsort(-counts, kind="stable")
-    begins = (np.cumsum(counts) - counts)[order]
-    sizes, labels = counts[order], np.zeros(len(scores), np.int16)
-    back = np.zeros(scores.shape, np.int16)
+def _lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches from the longest on, and how many of them have more than t words, for each t."""
+    order = np.argsort(-sizes, kind="stable")
+    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")
+
+
+def _forward(scores: np.ndarray, back: np.ndarray, begins: np.ndarray, sizes: np.ndarray, enter: np.ndarray, switch: float) -> np.ndarray:
+    """Follow stretches in lock step from the scores that they are entered with to those that they are left with; fills ``back``."""
+    order, active = _lanes(sizes)
+    begins, best = begins[order], enter[order]
     own = np.arange(scores.shape[1], dtype=np.int16)
-    best = np.zeros((len(counts), scores.shape[1]), np.float32)
-    steps = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts with more than t words
-    for t in range(steps):
-        n, at = active[t], begins[: active[t]] + t
-        held = best[:n]
-        if t:
-            top = held.argmax(1)
-            peak = held[np.arange(n), top][:, None]
-            stay = held >= peak - switch
-            back[at] = np.where(stay, own, top[:, None])
-            held = np.where(stay, held, peak - np.float32(switch)) - peak
-        best[:n] = held + scores[at]
-    state = best.argmax(1).astype(np.int16)
-    for t in range(steps - 1, -1, -1):
-        n, at = active[t], begins[: active[t]] + t
+    for t, n in enumerate(active):
+        at, held = begins[:n] + t, best[:n]
+        top = held.argmax(1)
+        peak = held[np.arange(n), top][:, None]
+        stay = held >= peak - switch
+        back[at] = np.where(stay, own, top[:, None])
+        best[:n] = np.where(stay, held, peak - np.float32(switch)) - peak + scores[at]
+    leave = np.empty_like(best)
+    leave[order] = best
+    return leave
+
+
+def _backward(labels: np.ndarray, back: np.ndarray, begins: np.ndarray, sizes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Label stretches in lock step from their last words' languages; the languages of the words before them."""
+    order, active = _lanes(sizes)
+    begins, state = begins[order], last[order]
+    for t in range(len(active) - 1, -1, -1):
+        n = active[t]
+        at = begins[:n] + t
         labels[at] = state[:n]
-        state[:n] = back[at, state[:n]] if t else state[:n]
+        state[:n] = back[at, state[:n]]
+    before = np.empty_like(state)
+    before[order] = state
+    return before
+
+
+def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float, stretch: int = STRETCH) -> np.ndarray:
+    """Best language of each word; ``counts`` words for each text.
+
+    All stretches of at most ``stretch`` words run in lock step. A stretch that follows another one of its
+    text is run again as long as what it was entered with is not what the one before was left with, so
+    the path is that of one pass over the text. After few words a path hardly depends on its start, so
+    a second run mostly settles it, and a very long text takes some thousand steps and not one a word.
+    """
+    pieces = -(-counts // stretch)
+    text = np.repeat(np.arange(len(counts)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begins = (np.cumsum(counts) - counts)[text] + nth * stretch
+    sizes, follows = np.minimum(stretch, counts[text] - nth * stretch), np.flatnonzero(nth > 0)
+    labels, back = np.zeros(len(scores), np.int16), np.zeros(scores.shape, np.int16)
+    enter = np.zeros((len(text), scores.shape[1]), np.float32)
+    leave, todo = enter.copy(), np.arange(len(text))
+    while len(todo):
+        leave[todo] = _forward(scores, back, begins[todo], sizes[todo], enter[todo], switch)
+        todo = follows[(enter[follows] != leave[follows - 1]).any(1)]
+        enter[todo] = leave[todo - 1]
+    last, before, todo = leave.argmax(1).astype(np.int16), np.zeros(len(text), np.int16), np.arange(len(text))
+    while len(todo):
+        before[todo] = _backward(labels, back, begins[todo], sizes[todo], last[todo])
+        todo = follows[before[follows] != last[follows - 1]] - 1
+        last[todo] = before[todo + 1]
     return labels
 
 
