@@ -54,9 +54,11 @@ def series(spark, d):
     week = F.date_trunc("week", "ts")
     weekly = daily.groupBy("instrument_id", week.alias("w")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("w", "ts")
     both = daily.withColumn("interval", F.lit("1d")).unionByName(weekly.withColumn("interval", F.lit("1w")))
-    raw = both.withColumns({"series_type": F.lit("raw"), "high": F.when(F.dayofmonth("ts") == 13, F.col("low") / 2).otherwise(F.col("high"))})
-    adjusted = both.withColumns({"series_type": F.lit("adjusted"), **{c: F.col(c) / 2 for c in ("open", "high", "low", "close")}})
-    return bars.with_quality(raw.unionByName(adjusted))
+    price = ("open", "high", "low", "close")
+    raw = F.struct(F.lit("raw").alias("series_type"), *[F.when(F.dayofmonth("ts") == 13, F.col("low") / 2).otherwise(F.col("high")).alias(c) if c == "high" else F.col(c) for c in price])
+    adjusted = F.struct(F.lit("adjusted").alias("series_type"), *[(F.col(c) / 2).alias(c) for c in price])
+    each = both.select("instrument_id", "interval", "ts", "volume", F.inline(F.array(raw, adjusted)))
+    return bars.with_quality(each)
 
 
 def stored_series(spark, d):
