@@ -382,6 +382,18 @@ def test_multikey_order_sorts_by_all_tokens():
         assert [rows[i] for i in suffix_dedup.multikey_order(tokens)] == sorted(rows)
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+@pytest.mark.parametrize("values", [1, 3, 1 << 40])
+def test_multikey_order_keeps_the_order_of_equal_rows(ordered, values):
+    draw = np.random.default_rng(7)
+    for n in (0, 1, 2, 400):
+        tokens = [draw.integers(-values, values, n) for _ in range(3)]
+        if ordered:
+            tokens[0] = np.sort(tokens[0])
+        want = sorted(range(n), key=lambda i: (*[t[i] for t in tokens], i))
+        assert suffix_dedup.multikey_order(tokens).tolist() == want
+
+
 def test_remove_repeats_with_one_hot_string(spark):
     rng = np.random.default_rng(3)
     noise = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()

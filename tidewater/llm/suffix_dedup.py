@@ -151,19 +151,41 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, ROW)
 
 
+def _next_segments(start: np.ndarray, sizes: np.ndarray, depth: np.ndarray, depths: int) -> tuple[np.ndarray, ...]:
+    """Segments of more than one row that parts (less, equal, greater: rows of ``sizes``) leave to be sorted."""
+    first = (start + np.cumsum(sizes, 0) - sizes).ravel()
+    deep = (depth + np.array([[0], [1], [0]])).ravel()
+    left = (sizes.ravel() > 1) & (deep < depths)
+    return first[left], sizes.ravel()[left], deep[left]
+
+
 def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by their tokens: a quicksort by the first, then, only among ties, by the next."""
-    order = np.argsort(tokens[0], kind="stable")
-    tied = np.zeros(max(0, len(order) - 1), bool)
-    for depth, token in enumerate(tokens):
-        if depth:
-            near = np.flatnonzero(np.concatenate((tied, [False])) | np.concatenate(([False], tied)))
-            run = np.cumsum(np.concatenate(([True], ~tied)))[near]
-            order[near] = order[near][np.lexsort((token[order[near]], run))]
-        same = token[order[1:]] == token[order[:-1]]
-        tied = same if not depth else tied & same
-        if not tied.any():
-            break
+    """Order of rows by their tokens: multikey quicksort; rows of equal tokens keep their order.
+
+    A segment is parted in three by a pivot's token at its depth; the equal part goes on with the next token.
+    All segments are parted in the same steps. Where rows come in order of the first token, only its ties are sorted.
+    """
+    rows, n = np.stack(tokens), len(tokens[0])
+    order = np.arange(n)
+    start, size, depth = np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)
+    if n and (rows[0, 1:] >= rows[0, :-1]).all():
+        new = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        sizes = np.stack([np.zeros_like(new), np.diff(np.append(new, n)), np.zeros_like(new)])
+        start, size, depth = _next_segments(new, sizes, np.zeros_like(new), len(tokens))
+    while n and len(start):
+        own = np.repeat(np.arange(len(start)), size)
+        begin = np.cumsum(size) - size
+        place = np.arange(len(own)) - begin[own]
+        at = order[start[own] + place]
+        value, pivot = rows[depth[own], at], rows[depth, order[start + size // 2]][own]
+        sizes, ahead = [], np.zeros(len(start), np.int64)
+        for part in (value < pivot, value == pivot, value > pivot):
+            upto = np.concatenate(([0], np.cumsum(part)))
+            sizes.append(upto[begin + size] - upto[begin])
+            of = own[part]
+            order[start[of] + ahead[of] + upto[:-1][part] - upto[begin][of]] = at[part]
+            ahead = ahead + sizes[-1]
+        start, size, depth = _next_segments(start, np.stack(sizes), depth, len(tokens))
     return order
 
 
