@@ -202,6 +202,13 @@ def test_signals_at_their_edges(spark):
     assert len(got["missing"]) == 16
 
 
+def test_percentages_round_ties_to_even_and_keep_their_sign(spark):
+    x = F.col("x")
+    rows = spark.createDataFrame([(-0.0004,), (0.0004,), (0.1225,), (0.039499999999999997,), (1.0605,)], "x double")
+    got = rows.select(scoring.percent(x, "%+.1f%%"), scoring.percent(x, "%.0f%%", 0), scoring.whole(x * 1000)).collect()
+    assert [tuple(r) for r in got] == [("-0.0%", "-0%", "0"), ("+0.0%", "0%", "0"), ("+12.2%", "12%", "122"), ("+4.0%", "4%", "40"), ("+106.0%", "106%", "1,060")]
+
+
 def test_final_score_blends_known_factors_only(spark):
     ask = lambda penalty, **x: spark.range(1).select(scoring.final_score({k: F.lit(x.get(k)).cast("double") for k in scoring.FACTOR_WEIGHTS}, F.lit(penalty).cast("double"))).first()[0]
     assert ask(None) == 0.0

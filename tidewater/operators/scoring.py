@@ -54,14 +54,19 @@ class Signal(NamedTuple):
     text: Column
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """A double to ``digits`` places, ties to even; what rounds to nothing keeps its sign (-0.0)."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def percent(x: Column, form: str = "%.1f%%", digits: int = 1) -> Column:
     """A share as a percentage, ties to even."""
-    return F.format_string(form, F.bround(x * 100, digits))
+    return F.format_string(form, half_even(x * 100, digits))
 
 
 def whole(x: Column) -> Column:
     """A number without decimals and with commas between thousands."""
-    return F.format_string("%,d", F.bround(x, 0).cast("long"))
+    return F.format_string("%,d", half_even(x, 0).cast("long"))
 
 
 def _choice(test: Column, yes: str, no: str, strength: Column | None = None) -> Signal:
