@@ -141,6 +141,27 @@ def test_audit_chain(spark):
     assert {(r["sequence"], r["problem"]) for r in lifecycle.verify_chain(broken).collect()} == {(3, "hash"), (3, "link")}
 
 
+def test_a_chain_is_hashed_in_ranges(spark):
+    """Chains that span ranges, share one, or end with it; every hash is that of a plain loop."""
+    rows = [(c, i * 3 % 101, "k" if i % 4 else None, f'{c} "{i}" é\n') for c, n in ((0, 60), (1, 7), (2, 1), (5, 45)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "chain long, event_id long, kind string, summary string").repartition(3)
+    got = sorted(map(tuple, lifecycle.append_chain(frame, rows_a_part=10).collect()))
+    want, last = [], {}
+    for c, i, kind, summary in sorted(rows, key=lambda r: r[:2]):
+        n, previous = last.get(c, (0, lifecycle.GENESIS))
+        body = lifecycle.canonical({"chain": c, "sequence": n + 1, "kind": kind, "summary": summary, "previous": previous})
+        last[c] = (n + 1, hashlib.sha256(body.encode()).hexdigest())
+        want.append((c, i, kind, summary, n + 1, previous, last[c][1]))
+    assert got == want
+    assert lifecycle.append_chain(frame.limit(0)).count() == 0
+
+
+def test_a_task_sorts_a_range_of_a_chain(spark):
+    frame = spark.range(40).selectExpr("0L AS chain", "id AS event_id", "'k' AS kind", "'s' AS summary")
+    files = lifecycle.append_chain(frame, rows_a_part=10).inputFiles()
+    assert len({f.rsplit("/", 2)[1] for f in files}) > 1
+
+
 def test_sales_count_for_chiefs_only(spark):
     rows = [(1, 0, 1, "S", DAY, 2e6, False, True, False, False), (2, 0, 2, "S", DAY, 2e6, True, False, False, False), (3, 0, 3, "P", DAY, 5e5, False, False, True, False), (4, 0, 4, "S", DAY, 2e6, True, False, False, True)]
     f = spark.createDataFrame(rows, "accession long, line_index int, instrument_id long, code string, ts timestamp, value double, is_c_suite boolean, is_officer boolean, is_director boolean, is_plan boolean")

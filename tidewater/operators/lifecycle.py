@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..sources.scratch import stored
+from ..sources.scratch import folder, stored
 
 GENESIS = "0" * 64
 
@@ -187,30 +190,79 @@ def canonical(event: dict) -> str:
     return json.dumps(event, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def append_chain(events: DataFrame) -> DataFrame:
+#: Events of a chain that are hashed in one go: what a task sorts at a time.
+CHAIN_ROWS = 1_000_000
+
+
+def append_chain(events: DataFrame, rows_a_part: int = CHAIN_ROWS) -> DataFrame:
     """Hash chains: chain, event_id, kind, summary -> sequence, previous_hash, event_hash.
 
-    Every hash covers the one before, so chains are dealt to tasks, sorted, and folded row by row; a task
-    holds the last hash of one chain, not its events. One chain alone is one task's work by its nature;
-    ``linked`` and ``verify_chain`` check it in all tasks.
+    Every hash covers the one before. What each hash covers besides is written out first, in all tasks, in ranges of
+    ``rows_a_part`` events; then the ranges are hashed in turn, each beginning with the last hash of the one before. Ranges
+    that begin with another chain than the one before ended with wait for nothing: the first ranges of all such runs
+    are hashed together, then the second ones. One chain alone is one task's hashing by its nature, a range at a
+    time; ``linked`` and ``verify_chain`` check it in all tasks.
     """
-
-    def fold(frames):
-        own, previous, n = None, GENESIS, 0
-        for frame in frames:
-            rows = []
-            for chain, eid, kind, summary in frame[["chain", "event_id", "kind", "summary"]].itertuples(index=False):
-                if chain != own:
-                    own, previous, n = chain, GENESIS, 0
+    spark = events.sparkSession
+    at, folded = ["chain", "event_id"], folder(spark, "chain-hashed")
+    quoted = lambda c: _json_text(F.col(c))
+    # {"chain":..,"kind":..,"previous":"<hash>","sequence":<n>,"summary":..}, as canonical() writes it
+    head = F.concat(F.lit('{"chain":'), F.col("chain").cast("string"), F.lit(',"kind":'), quoted("kind"), F.lit(',"previous":"'))
+    tail = F.concat(F.lit(',"summary":'), quoted("summary"), F.lit("}"))
+    found = stored(events.select(*at, "kind", "summary"), "chain-events")
+    n = -(-found.count() // rows_a_part) or 1
+    ranged = found.repartitionByRange(n, *at).withColumn("part", F.spark_partition_id()).withColumns({"head": head, "tail": tail})
+    ranges = stored(ranged, "chain-ranges")
+    ends = ranges.groupBy("part").agg(F.min("chain").alias("first"), F.max("chain").alias("last")).orderBy("part").collect()  # a row a range
+    turns: list[list[int]] = []
+    turn, before = 0, None
+    for r in ends:
+        turn, before = turn + 1 if before == r["first"] else 0, r["last"]
+        if turn == len(turns):
+            turns.append([])
+        turns[turn].append(r["part"])
+    carried: dict[int, tuple[str, int]] = {}
+    for k, parts in enumerate(turns):
+        rows = ranges.where(F.col("part").isin(parts)).repartition(len(parts), "part").sortWithinPartitions("part", *at)
+        rows.mapInArrow(_fold_ranges(carried), f"{CHAIN}, part int").write.parquet(f"{folded}/turn-{k}")
+        if k + 1 < len(turns):
+            done = spark.read.schema(f"{CHAIN}, part int").parquet(f"{folded}/turn-{k}")
+            last = done.groupBy("part").agg(F.max(F.struct("chain", "sequence", "event_hash")).alias("e")).select("e.*").collect()  # a row a range
+            carried = {r["chain"]: (r["event_hash"], r["sequence"]) for r in last}
+    return spark.read.schema(CHAIN).parquet(*[f"{folded}/turn-{k}" for k in range(len(turns))]) if turns else spark.createDataFrame([], CHAIN)
+
+
+CHAIN = "chain long, event_id long, kind string, summary string, sequence long, previous_hash string, event_hash string"
+
+
+@F.pandas_udf(StringType())
+def _json_text(texts: pd.Series) -> pd.Series:
+    """Each text as canonical() writes it."""
+    return texts.astype(object).map(lambda x: json.dumps(x if isinstance(x, str) else None, ensure_ascii=False))
+
+
+def _fold_ranges(carried: dict[int, tuple[str, int]]):
+    """A fold over sorted ranges; ``carried`` has the last hash and sequence of chains that began in earlier ranges."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, previous, n = None, GENESIS, 0
+        for batch in batches:
+            numbers, befores, hashes = [], [], []
+            for part, chain, head, tail in zip(*(batch.column(c).to_pylist() for c in ("part", "chain", "head", "tail")), strict=True):
+                if (part, chain) != of:
+                    # the first chain of a range goes on where it was left; later ones begin
+                    previous, n = carried.get(chain, (GENESIS, 0)) if of is None or of[0] != part else (GENESIS, 0)
+                    of = (part, chain)
                 n += 1
-                body = canonical({"chain": int(chain), "sequence": n, "kind": kind, "summary": summary, "previous": previous})
-                digest = hashlib.sha256(body.encode()).hexdigest()
-                rows.append((chain, eid, kind, summary, n, previous, digest))
-                previous = digest
-            yield pd.DataFrame(rows, columns=["chain", "event_id", "kind", "summary", "sequence", "previous_hash", "event_hash"])
-
-    ordered = events.select("chain", "event_id", "kind", "summary").repartition("chain").sortWithinPartitions("chain", "event_id")
-    return ordered.mapInPandas(fold, "chain long, event_id long, kind string, summary string, sequence long, previous_hash string, event_hash string")
+                befores.append(previous)
+                previous = hashlib.sha256(f'{head}{previous}","sequence":{n}{tail}'.encode()).hexdigest()
+                numbers.append(n)
+                hashes.append(previous)
+            own = [batch.column(c) for c in ("chain", "event_id", "kind", "summary")]
+            made = [pa.array(numbers, pa.int64()), pa.array(befores, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays([*own, *made, batch.column("part")], names=["chain", "event_id", "kind", "summary", "sequence", "previous_hash", "event_hash", "part"])
+
+    return fold
 
 
 def linked(chain: DataFrame) -> DataFrame:
