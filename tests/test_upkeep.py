@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import indicators, lifecycle, selection, trading, upkeep
+from tidewater.sources import readers
 from tidewater.sources.scratch import stored
 
 DAY = dt.datetime(2001, 1, 1)
@@ -122,3 +123,25 @@ def test_series_arrays(spark):
     frame = spark.createDataFrame(rows, "instrument_id long, ts timestamp, close double, volume double").withColumns({c: F.col("close") for c in ("open", "high", "low")})
     got = {r["instrument_id"]: (r["close"], r["volume"]) for r in indicators.series(frame, 3).collect()}
     assert got == {1: ([1.0, 2.0, 3.0], [10.0, 0.0, 30.0]), 2: ([5.0], [1.0])}
+
+
+def test_wide_frame_reads_each_text_once(spark):
+    rows = [(1, DAY, 100.0, 120.0, 90.0, "110", 5.0), (1, DAY + dt.timedelta(days=1), 100.0, 120.0, 90.0, "NaN", 5.0), (2, DAY, 100.0, 80.0, 90.0, "110", 5.0), (3, DAY, float("inf"), 120.0, 90.0, "110", 5.0), (4, DAY, 100.0, 120.0, 90.0, "110", float("nan"))]
+    frame = spark.createDataFrame(rows, "instrument_id long, Date timestamp, Open double, High double, Low double, Close string, Volume double")
+    got = readers.wide_frame(frame, "GBX")
+    assert sorted(map(tuple, got.collect())) == [(1, DAY, 1.0, 1.2, 0.9, 1.1, 5.0), (4, DAY, 1.0, 1.2, 0.9, 1.1, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "as double" in x.lower()]
+
+
+def test_joins_of_lines_have_partitions_by_their_number(spark, sf_dir, monkeypatch):
+    from tidewater.plans import catalogue
+    from tidewater.sources import fixtures, scratch
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (*catalogue._decided(spark, sf_dir), fixtures.filings(spark, sf_dir)):
+            assert made.rdd.getNumPartitions() >= fixtures.read(spark, sf_dir, "lineitem").count() // 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -11,8 +11,12 @@ from ..operators.bars import coherent
 
 def wide_frame(frame: DataFrame, unit: str = "USD") -> DataFrame:
     """Vendor columns to candles: numbers cleaned, unit normalised, incomplete and incoherent bars dropped."""
-    price = lambda c: nm.normalise_price(nm.number(F.col(c).cast("string")), F.lit(unit)).alias(c.lower())
-    rows = frame.select("instrument_id", F.col("Date").alias("ts"), *[price(c) for c in ("Open", "High", "Low", "Close")], nm.number(F.col("Volume").cast("string")).alias("volume"))
+    types = dict(frame.dtypes)
+    read = lambda c: nm.number(F.col(c) if types[c] == "double" else F.col(c).cast("string"))
+    price = lambda c: nm.normalise_price(read(c), F.lit(unit)).alias(c.lower())
+    # a generator, since filters are not pushed below one: they would read every text again for each comparison
+    bar = F.struct(*[price(c) for c in ("Open", "High", "Low", "Close")], read("Volume").alias("volume"))
+    rows = frame.select("instrument_id", F.col("Date").alias("ts"), F.inline(F.array(bar)))
     return rows.dropna(subset=["open", "high", "low", "close"]).where(coherent())
 
 
