@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, lifecycle, selection, upkeep
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF, with_tables
-from ..sources.scratch import stored
+from ..sources.scratch import parts_of, stored
 from . import market
 from .market import rounded
 
@@ -484,7 +484,10 @@ def _decided(spark, d):
     status = F.when((F.col("o_orderstatus") == "P") & (k % 3 == 0), "rejected").otherwise("pending")
     p = orders(spark, d).select(k.alias("proposal_id"), status.alias("status"), F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (k % 200) * 86400).alias("expires_at"), (F.col("o_custkey") % 6 == 0).alias("suspended"))
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice"))
-    a = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("proposal_id"), nth.alias("nth"), F.when(F.col("l_partkey") % 3 == 0, "reject").otherwise("approve").alias("action"), F.col("l_shipdate").alias("at"))
+    lines = fx.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    n = parts_of(lines.count(), lines)
+    p = p.repartition(n, "proposal_id")
+    a = lines.repartition(n, "l_orderkey").select(F.col("l_orderkey").alias("proposal_id"), nth.alias("nth"), F.when(F.col("l_partkey") % 3 == 0, "reject").otherwise("approve").alias("action"), F.col("l_shipdate").alias("at"))
     return lifecycle.decide(p, a, "2000-06-01")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import parts_of
+
 #: The day on which all market queries look at the data: after the last bar.
 AS_OF = "2001-11-05"
 
@@ -62,8 +64,10 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insider lines: an order is a filing, its lines are transactions."""
+    """Insider lines: an order is a filing, its lines are transactions. Both meet in partitions of counted lines."""
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    n = parts_of(li.count(), li)
+    li, o = li.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
     code = F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("M")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("line_index"), F.col("l_suppkey").alias("instrument_id"), code.alias("code"), F.col("l_shipdate").alias("ts"),

@@ -26,3 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task sorts or groups at a time.
+TASK_ROWS = 250_000
+
+
+def parts_of(rows: int, df: DataFrame) -> int:
+    """Partitions for a shuffle of ``rows`` rows, so that what a task holds does not grow with them: one a core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
