@@ -248,10 +248,11 @@ def _(spark, d):
 @query("s9_multi_symbol_split", with_tables("candles") + " SELECT CAST(floor(instrument_id / 50) AS BIGINT) AS chunk, 'S' || instrument_id % 50 AS symbol, ts, open, close FROM candles")
 def _(spark, d):
     # a vendor's frame holds fifty symbols as columns; each chunk of fifty instruments is one such frame
+    # the bars that there are meet as a list, not as a hundred cells each, and become columns row by row
     long = fx.candles(spark, d).select(F.floor(F.col("instrument_id") / 50).alias("chunk"), "ts", (F.col("instrument_id") % 50).alias("slot"), "open", "close")
-    names = [f"S{i}|{f}" for i in range(50) for f in ("Open", "Close")]
-    cells = [F.max(F.when(F.col("slot") == i, F.col(f.lower()))).alias(f"S{i}|{f}") for i in range(50) for f in ("Open", "Close")]
-    return readers.split_symbols(long.groupBy("chunk", "ts").agg(*cells).select("chunk", "ts", *[F.col(f"`{n}`") for n in names]), ["Open", "Close"], ["chunk", "ts"])
+    held = long.repartition("chunk", "ts").groupBy("chunk", "ts").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("open", "close")))).alias("bars"))
+    cells = [F.try_element_at("bars", F.lit(i).cast("long"))[f.lower()].alias(f"S{i}|{f}") for i in range(50) for f in ("Open", "Close")]
+    return readers.split_symbols(held.select("chunk", "ts", *cells), ["Open", "Close"], ["chunk", "ts"])
 
 
 @query("s10_json_series", "SELECT event_type AS symbol, ts, value AS close FROM events WHERE event_id % 10 <> 3 AND event_type <> 'error'")
