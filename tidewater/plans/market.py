@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import bars, indicators, scoring
 from ..sources import fixtures as fx
-from ..sources import sinks
 from ..sources.fixtures import AS_OF, with_tables
 from ..sources.scratch import folder, stored
 
@@ -49,8 +48,7 @@ SERIES_CTE = with_tables("candles").removeprefix("WITH ") + """,
     sq AS (SELECT *, CASE WHEN high >= low AND high >= open AND high >= close AND low <= open AND low <= close AND open > 0 AND close > 0 THEN 'OK' ELSE 'SUSPECT' END AS quality FROM sr)"""
 
 
-def series(spark, d):
-    daily = fx.candles(spark, d)
+def series(daily):
     week = F.date_trunc("week", "ts")
     weekly = daily.groupBy("instrument_id", week.alias("w")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("w", "ts")
     both = daily.withColumn("interval", F.lit("1d")).unionByName(weekly.withColumn("interval", F.lit("1w")))
@@ -62,9 +60,9 @@ def series(spark, d):
 
 
 def stored_series(spark, d):
-    """``series`` as a table cut by interval and series type."""
-    rows, path = series(spark, d), folder(spark, "series")
-    sinks.write_snapshot(rows, path, ["interval", "series_type"])
+    """``series`` as a table cut by interval and series type: four cuts, which every task writes its rows of."""
+    rows, path = series(fx.candles(spark, d)), folder(spark, "series")
+    rows.write.partitionBy("interval", "series_type").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -104,7 +102,7 @@ def _(spark, d):
     SELECT instrument_id, "interval", ts, series_type, coalesce(m.close, o.close) AS close, coalesce(o.currency, m.currency) AS currency, coalesce(m.quality, o.quality) AS quality, coalesce(m.retrieved_at, o.retrieved_at) AS retrieved_at
     FROM o FULL JOIN m USING (instrument_id, "interval", ts, series_type)""")
 def _(spark, d):
-    s = series(spark, d)
+    s = series(stored(fx.candles(spark, d), "daily"))
     at = lambda df, currency, when: df.withColumns({"currency": F.lit(currency), "retrieved_at": F.lit(when).cast("timestamp")})
     corrected = F.when(F.dayofmonth("ts") % 5 == 0, F.col("high") * 2).otherwise(F.col("close"))
     batch = s.where("ts >= TIMESTAMP '2001-08-15' AND series_type = 'raw'").withColumn("close", corrected)
