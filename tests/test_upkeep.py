@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import indicators, lifecycle, selection, trading, upkeep
+from tidewater.operators import bars, indicators, lifecycle, selection, trading, upkeep
 from tidewater.sources import readers
 from tidewater.sources.scratch import stored
 
@@ -145,3 +145,32 @@ def test_joins_of_lines_have_partitions_by_their_number(spark, sf_dir, monkeypat
             assert made.rdd.getNumPartitions() >= fixtures.read(spark, sf_dir, "lineitem").count() // 500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_validation_moves_no_bars_and_an_upsert_moves_them_once(spark, monkeypatch):
+    rows = [(1, DAY, 1.0, 2.0, 0.5, 1.5, 1.0, "USD"), (1, DAY, 1.0, 0.5, 0.5, 1.5, 1.0, None), (2, DAY, 1.0, 2.0, 0.5, 1.5, 1.0, "EUR"), (2, DAY, 1.0, 2.0, 0.5, 1.5, 1.0, "USD"), (None, DAY, 1.0, 2.0, 0.5, 1.5, 1.0, "EUR")]
+    frame = spark.createDataFrame(rows, "instrument_id long, ts timestamp, open double, high double, low double, close double, volume double, currency string")
+    for most in (0, 200_000):
+        monkeypatch.setattr(readers, "WRONG_UNITS", most)
+        out = readers.validate(frame, F.lit("USD"))
+        assert sorted((r["instrument_id"] or 0, r["verdict"]) for r in out.collect()) == [(0, "UNIT_MISMATCH"), (1, "SUSPICIOUS_MOVE"), (1, "accepted"), (2, "UNIT_MISMATCH"), (2, "UNIT_MISMATCH")]
+    assert "Window" not in _plan(out)
+    kept = frame.select("instrument_id", "ts", "close", F.lit(DAY).alias("retrieved_at"))
+    assert bars.upsert(kept, kept)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_candle_queries_move_and_hold_no_more_than_bars(spark, sf_dir, monkeypatch):
+    from tidewater.plans import ingest, market
+    from tidewater.sources import sinks
+
+    def refused(*a):
+        raise AssertionError("the table is made without another shuffle")
+
+    monkeypatch.setattr(sinks, "write_snapshot", refused)
+    assert market.stored_series(spark, sf_dir).select("interval", "series_type").distinct().count() == 4
+    assert "max(CASE" not in _plan(ingest.QUERIES["s9_multi_symbol_split"](spark, sf_dir))
+    assert "l_suppkey" not in _plan(market.QUERIES["s5_candle_upsert"](spark, sf_dir))

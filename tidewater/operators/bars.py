@@ -83,12 +83,18 @@ def with_quality(bars: DataFrame) -> DataFrame:
     return bars.withColumn("quality", F.when(coherent(), "OK").otherwise("SUSPECT"))
 
 
-def upsert(stored: DataFrame, batch: DataFrame, first_wins: tuple[str, ...] = ("currency", "price_unit", "is_adjusted"), key: list[str] | None = None) -> DataFrame:
-    """One row a key: the values that were read last, but ``first_wins`` columns as first stored."""
-    key = key or [c for c in KEY if c in stored.columns]
+def upsert(
+    stored: DataFrame, batch: DataFrame, first_wins: tuple[str, ...] = ("currency", "price_unit", "is_adjusted"), key: list[str] | None = None, dealt: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row a key: the values that were read last, but ``first_wins`` columns as first stored.
+
+    Rows are dealt as they are, since few keys have two and buffers are wider than rows, and sorted by a hash of the key
+    first, which tells keys apart at once. ``dealt`` are columns that the key decides, by which rows are dealt instead; they stay.
+    """
+    key = [*dealt, *(key or [c for c in KEY if c in stored.columns])]
     rest = [c for c in stored.columns if c not in key]
     kept = [c for c in first_wins if c in rest]
-    rows = stored.unionByName(batch).groupBy(*key)
+    rows = stored.unionByName(batch).repartition(*(dealt or key)).withColumn("_hash", F.xxhash64(*key)).groupBy("_hash", *key)
     last = F.max_by(F.struct(*rest), "retrieved_at").alias("last")
     firsts = [F.min_by(c, "retrieved_at").alias(f"first_{c}") for c in kept]
     return rows.agg(last, *firsts).select(*key, *[F.col(f"first_{c}").alias(c) if c in kept else F.col(f"last.{c}").alias(c) for c in rest])
