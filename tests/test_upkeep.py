@@ -174,3 +174,19 @@ def test_candle_queries_move_and_hold_no_more_than_bars(spark, sf_dir, monkeypat
     assert market.stored_series(spark, sf_dir).select("interval", "series_type").distinct().count() == 4
     assert "max(CASE" not in _plan(ingest.QUERIES["s9_multi_symbol_split"](spark, sf_dir))
     assert "l_suppkey" not in _plan(market.QUERIES["s5_candle_upsert"](spark, sf_dir))
+
+
+def test_stops_are_carried_from_batch_to_batch(spark, tmp_path):
+    """Without a Python call for each instrument; unknown candidates raise nothing."""
+    from tidewater.streaming import streams
+
+    lots = [[(1, 1, 5.0), (1, 0, 9.0), (2, 0, None), (3, 0, 4.0)], [(1, 2, 8.0), (1, 3, 11.0), (2, 1, 2.0), (4, 1, float("nan"))], [(3, 5, 1.0), (2, 5, 1.0)]]
+    n = streams.files_of_a_part(spark)
+    for k, lot in enumerate(lots):
+        rows = spark.createDataFrame([(i, DAY + dt.timedelta(days=t), c) for i, t, c in lot], "instrument_id long, ts timestamp, candidate double")
+        rows.repartition(n, "ts").write.mode("append").parquet(f"{tmp_path}/in")
+        streams.ratchet_stops(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check")
+    got = spark.read.schema("instrument_id long, ts timestamp, stop double").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out")
+    low = float("-inf")
+    assert sorted((r["instrument_id"], (r["ts"] - DAY).days, r["stop"]) for r in got.collect()) == [(1, 0, 9.0), (1, 1, 9.0), (1, 2, 9.0), (1, 3, 11.0), (2, 0, low), (2, 1, 2.0), (2, 5, 2.0), (3, 0, 4.0), (3, 5, 4.0), (4, 1, low)]
+    assert (tmp_path / "out-best").exists()

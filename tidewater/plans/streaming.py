@@ -89,7 +89,7 @@ def _(spark, d):
     c, base = fx.candles(spark, d).select("instrument_id", "ts", (F.col("close") - F.col("high") * 0.1).alias("candidate")), folder(spark, "st7")
     source = drop([c.where("ts < TIMESTAMP '1998-01-01'"), c.where("ts >= TIMESTAMP '1998-01-01'")], f"{base}/in")
     streams.ratchet_stops(spark, source, f"{base}/out", f"{base}/check")
-    return rounded(spark.read.schema("instrument_id long, ts timestamp, stop double").parquet(f"{base}/out"))
+    return rounded(spark.read.schema("instrument_id long, ts timestamp, stop double").option("recursiveFileLookup", "true").parquet(f"{base}/out"))
 
 
 #: Each symbol stepped through its fetches: how many were empty, and until when it rests.
